@@ -1,0 +1,32 @@
+"""Where intermediate tables go: the folder that all executors and the driver share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where it is unset (tests, one machine) a folder of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = set_already.get() if set_already.isDefined() else f"file://{tempfile.mkdtemp(prefix='locus-')}"
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def materialised(df: DataFrame, *partition_by: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, safe from the loss of executors."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/locus-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint (for small tables inside loops)."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
