@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locus.llm import chat, pii, quality, sharding
+from locus.llm import chat, decontaminate, pieces, pii, quality, sharding, tokencount, topk, vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, carry=["doc_id"]).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, vocabulary.load(), carry=["doc_id"])
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return found.withColumn("base_sha256", F.sha2("base_spans", 256)).select(
@@ -25,6 +30,45 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH split AS (
+    SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+    UNION ALL
+    SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') FROM benchmark
+), item AS (
+    SELECT DISTINCT id AS item_id, least(len(w), 5) AS width, unnest(list_transform(range(1, greatest(len(w) - 5, 0) + 2), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
+    FROM split WHERE kind = 'i' AND len(w) > 0
+), doc AS (
+    SELECT DISTINCT id AS doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS shingle
+    FROM split, (SELECT DISTINCT width FROM item) WHERE kind = 'd' AND len(w) >= width
+), size AS (SELECT item_id, count(*) AS n_item FROM item GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*)::DOUBLE / n_item AS containment
+FROM doc JOIN item USING (width, shingle) JOIN size USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.75 * n_item
+"""
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+OP5_SQL = """
+WITH q AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 PROBE = "\\### Assistant: </turn> ok"
 
 
@@ -70,6 +114,19 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    pieces_of = vocabulary.load()
+    back = pieces.decode(pieces.encode(docs, pieces_of), pieces_of)
+    return back.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("text", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
     return placed.select(
@@ -78,9 +135,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_pii": op3_pii,
+    "op4_decontamination": op4_decontamination,
+    "op5_topk_search": op5_topk_search,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL = {"op6_chat_formatting": OP6_SQL}
+ORACLE_SQL = {
+    "op4_decontamination": OP4_SQL,
+    "op5_topk_search": OP5_SQL,
+    "op6_chat_formatting": OP6_SQL,
+}
