@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locus.llm import chat, decontaminate, pieces, pii, quality, sharding, tokencount, topk, vocabulary
+from locus.llm import chat, decontaminate, pieces, pii, quality, sharding, simjoin, tokencount, topk, vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, carry=["doc_id"]).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.count_tokens(docs, vocabulary.load(), carry=["doc_id"])
@@ -135,6 +139,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
