@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locus.llm import chat, decontaminate, pieces, pii, quality, sharding, simjoin, tokencount, topk, vocabulary
+from locus.llm import chat, decontaminate, pieces, pii, quality, sharding, simjoin, substrings, tokencount, topk, vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
     return placed.select(
@@ -146,6 +151,7 @@ QUERIES = {
     "op5_topk_search": op5_topk_search,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }

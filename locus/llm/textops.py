@@ -125,3 +125,17 @@ def shingle_sets(words: Words, size: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All integers of the ranges [start, start + size), one range after another."""
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    keep = sizes > 0
+    sizes, starts = sizes[keep], starts[keep]
+    step = np.ones(total, np.int64)
+    step[0] = starts[0]
+    at = np.cumsum(sizes)[:-1]
+    step[at] = starts[1:] - (starts[:-1] + sizes[:-1]) + 1
+    return np.cumsum(step)

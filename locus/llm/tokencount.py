@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from locus.llm.textops import Words, slices
+from locus.llm.textops import Words, ranges, slices
 from locus.llm.vocabulary import SPACE, Vocabulary
 
 #: Text that shares one trie, and terminal counts that a task remembers for its next slices.
@@ -96,12 +96,7 @@ def words_array(words: Words) -> pa.Array:
     """The words as an Arrow array of strings."""
     size = words.end - words.start
     offsets = np.concatenate(([0], np.cumsum(size)))
-    # Bytes of all words, without what stands between them.
-    step = np.ones(int(offsets[-1]), np.int64)
-    if len(size):
-        step[offsets[:-1]] = words.start - np.concatenate(([1], words.end[:-1])) + 1
-        step[0] = words.start[0]
-    data = words.bytes[np.cumsum(step)]
+    data = words.bytes[ranges(words.start, size)]
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
 
 
