@@ -22,28 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from locus.llm.textops import slices
+from locus.llm.textops import ranges, slices
 from locus.llm.vocabulary import SPACE, Vocabulary
 
-SLICE_BYTES, REMEMBERED = 1 << 22, 400_000
+SLICE_BYTES, REMEMBERED, CHARACTERS = 1 << 21, 250_000, 1 << 18
 _BITS, _PACK = 15, 4  # characters are numbered in 15 bits, four to a key
 _FAR = np.int64(1) << 62
 
 
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All integers of the ranges [start, start + size), one range after another."""
-    total = int(sizes.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    keep = sizes > 0
-    sizes, starts = sizes[keep], starts[keep]
-    step = np.ones(total, np.int64)
-    step[0] = starts[0]
-    at = np.cumsum(sizes)[:-1]
-    step[at] = starts[1:] - (starts[:-1] + sizes[:-1]) + 1
-    return np.cumsum(step)
-
-
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         pieces = sorted(vocabulary.ids)
@@ -92,7 +78,19 @@ class Encoder:
         return lo
 
     def encode(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all cuts one after another, each cut's first place in them and the end)."""
+        """(ids of all cuts one after another, each cut's first place in them and the end); CHARACTERS at a time share a suffix array."""
+        total = np.concatenate(([0], np.cumsum([len(c) for c in cuts]))).astype(np.int64)
+        ids, sizes, at = [], [], 0
+        while at < len(cuts):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + CHARACTERS, "right")) - 1)
+            got, bounds = self._matched(cuts[at:to])
+            ids.append(got.astype(np.int32))
+            sizes.append(np.diff(bounds))
+            at = to
+        none = np.zeros(0, np.int32)
+        return np.concatenate([none, *ids]), np.concatenate(([0], np.cumsum(np.concatenate([none, *sizes]))))
+
+    def _matched(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = "\0".join(cuts) + "\0"
         point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         n, lengths = len(point), np.fromiter(map(len, cuts), np.int64, len(cuts))
@@ -108,8 +106,8 @@ class Encoder:
         order = inside[np.lexsort([packed[inside + k * _PACK] for k in range(self.depth - 1, -1, -1)])]
         lo, hi = self._ranges([packed[order + k * _PACK] for k in range(self.depth)])
         count = np.maximum(hi - lo, 0)
-        place = order[_spans(lo, count)]
-        piece = np.repeat(np.arange(len(count)), count)
+        place = order[ranges(lo, count)]
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
         # Characters without a piece: an edge of one step, told by a piece number of -1.
         bare = inside[~(self.has_single[np.where(point == 32, ord(SPACE), point)[inside]] & (point[inside] != ord(SPACE)))]
         n_bytes = 1 + (point[bare] > 0x7F) + (point[bare] > 0x7FF) + (point[bare] > 0xFFFF)
@@ -192,11 +190,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: l
                 known, ids, first, new = known[:0], ids[:0], first[:1], coded.dictionary
             got, got_at = encoder.encode(new.to_pylist()) if len(new) else (ids[:0], np.zeros(1, np.int64))
             known = pa.concat_arrays([known, new])
-            ids, first = np.concatenate((ids, got.astype(np.int32))), np.concatenate((first, first[-1] + got_at[1:]))
+            ids, first = np.concatenate((ids, got)), np.concatenate((first, first[-1] + got_at[1:]))
             where = pc.index_in(coded.dictionary, known).to_numpy()
             use = where[coded.indices.to_numpy()] if len(where) else np.zeros(0, np.int64)
             size = np.diff(first)[use]
-            flat = ids[_spans(first[use], size)]
+            flat = ids[ranges(first[use], size)]
             bounds = np.concatenate(([0], np.cumsum(size)))[cut_at].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat), mask=texts.is_null())
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in out), lists], names)
@@ -220,7 +218,7 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str
                 lists = part.column(at)
                 flat, bounds = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
                 ends = np.concatenate(([0], np.cumsum(size[flat])))
-                raw = data[_spans(begin[flat], size[flat])]
+                raw = data[ranges(begin[flat], size[flat])]
                 offsets = ends[bounds].astype(np.int64)
                 texts = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes()))
                 texts = pc.if_else(lists.is_null(), None, texts).cast(pa.string())
