@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from locus.llm import quality
+from locus.llm import decontaminate, pieces, pii, quality, simjoin, vocabulary
 from locus.llm.storage import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,8 +20,41 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays; rows without an id go only if their group has one."""
+    classes = simjoin.jaccard_classes(docs)
+    firsts = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    kept = docs.join(firsts.select(F.col("doc_id").alias("first_id")), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    # Ids that name several rows are rare; only then are whole rows compared.
+    return kept.dropDuplicates(["doc_id", "text"]) if firsts.where("count > 1").limit(1).count() else kept
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by placeholders, and n_chars follows the text."""
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(masked.schema["n_chars"].dataType)) if "n_chars" in masked.columns else masked
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    pieces_of = vocabulary.load()
+    encoded = pieces.encode(docs.withColumn("text_sha256", F.sha2("text", 256)), pieces_of)
+    decoded = pieces.decode(encoded, pieces_of)
+    exact = F.sha2("text", 256).eqNullSafe(F.col("text_sha256"))
+    return decoded.select(*(c for c in docs.columns if c != "text"), "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), exact.alias("round_trip"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("sentencepiece", encoding_stage),
 ]
 
 #: No SQL expresses the learned classifier or the encoder; tests hold the stages against brute force.
