@@ -4,12 +4,475 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from locus import proxies as P
+from locus.functions import codecs, scalars
+from locus.operators import annotations, coverage, ordering, regions, summaries, tiles, variants
+from locus.operators.regions import Region
+from locus.plans import manifest
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+SIZE = P.SIZE
+REGION = Region("A", 300, 700)
+TIES = ordering.TIES
+
+READS = """WITH reads AS (
+    SELECT CASE WHEN l_tax = 0.0 THEN -1 WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS reference_id,
+        l_returnflag AS reference, l_partkey AS position, CAST(l_quantity AS INT) AS span, CAST(round(l_discount * 100) AS INT) * 6 AS mapq,
+        CASE WHEN l_linestatus = 'F' THEN 1024 ELSE 0 END + CASE WHEN l_tax = 0.0 THEN 4 ELSE 0 END AS flag,
+        l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_tax = 0.0 THEN 0 ELSE l_partkey // 256 * 256 END AS chunk_start
+    FROM lineitem
+)"""
+CALLS = "WITH calls AS (SELECT l_suppkey AS sample, l_partkey AS position, l_linenumber % 3 AS dosage FROM lineitem)"
+EVENTS = "WITH e AS (SELECT event_id AS id, user_id AS participant, event_type AS code, CAST(floor(epoch(ts)) AS BIGINT) AS t, value FROM events)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Regions and chunks
+
+
+@query(READS + " SELECT l_orderkey, l_linenumber, l_suppkey, position, span FROM reads WHERE reference_id >= 0 AND reference = 'A' AND position >= 300 AND position < 700")
+def region_query_start(spark, d):
+    return regions.starts_in(P.mapped(spark, d), REGION, SIZE).select("l_orderkey", "l_linenumber", "l_suppkey", "position", "span")
+
+
+@query(READS + " SELECT l_orderkey, l_linenumber, l_suppkey, position, span FROM reads WHERE reference_id >= 0 AND reference = 'A' AND position < 700 AND position + span > 300")
+def region_query_overlap(spark, d):
+    return regions.overlapping(P.mapped(spark, d), REGION, SIZE, max_span=50).select("l_orderkey", "l_linenumber", "l_suppkey", "position", "span")
+
+
+@query(READS + " SELECT count(*) AS reads FROM reads WHERE reference_id >= 0 AND reference = 'A' AND position >= 300 AND position < 700")
+def region_count(spark, d):
+    return regions.starts_in(P.mapped(spark, d), REGION, SIZE).agg(F.count("*").alias("reads"))
+
+
+@query(READS + " SELECT reference, position, mapq, flag FROM reads WHERE reference_id >= 0 AND reference = 'R'")
+def reference_scan(spark, d):
+    return regions.starts_in(P.mapped(spark, d), Region("R"), SIZE).select("reference", "position", "mapq", "flag")
+
+
+@query(READS + " SELECT DISTINCT reference, chunk_start FROM reads WHERE reference_id >= 0 AND reference = 'A' AND chunk_start + 256 > 300 AND chunk_start < 700")
+def find_chunks(spark, d):
+    return manifest.find_chunks(manifest.build(P.mapped(spark, d), SIZE), REGION, SIZE).select("reference", "chunk_start")
+
+
+@query(READS + """, named AS (SELECT * FROM (VALUES ('r1', 'A', 100, 300), ('r2', 'N', 250, 900), ('r3', 'R', 0, 2000)) v(name, ref, s, e))
+    SELECT name, count(*) AS reads FROM reads JOIN named ON reference = ref AND position >= s AND position < e WHERE reference_id >= 0 GROUP BY name""")
+def multi_region(spark, d):
+    named = spark.createDataFrame([("r1", "A", 100, 300), ("r2", "N", 250, 900), ("r3", "R", 0, 2000)], "name string, reference string, start long, end long")
+    return regions.join_regions(P.mapped(spark, d), named, SIZE).groupBy("name").agg(F.count("*").alias("reads"))
+
+
+@query(READS + """, named AS (SELECT * FROM (VALUES ('r1', 'A', 100, 300), ('r2', 'N', 250, 900)) v(name, ref, s, e))
+    SELECT name, l_suppkey AS sample, count(*) AS reads FROM reads JOIN named ON reference = ref AND position >= s AND position < e WHERE reference_id >= 0 GROUP BY ALL""")
+def sample_region_fanout(spark, d):
+    named = spark.createDataFrame([("r1", "A", 100, 300), ("r2", "N", 250, 900)], "name string, reference string, start long, end long")
+    return regions.join_regions(P.mapped(spark, d), named, SIZE).groupBy("name", F.col("l_suppkey").alias("sample")).agg(F.count("*").alias("reads"))
+
+
+@query(READS + """, pairs AS (SELECT s_suppkey AS sample, 'N' AS ref, s_suppkey * 10 AS s, s_suppkey * 10 + 50 AS e FROM supplier)
+    SELECT sample, count(*) AS reads FROM reads JOIN pairs ON reference = ref AND l_suppkey = sample AND position >= s AND position < e WHERE reference_id >= 0 GROUP BY sample""")
+def sample_locus_join(spark, d):
+    pairs = P.samples(spark, d).select("sample", F.lit("N").alias("reference"), (F.col("sample") * 10).alias("start"), (F.col("sample") * 10 + 50).alias("end"))
+    return regions.join_regions(P.mapped(spark, d), pairs, SIZE).where("l_suppkey = sample").groupBy("sample").agg(F.count("*").alias("reads"))
+
+
+@query(READS + " SELECT position, reference, mapq FROM reads WHERE mapq >= 30 AND flag & 4 = 0")
+def mapq_filter(spark, d):
+    return P.reads(spark, d).where((F.col("mapq") >= 30) & ~scalars.has_flag(F.col("flag"), 4)).select("position", "reference", "mapq")
+
+
+@query(READS + " SELECT reference, count(*) AS reads FROM reads WHERE flag & 1024 = 0 GROUP BY reference")
+def duplicate_filter(spark, d):
+    return P.reads(spark, d).where(~scalars.has_flag(F.col("flag"), 1024)).groupBy("reference").agg(F.count("*").alias("reads"))
+
+
+@query(READS + " SELECT reference, chunk_start, count(*) AS reads, CAST(max(position) - min(position) AS BIGINT) AS width FROM reads WHERE reference_id >= 0 GROUP BY ALL")
+def per_chunk_function(spark, d):
+    def measure(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"reference": pdf["reference"][:1], "chunk_start": pdf["chunk_start"][:1], "reads": [len(pdf)], "width": [pdf["position"].max() - pdf["position"].min()]})
+
+    return regions.per_chunk(P.mapped(spark, d).select("reference", "chunk_start", "position"), measure, "reference string, chunk_start long, reads long, width long")
+
+
+# Manifest, statistics, index
+
+
+@query(READS + """ SELECT CASE WHEN reference_id >= 0 THEN reference END AS reference, CAST(chunk_start AS BIGINT) AS chunk_start, CAST(CASE WHEN reference_id < 0 THEN 0 ELSE chunk_start + 256 END AS BIGINT) AS chunk_end,
+    count(*) AS reads, CAST(sum(span) AS BIGINT) AS bases, max(span) AS max_span, min(mapq) AS min_mapq, max(mapq) AS max_mapq, CAST(count(*) FILTER (flag & 1024 <> 0) AS BIGINT) AS duplicates,
+    CASE WHEN reference_id < 0 THEN 'unmapped.chunk' ELSE reference || '/' || lpad(CAST(chunk_start AS VARCHAR), 9, '0') || '-' || lpad(CAST(chunk_start + 256 AS VARCHAR), 9, '0') || '.chunk' END AS path
+    FROM reads GROUP BY 1, 2, 3, 10""")
+def chunk_manifest(spark, d):
+    return manifest.build(P.reads(spark, d), SIZE)
+
+
+@query(READS + """, c AS (SELECT reference, chunk_start, count(*) AS n FROM reads WHERE reference_id >= 0 GROUP BY ALL)
+    SELECT reference, count(*) AS chunks, min(chunk_start) AS "first", max(chunk_start) + 256 AS "last", CAST(sum(n) AS BIGINT) AS reads, CAST(CASE reference WHEN 'A' THEN 2000 WHEN 'N' THEN 3000 ELSE 0 END AS BIGINT) AS length FROM c GROUP BY reference""")
+def spatial_index(spark, d):
+    lengths = spark.createDataFrame([("A", 2000), ("N", 3000)], "reference string, length long")
+    return manifest.spatial_index(manifest.build(P.reads(spark, d), SIZE), lengths)
+
+
+@query(READS + """ SELECT count(*) AS total_reads, count(*) FILTER (reference_id >= 0) AS mapped_reads, count(*) FILTER (reference_id < 0) AS unmapped_reads, count(*) FILTER (flag & 1024 <> 0) AS duplicate_reads,
+    CAST(sum(span) AS BIGINT) AS total_bases, round(sum(span) / 6000e0, 6) AS mean_coverage, round(count(*) FILTER (reference_id >= 0) * 100e0 / count(*), 6) AS percent_mapped FROM reads""")
+def dataset_stats(spark, d):
+    out = summaries.dataset_statistics(P.reads(spark, d), 6000)
+    return out.withColumn("mean_coverage", F.round("mean_coverage", 6)).withColumn("percent_mapped", F.round("percent_mapped", 6))
+
+
+@query(READS + " SELECT reference, count(*) FILTER (reference_id >= 0) AS mapped, count(*) FILTER (reference_id < 0) AS unmapped FROM reads GROUP BY reference")
+def reads_per_reference(spark, d):
+    return summaries.reads_per_reference(P.reads(spark, d))
+
+
+@query(READS + ", b AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {b})" for n, b in summaries.FLAGS.items()) + """) v(flag_name, bit))
+    SELECT flag_name, count(*) FILTER (flag & bit <> 0) AS reads FROM reads, b GROUP BY flag_name UNION ALL SELECT 'total', count(*) FROM reads""")
+def flagstat(spark, d):
+    return summaries.flag_counts(P.reads(spark, d))
+
+
+@query(READS + """, c AS (SELECT chunk_start, count(*) AS n, sum(span) AS b FROM reads WHERE reference_id >= 0 AND reference = 'A' GROUP BY 1), t AS (SELECT count(*) AS chunks, CAST(sum(n) AS BIGINT) AS reads, CAST(sum(b) AS DOUBLE) AS bytes FROM c WHERE chunk_start + 256 > 300 AND chunk_start < 700)
+    SELECT chunks, reads, bytes, round(chunks / 1000e0 * 0.0004e0 + bytes / 1073741824e0 * 0.09e0, 12) AS cost FROM t""")
+def cost_estimate(spark, d):
+    return manifest.estimate(manifest.build(P.mapped(spark, d), SIZE), REGION, SIZE).withColumn("cost", F.round("cost", 12))
+
+
+@query(READS + """ SELECT v.rule, CAST(CASE v.rule WHEN 'chunk_missing' THEN 0 WHEN 'chunk_not_listed' THEN 0 WHEN 'reads_differ' THEN (SELECT count(*) FROM (SELECT reference, chunk_start FROM reads WHERE reference_id >= 0 AND reference = 'R' GROUP BY ALL)) ELSE 0 END AS BIGINT) AS violations
+    FROM (VALUES ('chunk_not_listed'), ('chunk_missing'), ('reads_differ'), ('wrong_width')) v(rule)""")
+def validate_manifest(spark, d):
+    rows = P.reads(spark, d)
+    spoiled = manifest.build(rows, SIZE).withColumn("reads", F.col("reads") + F.when(F.col("reference") == "R", 1).otherwise(0))
+    return manifest.violations(rows, spoiled, SIZE)
+
+
+@query(READS + " SELECT reference, position // 1024 * 1024 AS chunk_start, count(*) AS reads FROM reads WHERE reference_id >= 0 GROUP BY ALL")
+def rechunk(spark, d):
+    return regions.with_chunks(P.mapped(spark, d), 1024).groupBy("reference", "chunk_start").agg(F.count("*").alias("reads"))
+
+
+@query("SELECT 0::BIGINT AS different")
+def roundtrip_diff(spark, d):
+    rows = P.reads(spark, d).select("reference", "position", "span", "l_orderkey", "l_linenumber")
+    back = regions.with_chunks(P.reads(spark, d, 1024), 256).select(*rows.columns)
+    return regions.difference(rows, back).agg(F.count("*").alias("different"))
+
+
+@query(READS + " SELECT count(*) AS chunks, CAST(sum(n) AS BIGINT) AS reads FROM (SELECT reference, chunk_start, count(*) AS n FROM reads GROUP BY ALL)")
+def chunk_checksums(spark, d):
+    sums = manifest.checksums(P.reads(spark, d), ["position", "span", "mapq", "flag", "l_orderkey", "l_linenumber"])
+    return sums.where(F.length("checksum") == 64).agg(F.count("*").alias("chunks"), F.sum("reads").alias("reads"))
+
+
+# Coverage and order
+
+_DEPTH = READS + """, s AS (SELECT reference, position AS p, 1 AS step FROM reads WHERE reference_id >= 0 UNION ALL SELECT reference, position + span, -1 FROM reads WHERE reference_id >= 0),
+    g AS (SELECT reference, p, sum(step) AS step FROM s GROUP BY ALL), depth AS (SELECT reference, CAST(p AS BIGINT) AS position, CAST(sum(step) OVER (PARTITION BY reference ORDER BY p) AS BIGINT) AS depth FROM g)"""
+
+
+@query(_DEPTH + " SELECT * FROM depth")
+def coverage_depth(spark, d):
+    return coverage.depth(P.mapped(spark, d), SIZE)
+
+
+@query(_DEPTH + """, l AS (SELECT *, coalesce(lead(position) OVER (PARTITION BY reference ORDER BY position) - position, 0) AS n FROM depth)
+    SELECT reference, max(depth) AS max_depth, CAST(sum(depth * n) AS BIGINT) AS bases, CAST(sum(CASE WHEN depth >= 100 THEN n ELSE 0 END) AS BIGINT) AS covered FROM l GROUP BY reference""")
+def coverage_summary(spark, d):
+    return coverage.summary(coverage.depth(P.mapped(spark, d), SIZE), 100)
+
+
+@query(READS + ", b AS (SELECT range AS position FROM range(300, 400)) SELECT b.position, count(*) AS depth FROM reads JOIN b ON reads.position <= b.position AND reads.position + span > b.position WHERE reference_id >= 0 AND reference = 'A' GROUP BY b.position")
+def base_depth(spark, d):
+    return coverage.base_depth(regions.overlapping(P.mapped(spark, d), Region("A", 300, 400), SIZE, 50), 300, 400)
+
+
+@query(READS + " SELECT reference, position, l_orderkey, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY reference ORDER BY position, l_orderkey, l_linenumber, l_suppkey) AS rank FROM reads")
+def coordinate_sort(spark, d):
+    return ordering.ranked(P.placed(spark, d), *TIES).select("reference", "position", *TIES, "rank")
+
+
+@query(READS + " SELECT reference_id, reference, position, l_orderkey FROM reads WHERE l_linenumber = 1")
+def kway_merge(spark, d):
+    rows = P.reads(spark, d).where("l_linenumber = 1").select("reference_id", "reference", "position", "l_orderkey")
+    halves = [ordering.coordinate_sort(rows.where(F.col("position") % 2 == k), "l_orderkey") for k in (0, 1)]
+    return ordering.merge_sorted(*halves, by=["reference_id", "position", "l_orderkey"])
+
+
+@query(READS + " SELECT reference, chunk_start, count(*) AS reads FROM reads WHERE reference_id >= 0 GROUP BY ALL ORDER BY reads DESC, reference, chunk_start LIMIT 10")
+def topk_chunks(spark, d):
+    return manifest.build(P.mapped(spark, d), SIZE).select("reference", "chunk_start", "reads").orderBy(F.desc("reads"), "reference", "chunk_start").limit(10)
+
+
+@query(READS + " SELECT reference, l_orderkey, l_linenumber, l_suppkey, position, coalesce(position - lag(position) OVER (PARTITION BY reference ORDER BY position, l_orderkey, l_linenumber, l_suppkey), position) AS delta FROM reads")
+def delta_positions(spark, d):
+    return ordering.deltas(P.placed(spark, d), *TIES).select("reference", *TIES, "position", F.coalesce("delta", "position").alias("delta"))
+
+
+@query(READS + ", r AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY position, l_orderkey, l_linenumber, l_suppkey) - 1 AS n FROM reads) SELECT reference, position, l_orderkey, l_linenumber, l_suppkey, n // 100 AS chunk_index, n % 100 AS offset_in_chunk FROM r")
+def offset_in_chunk(spark, d):
+    place = F.col("rank") - 1
+    return ordering.ranked(P.placed(spark, d), *TIES).select("reference", "position", *TIES, (place / 100).cast("long").alias("chunk_index"), (place % 100).alias("offset_in_chunk"))
+
+
+@query(READS + """, r AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY position, l_orderkey, l_linenumber, l_suppkey) AS n, count(*) OVER (PARTITION BY reference) AS total FROM reads)
+    SELECT reference, (n - 1) * 8 // total AS chunk, min(position) AS "first", max(position) AS "last", count(*) AS reads FROM r GROUP BY 1, 2""")
+def adaptive_chunks(spark, d):
+    return ordering.equal_count_chunks(P.placed(spark, d), 8, *TIES)
+
+
+@query(READS + " SELECT coalesce(reference, 'all') AS reference, coalesce(l_suppkey % 4, -1) AS lane, count(*) AS reads, CAST(sum(span) AS BIGINT) AS bases FROM reads GROUP BY CUBE (reference, l_suppkey % 4)")
+def cube_references(spark, d):
+    rows = P.reads(spark, d).withColumn("lane", F.col("l_suppkey") % 4)
+    out = rows.cube("reference", "lane").agg(F.count("*").alias("reads"), F.sum("span").alias("bases"))
+    return out.select(F.coalesce("reference", F.lit("all")).alias("reference"), F.coalesce("lane", F.lit(-1)).alias("lane"), "reads", "bases")
+
+
+# Variants
+
+
+@query(CALLS + " SELECT position // 256 AS gchunk, sample // 25 AS schunk, count(*) AS dense, count(*) FILTER (dosage <> 0) AS stored FROM calls GROUP BY ALL")
+def sparse_ratio(spark, d):
+    return variants.sparse_ratio(P.calls(spark, d), 256, 25)
+
+
+@query(CALLS + " SELECT DISTINCT position, dosage FROM calls WHERE sample = 5 AND dosage <> 0")
+def sample_variants(spark, d):
+    return variants.of_sample(P.calls(spark, d), 5)
+
+
+@query(CALLS + " SELECT DISTINCT position, dosage FROM calls WHERE sample = 5 AND dosage <> 0 AND position >= 100 AND position < 500")
+def sample_region(spark, d):
+    return variants.of_sample(P.calls(spark, d), 5, 100, 500)
+
+
+@query(CALLS + " SELECT DISTINCT sample FROM calls WHERE position = 42 AND dosage <> 0")
+def variant_carriers(spark, d):
+    return variants.carriers(P.calls(spark, d), 42)
+
+
+@query(CALLS + " SELECT s_suppkey AS sample FROM supplier WHERE s_suppkey NOT IN (SELECT sample FROM calls WHERE position = 42 AND dosage <> 0)")
+def noncarriers(spark, d):
+    return variants.noncarriers(P.samples(spark, d), P.calls(spark, d), 42)
+
+
+@query(CALLS + " SELECT position, CAST(sum(dosage) AS BIGINT) AS ac, count(*) * 2 AS an, round(sum(dosage) / (count(*) * 2e0), 6) AS af FROM calls GROUP BY position")
+def allele_freq(spark, d):
+    return variants.allele_frequency(P.calls(spark, d)).withColumn("af", F.round("af", 6))
+
+
+@query(CALLS + """, n AS (SELECT sample, position, max(dosage) AS dosage FROM calls WHERE dosage <> 0 AND position >= 10 AND position < 30 GROUP BY ALL)
+    SELECT s_suppkey AS sample, p.position, coalesce(dosage, 0) AS dosage FROM supplier CROSS JOIN (SELECT DISTINCT position FROM n) p LEFT JOIN n ON n.sample = s_suppkey AND n.position = p.position""")
+def dense_genotypes(spark, d):
+    return variants.dense(P.calls(spark, d), P.samples(spark, d), 10, 30)
+
+
+@query(CALLS + " SELECT position FROM calls WHERE sample = 1 AND dosage <> 0 INTERSECT SELECT position FROM calls WHERE sample = 2 AND dosage <> 0")
+def shared_variants(spark, d):
+    return variants.shared(P.calls(spark, d), 1, 2)
+
+
+@query(CALLS + ", b AS (SELECT position, sample, max(dosage) AS dosage FROM calls WHERE dosage <> 0 GROUP BY ALL) SELECT position, string_agg(sample || ':' || dosage, ',' ORDER BY sample) AS carriers FROM b GROUP BY position")
+def merged_genotypes(spark, d):
+    return variants.merged_genotypes(P.calls(spark, d))
+
+
+@query("SELECT count(*) AS variants, count(*) FILTER (length(p_brand[8:]) = 1 AND length(p_name[1:1]) = 1) AS snps, count(*) FILTER (length(p_brand[8:]) <> 1) AS indels FROM part")
+def variant_stats(spark, d):
+    sites = P.table(spark, d, "part").select(F.substr("p_name", F.lit(1), F.lit(1)).alias("ref"), F.substr("p_brand", F.lit(8)).alias("alt"))
+    return variants.variant_statistics(sites)
+
+
+@query(CALLS + """, b AS (SELECT position, sample, max(dosage) AS dosage FROM calls WHERE dosage <> 0 AND sample IN (1, 2, 3) GROUP BY ALL),
+    w AS (SELECT position, max(dosage) FILTER (sample = 1) AS a, max(dosage) FILTER (sample = 2) AS b, max(dosage) FILTER (sample = 3) AS c FROM b GROUP BY position)
+    SELECT position, concat_ws(chr(9), '1', position, '.', 'A', 'G', '.', 'PASS', '.', 'GT', ['0/0', '0/1', '1/1'][coalesce(a, 0) + 1], ['0/0', '0/1', '1/1'][coalesce(b, 0) + 1], ['0/0', '0/1', '1/1'][coalesce(c, 0) + 1]) AS line FROM w""")
+def vcf_export(spark, d):
+    return variants.vcf_lines(P.calls(spark, d), [1, 2, 3])
+
+
+# Annotations
+
+
+@query(EVENTS + " SELECT t // 1800 AS segment, code, count(*) AS events FROM e GROUP BY ALL")
+def segment_manifest(spark, d):
+    return annotations.segments(P.annotations(spark, d), 1800)
+
+
+@query(EVENTS + " SELECT code, count(*) AS events, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT t // 86400 AS s FROM e f WHERE f.code = e.code)) AS segments FROM e GROUP BY code")
+def code_index(spark, d):
+    return annotations.code_index(P.annotations(spark, d), 86400)
+
+
+@query("SELECT role AS speaker, count(*) AS utterances, CAST(sum(length(text)) AS BIGINT) AS total_chars, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role")
+def speaker_index(spark, d):
+    return annotations.speaker_index(P.table(spark, d, "conversations"))
+
+
+@query(EVENTS + " SELECT a.id AS first_id, b.id AS second_id, a.participant FROM e a JOIN e b ON a.participant = b.participant AND a.code = 'view' AND b.code = 'purchase' AND b.t > a.t AND b.t - a.t <= 21600")
+def sequence_pattern(spark, d):
+    return annotations.followed_by(P.annotations(spark, d), "view", "purchase", 21600)
+
+
+@query(EVENTS + " SELECT a.id, a.t - 3600 AS clip_start, a.t + 3600 AS clip_end, count(*) AS events FROM e a JOIN e b ON a.participant = b.participant AND a.code = 'purchase' AND b.t BETWEEN a.t - 3600 AND a.t + 3600 GROUP BY ALL")
+def context_clip(spark, d):
+    return annotations.clips(P.annotations(spark, d), "purchase", 3600)
+
+
+@query(EVENTS + " SELECT id, coalesce(t - lag(t) OVER (PARTITION BY participant ORDER BY t, id), -1) AS gap FROM e")
+def turn_gaps(spark, d):
+    return annotations.gaps(P.annotations(spark, d)).select("id", F.coalesce("gap", F.lit(-1)).alias("gap"))
+
+
+@query(EVENTS + ", n AS (SELECT code, t, lead(code) OVER w AS c2, lead(t) OVER w AS t2 FROM e WINDOW w AS (PARTITION BY participant ORDER BY t, id)) SELECT count(*) AS pairs, CAST(coalesce(sum(t2 - t), 0) AS BIGINT) AS seconds FROM n WHERE code = 'view' AND c2 = 'click'")
+def adjacent_pattern(spark, d):
+    return annotations.adjacent(P.annotations(spark, d), "view", "click")
+
+
+@query(EVENTS + """, m AS (SELECT *, CASE WHEN t - lag(t) OVER w < 7200 THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY participant ORDER BY t, id)),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY participant ORDER BY t, id) AS k FROM m) SELECT participant, min(t) AS session_start, count(*) AS events FROM s GROUP BY participant, k""")
+def session_events(spark, d):
+    return annotations.sessions(P.annotations(spark, d), 7200)
+
+
+@query("""WITH n AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL), t AS (SELECT sum(n) AS n, sum(CASE WHEN quality = toxic THEN n ELSE 0 END) AS agree FROM n),
+    p AS (SELECT sum(r * s) AS m FROM (SELECT quality AS c, sum(n) AS r FROM n GROUP BY 1) JOIN (SELECT toxic AS c, sum(n) AS s FROM n GROUP BY 1) USING (c))
+    SELECT CAST(n AS BIGINT) AS n, CAST(agree AS BIGINT) AS agree, round((agree / n::DOUBLE - m / (n * n)::DOUBLE) / (1 - m / (n * n)::DOUBLE), 6) AS kappa FROM t, p""")
+def rater_agreement(spark, d):
+    return annotations.agreement(P.table(spark, d, "labels"), "quality", "toxic").withColumn("kappa", F.round("kappa", 6))
+
+
+@query(EVENTS + """, c AS (SELECT id, participant, t FROM e WHERE code = 'purchase'), v AS (SELECT participant, t, max(id) AS view_id FROM e WHERE code = 'view' GROUP BY ALL)
+    SELECT c.id, c.participant, c.t, coalesce(v.view_id, -1) AS view_id FROM c ASOF LEFT JOIN v ON c.participant = v.participant AND c.t >= v.t""")
+def as_of_join(spark, d):
+    e = P.annotations(spark, d)
+    views = e.where("code = 'view'").groupBy("participant", "t").agg(F.max("id").alias("view_id"))
+    return annotations.as_of(e.where("code = 'purchase'").select("id", "participant", "t"), views, "participant", "t", "view_id").withColumn("view_id", F.coalesce("view_id", F.lit(-1)))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE contains(text, 'the')")
+def transcript_contains(spark, d):
+    return P.table(spark, d, "conversations").where(F.col("text").contains("the")).select("conv_id", "turn", "role")
+
+
+# Tiles and shards
+
+
+@query("SELECT o_custkey // 100 AS t_x, CAST(floor(o_totalprice) AS BIGINT) // 1000 AS t_y, count(*) AS points FROM orders WHERE o_custkey >= 150 AND o_custkey < 420 AND CAST(floor(o_totalprice) AS BIGINT) >= 2500 AND CAST(floor(o_totalprice) AS BIGINT) < 90000 GROUP BY ALL")
+def tile_box(spark, d):
+    sizes = {"x": 100, "y": 1000}
+    points = tiles.with_tiles(P.table(spark, d, "orders").select(F.col("o_custkey").alias("x"), F.floor("o_totalprice").alias("y")), **sizes)
+    return tiles.in_box(points, sizes, x=(150, 420), y=(2500, 90000)).groupBy("t_x", "t_y").agg(F.count("*").alias("points"))
+
+
+@query("""WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), c AS (SELECT label, d, avg(x) AS x FROM u GROUP BY ALL),
+    s AS (SELECT u.vec_id, c.label, sum((u.x - c.x) * (u.x - c.x)) AS q FROM u JOIN c USING (d) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY q, label) AS n FROM s)
+    SELECT vec_id, label, round(sqrt(q), 4) AS distance FROM r WHERE n = 1""")
+def centroid_assign(spark, d):
+    vectors = P.table(spark, d, "embeddings")
+    return tiles.nearest_centroid(vectors, tiles.centroids(vectors)).withColumn("distance", F.round("distance", 4))
+
+
+@query("SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INT) AS rank FROM customer QUALIFY rank <= 3")
+def top_per_group(spark, d):
+    return tiles.top_per_group(P.table(spark, d, "customer"), "c_nationkey", [F.desc("c_acctbal"), "c_custkey"], 3).select("c_nationkey", "c_custkey", "rank")
+
+
+@query("SELECT sha256(CAST(doc_id AS VARCHAR))[1:2] AS shard, count(*) AS objects FROM documents GROUP BY 1")
+def shard_prefix(spark, d):
+    return P.table(spark, d, "documents").groupBy(scalars.shard_prefix(F.col("doc_id").cast("string"), 8).alias("shard")).agg(F.count("*").alias("objects"))
+
+
+@query("SELECT sha256(CAST(doc_id AS VARCHAR))[1:1] AS shard, count(*) AS objects FROM documents GROUP BY 1")
+def shard_bits(spark, d):
+    return P.table(spark, d, "documents").groupBy(scalars.shard_prefix(F.col("doc_id").cast("string"), 4).alias("shard")).agg(F.count("*").alias("objects"))
+
+
+# Scalars and codecs
+
+
+@query("""SELECT region, split_part(region, ':', 1) AS reference, s AS "start", coalesce(e, -1) AS "end" FROM (VALUES ('chr1', 0::BIGINT, NULL::BIGINT), ('chr1:1,000-2,000', 1000, 2000), ('chr2:1M-2M', 1000000, 2000000), ('x:5K-6k', 5000, 6000)) v(region, s, e)
+    UNION ALL SELECT r, NULL, -1, -1 FROM (VALUES ('chr1:5'), ('chr1:9-3'), (''), ('a:b:1-2')) w(r)""")
+def parse_region(spark, d):
+    texts = spark.createDataFrame([(t,) for t in ("chr1", "chr1:1,000-2,000", "chr2:1M-2M", "x:5K-6k", "chr1:5", "chr1:9-3", "", "a:b:1-2")], "region string")
+    return texts.withColumn("r", scalars.parse_region(F.col("region"))).select("region", "r.reference", F.coalesce("r.start", F.lit(-1)).alias("start"), F.coalesce("r.end", F.lit(-1)).alias("end"))
+
+
+@query("""SELECT * FROM (VALUES ('512', 512::BIGINT, -1::BIGINT, '512'), ('512K', 524288, 524288, '512K'), ('1m', 1048576, 1048576, '1M'), ('8G', 8589934592, -1, '8192M'), ('3M', 3145728, -1, '3M'), ('x', -1, -1, NULL)) v(size, n_bytes, chunk_size, shown)""")
+def parse_size(spark, d):
+    texts = spark.createDataFrame([(t,) for t in ("512", "512K", "1m", "8G", "3M", "x")], "size string")
+    n = scalars.parse_size(F.col("size"))
+    known = lambda c: F.coalesce(c, F.lit(-1))
+    return texts.select("size", known(n).alias("n_bytes"), known(scalars.parse_chunk_size(F.col("size"))).alias("chunk_size"), scalars.format_chunk_size(n).alias("shown"))
+
+
+@query("SELECT DISTINCT c // 3600 AS k, CASE WHEN c >= 3600 THEN (c // 3600) || 'h' || (c % 3600 // 60) || 'm' || (c % 60) || 's' WHEN c >= 60 THEN (c // 60) || 'm' || (c % 60) || 's' ELSE c || 's' END AS shown FROM (SELECT c_custkey * 7 AS c FROM customer)")
+def format_duration(spark, d):
+    c = F.col("c_custkey") * 7
+    return P.table(spark, d, "customer").select(F.expr("c_custkey * 7 div 3600").alias("k"), scalars.format_duration(c).alias("shown")).distinct()
+
+
+def _cigar() -> Column:
+    return F.concat(F.col("l_linenumber").cast("string"), F.lit("S"), F.col("l_quantity").cast("int").cast("string"), F.lit("M2D"), (F.col("l_linenumber") + 1).cast("string"), F.lit("I5="))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INT) + 7 AS BIGINT) AS span FROM lineitem")
+def cigar_span(spark, d):
+    return P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", codecs.reference_span(_cigar()).alias("span"))
+
+
+@query("""WITH o AS (SELECT 'S' AS op, l_linenumber AS len FROM lineitem UNION ALL SELECT 'M', CAST(l_quantity AS INT) FROM lineitem UNION ALL SELECT 'D', 2 FROM lineitem UNION ALL SELECT 'I', l_linenumber + 1 FROM lineitem UNION ALL SELECT '=', 5 FROM lineitem)
+    SELECT op, count(*) AS n, CAST(sum(len) AS BIGINT) AS total FROM o GROUP BY op""")
+def cigar_ops(spark, d):
+    round_trip = codecs.unpack_cigar(codecs.pack_cigar(codecs.cigar_ops(_cigar())))
+    return P.table(spark, d, "lineitem").select(F.explode(round_trip).alias("o")).groupBy("o.op").agg(F.count("*").alias("n"), F.sum("o.len").alias("total"))
+
+
+@query("SELECT p_partkey, translate(lpad(CAST(p_partkey AS VARCHAR), 9, '0'), '0123456789', 'ACGTNACGTN') AS sequence FROM part")
+def seq_codec_roundtrip(spark, d):
+    s = F.translate(F.lpad(F.col("p_partkey").cast("string"), 9, "0"), "0123456789", "ACGTNACGTN")
+    return P.table(spark, d, "part").select("p_partkey", codecs.decode_sequence(codecs.encode_sequence(s), F.length(s)).alias("sequence"))
+
+
+@query("SELECT p_partkey, round((p_size % 40 + 2 + 30) / 2e0, 6) AS average, chr(CAST(p_size % 40 + 35 AS INT)) || '?' AS quality FROM part")
+def quality_stats(spark, d):
+    q = F.concat(F.char(F.col("p_size").cast("long") % 40 + 35), F.lit("?"))
+    return P.table(spark, d, "part").select("p_partkey", F.round(codecs.average_quality(q), 6).alias("average"), codecs.quality_text(codecs.quality_values(q)).alias("quality"))
+
+
+@query("SELECT p_partkey, 'NM:i:' || p_size AS nm, 'RG:Z:' || p_brand AS rg FROM part")
+def tag_codec(spark, d):
+    tags = codecs.tags_map(F.array(F.concat(F.lit("NM:i:"), F.col("p_size").cast("string")), F.concat(F.lit("RG:Z:"), "p_brand"), F.lit("broken")))
+    return P.table(spark, d, "part").withColumn("tags", tags).select("p_partkey", codecs.tag_text(F.lit("NM"), F.col("tags")["NM"]).alias("nm"), codecs.tag_text(F.lit("RG"), F.col("tags")["RG"]).alias("rg"))
+
+
+@query("SELECT split_part(url, '/', 3) AS bucket, count(*) AS objects FROM pages GROUP BY 1")
+def uri_parts(spark, d):
+    return P.table(spark, d, "pages").groupBy(scalars.split_uri(F.col("url"))["bucket"].alias("bucket")).agg(F.count("*").alias("objects"))
+
+
+@query("SELECT DISTINCT l_linenumber % 3 AS dosage, CAST(l_linenumber % 3 AS INT) AS code FROM lineitem")
+def genotype_codes(spark, d):
+    gt = F.element_at(F.array(F.lit("0/0"), F.lit("0|1"), F.lit("1/1")), F.col("dosage") + 1)
+    return P.calls(spark, d).select("dosage", scalars.genotype_code(gt).alias("code")).distinct()
