@@ -76,13 +76,23 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """Best fit decreasing at the least capacity tried, from a perfect split upwards, that needs no more than shards bins."""
-    least, slack = max([-(-sum(sizes) // shards), *sizes, 1]), 0.0
+    """The bin of every size.  A size above the mean of what is left has a bin to itself; the others are packed best fit decreasing into the rest,
+    at the least capacity tried, from a perfect split upwards, that needs no more bins."""
+    order, left, own = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)), sum(sizes), 0
+    while own < shards - 1 and own < len(order) and sizes[order[own]] * (shards - own) > left:
+        left -= sizes[order[own]]
+        own += 1
+    small = [sizes[k] for k in order[own:]]
+    least, slack = max([-(-left // (shards - own)), *small, 1]), 0.0
     while True:
-        out = best_fit_decreasing(sizes, int(least * (1 + slack)))
-        if max(out, default=0) < shards:
-            return out
+        packed = best_fit_decreasing(small, int(least * (1 + slack)))
+        if max(packed, default=0) < shards - own:
+            break
         slack = slack * 1.5 if slack else 1e-5
+    out = [0] * len(sizes)
+    for place, k in enumerate(order):
+        out[k] = place if place < own else own + packed[place - own]
+    return out
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
