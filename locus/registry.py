@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from locus import proxies as P
 from locus.functions import codecs, scalars
-from locus.operators import annotations, coverage, ordering, regions, summaries, tiles, variants
+from locus.operators import annotations, coverage, maintenance, ordering, regions, summaries, tiles, variants
 from locus.operators.regions import Region
 from locus.plans import manifest
+from locus.sources import dataset, text_formats
+from locus.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -155,7 +157,7 @@ def flagstat(spark, d):
     return summaries.flag_counts(P.reads(spark, d))
 
 
-@query(READS + """, c AS (SELECT chunk_start, count(*) AS n, sum(span) AS b FROM reads WHERE reference_id >= 0 AND reference = 'A' GROUP BY 1), t AS (SELECT count(*) AS chunks, CAST(sum(n) AS BIGINT) AS reads, CAST(sum(b) AS DOUBLE) AS bytes FROM c WHERE chunk_start + 256 > 300 AND chunk_start < 700)
+@query(READS + """, c AS (SELECT chunk_start, count(*) AS n, sum(span) AS b FROM reads WHERE reference_id >= 0 AND reference = 'A' GROUP BY 1), t AS (SELECT count(*) AS chunks, CAST(coalesce(sum(n), 0) AS BIGINT) AS reads, CAST(coalesce(sum(b), 0) AS DOUBLE) AS bytes FROM c WHERE chunk_start + 256 > 300 AND chunk_start < 700)
     SELECT chunks, reads, bytes, round(chunks / 1000e0 * 0.0004e0 + bytes / 1073741824e0 * 0.09e0, 12) AS cost FROM t""")
 def cost_estimate(spark, d):
     return manifest.estimate(manifest.build(P.mapped(spark, d), SIZE), REGION, SIZE).withColumn("cost", F.round("cost", 12))
@@ -476,3 +478,173 @@ def uri_parts(spark, d):
 def genotype_codes(spark, d):
     gt = F.element_at(F.array(F.lit("0/0"), F.lit("0|1"), F.lit("1/1")), F.col("dosage") + 1)
     return P.calls(spark, d).select("dosage", scalars.genotype_code(gt).alias("code")).distinct()
+
+
+# Metadata-only plans, maintenance, text forms
+
+
+@query(READS + " SELECT reference, chunk_start, count(*) AS reads FROM reads WHERE reference_id >= 0 GROUP BY ALL HAVING max(mapq) >= 60 AND count(*) FILTER (flag & 1024 <> 0) > 0")
+def chunks_by_statistics(spark, d):
+    return manifest.build(P.mapped(spark, d), SIZE).where("max_mapq >= 60 and duplicates > 0").select("reference", "chunk_start", "reads")
+
+
+@query(READS + ", c AS (SELECT count(*) AS n FROM reads WHERE reference_id >= 0 GROUP BY reference, chunk_start) SELECT count(*) AS chunks, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, round(max(n) / avg(n), 6) AS skew FROM c")
+def chunk_sizes(spark, d):
+    return maintenance.chunk_sizes(manifest.build(P.mapped(spark, d), SIZE)).withColumn("mean", F.round("mean", 6)).withColumn("skew", F.round("skew", 6))
+
+
+@query(READS + """, m AS (SELECT reference, chunk_start, count(*) AS n FROM reads WHERE reference_id >= 0 GROUP BY ALL), k AS (SELECT reference || '/' || lpad(CAST(chunk_start AS VARCHAR), 9, '0') || '-' || lpad(CAST(chunk_start + 256 AS VARCHAR), 9, '0') || '.chunk' AS path, reference FROM m)
+    SELECT path, CASE reference WHEN 'A' THEN 'removed' ELSE 'added' END AS change FROM k WHERE reference IN ('A', 'N')""")
+def snapshot_changes(spark, d):
+    m = manifest.build(P.mapped(spark, d), SIZE)
+    both = dataset.snapshot(m.where("reference <> 'A'"), dataset.snapshot(m.where("reference <> 'N'"), None, 1), 2)
+    return dataset.snapshot_changes(both, 1, 2)
+
+
+@query(READS + """, m AS (SELECT DISTINCT reference || '/' || lpad(CAST(chunk_start AS VARCHAR), 9, '0') || '-' || lpad(CAST(chunk_start + 256 AS VARCHAR), 9, '0') || '.chunk' AS path FROM reads WHERE reference_id >= 0)
+    SELECT sha256(path)[1:2] || '/' || path AS path FROM m""")
+def sharded_paths(spark, d):
+    return maintenance.sharded_paths(manifest.build(P.mapped(spark, d), SIZE), 8).select("path")
+
+
+@query("""SELECT url AS path, CASE WHEN page_id % 7 = 0 THEN 'no metadata' WHEN page_id % 3 = 0 THEN 'compression cannot be entered in the middle' WHEN length(html) * 10000 > 67108864 AND page_id % 2 = 1 THEN 'large and without an index' ELSE 'ready' END AS verdict FROM pages""")
+def storage_readiness(spark, d):
+    listing = P.table(spark, d, "pages").select(
+        F.col("url").alias("path"), (F.length("html").cast("long") * 10000).alias("n_bytes"), (F.col("page_id") % 2 == 0).alias("indexed"),
+        (F.col("page_id") % 7 != 0).alias("has_metadata"), F.when(F.col("page_id") % 3 == 0, "gzip").otherwise("zstd").alias("codec"),
+    )
+    return maintenance.readiness(listing)
+
+
+@query("""SELECT 'm' || l_linenumber AS method, l_returnflag AS operation, round(sum(l_quantity) / sum(l_extendedprice), 9) AS throughput,
+    round((SELECT sum(l_extendedprice) FROM lineitem b WHERE b.l_linenumber = 1 AND b.l_returnflag = lineitem.l_returnflag) / sum(l_extendedprice), 6) AS speedup FROM lineitem GROUP BY l_linenumber, l_returnflag""")
+def benchmark_report(spark, d):
+    results = P.table(spark, d, "lineitem").groupBy(F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("method"), F.col("l_returnflag").alias("operation")).agg(F.sum("l_quantity").alias("n_bytes"), F.sum("l_extendedprice").alias("seconds"))
+    out = maintenance.speedups(results.withColumn("success", F.lit(True)), "m1")
+    return out.select("method", "operation", F.round("throughput", 9).alias("throughput"), F.round("speedup", 6).alias("speedup"))
+
+
+def _alignments(spark, d) -> DataFrame:
+    return P.reads(spark, d).select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey").alias("name"), "flag", F.when(F.col("reference_id") >= 0, F.col("reference")).alias("reference"), F.col("position").cast("int").alias("position"), "mapq",
+        F.concat(F.col("span").cast("string"), F.lit("M")).alias("cigar"), F.lit(None).cast("string").alias("mate_reference"), F.lit(-1).alias("mate_position"), F.lit(0).alias("template_length"),
+        F.lit("ACGT").alias("sequence"), F.lit("IIII").alias("quality"), F.create_map(F.lit("NM"), F.col("l_linenumber").cast("string")).alias("tags"),
+    )
+
+
+@query(READS + """ SELECT concat_ws(chr(9), l_orderkey || ':' || l_linenumber || ':' || l_suppkey, flag, CASE WHEN reference_id >= 0 THEN reference ELSE '*' END, position + 1, mapq, span || 'M', '*', 0, 0, 'ACGT', 'IIII', 'NM:i:' || l_linenumber) AS value FROM reads""")
+def sam_export(spark, d):
+    return text_formats.format_sam(_alignments(spark, d))
+
+
+@query(READS + """ SELECT l_orderkey || ':' || l_linenumber || ':' || l_suppkey AS name, flag, coalesce(CASE WHEN reference_id >= 0 THEN reference END, '') AS reference, position, span, CAST(l_linenumber AS VARCHAR) AS nm FROM reads""")
+def sam_roundtrip(spark, d):
+    back = text_formats.parse_sam(text_formats.format_sam(_alignments(spark, d)))
+    return back.select("name", "flag", F.coalesce("reference", F.lit("")).alias("reference"), F.col("position").cast("long").alias("position"), "span", F.col("tags")["NM"].alias("nm"))
+
+
+@query("SELECT count(*) AS malformed FROM documents WHERE doc_id % 5 = 0")
+def malformed_rows(spark, d):
+    line = F.when(F.col("doc_id") % 5 == 0, F.lit("only\tthree\tfields")).otherwise(F.concat(F.lit("r\t0\tA\t"), F.col("doc_id").cast("string"), F.lit("\t9\t4M\t*\t0\t0\tACGT\tIIII")))
+    return text_formats.malformed(P.table(spark, d, "documents").select(line.alias("value"))).agg(F.count("*").alias("malformed"))
+
+
+@query("SELECT s_suppkey % 4 AS k, CAST(CASE s_suppkey % 4 WHEN 0 THEN -1 WHEN 1 THEN s_suppkey WHEN 2 THEN 1 ELSE -1 END AS BIGINT) AS mate_id, s_suppkey FROM supplier")
+def mate_reference(spark, d):
+    names = F.create_map(F.lit("A"), F.lit(0).cast("long"), F.lit("N"), F.lit(1).cast("long"))
+    rnext = F.element_at(F.array(F.lit("*"), F.lit("="), F.lit("N"), F.lit("unknown")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return P.table(spark, d, "supplier").select((F.col("s_suppkey") % 4).alias("k"), scalars.mate_reference(rnext, F.col("s_suppkey"), names).cast("long").alias("mate_id"), "s_suppkey")
+
+
+@query("SELECT s_suppkey, 'c' || s_suppkey AS sn, CAST(s_suppkey * 1000 AS BIGINT) AS ln FROM supplier")
+def header_parse(spark, d):
+    line = F.concat(F.lit("@SQ\tSN:c"), F.col("s_suppkey").cast("string"), F.lit("\tLN:"), (F.col("s_suppkey") * 1000).cast("string"))
+    fields = codecs.header_fields(line)
+    return P.table(spark, d, "supplier").select("s_suppkey", fields["SN"].alias("sn"), fields["LN"].cast("long").alias("ln"))
+
+
+@query("SELECT p_partkey % 3 AS lane, count(*) AS reads, CAST(sum(2) AS BIGINT) AS bases, round(avg((p_size % 40 + 32) / 2e0), 6) AS avg_quality FROM part WHERE (p_size % 40 + 32) / 2e0 > 20 GROUP BY 1")
+def fastq_statistics(spark, d):
+    q = F.concat(F.char(F.col("p_size").cast("long") % 40 + 35), F.lit("?"))
+    scored = P.table(spark, d, "part").select((F.col("p_partkey") % 3).alias("lane"), F.length(q).alias("n"), codecs.average_quality(q).alias("a")).where("a > 20")
+    return scored.groupBy("lane").agg(F.count("*").alias("reads"), F.sum("n").alias("bases"), F.round(F.avg("a"), 6).alias("avg_quality"))
+
+
+# Joins, set operations, windows and grouped forms over the proxies
+
+
+@query("SELECT p_partkey, count(DISTINCT l_suppkey) AS carriers FROM part JOIN lineitem ON l_partkey = p_partkey AND l_linenumber % 3 <> 0 WHERE p_brand = 'Brand#1' OR p_size = 7 GROUP BY p_partkey")
+def variant_id_lookup(spark, d):
+    wanted = P.table(spark, d, "part").where((F.col("p_brand") == "Brand#1") | (F.col("p_size") == 7)).select(F.col("p_partkey").alias("position"))
+    return variants.sparse(P.calls(spark, d)).join(wanted, "position").groupBy(F.col("position").alias("p_partkey")).agg(F.countDistinct("sample").alias("carriers"))
+
+
+@query(READS + ", s AS (SELECT l_suppkey, count(*) AS n FROM reads WHERE reference_id >= 0 AND reference = 'N' AND position >= 250 AND position < 900 GROUP BY 1) SELECT count(*) AS samples, CAST(coalesce(sum(n), 0) AS BIGINT) AS reads FROM s")
+def cohort_total(spark, d):
+    each = regions.starts_in(P.mapped(spark, d), Region("N", 250, 900), SIZE).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("samples"), F.coalesce(F.sum("n"), F.lit(0)).alias("reads"))
+
+
+@query("SELECT conv_id, turn, w AS word, count(*) AS times FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations WHERE role = 'user') WHERE length(w) > 12 GROUP BY ALL")
+def words_of_utterances(spark, d):
+    turns = P.table(spark, d, "conversations")
+    words = turns.select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word")).where(F.length("word") > 12)
+    return words.join(turns.where("role = 'user'").select("conv_id", "turn"), ["conv_id", "turn"]).groupBy("conv_id", "turn", "word").agg(F.count("*").alias("times"))
+
+
+@query(EVENTS + " SELECT t // 86400 AS day, count(*) FILTER (code = 'view') AS view, count(*) FILTER (code = 'click') AS click, count(*) FILTER (code = 'purchase') AS purchase FROM e GROUP BY 1")
+def segment_tiers(spark, d):
+    codes = ["view", "click", "purchase"]
+    wide = P.annotations(spark, d).groupBy(F.expr("t div 86400").alias("day")).pivot("code", codes).agg(F.count(F.lit(1)))
+    return wide.select("day", *(F.coalesce(c, F.lit(0)).alias(c) for c in codes))
+
+
+@query(EVENTS + " SELECT participant, code, count(*) AS n, count(DISTINCT t // 86400) AS days FROM e GROUP BY ROLLUP (participant, code) HAVING participant IS NOT NULL AND code IS NOT NULL")
+def cross_session(spark, d):
+    rolled = P.annotations(spark, d).withColumn("day", F.expr("t div 86400")).rollup("participant", "code").agg(F.count("*").alias("n"), F.countDistinct("day").alias("days"))
+    return rolled.where("participant is not null and code is not null")
+
+
+@query(EVENTS + ", f AS (SELECT min(t) + 86400 AS s FROM e) SELECT id, t FROM e, f WHERE t >= s AND t < s + 7200")
+def time_clip(spark, d):
+    e = P.annotations(spark, d)
+    start = e.agg((F.min("t") + 86400).alias("s"))
+    return e.join(start, (F.col("t") >= F.col("s")) & (F.col("t") < F.col("s") + 7200)).select("id", "t")
+
+
+@query(EVENTS + " SELECT CAST(t - t % 3600 AS BIGINT) AS start, code, count(*) AS events FROM e GROUP BY ALL")
+def tumbling_windows(spark, d):
+    return ingest.windowed_counts(P.table(spark, d, "events"), "1 hour").select(F.unix_timestamp("start").alias("start"), "code", "events")
+
+
+@query(EVENTS + " SELECT CAST(t - t % 3600 - k * 3600 AS BIGINT) AS start, code, count(*) AS events FROM e, (VALUES (0), (1)) v(k) GROUP BY ALL")
+def sliding_windows(spark, d):
+    return ingest.windowed_counts(P.table(spark, d, "events"), "2 hours", "1 hour").select(F.unix_timestamp("start").alias("start"), "code", "events")
+
+
+@query(EVENTS + """ SELECT id, CAST(rank() OVER w AS INT) AS r, CAST(dense_rank() OVER w AS INT) AS dr, CAST(ntile(4) OVER x AS INT) AS q, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, first_value(id) OVER x AS f
+    FROM e WINDOW w AS (PARTITION BY participant ORDER BY code), x AS (PARTITION BY participant ORDER BY code, id)""")
+def ranking_family(spark, d):
+    from pyspark.sql import Window
+
+    w, x = (Window.partitionBy("participant").orderBy(*c) for c in (["code"], ["code", "id"]))
+    return P.annotations(spark, d).select(
+        "id", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("dr"), F.ntile(4).over(x).alias("q"), F.round(F.percent_rank().over(w), 6).alias("pr"), F.round(F.cume_dist().over(w), 6).alias("cd"), F.first("id").over(x).alias("f")
+    )
+
+
+@query(READS + " SELECT reference, count(DISTINCT position) AS positions, CAST(quantile_cont(span, 0.5) AS DOUBLE) AS median_span, min(span) AS least, max(span) AS most FROM reads GROUP BY reference")
+def span_distribution(spark, d):
+    return P.reads(spark, d).groupBy("reference").agg(F.countDistinct("position").alias("positions"), F.percentile("span", F.lit(0.5)).alias("median_span"), F.min("span").alias("least"), F.max("span").alias("most"))
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_nationkey < 5")
+def intervals_per_sample(spark, d):
+    counts = P.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return P.table(spark, d, "customer").where("c_nationkey < 5").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
+
+
+@query("SELECT r_name, n_name, count(*) AS samples FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def population_counts(spark, d):
+    joined = P.table(spark, d, "supplier").join(P.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(P.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("samples"))

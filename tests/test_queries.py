@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from locus import registry
@@ -21,7 +22,7 @@ def duck():
 def rows(frame):
     columns = sorted(frame.columns)
     kept = frame[columns].astype(object)
-    return columns, sorted(map(repr, (tuple(None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r) for r in kept.values.tolist())))
+    return columns, sorted(map(repr, (tuple(None if pd.isna(v) else float(v) if isinstance(v, (int, float)) or hasattr(v, "item") else v for v in r) for r in kept.values.tolist())))
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
