@@ -15,7 +15,8 @@ No box is tight in many dimensions once it holds unrelated points, so one tree
 over everything would compare everything.  Therefore the points are first dealt
 into cells, one for each shingle among a set's first |set| - ceil(.75 |set|) + 1,
 in one global order that puts frequent shingles last: two sets that link have a
-cell in common.  Equal sets are one point.  Each cell first tries its points
+cell in common.  How frequent a shingle is, a table of counts tells that all
+texts add to; it is of fixed size, so it mixes shingles up, but any order will do.  Equal sets are one point.  Each cell first tries its points
 against one of them (so that a crowd of near copies costs a pass, not a square);
 a cell all of whose points are then connected is done, the others go through
 their trees, large cells block against block in tasks of their own.
@@ -27,7 +28,6 @@ An empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +40,8 @@ from locus.llm.components import connected
 from locus.llm.storage import materialised
 from locus.llm.textops import Words, mix64, shingle_sets, slices
 
-#: At most so many shingles count as frequent; which ones do is a matter of speed, not of results.
-FREQUENT = 1 << 16
+#: Counters of the frequency table, and how many of them travel in a row.
+COUNTERS, STRIP = 1 << 20, 1 << 12
 #: Points of a leaf, children of an inner box, and points of a block of a large cell.
 LEAF, FAN, BLOCK = 32, 8, 1024
 
@@ -53,13 +53,14 @@ def digest(shingles: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def n_groups(n: int) -> int:
-    """Enough groups that unrelated sets of that size differ by more than the bound allows."""
-    return 1 << min(max(5, (n // 8).bit_length()), 10)
+    """Enough groups that sets which share little differ by more than the bound allows: two to four shingles a group."""
+    return 1 << min(max(5, (n // 2).bit_length()), 12)
 
 
 def count_vector(shingles: np.ndarray) -> bytes:
     groups = n_groups(len(shingles))
-    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16 if len(shingles) < 1 << 16 else np.uint32).tobytes()
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8 if counts.max() < 1 << 8 else np.uint32).tobytes()
 
 
 def vectors(points: list[bytes], n: np.ndarray) -> np.ndarray:
@@ -67,7 +68,7 @@ def vectors(points: list[bytes], n: np.ndarray) -> np.ndarray:
     groups = n_groups(int(n.min()))
     out = np.empty((len(points), groups), np.int32)
     for k, (p, size) in enumerate(zip(points, n, strict=True)):
-        out[k] = np.frombuffer(p, np.uint16 if size < 1 << 16 else np.uint32).reshape(-1, groups).sum(0)
+        out[k] = np.frombuffer(p, np.uint8 if len(p) == n_groups(int(size)) else np.uint32).reshape(-1, groups).sum(0)
     return out
 
 
@@ -79,8 +80,8 @@ def least_shared(na, nb):
 def possible(va: np.ndarray, na: np.ndarray, vb: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Whether two points, or two boxes (upper corners and smallest sizes), may hold a link."""
     out = np.zeros(len(na), bool)
-    for at in range(0, len(na), 4096):
-        part = slice(at, at + 4096)
+    for at in range(0, len(na), 512):
+        part = slice(at, at + 512)
         out[part] = np.minimum(va[part], vb[part]).sum(1) >= least_shared(na[part], nb[part])
     return out
 
@@ -124,31 +125,51 @@ class RTree:
 
 
 def sketches(docs: DataFrame, seed: int) -> DataFrame:
-    """A row for every document (kind 0: n, node, check, counts) and some for frequent shingles of each task (kind 1: node, n times)."""
+    """A row for every document (kind 0: n, node, check, counts), and each task's frequency table in strips (kind 1: node, counts)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[int] = Counter()
+        seen = np.zeros(COUNTERS, np.int64)
         for part in slices(batches):
             sets = shingle_sets(Words(part.column(1)))
             names = [digest(s, seed) for s in sets]
-            values, times = np.unique(np.concatenate(sets), return_counts=True)
-            often = times > max(3, len(sets) // 500)
-            seen.update(dict(zip(values[often].view(np.int64).tolist(), times[often].tolist(), strict=True)))
-            if len(seen) > FREQUENT:
-                seen = Counter(dict(seen.most_common(FREQUENT // 2)))
+            seen += np.bincount((np.concatenate(sets) >> np.uint64(32) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array([0] * len(sets), pa.int32()), "doc_id": part.column(0).cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([a for a, _ in names], pa.int64()), "check": pa.array([b for _, b in names], pa.int64()), "counts": pa.array([count_vector(s) for s in sets], pa.binary()),
             })
-        top = seen.most_common(FREQUENT // 16)
-        yield pa.RecordBatch.from_pydict({
-            "kind": pa.array([1] * len(top), pa.int32()), "doc_id": pa.array([None] * len(top), pa.int64()), "n": pa.array([c for _, c in top], pa.int64()),
-            "node": pa.array([k for k, _ in top], pa.int64()), "check": pa.array([None] * len(top), pa.int64()), "counts": pa.array([None] * len(top), pa.binary()),
-        })
+        if seen.any():
+            strips = range(0, COUNTERS, STRIP)
+            none = pa.array([None] * len(strips), pa.int64())
+            yield pa.RecordBatch.from_pydict({
+                "kind": pa.array([1] * len(strips), pa.int32()), "doc_id": none, "n": none, "node": pa.array(strips, pa.int64()), "check": none,
+                "counts": pa.array([seen[k : k + STRIP].astype(np.uint32).tobytes() for k in strips], pa.binary()),
+            })
 
     return docs.select("doc_id", "text").mapInArrow(made, "kind int, doc_id long, n long, node long, `check` long, counts binary")
 
 
+def frequency_table(strips: DataFrame) -> np.ndarray:
+    """Which counters stand out from what shingles at random would add to them.  The table's fixed size is all that reaches the driver."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sorted by strip: one running sum at a time.
+        at, total = None, None
+        for batch in batches:
+            for node, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if node != at:
+                    if total is not None:
+                        yield pa.RecordBatch.from_pydict({"node": [at], "counts": [total.tobytes()]})
+                    at, total = node, np.zeros(STRIP, np.int64)
+                total += np.frombuffer(counts, np.uint32)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"node": [at], "counts": [total.tobytes()]})
+
+    table = np.zeros(COUNTERS, np.int64)
+    for row in strips.repartition("node").sortWithinPartitions("node").mapInArrow(summed, "node long, counts binary").collect():
+        table[row.node : row.node + STRIP] = np.frombuffer(row.counts, np.int64)
+    return table > table.mean() + 4 * np.sqrt(table.mean()) + 4
+
+
 def cells(docs: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
     """key, node, pivot: every cell of two points or more, with its points and the first of them."""
 
@@ -159,12 +180,8 @@ def cells(docs: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
                 if not len(s):
                     continue
                 first = len(s) - -(-3 * len(s) // 4) + 1
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    common = frequent[at] == s
-                    take = np.concatenate((s[~common], s[common]))[:first]
-                else:
-                    take = s[:first]
+                common = frequent[(s >> np.uint64(32) & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                take = np.concatenate((s[~common], s[common]))[:first]
                 keys.append(take)
                 nodes.append(digest(s, seed)[0])
                 sizes.append(first)
@@ -214,11 +231,15 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 na, nb = part.column(2).to_numpy(), part.column(4).to_numpy()
-                rows = vectors(part.column(3).to_pylist() + part.column(5).to_pylist(), np.concatenate((na, nb)))
-                fine = possible(rows[: len(na)], na, rows[len(na) :], nb)
+                ca, cb = part.column(3).to_pylist(), part.column(5).to_pylist()
+                fine, width = np.zeros(len(na), bool), np.array([n_groups(int(x)) for x in np.minimum(na, nb)])
+                for w in np.unique(width):  # pairs of one resolution at a time
+                    at_w = np.flatnonzero(width == w)
+                    rows = vectors([ca[k] for k in at_w] + [cb[k] for k in at_w], np.concatenate((na[at_w], nb[at_w])))
+                    fine[at_w] = possible(rows[: len(at_w)], na[at_w], rows[len(at_w) :], nb[at_w])
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(fine)), part.column(1).filter(pa.array(fine))], ["a", "b"])
 
     joined = pairs.join(a, "a").join(b, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
@@ -259,39 +280,49 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, seed: int) ->
 
 
 def tree_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that the trees of the cells leave; mixed: key, size, node, n, counts, class."""
+    """Pairs (a, b) of different classes that the trees of the cells leave; mixed: key, size, node, n, counts, class.
+
+    A cell has a tree for every two neighbouring size bands (each a third wider
+    than the one before), as sets of other bands cannot link; so the points of a
+    tree are counted in much the same groups.
+    """
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     dealt = (
         mixed.withColumn("blocks", blocks)
         .withColumn("own", own)
+        .withColumn("band", F.explode(F.array(band - 1, band)))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "counts", "class")
+        .select("key", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "counts", "class")
     )
 
     def searched(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n, node = table["n"].to_numpy(), table["node"].to_numpy()
-        tree = RTree(vectors(table["counts"].to_pylist(), n), n, table["class"].to_numpy())
+        classes = table["class"].to_numpy()
+        if (classes == classes[0]).all():
+            return
+        tree = RTree(vectors(table["counts"].to_pylist(), n), n, classes)
         low, high, own = table["low"][0].as_py(), table["high"][0].as_py(), table["own"].to_numpy()
         i, j = tree.pairs(own == low if low != high else None)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by key, low and high: a group ends where they change.
+        # Sorted by key, band, low and high: a group ends where they change.
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            names = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            names = np.stack([batch.column(c).to_numpy() for c in range(4)])
             cut = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1
             for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
                 piece = batch.slice(a, b - a)
-                if held and not all(held[-1].column(c)[0].equals(piece.column(c)[0]) for c in range(3)):
+                if held and not all(held[-1].column(c)[0].equals(piece.column(c)[0]) for c in range(4)):
                     yield from searched(pa.Table.from_batches(held))
                     held = []
                 held.append(piece)
         if held:
             yield from searched(pa.Table.from_batches(held))
 
-    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(grouped, "a long, b long").distinct()
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "band", "low", "high").mapInArrow(grouped, "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -306,9 +337,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         if not points.where("clash").limit(1).count():
             break
         seed += 1  # two sets with one 64-bit name: take other names
-    # At most FREQUENT numbers reach the driver.
-    often = rows.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).collect()
-    frequent = np.sort(np.array([r.node for r in often], np.int64).view(np.uint64))
+    frequent = frequency_table(rows.where("kind = 1").select("node", "counts"))
     found = materialised(cells(docs, frequent, seed))
     # Equal sets differ in nothing; only pairs of points matter from here on.
     star = found.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -319,7 +348,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     mixed = spread.join(by_key, "key").join(points.select("node", "n", "counts"), "node")
     more = materialised(tree_pairs(mixed))
     rest = more.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links = links.unionByName(materialised(verified(rest, points, docs, seed)))
+    links = links.unionByName(materialised(verified(materialised(bounded(rest, points)), points, docs, seed)))
     classes = connected(links)
     whole = points.select("node", "row").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = whole.groupBy("class").agg(F.min("row").alias("component_id"))
