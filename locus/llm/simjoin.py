@@ -18,8 +18,10 @@ in one global order that puts frequent shingles last: two sets that link have a
 cell in common.  How frequent a shingle is, a table of counts tells that all
 texts add to; it is of fixed size, so it mixes shingles up, but any order will do.  Equal sets are one point.  Each cell first tries its points
 against one of them (so that a crowd of near copies costs a pass, not a square);
-a cell all of whose points are then connected is done, the others go through
-their trees, large cells block against block in tasks of their own.
+a cell all of whose points are then connected is done.  Of the others, one of no
+more than a leaf's points is a leaf, and the pairs of all leaves meet the bound
+together, each once; larger cells go through their trees, very large ones block
+against block in tasks of their own.
 
 Repeated rows belong to one class.  A null text has an empty set.  Rows with a
 null doc_id take part; they never name a class that has a document with an id.
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locus.llm.components import connected
@@ -43,7 +45,7 @@ from locus.llm.textops import Words, mix64, shingle_sets, slices
 #: Counters of the frequency table, and how many of them travel in a row.
 COUNTERS, STRIP = 1 << 20, 1 << 12
 #: Points of a leaf, children of an inner box, and points of a block of a large cell.
-LEAF, FAN, BLOCK = 32, 8, 1024
+LEAF, FAN, BLOCK = 16, 8, 1024
 
 
 def digest(shingles: np.ndarray, seed: int) -> tuple[int, int]:
@@ -246,9 +248,8 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "ca", "nb", "cb").mapInArrow(left, "a long, b long")
 
 
-def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets link."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(points.select("node", "row"), "node")
+def texts_of(points: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+    """node, text for each point (node, row)."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A doc_id may name several rows; the point's text is the one with its name.
@@ -256,8 +257,12 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, seed: int) ->
             named = [digest(s, seed)[0] if len(s) else None for s in shingle_sets(Words(part.column(1)))]
             yield part.filter(pc.equal(part.column(0), pa.array(named, pa.int64())))
 
-    held = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("row"))).select("node", "text")
-    texts = materialised(held.mapInArrow(own, "node long, text string"))
+    held = docs.select("doc_id", "text").join(points.select("node", "row"), F.col("doc_id").eqNullSafe(F.col("row"))).select("node", "text")
+    return held.mapInArrow(own, "node long, text string")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts' sets link."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
@@ -279,8 +284,37 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, seed: int) ->
     return joined.select("a", "b", "ta", "tb").mapInArrow(linked, "a long, b long")
 
 
+def leaves_and_rest(spread: DataFrame) -> DataFrame:
+    """spread (key, node, class) sorted out: of cells with several classes, those of a leaf's size give their pairs of different classes (a, b; key null), larger ones their rows (a: node, b: class, key, size)."""
+    cell = Window.partitionBy("key")
+    mixed = spread.select("key", "node", "class", F.count("*").over(cell).alias("size"), F.min("class").over(cell).alias("low"), F.max("class").over(cell).alias("high")).where("low < high")
+
+    def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Cells lie together; as many rows as a leaf has are looked at again with the next batch.
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            key, node, group, size = (batch.column(k).to_numpy() for k in range(4))
+            big = size > LEAF
+            if big.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[big]) for x in (node, group, key, size)], ["a", "b", "key", "size"])
+            old = len(held[0])
+            key, node, group = (np.concatenate((h, x[~big])) for h, x in zip(held, (key, node, group), strict=True))
+            a, b = [], []
+            for d in range(1, LEAF):
+                j = np.arange(max(old, d), len(key))
+                j = j[(key[j] == key[j - d]) & (group[j] != group[j - d])]
+                a.append(np.minimum(node[j], node[j - d]))
+                b.append(np.maximum(node[j], node[j - d]))
+            pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none], ["a", "b", "key", "size"])
+            held = [x[-LEAF + 1 :] for x in (key, node, group)]
+
+    return mixed.select("key", "node", "class", "size").mapInArrow(sorted_out, "a long, b long, key long, size long")
+
+
 def tree_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that the trees of the cells leave; mixed: key, size, node, n, counts, class.
+    """Pairs (a, b) of different classes that the trees of large cells leave; mixed: key, size, node, n, counts, class.
 
     A cell has a tree for every two neighbouring size bands (each a third wider
     than the one before), as sets of other bands cannot link; so the points of a
@@ -341,14 +375,16 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     found = materialised(cells(docs, frequent, seed))
     # Equal sets differ in nothing; only pairs of points matter from here on.
     star = found.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = materialised(verified(materialised(bounded(star, points)), points, docs, seed))
-    classes = connected(links)
-    spread = found.select("key", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    by_key = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", "size")
-    mixed = spread.join(by_key, "key").join(points.select("node", "n", "counts"), "node")
-    more = materialised(tree_pairs(mixed))
-    rest = more.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links = links.unionByName(materialised(verified(materialised(bounded(rest, points)), points, docs, seed)))
+    tried = materialised(bounded(star, points))
+    texts = materialised(texts_of(found.select("node").distinct().join(points.select("node", "row"), "node"), docs, seed))
+    links = materialised(verified(tried, texts))
+    spread = found.select("key", "node").join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rest = materialised(leaves_and_rest(spread))
+    large = rest.where("key is not null").select("key", "size", F.col("a").alias("node"), F.col("b").alias("class")).join(points.select("node", "n", "counts"), "node")
+    pairs = rest.where("key is null").select("a", "b").unionByName(tree_pairs(large)).distinct()
+    # A pivot is the least point of its cell, so pairs tried before have their ends the other way round.
+    untried = materialised(bounded(pairs, points)).join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    links = links.unionByName(materialised(verified(untried, texts)))
     classes = connected(links)
     whole = points.select("node", "row").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = whole.groupBy("class").agg(F.min("row").alias("component_id"))
