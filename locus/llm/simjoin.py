@@ -17,11 +17,12 @@ into cells, one for each shingle among a set's first |set| - ceil(.75 |set|) + 1
 in one global order that puts frequent shingles last: two sets that link have a
 cell in common.  How frequent a shingle is, a table of counts tells that all
 texts add to; it is of fixed size, so it mixes shingles up, but any order will do.  Equal sets are one point.  Each cell first tries its points
-against one of them (so that a crowd of near copies costs a pass, not a square);
-a cell all of whose points are then connected is done.  Of the others, one of no
-more than a leaf's points is a leaf, and the pairs of all leaves meet the bound
-together, each once; larger cells go through their trees, very large ones block
-against block in tasks of their own.
+against the least of them (so that a crowd of near copies costs a pass, not a
+square).  Cells with the same least point are then taken together; such a group is
+done if all its points are connected by now.  Of the others, one of no more than a
+leaf's points is a leaf, and the pairs of all leaves meet the bound together, each
+once; larger groups go through their trees, very large ones block against block
+in tasks of their own.
 
 Repeated rows belong to one class.  A null text has an empty set.  Rows with a
 null doc_id take part; they never name a class that has a document with an id.
@@ -79,12 +80,12 @@ def least_shared(na, nb):
     return -(-(75 * (na + nb)) // 175)
 
 
-def possible(va: np.ndarray, na: np.ndarray, vb: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether two points, or two boxes (upper corners and smallest sizes), may hold a link."""
-    out = np.zeros(len(na), bool)
-    for at in range(0, len(na), 512):
-        part = slice(at, at + 512)
-        out[part] = np.minimum(va[part], vb[part]).sum(1) >= least_shared(na[part], nb[part])
+def possible(v: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the points, or boxes (upper corners and smallest sizes), a and b of a table may hold a link."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 512):
+        i, j = a[at : at + 512], b[at : at + 512]
+        out[at : at + 512] = np.minimum(v[i], v[j]).sum(1) >= least_shared(n[i], n[j])
     return out
 
 
@@ -115,7 +116,7 @@ class RTree:
             a, b = a[fine], b[fine]
             fine = ((g0[a] != g1[b]) | (g1[a] != g0[b]) | (g0[a] != g1[a])) & (4 * high[a] >= 3 * low[b]) & (4 * high[b] >= 3 * low[a])
             a, b = a[fine], b[fine]
-            fine = possible(up[a], low[a], up[b], low[b]) if len(a) else np.zeros(0, bool)
+            fine = possible(up, low, a, b)
             i, j = a[fine], b[fine]
         if len(self.levels) == 1:
             i = j = np.zeros(0, np.int64)
@@ -240,8 +241,9 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
                 fine, width = np.zeros(len(na), bool), np.array([n_groups(int(x)) for x in np.minimum(na, nb)])
                 for w in np.unique(width):  # pairs of one resolution at a time
                     at_w = np.flatnonzero(width == w)
-                    rows = vectors([ca[k] for k in at_w] + [cb[k] for k in at_w], np.concatenate((na[at_w], nb[at_w])))
-                    fine[at_w] = possible(rows[: len(at_w)], na[at_w], rows[len(at_w) :], nb[at_w])
+                    sizes, here = np.concatenate((na[at_w], nb[at_w])), np.arange(len(at_w))
+                    rows = vectors([ca[k] for k in at_w] + [cb[k] for k in at_w], sizes)
+                    fine[at_w] = possible(rows, sizes, here, here + len(at_w))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(fine)), part.column(1).filter(pa.array(fine))], ["a", "b"])
 
     joined = pairs.join(a, "a").join(b, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
@@ -285,12 +287,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def leaves_and_rest(spread: DataFrame) -> DataFrame:
-    """spread (key, node, class) sorted out: of cells with several classes, those of a leaf's size give their pairs of different classes (a, b; key null), larger ones their rows (a: node, b: class, key, size)."""
+    """spread (key, node, class) sorted out: of groups with several classes, those of a leaf's size give their pairs of different classes (a, b; key null), larger ones their rows (a: node, b: class, key, size)."""
     cell = Window.partitionBy("key")
     mixed = spread.select("key", "node", "class", F.count("*").over(cell).alias("size"), F.min("class").over(cell).alias("low"), F.max("class").over(cell).alias("high")).where("low < high")
 
     def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Cells lie together; as many rows as a leaf has are looked at again with the next batch.
+        # Groups lie together; as many rows as a leaf has are looked at again with the next batch.
         held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             key, node, group, size = (batch.column(k).to_numpy() for k in range(4))
@@ -372,13 +374,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
             break
         seed += 1  # two sets with one 64-bit name: take other names
     frequent = frequency_table(rows.where("kind = 1").select("node", "counts"))
-    found = materialised(cells(docs, frequent, seed))
-    # Equal sets differ in nothing; only pairs of points matter from here on.
-    star = found.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    tried = materialised(bounded(star, points))
-    texts = materialised(texts_of(found.select("node").distinct().join(points.select("node", "row"), "node"), docs, seed))
+    # Cells with the same first point mostly hold the same points: together they are one group, and no pair is met in each of them again.
+    groups = materialised(cells(docs, frequent, seed).select(F.col("pivot").alias("key"), "node").distinct())
+    tried = materialised(bounded(groups.where("node <> key").select(F.col("node").alias("a"), F.col("key").alias("b")), points))
+    texts = materialised(texts_of(groups.select("node").distinct().join(points.select("node", "row"), "node"), docs, seed))
     links = materialised(verified(tried, texts))
-    spread = found.select("key", "node").join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    spread = groups.join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
     rest = materialised(leaves_and_rest(spread))
     large = rest.where("key is not null").select("key", "size", F.col("a").alias("node"), F.col("b").alias("class")).join(points.select("node", "n", "counts"), "node")
     pairs = rest.where("key is null").select("a", "b").unionByName(tree_pairs(large)).distinct()
