@@ -21,8 +21,9 @@ against the least of them (so that a crowd of near copies costs a pass, not a
 square).  Cells with the same least point are then taken together; such a group is
 done if all its points are connected by now.  Of the others, one of no more than a
 leaf's points is a leaf, and the pairs of all leaves meet the bound together, each
-once; larger groups go through their trees, very large ones block against block
-in tasks of their own.
+once.  Larger groups try their points against the middle one of each block, and
+what is still apart goes through their trees, very large ones block against
+block in tasks of their own.
 
 Repeated rows belong to one class.  A null text has an empty set.  Rows with a
 null doc_id take part; they never name a class that has a document with an id.
@@ -31,7 +32,7 @@ An empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,8 @@ def digest(shingles: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def n_groups(n: int) -> int:
-    """Enough groups that sets which share little differ by more than the bound allows: two to four shingles a group."""
-    return 1 << min(max(5, (n // 2).bit_length()), 12)
+    """Enough groups that sets which share little differ by more than the bound allows: at most one shingle a group, up to 4096 groups."""
+    return 1 << min(max(5, n.bit_length()), 12)
 
 
 def count_vector(shingles: np.ndarray) -> bytes:
@@ -315,32 +316,31 @@ def leaves_and_rest(spread: DataFrame) -> DataFrame:
     return mixed.select("key", "node", "class", "size").mapInArrow(sorted_out, "a long, b long, key long, size long")
 
 
-def tree_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that the trees of large cells leave; mixed: key, size, node, n, counts, class.
+def dealt(mixed: DataFrame, across: bool) -> DataFrame:
+    """The rows of large cells for each task's group (key, band, low, high): two neighbouring size bands of one block, or across blocks of two.
 
-    A cell has a tree for every two neighbouring size bands (each a third wider
-    than the one before), as sets of other bands cannot link; so the points of a
-    tree are counted in much the same groups.
+    A size band is a third wider than the one before; sets of other bands cannot
+    link, and the points of a group are counted in much the same groups.
     """
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
-    dealt = (
-        mixed.withColumn("blocks", blocks)
-        .withColumn("own", own)
+    rows = (
+        mixed.withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("band", F.explode(F.array(band - 1, band)))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if across else F.col("own"))
         .select("key", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "counts", "class")
     )
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "band", "low", "high")
+
+
+def searched_in(groups: DataFrame, search: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that search finds in the groups that dealt() has made, those of one class left out."""
 
-    def searched(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        n, node = table["n"].to_numpy(), table["node"].to_numpy()
-        classes = table["class"].to_numpy()
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        classes, node = table["class"].to_numpy(), table["node"].to_numpy()
         if (classes == classes[0]).all():
             return
-        tree = RTree(vectors(table["counts"].to_pylist(), n), n, classes)
-        low, high, own = table["low"][0].as_py(), table["high"][0].as_py(), table["own"].to_numpy()
-        i, j = tree.pairs(own == low if low != high else None)
+        i, j = search(table, classes)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,13 +352,44 @@ def tree_pairs(mixed: DataFrame) -> DataFrame:
             for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
                 piece = batch.slice(a, b - a)
                 if held and not all(held[-1].column(c)[0].equals(piece.column(c)[0]) for c in range(4)):
-                    yield from searched(pa.Table.from_batches(held))
+                    yield from found(pa.Table.from_batches(held))
                     held = []
                 held.append(piece)
         if held:
-            yield from searched(pa.Table.from_batches(held))
+            yield from found(pa.Table.from_batches(held))
+
+    return groups.mapInArrow(grouped, "a long, b long").distinct()
+
+
+def star_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs of each point of a block of a large cell with the block's middle point, the one nearest to the median counts.
+
+    Copies of one text link to it more often than to each other, so what they are
+    copies of, or the copy nearest to that, connects most of a crowd in one pass.
+    """
 
-    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "band", "low", "high").mapInArrow(grouped, "a long, b long").distinct()
+    def search(table: pa.Table, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = table["n"].to_numpy()
+        v = vectors(table["counts"].to_pylist(), n)
+        middle = np.median(v, axis=0)
+        shared = np.minimum(v, middle).sum(1)
+        at = int(np.argmax(shared / (n + middle.sum() - shared)))
+        i = np.flatnonzero(classes != classes[at])
+        i = i[possible(v, n, i, np.full(len(i), at))]
+        return i, np.full(len(i), at)
+
+    return searched_in(dealt(mixed, across=False), search)
+
+
+def tree_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that the trees of large cells leave; mixed: key, size, node, n, counts, class."""
+
+    def search(table: pa.Table, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, low, high = table["n"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
+        tree = RTree(vectors(table["counts"].to_pylist(), n), n, classes)
+        return tree.pairs(table["own"].to_numpy() == low if low != high else None)
+
+    return searched_in(dealt(mixed, across=True), search)
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -381,11 +412,17 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     links = materialised(verified(tried, texts))
     spread = groups.join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
     rest = materialised(leaves_and_rest(spread))
-    large = rest.where("key is not null").select("key", "size", F.col("a").alias("node"), F.col("b").alias("class")).join(points.select("node", "n", "counts"), "node")
-    pairs = rest.where("key is null").select("a", "b").unionByName(tree_pairs(large)).distinct()
+    large = materialised(rest.where("key is not null").select("key", "size", F.col("a").alias("node"), F.col("b").alias("class")).join(points.select("node", "n", "counts"), "node"))
     # A pivot is the least point of its cell, so pairs tried before have their ends the other way round.
-    untried = materialised(bounded(pairs, points)).join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links = links.unionByName(materialised(verified(untried, texts)))
+    tried = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    stars = materialised(star_pairs(large).join(tried, ["a", "b"], "left_anti"))
+    star_links = materialised(verified(stars, texts))
+    class_of = large.select("node", "class").distinct()
+    joined = star_links.join(class_of.toDF("a", "class_a"), "a").join(class_of.toDF("b", "class_b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    large = large.join(connected(joined).toDF("class", "over"), "class", "left").withColumn("class", F.coalesce("over", "class")).drop("over")
+    pairs = rest.where("key is null").select("a", "b").unionByName(tree_pairs(large)).distinct()
+    untried = materialised(bounded(pairs, points)).join(tried.unionByName(stars), ["a", "b"], "left_anti")
+    links = links.unionByName(star_links).unionByName(materialised(verified(untried, texts)))
     classes = connected(links)
     whole = points.select("node", "row").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = whole.groupBy("class").agg(F.min("row").alias("component_id"))

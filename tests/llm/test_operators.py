@@ -91,6 +91,20 @@ def test_join_trees_lose_no_pair(spark):
     assert got == brute_classes(rows)
 
 
+def test_join_crowd_of_copies(spark):
+    # Copies that are nearer to their source than to each other, some of them too far from it.
+    rng = random.Random(11)
+    base, rows = [f"w{k}" for k in range(90)], {}
+    for k in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(90)] = f"v{rng.randrange(400)}"
+        rows[k] = " ".join(copy)
+    frame = spark.createDataFrame([(k, t) for k, t in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.jaccard_classes(frame).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_tree_bound_and_blocks():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 400, 120, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(90)]
