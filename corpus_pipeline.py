@@ -21,10 +21,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows without an id go only if their group has one."""
-    classes = simjoin.jaccard_classes(docs)
-    firsts = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    kept = docs.join(firsts.select(F.col("doc_id").alias("first_id")), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    """Of each group of near duplicates one document stays, that with the smallest id (without ids, or of several with that id: with the smallest text hash); texts without words are in no group and go only as repeated rows."""
+    text_key = F.xxhash64("text")
+    classes = simjoin.jaccard_classes(docs.select("doc_id", "text", text_key.alias("text_key")), keep=("text_key",))
+    # A row is known by its id and its text's hash: an id may name rows of several classes, or be missing.
+    wordless = F.when(F.col("class").isNull(), F.col("text_key")).alias("wordless")
+    firsts = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class", "doc_id", wordless).agg(F.min("text_key").alias("first_key"), F.count("*").alias("count"))
+    first = firsts.select(F.col("doc_id").alias("first_id"), "first_key")
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key == F.col("first_key")), "left_semi")
     # Ids that name several rows are rare; only then are whole rows compared.
     return kept.dropDuplicates(["doc_id", "text"]) if firsts.where("count > 1").limit(1).count() else kept
 

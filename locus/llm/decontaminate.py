@@ -87,6 +87,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> Dat
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """docs without those that contain an item."""
-    dirty = contained(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
+    """docs without the rows that contain an item; rows of one doc_id, or without one, are judged each by its own text."""
+    digest = F.sha2("text", 256)
+    dirty = contained(docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text"), items, threshold).select(F.col("doc_id.doc_id").alias("dirty_id"), F.col("doc_id.digest").alias("dirty_digest")).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["dirty_id"]) & (digest == dirty["dirty_digest"]), "left_anti")

@@ -39,6 +39,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from locus.llm.components import connected
 from locus.llm.storage import materialised
@@ -128,8 +130,10 @@ class RTree:
         return i, j
 
 
-def sketches(docs: DataFrame, seed: int) -> DataFrame:
-    """A row for every document (kind 0: n, node, check, counts), and each task's frequency table in strips (kind 1: node, counts)."""
+def sketches(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for every document (kind 0: n, node, check, counts, the columns keep), and each task's frequency table in strips (kind 1: node, counts)."""
+    kept = docs.select("doc_id", "text", *keep).schema[2:]
+    kept_types = [to_arrow_type(f.dataType) for f in kept]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, np.int64)
@@ -140,16 +144,19 @@ def sketches(docs: DataFrame, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array([0] * len(sets), pa.int32()), "doc_id": part.column(0).cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([a for a, _ in names], pa.int64()), "check": pa.array([b for _, b in names], pa.int64()), "counts": pa.array([count_vector(s) for s in sets], pa.binary()),
+                **{c: part.column(2 + k) for k, c in enumerate(keep)},
             })
         if seen.any():
             strips = range(0, COUNTERS, STRIP)
             none = pa.array([None] * len(strips), pa.int64())
+            blank = {c: pa.nulls(len(strips), t) for c, t in zip(keep, kept_types, strict=True)}
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array([1] * len(strips), pa.int32()), "doc_id": none, "n": none, "node": pa.array(strips, pa.int64()), "check": none,
-                "counts": pa.array([seen[k : k + STRIP].astype(np.uint32).tobytes() for k in strips], pa.binary()),
+                "counts": pa.array([seen[k : k + STRIP].astype(np.uint32).tobytes() for k in strips], pa.binary()), **blank,
             })
 
-    return docs.select("doc_id", "text").mapInArrow(made, "kind int, doc_id long, n long, node long, `check` long, counts binary")
+    schema = T.StructType.fromDDL("kind int, doc_id long, n long, node long, `check` long, counts binary")
+    return docs.select("doc_id", "text", *keep).mapInArrow(made, T.StructType([*schema, *(T.StructField(f.name, f.dataType) for f in kept)]))
 
 
 def frequency_table(strips: DataFrame) -> np.ndarray:
@@ -392,11 +399,11 @@ def tree_pairs(mixed: DataFrame) -> DataFrame:
     return searched_in(dealt(mixed, across=True), search)
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+def jaccard_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; with keep, these columns too, and class: a number of its own for each class, with ids or without (null: an empty set, in no class)."""
     spark, seed = docs.sparkSession, 0
     while True:
-        rows = materialised(sketches(docs, seed))
+        rows = materialised(sketches(docs, seed, keep))
         named = rows.where("kind = 0 and n > 0")
         points = materialised(
             named.groupBy("node").agg(F.min("doc_id").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts"), (F.max("check") != F.min("check")).alias("clash"))
@@ -426,10 +433,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     classes = connected(links)
     whole = points.select("node", "row").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = whole.groupBy("class").agg(F.min("row").alias("component_id"))
-    named_by = whole.join(least, "class").select("node", "component_id")
+    named_by = whole.join(least, "class").select("node", "component_id", *(["class"] if keep else []))
     return (
         rows.where("kind = 0")
         .withColumn("node", F.when(F.col("n") > 0, F.col("node")))
         .join(named_by, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *((*keep, "class") if keep else ()))
     )

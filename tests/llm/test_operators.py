@@ -251,6 +251,14 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contained(empty, listed).count() == 0 and decontaminate.contained(frame, listed.limit(0)).count() == 0
 
 
+def test_decontamination_cleans_rows_not_ids(spark):
+    leak = "what is the capital of the country that has two rivers"
+    rows = [(None, leak), (None, "a clean text without an id"), (7, "so: " + leak), (7, "a clean text of a shared id"), (8, None), (None, None), (9, leak.upper())]
+    listed = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    got = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), listed).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]]))
+
+
 def test_decontamination_beyond_the_plan(spark, docs, monkeypatch):
     rows, frame = docs
     listed = spark.createDataFrame([(k, t) for k, t in rows.items() if t and len(t) < 300], "item_id long, text string")

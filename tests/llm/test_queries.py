@@ -99,6 +99,16 @@ def test_dedup_stage_with_repeated_rows_and_ids(spark):
     assert got == [(5, long), (7, "-"), (8, ""), (9, "only this")]
 
 
+def test_dedup_stage_judges_rows_without_ids_or_with_repeated_ids(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(3, one), (5, two), (5, one + " more"), (None, one + " end"), (None, three), (None, three + " more"), (None, three), (None, ""), (None, None), (None, None), (6, two + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.dedup_stage(spark, docs, FOLDER).collect()]
+    alone = [r for r in got if r[0] is None and r[1]]
+    assert len(alone) == 1 and alone[0][1].startswith(three)
+    assert sorted(map(str, set(got) - set(alone))) == sorted(map(str, [(3, one), (5, two), (None, ""), (None, None)])) and len(got) == 5
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names and len([n for n in names if re.match(r"op\d+_", n)]) == 10
