@@ -6,7 +6,8 @@ transducers over the text: look-alike letters become ASCII, invisible characters
 vanish, spelled digits become digits and at/dot disguises become signs.  Every
 normalised character remembers the source range that it came from, so what the
 detectors find in the normalised text maps back to source offsets.  A span found
-only there is added if it overlaps no base span.
+there is added unless one base span covers it: the plain pass often sees but a
+fragment of a disguised identifier.  Overlapping spans are masked as one.
 
 Offsets are code points, ends are exclusive.  A null text counts as empty and
 yields no span.  Matching is linear in the text.  Repeated rows are judged alike.
@@ -172,13 +173,12 @@ def find_all(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     plain, starts, ends = normalise(text)
     if starts is None:
         return base, base
-    taken = sorted(s for spans in base.values() for s in spans)
+    taken = [s for spans in base.values() for s in spans]
     both = {k: list(v) for k, v in base.items()}
     for kind, spans in find(plain).items():
         for a, b in spans:
             start, end = starts[a], ends[b - 1]
-            # Among the taken spans, ends needn't rise with starts; they are few.
-            if not any(s < end and start < e for s, e in taken):
+            if not any(s <= start and end <= e for s, e in taken):
                 both[kind].append((start, end))
     return base, {k: sorted(v) for k, v in both.items()}
 

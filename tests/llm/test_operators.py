@@ -222,6 +222,16 @@ def test_pii_disguises():
         assert not any(pii.find_all(plain)[1].values()) and pii.mask_text(plain) == plain
 
 
+def test_pii_disguises_of_which_the_plain_pass_sees_a_part():
+    for text, kind in (("jоhn@example.com", "email"), ("john@example.cоm", "email"), ("+44 20 7946 0９58", "phone"), ("j\u200bohn@example.com", "email"), ("+44 20 7946 0９58 and jоhn@example.com", "phone")):
+        base, spans = pii.find_all(text)
+        whole = text.split(" and ")[0]
+        assert (0, len(whole)) in spans[kind] and (0, len(whole)) not in base[kind]
+        assert all(set(base[k]) <= set(spans[k]) for k in pii.KINDS)
+        assert pii.mask_text(text) == f"<{kind.upper()}>" + (" and <EMAIL>" if " and " in text else "")
+    assert pii.find_all("john@example.com jоe")[1]["email"] == [(0, 16)]
+
+
 def test_pii_mask_keeps_rows(spark, empty):
     frame = spark.createDataFrame([(1, None, "k"), (2, "a@b.cd", "k"), (2, "a@b.cd", "k")], "doc_id long, text string, more string")
     assert sorted(map(str, pii.mask(frame).collect())) == sorted(map(str, spark.createDataFrame([(1, None, "k"), (2, "<EMAIL>", "k"), (2, "<EMAIL>", "k")], frame.schema).collect()))
