@@ -3,7 +3,10 @@
 Two passes over every whole text.  The base pass finds plain e-mail addresses,
 IP addresses, payment cards and phone numbers.  The second pass runs a chain of
 transducers over the text: look-alike letters become ASCII, invisible characters
-vanish, spelled digits become digits and at/dot disguises become signs.  Every
+vanish, spelled digits become digits and at/dot disguises become signs.  Digit
+words are read in two ways, runs of five or more as one number and any that
+touch other digits in place, and the detectors look at every reading.  A digit
+word of prose right after an identifier may be taken for its end.  Every
 normalised character remembers the source range that it came from, so what the
 detectors find in the normalised text maps back to source offsets.  A span found
 there is added unless one base span covers it: the plain pass often sees but a
@@ -93,14 +96,21 @@ _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _ODD = re.compile(f"[{''.join(map(re.escape, _LOOKALIKES))}{_INVISIBLE}\uff01-\uff5e\U0001d400-\U0001d7ff\u0660-\u0669]")
 _DIGIT_WORD = "|".join(_SPELLED)
-# At least five digits in words or signs, the first of them in a word or after "plus"; shorter runs are ordinary prose.
+# One number: at least five digits in words or signs, the first of them in a word or after "plus".
 _DIGIT_RUN = re.compile(rf"\b(?:plus[ -]+)?(?:{_DIGIT_WORD})\b(?:[ ,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9]+|dot|point)\b){{4,}}", re.I)
+# Digits and digit words in place, of any length: the detectors' checks tell them from prose.
+_MIXED_RUN = re.compile(rf"\b(?:plus[ -]{{1,2}})?(?:{_DIGIT_WORD}|[0-9]++)\b(?:[ ,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9]++|dot|point)\b)+", re.I)
 _DIGIT_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[ ,.-]+")
 _AT = r"(?:[ ]*[\[({<][ ]*(?:at|@)[ ]*[\])}>][ ]*)"
 _DOT = r"(?:[ ]*[\[({<][ ]*(?:dot|\.)[ ]*[\])}>][ ]*)"
-_DISGUISE = re.compile(rf"{_AT}|{_DOT}|(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]{{1,63}}(?: dot [A-Za-z0-9-]{{1,63}})+)|(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
+_LABEL = "[A-Za-z0-9-]{1,63}"
+_DISGUISE = re.compile(rf"{_AT}|{_DOT}|(?<=[A-Za-z0-9]) at (?={_LABEL}(?:\.{_LABEL}){{0,8}}(?: dot |{_DOT}){_LABEL})|(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
+# " at " before a dotted domain, where what stands before looks like a mailbox and no word: parts joined by signs, one of them longer than a letter, or two digits at the end.
+_MAILBOX_AT = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._+]{{0,62}}[A-Za-z0-9]{{2}})[A-Za-z](?:[A-Za-z0-9]{{0,40}}(?:[._+][A-Za-z0-9]{{1,40}}){{1,5}}|[A-Za-z]{{1,40}}[0-9]{{2,9}})(?P<at> at )(?={_LABEL}(?:\.{_LABEL}){{0,8}}\.(?:[a-z]{{2,63}}|[A-Z]{{2,63}})\b)"
+)
 _HINT = re.compile(r"[\[({<] *(?:at|dot|[@.]) *[\])}>]| dot ", re.I)
-_NUMBER_HINT = re.compile(rf"\b(?:{_DIGIT_WORD})[ ,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])", re.I)
+_NUMBER_HINT = re.compile(rf"\b(?:{_DIGIT_WORD})[ ,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])|[0-9][ ,.-]{{1,2}}(?:{_DIGIT_WORD})\b|\b(?:{_DIGIT_WORD}) (?:dot|point) [0-9]|[0-9] (?:dot|point) (?:{_DIGIT_WORD})\b", re.I)
 
 #: A text with the source range [start, end) of each character; None: unchanged so far.
 Traced = tuple[str, list[int] | None, list[int] | None]
@@ -151,36 +161,81 @@ def _digit_run(m: re.Match) -> list[tuple[str, int, int]]:
     return out
 
 
+def _mixed_run(m: re.Match) -> list[tuple[str, int, int]]:
+    """Digit words in place: digits stay as written, a separator beside a word becomes one that the detectors know, between two words it goes unless it is a dot."""
+    tokens = [(t[0].lower(), m.start() + t.start(), m.start() + t.end()) for t in _DIGIT_TOKEN.finditer(m[0])]
+    if not any(t in _SPELLED for t, _, _ in tokens):
+        return [(c, m.start() + k, m.start() + k + 1) for k, c in enumerate(m[0])]
+    out = []
+    for k, (t, a, b) in enumerate(tokens):
+        if t in _SPELLED:
+            out.append((_SPELLED[t], a, b))
+        elif t in ("dot", "point"):
+            out.append((".", a, b))
+        elif t == "plus":
+            out.append(("+", a, b))
+        elif t.isdigit():
+            out += [(c, a + i, a + i + 1) for i, c in enumerate(t)]
+        else:
+            sides = tokens[k - 1][0], tokens[k + 1][0]
+            if sides[0].isdigit() and sides[1].isdigit():
+                out += [(c, a + i, a + i + 1) for i, c in enumerate(t)]
+            elif t == ".":
+                out.append((".", a, b))
+            elif not ({"plus", "dot", "point"} & set(sides)) and any(x.isdigit() for x in sides):
+                out.append(("-" if "-" in t else " ", a, b))
+    return out
+
+
+def _mailbox(m: re.Match) -> list[tuple[str, int, int]]:
+    a, b = m.span("at")
+    return [*((c, m.start() + k, m.start() + k + 1) for k, c in enumerate(m[0][: a - m.start()])), ("@", a, b)]
+
+
 def _sign(m: re.Match) -> list[tuple[str, int, int]]:
     return [("@" if "at" in m[0].lower() or "@" in m[0] else ".", *m.span())]
 
 
-def normalise(text: str) -> Traced:
-    """The chain of transducers over one text."""
-    traced: Traced = (text, None, None)
-    if not text.isascii():
-        traced = _rewrite(traced, _ODD, _plain_letter)
-    if _NUMBER_HINT.search(traced[0]):
-        traced = _rewrite(traced, _DIGIT_RUN, _digit_run)
+def _signs(traced: Traced) -> Traced:
     if _HINT.search(traced[0]):
         traced = _rewrite(traced, _DISGUISE, _sign)
-    return traced
+    return _rewrite(traced, _MAILBOX_AT, _mailbox) if " at " in traced[0] else traced
+
+
+def readings(text: str) -> list[Traced]:
+    """What the chain of transducers makes of a text, other than the text itself: letters alone, then with signs and each reading of digit words."""
+    letters: Traced = (text, None, None)
+    if not text.isascii():
+        letters = _rewrite(letters, _ODD, _plain_letter)
+    out = [letters, _signs(letters)]
+    if _NUMBER_HINT.search(letters[0]):
+        out += [_signs(_rewrite(letters, _DIGIT_RUN, _digit_run)), _signs(_rewrite(letters, _MIXED_RUN, _mixed_run))]
+    return list({t[0]: t for t in out if t[1] is not None}.values())
 
 
 def find_all(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """(base spans, all spans) of each kind, sorted by start."""
     base = find(text)
-    plain, starts, ends = normalise(text)
-    if starts is None:
-        return base, base
+    more: dict[str, set[Span]] = {k: set() for k in KINDS}
     taken = [s for spans in base.values() for s in spans]
-    both = {k: list(v) for k, v in base.items()}
-    for kind, spans in find(plain).items():
-        for a, b in spans:
-            start, end = starts[a], ends[b - 1]
-            if not any(s <= start and end <= e for s, e in taken):
-                both[kind].append((start, end))
-    return base, {k: sorted(v) for k, v in both.items()}
+    for plain, starts, ends in readings(text):
+        for kind, spans in find(plain).items():
+            for a, b in spans:
+                start, end = starts[a], ends[b - 1]
+                if not any(s <= start and end <= e for s, e in taken):
+                    more[kind].add((start, end))
+    if not any(more.values()):
+        return base, base
+    # Of the readings' spans of a kind, those inside another one say nothing new.
+    return base, {k: sorted(v + _outermost(more[k])) for k, v in base.items()}
+
+
+def _outermost(spans: set[Span]) -> list[Span]:
+    out: list[Span] = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
 
 
 def joined(spans: dict[str, list[Span]]) -> str:

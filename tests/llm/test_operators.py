@@ -232,6 +232,30 @@ def test_pii_disguises_of_which_the_plain_pass_sees_a_part():
     assert pii.find_all("john@example.com jоe")[1]["email"] == [(0, 16)]
 
 
+def test_pii_short_spelled_parts_and_at_before_a_domain():
+    for part, kind in (
+        ("4111 1111 1111 one one one one", "card"),
+        ("four one one one 1111 1111 1111", "card"),
+        ("4111-1111-1111-111one", None),
+        ("+1 415 555 two six seven one", "phone"),
+        ("+1 (415) five five five 2671", "phone"),
+        ("192.168.one.one", "ip"),
+        ("192 dot 168 dot one dot one", "ip"),
+        ("john.smith at example.com", "email"),
+        ("jsmith42 at mail.example.org", "email"),
+        ("john at mail.example dot com", "email"),
+        ("john at example [dot] com", "email"),
+    ):
+        text = f"write: {part}, please"
+        assert [text[a:b] for a, b in pii.find_all(text)[1].get(kind, [])] == ([part] if kind else []), part
+        assert pii.mask_text(text) == (f"write: <{kind.upper()}>, please" if kind else text)
+    # A digit word before a number that the plain reading finds takes nothing away, with a disguised digit too.
+    assert (4, 23) in pii.find_all("one 4111 1111 1111 1111")[1]["card"]
+    assert (4, 23) in pii.find_all("one ４111 1111 1111 1111")[1]["card"]
+    for plain in ("look at example.com", "they met at noon.Then one left", "see e.g. at example.com", "python3 at python.org", "one, 2, three, 4, five", "room 12 one flight up", "chapter one.two", "version 2 one at a time"):
+        assert not any(pii.find_all(plain)[1].values()) and pii.mask_text(plain) == plain
+
+
 def test_pii_mask_keeps_rows(spark, empty):
     frame = spark.createDataFrame([(1, None, "k"), (2, "a@b.cd", "k"), (2, "a@b.cd", "k")], "doc_id long, text string, more string")
     assert sorted(map(str, pii.mask(frame).collect())) == sorted(map(str, spark.createDataFrame([(1, None, "k"), (2, "<EMAIL>", "k"), (2, "<EMAIL>", "k")], frame.schema).collect()))
