@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locus.functions.codecs import header_fields, reference_span, tags_map
@@ -90,11 +90,23 @@ def parse_vcf(lines: DataFrame) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, sequence, quality.  Records are split at line ends before "@"; where a quality line begins with "@", two pieces belong together and are dropped to rejects by their shape."""
-    pieces = spark.read.option("lineSep", "\n@").text(path)
-    f = F.split(F.regexp_replace("value", "^@", ""), "\n")
-    shaped = pieces.select(f.alias("f")).where((F.size("f") >= 4) & F.col("f")[2].startswith("+"))
-    return shaped.select(F.split(F.col("f")[0], " ")[0].alias("read_id"), F.col("f")[1].alias("sequence"), F.col("f")[3].alias("quality")).where(F.length("sequence") == F.length("quality"))
+    """read_id, sequence, quality.  Records are split at line ends before "@"; a quality line that begins with "@" is the piece after its record's, and joined to it by the pieces' numbers in their file.  Pieces of another shape are left out."""
+    raw = spark.read.option("lineSep", "\n@").text(path)
+    pieces = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    # One row a block: the number of a file's pieces before it.
+    blocks = pieces.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = pieces.join(starts, ["file", "block"]).withColumn("number", F.col("id") + F.col("shift"))
+    # Only a file's first piece still has its "@".
+    f = F.split(F.when(F.col("number") == 0, F.regexp_replace("value", "^@", "")).otherwise(F.col("value")), "\n")
+    shaped = numbered.select("file", "number", f.alias("f"))
+    record = (F.size("f") >= 3) & F.col("f")[2].startswith("+")
+    whole = shaped.where(record & (F.size("f") >= 4)).select("f", F.col("f")[3].alias("quality"))
+    heads = shaped.where(record & (F.size("f") == 3))
+    tails = shaped.where((F.size("f") == 1) | ((F.size("f") == 2) & (F.col("f")[1] == ""))).select("file", (F.col("number") - 1).alias("number"), F.concat(F.lit("@"), F.col("f")[0]).alias("quality"))
+    rejoined = heads.join(tails, ["file", "number"]).select("f", "quality")
+    return whole.unionByName(rejoined).select(F.split(F.col("f")[0], " ")[0].alias("read_id"), F.col("f")[1].alias("sequence"), "quality").where(F.length("sequence") == F.length("quality"))
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:

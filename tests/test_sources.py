@@ -1,6 +1,7 @@
 """Datasets, text formats, older chunk files, streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,25 @@ def test_region_text():
     for bad in ("chr1:5", "a:9-3", "a:b:1-2", ""):
         with pytest.raises(ValueError):
             Region.parse(bad)
+
+
+def test_fastq_keeps_qualities_that_begin_with_at(spark, tmp_path):
+    rng = random.Random(4)
+    want = []
+    for part in range(3):
+        lines = []
+        for k in range(400):
+            n = rng.randint(1, 12)
+            quality = "".join(rng.choice("@@@I+#") for _ in range(n))
+            want.append((f"r{part}.{k}", "".join(rng.choice("ACGT") for _ in range(n)), quality))
+            lines += [f"@r{part}.{k} extra", want[-1][1], "+", quality]
+            if k % 50 == 7:
+                lines += ["@cut", "ACGT", "+"]  # a record without its quality loses nobody else
+        (tmp_path / f"{part}.fastq").write_text("\n".join(lines) + "\n" * (part % 2))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = text_formats.read_fastq(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got)) == sorted(want)
