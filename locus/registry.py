@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +54,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or where it is unset (tests, one machine) a folder of our own."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='locus-')}").rstrip("/")
+
+
 # Regions and chunks
 
 
@@ -178,9 +185,22 @@ def rechunk(spark, d):
 
 @query("SELECT 0::BIGINT AS different")
 def roundtrip_diff(spark, d):
-    rows = P.reads(spark, d).select("reference", "position", "span", "l_orderkey", "l_linenumber")
-    back = regions.with_chunks(P.reads(spark, d, 1024), 256).select(*rows.columns)
-    return regions.difference(rows, back).agg(F.count("*").alias("different"))
+    """Rows through a written dataset, and from there through lines of text that are written, read and parsed."""
+    folder = f"{_shared_folder(spark)}/roundtrip-{uuid.uuid4().hex}"
+    fields = ["reference", "position", "span", "mapq", "flag", "l_orderkey", "l_linenumber", "l_suppkey"]
+    rows = P.reads(spark, d)
+    dataset.write(rows, f"{folder}/dataset", SIZE)
+    stored = dataset.read(spark, f"{folder}/dataset")
+    name = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey")
+    unset = {c: F.lit(None).cast("string") for c in ("mate_reference", "sequence", "quality")}
+    lines = stored.withColumns({"name": name, "cigar": F.concat(F.col("span").cast("string"), F.lit("M")), "mate_position": F.lit(-1), "template_length": F.lit(0), "tags": F.create_map(F.lit("LN"), F.col("l_linenumber").cast("string")), **unset})
+    text_formats.format_sam(lines).write.text(f"{folder}/text")
+    key = F.split("name", ":")
+    parsed = text_formats.parse_sam(text_formats.sam_lines(spark, f"{folder}/text")).withColumns({"l_orderkey": key[0], "l_linenumber": key[1], "l_suppkey": key[2]})
+    # Unmapped rows have a reference of their own once stored.
+    before = rows.withColumn("reference", F.when(F.col("reference_id") < 0, dataset.UNMAPPED).otherwise(F.col("reference")))
+    before, stored, parsed = (x.select("reference", *(F.col(c).cast("long").alias(c) for c in fields[1:])) for x in (before, stored, parsed))
+    return regions.difference(before, stored).unionByName(regions.difference(before, parsed)).agg(F.count("*").alias("different"))
 
 
 @query(READS + " SELECT count(*) AS chunks, CAST(sum(n) AS BIGINT) AS reads FROM (SELECT reference, chunk_start, count(*) AS n FROM reads GROUP BY ALL)")
@@ -189,6 +209,11 @@ def chunk_checksums(spark, d):
     return sums.where(F.length("checksum") == 64).agg(F.count("*").alias("chunks"), F.sum("reads").alias("reads"))
 
 
+@query()
+def chunk_checksum_values(spark, d):
+    return manifest.checksums(P.reads(spark, d), ["position", "span", "mapq", "flag", "l_orderkey", "l_linenumber"])
+
+
 # Coverage and order
 
 _DEPTH = READS + """, s AS (SELECT reference, position AS p, 1 AS step FROM reads WHERE reference_id >= 0 UNION ALL SELECT reference, position + span, -1 FROM reads WHERE reference_id >= 0),
@@ -223,6 +248,13 @@ def kway_merge(spark, d):
     return ordering.merge_sorted(*halves, by=["reference_id", "position", "l_orderkey"])
 
 
+@query(READS + " SELECT reference_id, reference, position, l_orderkey, l_linenumber FROM reads")
+def kway_merge_whole(spark, d):
+    rows = P.reads(spark, d).select("reference_id", "reference", "position", "l_orderkey", "l_linenumber")
+    halves = [ordering.coordinate_sort(rows.where(F.col("position") % 2 == k), "l_orderkey", "l_linenumber") for k in (0, 1)]
+    return ordering.merge_sorted(*halves, by=["reference_id", "position", "l_orderkey", "l_linenumber"])
+
+
 @query(READS + " SELECT reference, chunk_start, count(*) AS reads FROM reads WHERE reference_id >= 0 GROUP BY ALL ORDER BY reads DESC, reference, chunk_start LIMIT 10")
 def topk_chunks(spark, d):
     return manifest.build(P.mapped(spark, d), SIZE).select("reference", "chunk_start", "reads").orderBy(F.desc("reads"), "reference", "chunk_start").limit(10)
@@ -644,6 +676,12 @@ def intervals_per_sample(spark, d):
     return P.table(spark, d, "customer").where("c_nationkey < 5").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
 
 
+@query("SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def intervals_per_sample_whole(spark, d):
+    counts = P.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return P.table(spark, d, "customer").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
+
+
 @query("SELECT r_name, n_name, count(*) AS samples FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def population_counts(spark, d):
     joined = P.table(spark, d, "supplier").join(P.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(P.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -1,10 +1,14 @@
 """Every query with an oracle against DuckDB over the smallest tables."""
 
+import functools
+import hashlib
+import operator
 import os
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from locus import registry
 
@@ -31,6 +35,23 @@ def test_matches_oracle(spark, duck, name):
     assert rows(ours) == rows(duck.sql(registry.oracle_sql()[name]).df())
 
 
+def test_roundtrip_diff_sees_what_a_step_loses(spark, monkeypatch):
+    whole = registry.text_formats.parse_sam
+    monkeypatch.setattr(registry.text_formats, "parse_sam", lambda lines: whole(lines).where("position <> 7"))
+    lost = registry.P.reads(spark, FOLDER).where("position = 7").count()
+    assert registry.roundtrip_diff(spark, FOLDER).first().different == lost > 0
+
+
+def test_checksum_values_against_brute_force(spark):
+    columns = ["position", "span", "mapq", "flag", "l_orderkey", "l_linenumber"]
+    chunks = {}
+    for r in registry.P.reads(spark, FOLDER).select("reference", "chunk_start", F.xxhash64(*columns).alias("h")).collect():
+        chunks.setdefault((r.reference, r.chunk_start), []).append(r.h)
+    want = {k: (len(h), hashlib.sha256(f"{len(h)}:{functools.reduce(operator.xor, h)}:{sum(h)}".encode()).hexdigest()) for k, h in chunks.items()}
+    got = {(r.reference, r.chunk_start): (r.reads, r.checksum) for r in registry.chunk_checksum_values(spark, FOLDER).collect()}
+    assert got == want and len(want) > 1
+
+
 def test_entry_needs_no_optional_part(spark):
     import __spark_entry__
 
