@@ -13,7 +13,8 @@ there is added unless one base span covers it: the plain pass often sees but a
 fragment of a disguised identifier.  Overlapping spans are masked as one.
 
 Offsets are code points, ends are exclusive.  A null text counts as empty and
-yields no span.  Matching is linear in the text.  Repeated rows are judged alike.
+yields no span.  Every pattern reads a run of characters a bounded number of times, so
+time and memory grow with the text and no faster.  Repeated rows are judged alike.
 Extra columns are kept where the result allows it; a column named like an output
 column is replaced.
 """
@@ -23,7 +24,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,23 +101,25 @@ _SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "fiv
 _ODD = re.compile(f"[{''.join(map(re.escape, _LOOKALIKES))}{_INVISIBLE}\uff01-\uff5e\U0001d400-\U0001d7ff\u0660-\u0669]")
 _DIGIT_WORD = "|".join(_SPELLED)
 # One number: at least five digits in words or signs, the first of them in a word or after "plus".
-_DIGIT_RUN = re.compile(rf"\b(?:plus[ -]+)?(?:{_DIGIT_WORD})\b(?:[ ,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9]+|dot|point)\b){{4,}}", re.I)
+_DIGIT_RUN = re.compile(rf"\b(?:plus[ -]++)?(?:{_DIGIT_WORD})\b(?:[ ,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9]++|dot|point)\b){{4,}}", re.I)
 # Digits and digit words in place, of any length: the detectors' checks tell them from prose.
 _MIXED_RUN = re.compile(rf"\b(?:plus[ -]{{1,2}})?(?:{_DIGIT_WORD}|[0-9]++)\b(?:[ ,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9]++|dot|point)\b)+", re.I)
 _DIGIT_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[ ,.-]+")
-_AT = r"(?:[ ]*[\[({<][ ]*(?:at|@)[ ]*[\])}>][ ]*)"
-_DOT = r"(?:[ ]*[\[({<][ ]*(?:dot|\.)[ ]*[\])}>][ ]*)"
+# Spaces before a bracket are taken from the first of them or not at all, so that a long run of them is read once.
+_OPEN = r"(?:(?<![ ])[ ]++)?[\[({<][ ]*+"
+_AT = rf"(?:{_OPEN}(?:at|@)[ ]*+[\])}}>][ ]*+)"
+_DOT = rf"(?:{_OPEN}(?:dot|\.)[ ]*+[\])}}>][ ]*+)"
 _LABEL = "[A-Za-z0-9-]{1,63}"
 _DISGUISE = re.compile(rf"{_AT}|{_DOT}|(?<=[A-Za-z0-9]) at (?={_LABEL}(?:\.{_LABEL}){{0,8}}(?: dot |{_DOT}){_LABEL})|(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
 # " at " before a dotted domain, where what stands before looks like a mailbox and no word: parts joined by signs, one of them longer than a letter, or two digits at the end.
 _MAILBOX_AT = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._+]{{0,62}}[A-Za-z0-9]{{2}})[A-Za-z](?:[A-Za-z0-9]{{0,40}}(?:[._+][A-Za-z0-9]{{1,40}}){{1,5}}|[A-Za-z]{{1,40}}[0-9]{{2,9}})(?P<at> at )(?={_LABEL}(?:\.{_LABEL}){{0,8}}\.(?:[a-z]{{2,63}}|[A-Z]{{2,63}})\b)"
 )
-_HINT = re.compile(r"[\[({<] *(?:at|dot|[@.]) *[\])}>]| dot ", re.I)
+_HINT = re.compile(r"[\[({<] *+(?:at|dot|[@.]) *+[\])}>]| dot ", re.I)
 _NUMBER_HINT = re.compile(rf"\b(?:{_DIGIT_WORD})[ ,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])|[0-9][ ,.-]{{1,2}}(?:{_DIGIT_WORD})\b|\b(?:{_DIGIT_WORD}) (?:dot|point) [0-9]|[0-9] (?:dot|point) (?:{_DIGIT_WORD})\b", re.I)
 
 #: A text with the source range [start, end) of each character; None: unchanged so far.
-Traced = tuple[str, list[int] | None, list[int] | None]
+Traced = tuple[str, array | None, array | None]
 
 
 def _rewrite(traced: Traced, pattern: re.Pattern, to) -> Traced:
@@ -122,8 +128,8 @@ def _rewrite(traced: Traced, pattern: re.Pattern, to) -> Traced:
     if not pattern.search(text):
         return traced
     if starts is None:
-        starts, ends = list(range(len(text))), list(range(1, len(text) + 1))
-    chars, a, b, done = [], [], [], 0
+        starts, ends = array("q", range(len(text))), array("q", range(1, len(text) + 1))
+    chars, a, b, done = [], array("q"), array("q"), 0
     for m in pattern.finditer(text):
         chars.append(text[done : m.start()])
         a += starts[done : m.start()]
@@ -217,12 +223,15 @@ def find_all(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """(base spans, all spans) of each kind, sorted by start."""
     base = find(text)
     more: dict[str, set[Span]] = {k: set() for k in KINDS}
-    taken = [s for spans in base.values() for s in spans]
+    taken = sorted(s for spans in base.values() for s in spans)
+    # The furthest end of the base spans up to each one: one that begins no later covers a span if that end does.
+    reach = list(accumulate((e for _, e in taken), max))
     for plain, starts, ends in readings(text):
         for kind, spans in find(plain).items():
             for a, b in spans:
                 start, end = starts[a], ends[b - 1]
-                if not any(s <= start and end <= e for s, e in taken):
+                before = bisect_right(taken, (start, len(text)))
+                if not before or reach[before - 1] < end:
                     more[kind].add((start, end))
     if not any(more.values()):
         return base, base
