@@ -9,12 +9,14 @@ partition's sketch keeps that many minima of each item: the search misses no
 contained item, however long the document.  Documents that meet a sketch are
 verified by the exact share of shingles, compared as text.
 
-If the sketches' hashes are at most MAX_KEYS, they are a set in the plan and
-nearly all documents are settled where they are read; beyond that the join on
-hashes does all the work.  Null, empty and blank texts contain
-nothing, and such items are contained in nothing.  Rows of one doc_id count as
-one document that contains what any of them contains; so do rows without an id.
-Repeated items count once.  Extra columns are ignored.
+Every shingle of every document meets the sketches in one join on hashes, and the
+documents that meet one are read again to be verified.  Either join broadcasts its
+smaller side if that is counted to be at most BROADCAST_ROWS, and shuffles beyond.
+
+Null, empty and blank texts contain nothing, and such items are contained in
+nothing, nor are items without an id.  Rows of one doc_id count as one document
+that contains what any of them contains; so do rows without an id.  Repeated items
+count once.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from locus.llm.storage import materialised
 
 SHINGLE = 5
-MAX_KEYS = 20_000
+BROADCAST_ROWS = 500_000
 
 
 def words(text: str) -> Column:
@@ -49,9 +51,14 @@ def _runs(array: Column, size: int | Column, of) -> Column:
     return F.transform(F.slice(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), 2, F.greatest(last, F.lit(0))), lambda i: of(F.slice(array, i, size)))
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """A written table, with a hint to broadcast it if it is counted to be small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment for every document that contains an item."""
-    sized = items.select("item_id", words("text").alias("w")).where(F.size("w") > 0).withColumn("width", F.least(F.size("w"), F.lit(SHINGLE)))
+    sized = items.where("item_id is not null").select("item_id", words("text").alias("w")).where(F.size("w") > 0).withColumn("width", F.least(F.size("w"), F.lit(SHINGLE)))
     runs = sized.select("item_id", "width", F.explode(_runs(F.col("w"), F.col("width"), lambda r: F.struct(_text(r).alias("shingle"), _hash(r).alias("hash")))).alias("r"))
     whole = Window.partitionBy("item_id")
     shingles = materialised(
@@ -62,21 +69,19 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> Dat
     )
     # A partition of items is all those of one size; its sketch has as many minima as that size needs.
     sketch_size = F.col("n_item") - F.ceil(F.col("n_item") * threshold - 1e-9) + 1
-    keys = shingles.where(F.col("place") <= sketch_size).select("item_id", "width", "hash").distinct()
-    # At most MAX_KEYS + 1 rows reach the driver.
-    few = keys.select("width", "hash").distinct().limit(MAX_KEYS + 1).collect()
-    widths = sorted({r.width for r in few}) if len(few) <= MAX_KEYS else list(range(1, SHINGLE + 1))
-
-    def met(width: int) -> Column:
-        hashes = _runs(F.col("w"), width, _hash)
-        return F.filter(hashes, lambda h: h.isin([r.hash for r in few if r.width == width])) if len(few) <= MAX_KEYS else hashes
-
-    hashes = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *map(met, widths)))
-    marked = materialised(docs.select("doc_id", words("text").alias("w")).select(F.uuid().alias("row"), "doc_id", "w", hashes.alias("hashes")).where(F.size("hashes") > 0))
-    pairs = marked.select("row", F.explode("hashes").alias("hash")).join(keys, "hash").select("row", "item_id", "width").distinct()
+    keys = materialised(shingles.where(F.col("place") <= sketch_size).select("item_id", "width", "hash").distinct())
+    widths = sorted(r.width for r in keys.select("width").distinct().collect())  # at most SHINGLE of them
+
+    # A row's name; rows that share one by chance are merely verified for nothing.
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    hashes = F.concat(F.array().cast("array<bigint>"), *(_runs(F.col("w"), width, _hash) for width in widths))
+    met = rows.select("row", words("text").alias("w")).select("row", F.explode(hashes).alias("hash")).join(_bounded(keys), "hash")
+    pairs = materialised(met.select("row", "item_id", "width").distinct())
+    marked = rows.join(_bounded(materialised(pairs.select("row").distinct())), "row", "left_semi")
     wanted = shingles.groupBy("item_id", "n_item").agg(F.collect_set("shingle").alias("shingles"))
     return (
-        pairs.join(marked.select("row", "doc_id", "w"), "row")
+        marked.select("row", "doc_id", words("text").alias("w"))
+        .join(pairs, "row")
         .join(wanted, "item_id")
         .select("doc_id", "item_id", "n_item", F.size(F.array_intersect("shingles", _runs(F.col("w"), F.col("width"), _text))).alias("n_shared"))
         .groupBy("doc_id", "item_id")
