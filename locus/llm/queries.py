@@ -58,7 +58,7 @@ GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.75 * n_item
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20).select("query_id", "rank", "vec_id", "score")
 
 
 OP5_SQL = """

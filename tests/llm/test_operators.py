@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -256,6 +257,20 @@ def test_pii_short_spelled_parts_and_at_before_a_domain():
         assert not any(pii.find_all(plain)[1].values()) and pii.mask_text(plain) == plain
 
 
+def test_pii_is_linear_in_long_runs():
+    n = 1_000_000
+    for text in ("x dot y" + " " * n, "a dot b(" + " " * n, "a dot b" + "( " * (n // 2), "one two-" + "-" * n, "one " + "1" * n, "a dot b at " + "x." * (n // 2), "a dot b " + "a" * n + "@", "one two " + "+1((((((" * (n // 8), "a@b.c j\u043ehn@b.c " * (n // 20)):
+        began = time.process_time()
+        pii.find_all(text)
+        assert time.process_time() - began < 20, text[:20]
+
+
+def test_pii_spaced_disguises():
+    for text in ("john   [at]   example  (dot)  com", "john(at) example[.]com", "john [at] example [dot] org [dot] uk", "see  john {at}example <dot>com."):
+        spans = pii.find_all(text)[1]["email"]
+        assert len(spans) == 1 and text[spans[0][0] : spans[0][1]].startswith("john") and text[spans[0][0] : spans[0][1]].endswith(("com", "uk"))
+
+
 def test_pii_mask_keeps_rows(spark, empty):
     frame = spark.createDataFrame([(1, None, "k"), (2, "a@b.cd", "k"), (2, "a@b.cd", "k")], "doc_id long, text string, more string")
     assert sorted(map(str, pii.mask(frame).collect())) == sorted(map(str, spark.createDataFrame([(1, None, "k"), (2, "<EMAIL>", "k"), (2, "<EMAIL>", "k")], frame.schema).collect()))
@@ -293,11 +308,12 @@ def test_decontamination_cleans_rows_not_ids(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]]))
 
 
-def test_decontamination_beyond_the_plan(spark, docs, monkeypatch):
+def test_decontamination_beyond_broadcasts(spark, docs, monkeypatch):
     rows, frame = docs
-    listed = spark.createDataFrame([(k, t) for k, t in rows.items() if t and len(t) < 300], "item_id long, text string")
+    listed = spark.createDataFrame([(k, t) for k, t in rows.items() if t and len(t) < 300] + [(None, "one two three four five six")], "item_id long, text string")
     few = {tuple(r) for r in decontaminate.contained(frame, listed).collect()}
-    monkeypatch.setattr(decontaminate, "MAX_KEYS", 3)
+    assert few and all(r[1] is not None for r in few)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     assert {tuple(r) for r in decontaminate.contained(frame, listed).collect()} == few
 
 
@@ -349,6 +365,7 @@ def test_topk(spark):
     vectors = [(k, [float(x) for x in rng.normal(0, 0.3, 9)]) for k in range(120)]
     vectors += [(200 + k, vectors[3][1]) for k in range(30)] + [(300, None), (301, [float("nan")] * 9), (302, [None] + [0.1] * 8), (None, [0.1] * 9), (304, [5.0, -7.25]), (305, [])]
     frame = spark.createDataFrame([(k, v, 1) for k, v in vectors], "vec_id long, embedding array<float>, score int").repartition(5)
+    frame = frame.withColumns({c: F.lit("old") for c in ("q", "rank", "stripe", "order_key", "ids")})
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(frame, frame.where("vec_id % 20 = 0"), 20).collect())
     q = {k: np.floor(64 * np.pad(np.array(v, np.float32).astype(float), (0, 9 - len(v)))).astype(int) for k, v in vectors if k is not None and v is not None and None not in v and np.isfinite(v).all()}
     want = []
@@ -359,11 +376,38 @@ def test_topk(spark):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
-def test_topk_selection_ties():
-    score = np.array([[5, 5, 5, -1, 9, 5], [0, 0, 0, 0, 0, 0]])
-    able = np.array([[True] * 6, [True, False, True, True, False, True]])
-    assert topk.select(score, able, 3).tolist() == [[True, True, False, False, True, False], [True, False, True, True, False, False]]
-    assert topk.select(score, able, 10).tolist() == able.tolist()
+def test_topk_takes_components_of_any_size(spark):
+    # One row beyond each power, ragged lengths, scores beyond 64 bits and repeated ids.
+    vectors = [(0, [1.0, 2.0**24]), (1, [2.0**24, 0.0]), (2, [2.0**24 + 2, -1.0]), (3, [-(2.0**40), 5.0]), (4, [3.0]), (5, [2.0**70, 1.0, 1.0]), (6, [0.5, 2.0**100]), (20, [-(2.0**24), 1e-3, 7.0]), (7, []), (7, [1.0]), (20, [0.0]), (40, [2.0**70, -(2.0**90)])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    whole = {}
+    for k, v in vectors:
+        whole.setdefault(k, []).append([int(np.floor(64 * x)) for x in v])
+
+    def product(a, b):
+        return sum(x * y for x, y in zip(a, b))
+
+    got = {}
+    for r in topk.top_k(frame, frame.where("vec_id % 20 = 0"), 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for k in (0, 20, 40):
+        best = sorted((-product(min(whole[k]), row), b) for b, rows in whole.items() if b != k for row in rows)[:4]
+        assert sorted(got[k]) == [(n, b, -s if -(2**63) <= -s < 2**63 else None) for n, (s, b) in enumerate(best, 1)]
+
+
+def test_sliced_rows_against_plain_sums():
+    rng = np.random.default_rng(1)
+    for size in (1, 3, 60, 2**24, 2**40, 2**70):
+        for rows in (1, 63, 64, 150):
+            q = topk.integers(np.floor(rng.normal(0, size, (rows, 5))))
+            v = topk.integers(np.floor(rng.normal(0, size, (1, 5))))[0]
+            slices, base = topk.SlicedRows(q).scores(v)
+            want = [sum(int(a) * int(b) for a, b in zip(row, v, strict=True)) for row in q]
+            assert topk.values_at(slices, np.arange(rows), base) == want
+            assert sorted(want) == sorted(want, key=topk.order_key)
+            able = rng.random(rows) < 0.8
+            best = sorted((-want[r], r) for r in range(rows) if able[r])[:20]
+            assert topk.select(slices, topk.bitmap(able[:, None])[0], 20).tolist() == sorted(r for _, r in best)
 
 
 def test_chat_reads_back(spark):
