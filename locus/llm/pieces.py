@@ -14,7 +14,7 @@ encoded alike.  Extra columns are kept, a column named ids or text is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from locus.llm.vocabulary import SPACE, Vocabulary
 SLICE_BYTES, REMEMBERED, CHARACTERS = 1 << 21, 250_000, 1 << 18
 _BITS, _PACK = 15, 4  # characters are numbered in 15 bits, four to a key
 _FAR = np.int64(1) << 62
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 class Encoder:
@@ -171,16 +173,13 @@ def _cuts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())), np.searchsorted(start, offsets)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns carry of docs (None: all but the text), and ids (array of int)."""
-    docs = docs.select(*(c for c in docs.columns if c.lower() != "ids"))
-    out = [k for k, c in enumerate(docs.columns) if c != text and (carry is None or c in carry)]
-    names, at = [docs.columns[k] for k in out] + ["ids"], docs.columns.index(text)
+def _encoding(vocabulary: Vocabulary, at: int, out: list[int], names: list[str]) -> Step:
+    """Batches with the columns out, and the ids of the text in column at."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         known, ids, first = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
-        for part in slices(batches, text, SLICE_BYTES):
+        for part in slices(batches, at, SLICE_BYTES):
             texts = part.column(at)
             cuts, cut_at = _cuts(texts)
             coded = cuts.dictionary_encode()
@@ -199,13 +198,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: l
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat), mask=texts.is_null())
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in out), lists], names)
 
-    return docs.mapInArrow(encoded, T.StructType([*(docs.schema[k] for k in out), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return encoded
 
 
-def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
-    """docs with the text that the ids stand for."""
-    docs = docs.select(*(c for c in docs.columns if c.lower() != text.lower()))
-    at, names = docs.columns.index(ids), [*docs.columns, text]
+def _decoding(vocabulary: Vocabulary, at: int, names: list[str]) -> Step:
+    """Batches with one more column: the text that the ids in column at stand for."""
     spelled = {k: bytes([b]) for b, k in enumerate(vocabulary.byte_ids)} | {k: p.replace(SPACE, " ").encode() for p, k in vocabulary.ids.items()}
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,4 +221,30 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str
                 texts = pc.if_else(lists.is_null(), None, texts).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names)
 
-    return docs.mapInArrow(decoded, T.StructType([*docs.schema, T.StructField(text, T.StringType())]))
+    return decoded
+
+
+def _carried(docs: DataFrame, text: str, carry: list[str] | None) -> tuple[DataFrame, list[int]]:
+    docs = docs.select(*(c for c in docs.columns if c.lower() != "ids"))
+    return docs, [k for k, c in enumerate(docs.columns) if c != text and (carry is None or c in carry)]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs (None: all but the text), and ids (array of int)."""
+    docs, out = _carried(docs, text, carry)
+    names = [docs.columns[k] for k in out] + ["ids"]
+    return docs.mapInArrow(_encoding(vocabulary, docs.columns.index(text), out, names), T.StructType([*(docs.schema[k] for k in out), _IDS]))
+
+
+def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
+    """docs with the text that the ids stand for."""
+    docs = docs.select(*(c for c in docs.columns if c.lower() != text.lower()))
+    return docs.mapInArrow(_decoding(vocabulary, docs.columns.index(ids), [*docs.columns, text]), T.StructType([*docs.schema, T.StructField(text, T.StringType())]))
+
+
+def there_and_back(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """As decode(encode(docs)), in one process a task instead of two: the columns carry (None: all but the text), ids, and the text that they stand for."""
+    docs, out = _carried(docs, text, carry)
+    names = [docs.columns[k] for k in out] + ["ids"]
+    first, second = _encoding(vocabulary, docs.columns.index(text), out, names), _decoding(vocabulary, len(out), [*names, text])
+    return docs.mapInArrow(lambda batches: second(first(batches)), T.StructType([*(docs.schema[k] for k in out), _IDS, T.StructField(text, T.StringType())]))

@@ -120,8 +120,7 @@ FROM escaped GROUP BY conv_id
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
-    pieces_of = vocabulary.load()
-    back = pieces.decode(pieces.encode(docs, pieces_of), pieces_of)
+    back = pieces.there_and_back(docs, vocabulary.load())
     return back.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),

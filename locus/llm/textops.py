@@ -87,12 +87,12 @@ class Words:
         return mix64(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that a slice has at most step bytes of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that a slice has at most step bytes of text (a column's name or number), or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
         total, at = np.concatenate(([0], np.cumsum(sizes))), 0
         while at < len(sizes):
             to = max(at + 1, int(np.searchsorted(total, total[at] + step, "right")) - 1)

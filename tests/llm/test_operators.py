@@ -172,7 +172,9 @@ def test_encoding(spark, docs, empty, vocab):
             continue
         cuts = re.findall(" *[^ ]+| +", t)
         assert back[k].ids == [i for c in cuts for i in brute_weight(vocab, c)[1]]
-    assert pieces.decode(pieces.encode(empty, vocab), vocab).count() == 0
+    assert pieces.decode(pieces.encode(empty, vocab), vocab).count() == pieces.there_and_back(empty, vocab).count() == 0
+    once = pieces.there_and_back(frame, vocab)
+    assert once.columns == ["doc_id", "ids", "text"] and {r.doc_id: (r.ids, r.text) for r in once.collect()} == {k: (r.ids, r.text) for k, r in back.items()}
 
 
 BASE = {
