@@ -46,9 +46,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    pieces_of = vocabulary.load()
-    encoded = pieces.encode(docs.withColumn("text_sha256", F.sha2("text", 256)), pieces_of)
-    decoded = pieces.decode(encoded, pieces_of)
+    decoded = pieces.there_and_back(docs.withColumn("text_sha256", F.sha2("text", 256)), vocabulary.load())
     exact = F.sha2("text", 256).eqNullSafe(F.col("text_sha256"))
     return decoded.select(*(c for c in docs.columns if c != "text"), "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), exact.alias("round_trip"))
 
