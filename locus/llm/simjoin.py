@@ -9,21 +9,24 @@ Shingles are hashed into groups, and a set is indexed as the point of its group
 counts.  Two sets cannot share more than the sum of the smaller of their counts,
 group by group, nor can any two points below two boxes share more than the sum of
 the smaller of the boxes' upper corners.  Pairs that this bound leaves are
-verified on their texts.
-
-No box is tight in many dimensions once it holds unrelated points, so one tree
-over everything would compare everything.  Therefore the points are first dealt
-into cells, one for each shingle among a set's first |set| - ceil(.75 |set|) + 1,
-in one global order that puts frequent shingles last: two sets that link have a
-cell in common.  How frequent a shingle is, a table of counts tells that all
-texts add to; it is of fixed size, so it mixes shingles up, but any order will do.  Equal sets are one point.  Each cell first tries its points
-against the least of them (so that a crowd of near copies costs a pass, not a
-square).  Cells with the same least point are then taken together; such a group is
-done if all its points are connected by now.  Of the others, one of no more than a
-leaf's points is a leaf, and the pairs of all leaves meet the bound together, each
-once.  Larger groups try their points against the middle one of each block, and
-what is still apart goes through their trees, very large ones block against
-block in tasks of their own.
+verified on their texts, word by word.
+
+No box is tight in many dimensions once it holds unrelated points, so the points
+are dealt over many trees: one for each shingle among a set's first
+|set| - ceil(.75 |set|) + 1, in one global order that puts frequent shingles last.
+Two sets that link have such a shingle, and so a tree, in common.  How frequent a
+shingle is, a table of counts tells that all texts add to; it is of fixed size, so
+it mixes shingles up, but any order will do.  Equal sets (by 128 bits of hash) are
+one point, and trees with the same least point are one.
+
+Every tree is searched twice.  First each of its points meets the point nearest to
+the tree's mean, so that a crowd of near copies costs a pass and not a square.  The
+links found are joined into classes.  Then the tree meets itself from its root
+down: boxes that hold one and the same class are left alone, as are those that the
+bound tells apart, and the pairs of points that remain are verified.  Trees of more
+than BLOCK points are cut: in the first search into blocks, in the second into the
+tree's largest class, whose blocks never meet each other, and blocks of the rest,
+which meet all others.  A third of all rows in one tree is therefore many tasks.
 
 Repeated rows belong to one class.  A null text has an empty set.  Rows with a
 null doc_id take part; they never name a class that has a document with an id.
@@ -32,24 +35,29 @@ An empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from locus.llm.components import connected
-from locus.llm.storage import materialised
-from locus.llm.textops import Words, mix64, shingle_sets, slices
+from locus.llm.storage import materialised, scratch
+from locus.llm.textops import Words, exact_shingle_sets, mix64, ranges, shingle_sets, slices
 
 #: Counters of the frequency table, and how many of them travel in a row.
 COUNTERS, STRIP = 1 << 20, 1 << 12
-#: Points of a leaf, children of an inner box, and points of a block of a large cell.
+#: Parts of the tasks whose tables are summed first; rows that may be broadcast; bytes of texts that are verified together.
+PARTS, BROADCAST_ROWS, VERIFIED_BYTES = 32, 100_000, 1 << 21
+#: Points of a leaf, children of an inner box, points of a block of a large tree.
 LEAF, FAN, BLOCK = 16, 8, 1024
+#: Rows of small trees that are searched together, and counts that a step holds as a matrix.
+FOREST, CELLS = 4096, 1 << 22
 
 
 def digest(shingles: np.ndarray, seed: int) -> tuple[int, int]:
@@ -92,47 +100,59 @@ def possible(v: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.n
     return out
 
 
-class RTree:
-    """A packed R-tree over count vectors: points sorted by class and size, boxes over runs of them."""
-
-    def __init__(self, v: np.ndarray, n: np.ndarray, group: np.ndarray):
-        self.order = np.lexsort((n, group))
-        v, n, group = v[self.order], n[self.order], group[self.order]
-        self.levels = [(v, n, n, group, group)]
-        width = LEAF
-        while len(self.levels[-1][0]) > 1:
-            up, low, high, g0, g1 = self.levels[-1]
-            at = np.arange(0, len(up), width)
-            self.levels.append((np.maximum.reduceat(up, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(g0, at), np.maximum.reduceat(g1, at)))
-            width = FAN
-
-    def pairs(self, low_half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of points of different classes that the bound leaves; low_half: only pairs between that half and the other."""
-        i = j = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 2, -1, -1):
-            width = LEAF if level == 0 else FAN
+class RTrees:
+    """Packed R-trees over count vectors, one for each number in tree: points sorted by class and size, boxes over runs of them."""
+
+    def __init__(self, v: np.ndarray, n: np.ndarray, group: np.ndarray, tree: np.ndarray):
+        self.order = np.lexsort((n, group, tree))
+        v, n, group, tree = (x[self.order] for x in (v, n, group, tree))
+        level, width = (v, n, n, group, group), LEAF
+        self.levels, self.kids = [level], []
+        while len(tree) > 1 and (tree[1:] == tree[:-1]).any():
+            first = np.flatnonzero(np.append(True, tree[1:] != tree[:-1]))
+            place = np.arange(len(tree)) - np.repeat(first, np.diff(np.append(first, len(tree))))
+            at = np.flatnonzero(place % width == 0)
+            up, low, high, g0, g1 = level
+            level = (np.maximum.reduceat(up, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(g0, at), np.maximum.reduceat(g1, at))
+            self.levels.append(level)
+            self.kids.append((at, np.diff(np.append(at, len(tree)))))
+            tree, width = tree[at], FAN
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of points of one tree and of different classes that the bound leaves."""
+        i = j = np.arange(len(self.levels[-1][0]))
+        if not self.kids:
+            i = j = i[:0]
+        for level in range(len(self.kids) - 1, -1, -1):
             up, low, high, g0, g1 = self.levels[level]
-            kids = np.arange(width)
-            a, b = np.repeat(i * width, width * width), np.repeat(j * width, width * width)
-            a, b = a + np.tile(np.repeat(kids, width), len(i)), b + np.tile(kids, len(i) * width)
-            fine = (b < len(up)) & ((a < b) | ((a == b) & (level > 0)))
-            a, b = a[fine], b[fine]
-            fine = ((g0[a] != g1[b]) | (g1[a] != g0[b]) | (g0[a] != g1[a])) & (4 * high[a] >= 3 * low[b]) & (4 * high[b] >= 3 * low[a])
-            a, b = a[fine], b[fine]
-            fine = possible(up, low, a, b)
-            i, j = a[fine], b[fine]
-        if len(self.levels) == 1:
-            i = j = np.zeros(0, np.int64)
-        i, j = self.order[i], self.order[j]
-        if low_half is not None:
-            across = low_half[i] != low_half[j]
-            i, j = i[across], j[across]
-        return i, j
+            at, kids = self.kids[level]
+            found, step = [], max(1, (1 << 20) // (LEAF * LEAF if level == 0 else FAN * FAN))
+            for k in range(0, len(i), step):
+                x, y = i[k : k + step], j[k : k + step]
+                a = ranges(at[x], kids[x])
+                each = np.repeat(kids[y], kids[x])
+                b = ranges(np.repeat(at[y], kids[x]), each)
+                a = np.repeat(a, each)
+                fine = (a < b) | ((a == b) & (level > 0))
+                a, b = a[fine], b[fine]
+                fine = ((g0[a] != g1[b]) | (g1[a] != g0[b]) | (g0[a] != g1[a])) & (4 * high[a] >= 3 * low[b]) & (4 * high[b] >= 3 * low[a])
+                a, b = a[fine], b[fine]
+                fine = possible(up, low, a, b)
+                found.append((a[fine], b[fine]))
+            i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (i[:0], j[:0])
+        return self.order[i], self.order[j]
+
+
+def row_name() -> Column:
+    """96 bits that name a row in joins, whether it has an id or not."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.hash("text", "doc_id").alias("b"))
 
 
 def sketches(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for every document (kind 0: n, node, check, counts, the columns keep), and each task's frequency table in strips (kind 1: node, counts)."""
-    kept = docs.select("doc_id", "text", *keep).schema[2:]
+    """A row for every document (kind 0: n, node, check, counts, the row's name, the columns keep), and each task's frequency table in strips (kind 1: node, counts, and in n the part of the tasks that it is summed with first)."""
+    docs = docs.select("doc_id", "text", row_name().alias("row_name"), *keep)
+    keep = ("row_name", *keep)
+    kept = docs.schema[2:]
     kept_types = [to_arrow_type(f.dataType) for f in kept]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,282 +176,305 @@ def sketches(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFram
             })
 
     schema = T.StructType.fromDDL("kind int, doc_id long, n long, node long, `check` long, counts binary")
-    return docs.select("doc_id", "text", *keep).mapInArrow(made, T.StructType([*schema, *(T.StructField(f.name, f.dataType) for f in kept)]))
+    return docs.mapInArrow(made, T.StructType([*schema, *(T.StructField(f.name, f.dataType) for f in kept)]))
 
 
 def frequency_table(strips: DataFrame) -> np.ndarray:
-    """Which counters stand out from what shingles at random would add to them.  The table's fixed size is all that reaches the driver."""
+    """Which counters stand out from what shingles at random would add to them.  Strips are summed within PARTS parts of the tasks, then over the parts; the table's fixed size is all that reaches the driver."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by strip: one running sum at a time.
+        # Sorted by strip and part: one running sum at a time.
         at, total = None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"node": [at[0]], "n": [at[1]], "counts": [total.tobytes()]})
+
         for batch in batches:
-            for node, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if node != at:
-                    if total is not None:
-                        yield pa.RecordBatch.from_pydict({"node": [at], "counts": [total.tobytes()]})
-                    at, total = node, np.zeros(STRIP, np.int64)
-                total += np.frombuffer(counts, np.uint32)
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"node": [at], "counts": [total.tobytes()]})
+            for node, n, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if (node, n) != at:
+                    if at is not None:
+                        yield row()
+                    at, total = (node, n), np.zeros(STRIP, np.int64)
+                total += np.frombuffer(counts, np.uint32 if len(counts) == 4 * STRIP else np.int64)
+        if at is not None:
+            yield row()
 
     table = np.zeros(COUNTERS, np.int64)
-    for row in strips.repartition("node").sortWithinPartitions("node").mapInArrow(summed, "node long, counts binary").collect():
+    for part in ("n", F.lit(0).cast("long").alias("n")):
+        strips = strips.select("node", part, "counts").repartition("node", "n").sortWithinPartitions("node", "n").mapInArrow(summed, "node long, n long, counts binary")
+    for row in strips.collect():
         table[row.node : row.node + STRIP] = np.frombuffer(row.counts, np.int64)
     return table > table.mean() + 4 * np.sqrt(table.mean()) + 4
 
 
-def cells(docs: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
-    """key, node, pivot: every cell of two points or more, with its points and the first of them."""
+def cells(docs: DataFrame, frequent: np.ndarray, seed: int, salts: int) -> DataFrame:
+    """key, salt, node, pivot: the points of each shingle, and the least of them.
+
+    A frequent shingle's points are dealt over salts, so pivots are the least of a
+    salt there (salt > 0); of other shingles (salt 0) only those of two points or more are kept.
+    """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, salted, seen = [], [], [], [], set()
             for s in shingle_sets(Words(part.column(0))):
-                if not len(s):
+                node = digest(s, seed)[0]
+                if not len(s) or node in seen:
                     continue
+                seen.add(node)
                 first = len(s) - -(-3 * len(s) // 4) + 1
                 common = frequent[(s >> np.uint64(32) & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 take = np.concatenate((s[~common], s[common]))[:first]
                 keys.append(take)
-                nodes.append(digest(s, seed)[0])
+                nodes.append(node)
                 sizes.append(first)
+                salted.append(np.where(np.arange(first) < np.count_nonzero(~common), 0, 1 + node % salts).astype(np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salted)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["key", "salt", "node"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by key and node.  Of a group that goes on in the next batch only the last row, and the pivot, are kept back.
-        held_key = held_node = pivot = None
+        # Sorted by key, salt and node.  Of a group that goes on in the next batch only the last row, and the pivot, are kept back.
+        held = pivot = None
+        grown = False
         for batch in batches:
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, salt, node = (batch.column(k).to_numpy() for k in range(3))
             if not len(key):
                 continue
-            if held_key is not None:
-                key, node = np.concatenate(([held_key], key)), np.concatenate(([held_node], node))
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[fresh], node[fresh]
-            opens = np.ones(len(key), bool)
-            opens[1:] = key[1:] != key[:-1]
+            if held is not None:
+                key, salt, node = (np.concatenate(([h], x)) for h, x in zip(held, (key, salt, node), strict=True))
+            new_group = np.ones(len(key), bool)
+            new_group[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+            fresh = new_group.copy()
+            fresh[1:] |= node[1:] != node[:-1]
+            key, salt, node, opens = key[fresh], salt[fresh], node[fresh], new_group[fresh]
             first = np.maximum.accumulate(np.where(opens, np.arange(len(key)), 0))
             pivots = node[first]
-            if pivot is not None and key[0] == held_key:
-                pivots[first == 0] = pivot
             size_two = np.zeros(len(key), bool)
             size_two[1:] = ~opens[1:]
             size_two[:-1] |= ~opens[1:]
-            if pivot is not None and key[0] == held_key:
-                size_two[0] = pivot != node[0] or size_two[0]
-            out = size_two.copy()
+            if held is not None:
+                pivots[first == 0] = pivot
+                size_two[0] |= grown
+            out = size_two | (salt > 0)
+            held, pivot, grown = (key[-1], salt[-1], node[-1]), pivots[-1], bool(size_two[-1])
             out[-1] = False
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out]), pa.array(pivots[out])], ["key", "node", "pivot"])
-            held_key, held_node, pivot = key[-1], node[-1], pivots[-1]
-            grown = bool(size_two[-1])
-        if held_key is not None and grown:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (held_key, held_node, pivot)], ["key", "node", "pivot"])
-
-    rows = docs.select("text").mapInArrow(dealt, "key long, node long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long, pivot long")
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, salt, node, pivots)], ["key", "salt", "node", "pivot"])
+        if held is not None and (grown or held[1] > 0):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*held, pivot), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["key", "salt", "node", "pivot"])
+
+    rows = docs.select("text").mapInArrow(dealt, "key long, salt int, node long")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(shared, "key long, salt int, node long, pivot long")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """A written table, with a hint to broadcast it if it is counted to be small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def trees(docs: DataFrame, frequent: np.ndarray, seed: int, folder: str) -> DataFrame:
+    """key, node: the points of every tree; a tree is named by its least point."""
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialised(cells(docs, frequent, seed, salts), folder)
+    frequent_cells = found.where("salt > 0")
+    least = materialised(frequent_cells.groupBy("key").agg(F.min("pivot").alias("least"), F.min("node").alias("one"), F.max("node").alias("other")).where("one < other").select("key", "least"), folder)
+    joined = frequent_cells.join(counted(least), "key").select(F.col("least").alias("key"), "node")
+    return materialised(found.where("salt = 0").select(F.col("pivot").alias("key"), "node").unionByName(joined).distinct(), folder)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about FOREST that end where a group of rows with equal first columns ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < FOREST:
+            continue
+        whole = pa.concat_batches(held)
+        names = np.stack([whole.column(c).to_numpy() for c in range(keys)])
+        cut = int(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)).max(initial=-1)) + 1
+        if cut:
+            yield whole.slice(0, cut)
+        held = [whole.slice(cut)]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def numbered(*names: np.ndarray) -> np.ndarray:
+    """0, 0, 1, ...: the number of the group that each row of sorted groups is in."""
+    opens = np.zeros(len(names[0]), np.int64)
+    for x in names:
+        opens[1:] |= x[1:] != x[:-1]
+    return np.cumsum(opens)
+
+
+def steps(tree: np.ndarray, width: int) -> Iterator[slice]:
+    """Slices of sorted trees that make no more than CELLS counts of that width, or are one tree."""
+    first = np.append(np.flatnonzero(np.append(True, tree[1:] != tree[:-1])), len(tree))
+    k = 0
+    while k < len(first) - 1:
+        to = max(k + 1, int(np.searchsorted(first, first[k] + CELLS // width, "right")) - 1)
+        yield slice(int(first[k]), int(first[to]))
+        k = to
+
+
+def pair_batch(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+
+def middles(counts: pa.Array, n: np.ndarray, tree: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows: each with the middle one of its tree, as far as the bound leaves them.
+
+    The middle row is the one nearest to the mean counts of those rows whose sizes
+    can link to the tree's middle size; in a tree of one leaf it is the wanted row.
+    """
+    by_size = np.lexsort((n, tree))
+    size = np.bincount(tree)
+    first = np.cumsum(size) - size
+    middle_size = n[by_size][first + size // 2][tree]
+    near = (4 * n >= 3 * middle_size) & (4 * middle_size >= 3 * n)
+    resolution = np.array([n_groups(int(x)) for x in range(1, 5000)])[np.minimum(middle_size, 4999) - 1]
+    a, b = [], []
+    for width in np.unique(resolution[near]):
+        rows = np.flatnonzero(near & (resolution == width))
+        for step in steps(tree[rows], int(width)):
+            row = rows[step]
+            t = numbered(tree[row])
+            v = vectors([counts[int(r)].as_py() for r in row], n[row])
+            opens = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            mean = np.add.reduceat(v, opens).astype(np.float32) / np.diff(np.append(opens, len(t)))[:, None]
+            far = np.concatenate([np.abs(v[k : k + 512] - mean[t[k : k + 512]]).sum(1) for k in range(0, len(v), 512)])
+            far[wanted[row] & (size[tree[row]] <= LEAF)] = -1
+            middle = np.lexsort((far, t))[opens][t]
+            i = np.flatnonzero(middle != np.arange(len(t)))
+            i = i[possible(v, n[row], i, middle[i])]
+            a.append(row[i])
+            b.append(row[middle[i]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def middle_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each point with the middle one of its tree, or of its block of a large tree."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, 2):
+            key, own, node, n = (batch.column(k).to_numpy() for k in range(4))
+            i, j = middles(batch.column(4), n, numbered(key, own), key == node)
+            yield pair_batch(node, i, j)
+
+    rows = members.select("key", block(BLOCK, F.col("size")).alias("own"), "node", "n", "counts").repartition("key", "own").sortWithinPartitions("key", "own")
+    return rows.mapInArrow(search, "a long, b long").distinct()
+
+
+def block(size: int, of: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), F.greatest(F.ceil(of / size), F.lit(1))).cast("int")
+
+
+def tree_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of points of different classes that the trees leave; members: key, node, n, counts, class, and of a tree that is cut (else null): main (whether the point is of its largest class), mains and others (how many are, how many are not).
+
+    Every point is in its size band and the next one: bands are a third wider one
+    than the other, so sets that can link have a band in common, and the points of a
+    tree are counted in much the same groups.
+    """
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, 4):
+            band, key, low, high, own, node, n, group = (batch.column(k).to_numpy() for k in range(8))
+            tree, counts = numbered(band, key, low, high), batch.column(8)
+            for one in np.unique(band):
+                rows = np.flatnonzero(band == one)
+                for step in steps(tree[rows], n_groups(int(n[rows].min()))):
+                    row = rows[step]
+                    i, j = RTrees(vectors([counts[int(r)].as_py() for r in row], n[row]), n[row], group[row], tree[row]).pairs()
+                    i, j = row[i], row[j]
+                    across = (low[i] == high[i]) | (own[i] != own[j])
+                    yield pair_batch(node, i[across], j[across])
 
-def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the count vectors leave."""
-    a = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    b = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    n_main, n_other = (F.when(F.col(c) > 0, F.ceil(F.col(c) / BLOCK)).otherwise(0).cast("int") for c in ("mains", "others"))
+    # Blocks of the largest class come first and meet those of the others only.
+    own = F.when(F.col("main"), block(BLOCK, F.col("mains"))).when(~F.col("main"), n_main + block(BLOCK, F.col("others"))).otherwise(0)
+    others = F.when(F.col("main"), F.sequence(n_main, n_main + n_other - 1)).when(~F.col("main"), F.sequence(F.lit(0), n_main + n_other - 1)).otherwise(F.array(F.lit(0)))
+    rows = (
+        members.withColumn("own", own)
+        .withColumn("other", F.explode(others))
+        .withColumn("band", F.explode(F.array(band - 1, band)))
+        .select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "class", "counts")
+    )
+    rows = rows.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
+    return rows.mapInArrow(search, "a long, b long").distinct()
 
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                na, nb = part.column(2).to_numpy(), part.column(4).to_numpy()
-                ca, cb = part.column(3).to_pylist(), part.column(5).to_pylist()
-                fine, width = np.zeros(len(na), bool), np.array([n_groups(int(x)) for x in np.minimum(na, nb)])
-                for w in np.unique(width):  # pairs of one resolution at a time
-                    at_w = np.flatnonzero(width == w)
-                    sizes, here = np.concatenate((na[at_w], nb[at_w])), np.arange(len(at_w))
-                    rows = vectors([ca[k] for k in at_w] + [cb[k] for k in at_w], sizes)
-                    fine[at_w] = possible(rows, sizes, here, here + len(at_w))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(fine)), part.column(1).filter(pa.array(fine))], ["a", "b"])
-
-    joined = pairs.join(a, "a").join(b, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
-    return joined.select("a", "b", "na", "ca", "nb", "cb").mapInArrow(left, "a long, b long")
-
-
-def texts_of(points: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
-    """node, text for each point (node, row)."""
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A doc_id may name several rows; the point's text is the one with its name.
-        for part in slices(batches):
-            named = [digest(s, seed)[0] if len(s) else None for s in shingle_sets(Words(part.column(1)))]
-            yield part.filter(pc.equal(part.column(0), pa.array(named, pa.int64())))
 
-    held = docs.select("doc_id", "text").join(points.select("node", "row"), F.col("doc_id").eqNullSafe(F.col("row"))).select("node", "text")
-    return held.mapInArrow(own, "node long, text string")
+def texts_of(nodes: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text for each of the nodes; the point's name tells a row that it stands for."""
+    named = nodes.join(points.select("node", F.col("name.a").alias("name_a"), F.col("name.b").alias("name_b")), "node")
+    rows = docs.select("text", row_name().alias("name")).select("text", F.col("name.a").alias("name_a"), F.col("name.b").alias("name_b"))
+    return rows.join(named, ["name_a", "name_b"]).dropDuplicates(["name_a", "name_b"]).select("node", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' sets link."""
+    """The pairs (a, b) whose texts' sets link, compared word by word."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                sets = [s for one in slices(iter([part]), "ta") for s in shingle_sets(Words(one.column(2)))]
-                out = []
-                for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                    if y != last:
-                        last, last_set = y, shingle_sets(Words(part.column(3).slice(k, 1)))[0]
-                    both = len(np.intersect1d(sets[k], last_set, assume_unique=True))
-                    if 100 * both >= 75 * (len(sets[k]) + len(last_set) - both):
-                        out.append((x, y))
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            sizes = sum(np.asarray(pc.binary_length(batch.column(k)), np.int64) for k in (2, 3))
+            total, at = np.concatenate(([0], np.cumsum(sizes))), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(total, total[at] + VERIFIED_BYTES, "right")) - 1)
+                part = batch.slice(at, to - at)
+                at = to
+                a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
+                node, first = np.unique(np.concatenate((a, b)), return_index=True)
+                texts = pa.concat_arrays([part.column(2).cast(pa.large_string()), part.column(3).cast(pa.large_string())]).take(pa.array(first))
+                sets = exact_shingle_sets(Words(texts))
+                fine = []
+                for x, y in zip(np.searchsorted(node, a).tolist(), np.searchsorted(node, b).tolist(), strict=True):
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    fine.append(100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both))
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(fine, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
 
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(linked, "a long, b long")
 
 
-def leaves_and_rest(spread: DataFrame) -> DataFrame:
-    """spread (key, node, class) sorted out: of groups with several classes, those of a leaf's size give their pairs of different classes (a, b; key null), larger ones their rows (a: node, b: class, key, size)."""
-    cell = Window.partitionBy("key")
-    mixed = spread.select("key", "node", "class", F.count("*").over(cell).alias("size"), F.min("class").over(cell).alias("low"), F.max("class").over(cell).alias("high")).where("low < high")
-
-    def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Groups lie together; as many rows as a leaf has are looked at again with the next batch.
-        held = [np.zeros(0, np.int64)] * 3
-        for batch in batches:
-            key, node, group, size = (batch.column(k).to_numpy() for k in range(4))
-            big = size > LEAF
-            if big.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[big]) for x in (node, group, key, size)], ["a", "b", "key", "size"])
-            old = len(held[0])
-            key, node, group = (np.concatenate((h, x[~big])) for h, x in zip(held, (key, node, group), strict=True))
-            a, b = [], []
-            for d in range(1, LEAF):
-                j = np.arange(max(old, d), len(key))
-                j = j[(key[j] == key[j - d]) & (group[j] != group[j - d])]
-                a.append(np.minimum(node[j], node[j - d]))
-                b.append(np.maximum(node[j], node[j - d]))
-            pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
-            none = pa.nulls(pairs.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none], ["a", "b", "key", "size"])
-            held = [x[-LEAF + 1 :] for x in (key, node, group)]
-
-    return mixed.select("key", "node", "class", "size").mapInArrow(sorted_out, "a long, b long, key long, size long")
-
-
-def dealt(mixed: DataFrame, across: bool) -> DataFrame:
-    """The rows of large cells for each task's group (key, band, low, high): two neighbouring size bands of one block, or across blocks of two.
-
-    A size band is a third wider than the one before; sets of other bands cannot
-    link, and the points of a group are counted in much the same groups.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
-    rows = (
-        mixed.withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("band", F.explode(F.array(band - 1, band)))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if across else F.col("own"))
-        .select("key", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "counts", "class")
-    )
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "band", "low", "high")
-
-
-def searched_in(groups: DataFrame, search: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that search finds in the groups that dealt() has made, those of one class left out."""
-
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        classes, node = table["class"].to_numpy(), table["node"].to_numpy()
-        if (classes == classes[0]).all():
-            return
-        i, j = search(table, classes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by key, band, low and high: a group ends where they change.
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            names = np.stack([batch.column(c).to_numpy() for c in range(4)])
-            cut = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1
-            for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
-                piece = batch.slice(a, b - a)
-                if held and not all(held[-1].column(c)[0].equals(piece.column(c)[0]) for c in range(4)):
-                    yield from found(pa.Table.from_batches(held))
-                    held = []
-                held.append(piece)
-        if held:
-            yield from found(pa.Table.from_batches(held))
-
-    return groups.mapInArrow(grouped, "a long, b long").distinct()
-
-
-def star_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs of each point of a block of a large cell with the block's middle point, the one nearest to the median counts.
-
-    Copies of one text link to it more often than to each other, so what they are
-    copies of, or the copy nearest to that, connects most of a crowd in one pass.
-    """
-
-    def search(table: pa.Table, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = table["n"].to_numpy()
-        v = vectors(table["counts"].to_pylist(), n)
-        middle = np.median(v, axis=0)
-        shared = np.minimum(v, middle).sum(1)
-        at = int(np.argmax(shared / (n + middle.sum() - shared)))
-        i = np.flatnonzero(classes != classes[at])
-        i = i[possible(v, n, i, np.full(len(i), at))]
-        return i, np.full(len(i), at)
-
-    return searched_in(dealt(mixed, across=False), search)
-
-
-def tree_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that the trees of large cells leave; mixed: key, size, node, n, counts, class."""
-
-    def search(table: pa.Table, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, low, high = table["n"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
-        tree = RTree(vectors(table["counts"].to_pylist(), n), n, classes)
-        return tree.pairs(table["own"].to_numpy() == low if low != high else None)
-
-    return searched_in(dealt(mixed, across=True), search)
+def mixed_trees(members: DataFrame, folder: str) -> DataFrame:
+    """members (with class) of those trees that hold several classes, and what tree_pairs() needs to cut large ones."""
+    of = members.groupBy("key", "class").agg(F.count("*").alias("points"))
+    stats = of.groupBy("key").agg(F.sum("points").alias("size"), F.max(F.struct("points", "class")).alias("largest"), F.count("*").alias("classes"))
+    stats = materialised(stats.where("classes > 1").select("key", F.when(F.col("size") > BLOCK, F.struct(F.col("largest.class").alias("class"), F.col("largest.points").alias("mains"), (F.col("size") - F.col("largest.points")).alias("others"))).alias("cut")), folder)
+    return members.drop("size").join(counted(stats), "key").select("key", "node", "n", "counts", "class", (F.col("class") == F.col("cut.class")).alias("main"), F.col("cut.mains").alias("mains"), F.col("cut.others").alias("others"))
 
 
 def jaccard_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; with keep, these columns too, and class: a number of its own for each class, with ids or without (null: an empty set, in no class)."""
-    spark, seed = docs.sparkSession, 0
+    with scratch(docs.sparkSession) as folder:
+        return materialised(_classes(docs, keep, folder))
+
+
+def _classes(docs: DataFrame, keep: tuple[str, ...], folder: str) -> DataFrame:
+    seed = 0
     while True:
-        rows = materialised(sketches(docs, seed, keep))
+        rows = materialised(sketches(docs, seed, keep), folder)
         named = rows.where("kind = 0 and n > 0")
         points = materialised(
-            named.groupBy("node").agg(F.min("doc_id").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts"), (F.max("check") != F.min("check")).alias("clash"))
+            named.groupBy("node").agg(F.min("doc_id").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.min("row_name").alias("name"), (F.max("check") != F.min("check")).alias("clash")), folder
         )
         if not points.where("clash").limit(1).count():
             break
         seed += 1  # two sets with one 64-bit name: take other names
-    frequent = frequency_table(rows.where("kind = 1").select("node", "counts"))
-    # Cells with the same first point mostly hold the same points: together they are one group, and no pair is met in each of them again.
-    groups = materialised(cells(docs, frequent, seed).select(F.col("pivot").alias("key"), "node").distinct())
-    tried = materialised(bounded(groups.where("node <> key").select(F.col("node").alias("a"), F.col("key").alias("b")), points))
-    texts = materialised(texts_of(groups.select("node").distinct().join(points.select("node", "row"), "node"), docs, seed))
-    links = materialised(verified(tried, texts))
-    spread = groups.join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    rest = materialised(leaves_and_rest(spread))
-    large = materialised(rest.where("key is not null").select("key", "size", F.col("a").alias("node"), F.col("b").alias("class")).join(points.select("node", "n", "counts"), "node"))
-    # A pivot is the least point of its cell, so pairs tried before have their ends the other way round.
-    tried = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    stars = materialised(star_pairs(large).join(tried, ["a", "b"], "left_anti"))
-    star_links = materialised(verified(stars, texts))
-    class_of = large.select("node", "class").distinct()
-    joined = star_links.join(class_of.toDF("a", "class_a"), "a").join(class_of.toDF("b", "class_b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    large = large.join(connected(joined).toDF("class", "over"), "class", "left").withColumn("class", F.coalesce("over", "class")).drop("over")
-    pairs = rest.where("key is null").select("a", "b").unionByName(tree_pairs(large)).distinct()
-    untried = materialised(bounded(pairs, points)).join(tried.unionByName(stars), ["a", "b"], "left_anti")
-    links = links.unionByName(star_links).unionByName(materialised(verified(untried, texts)))
-    classes = connected(links)
-    whole = points.select("node", "row").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    members = trees(docs, frequency_table(rows.where("kind = 1")), seed, folder)
+    sizes = counted(materialised(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), folder))
+    members = materialised(members.join(points.select("node", "n", "counts"), "node").join(sizes, "key", "left").withColumn("size", F.coalesce("size", F.lit(1))), folder)
+    texts = materialised(texts_of(members.select("node").distinct(), points, docs), folder)
+    tried = materialised(middle_pairs(members), folder)
+    links = materialised(verified(tried, texts), folder)
+    spread = materialised(members.join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node")), folder)
+    pairs = materialised(tree_pairs(mixed_trees(spread, folder)).join(tried, ["a", "b"], "left_anti"), folder)
+    links = links.unionByName(materialised(verified(pairs, texts), folder))
+    whole = points.select("node", "row").join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = whole.groupBy("class").agg(F.min("row").alias("component_id"))
     named_by = whole.join(least, "class").select("node", "component_id", *(["class"] if keep else []))
     return (

@@ -7,6 +7,7 @@ inside a multi-byte character.  A null text counts as an empty one.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,6 +128,33 @@ def shingle_sets(words: Words, size: int = 5) -> list[np.ndarray]:
     return out
 
 
+def exact_shingle_sets(words: Words, size: int = 5) -> list[np.ndarray]:
+    """As shingle_sets, but by numbers that are equal for equal words and for no others; they mean nothing beyond these texts."""
+    lower = words.bytes.copy()
+    capital = (lower >= 65) & (lower <= 90)
+    lower[capital] += 32
+    length = words.end - words.start
+    offsets = np.concatenate(([0], np.cumsum(length)))
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(lower[ranges(words.start, length)].tobytes())]).dictionary_encode()
+    named = {1: coded.indices.to_numpy().astype(np.int64)}
+
+    def runs(k: int) -> np.ndarray:
+        """The number of the run of k words at each place: one for each pair of two shorter runs' numbers."""
+        if k not in named:
+            half, count = 1 << (k - 1).bit_length() - 1, max(0, len(length) - k + 1)
+            left, right = runs(half)[:count], runs(k - half)
+            named[k] = np.unique(left * (int(right.max(initial=0)) + 1) + right[half : half + count], return_inverse=True)[1]
+        return named[k]
+
+    out = []
+    for a, b in itertools.pairwise(words.first.tolist()):
+        if b - a >= size:
+            out.append(np.unique(runs(size)[a : b - size + 1]))
+        else:
+            out.append(-size * runs(b - a)[a : a + 1] - (b - a) if b > a else named[1][:0])
+    return out
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All integers of the ranges [start, start + size), one range after another."""
     total = int(sizes.sum())

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locus.llm import chat, components, decontaminate, pieces, pii, quality, sharding, simjoin, substrings, tokencount, topk, vocabulary
+from locus.llm import chat, components, decontaminate, pieces, pii, quality, sharding, simjoin, substrings, textops, tokencount, topk, vocabulary
 
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,21 +106,60 @@ def test_join_crowd_of_copies(spark):
     assert got == brute_classes(rows)
 
 
-def test_tree_bound_and_blocks():
+def test_trees_lose_no_link():
     rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 400, 120, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(90)]
-    sets += [np.unique(np.concatenate((s[: len(s) - 3], rng.integers(0, 2**60, 3, dtype=np.uint64)))) for s in sets[:20]]
-    n = np.array([len(s) for s in sets])
+    sets = [np.unique(rng.integers(0, 400, 120, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(290)]
+    sets += [np.unique(np.concatenate((s[: len(s) - 3], rng.integers(0, 2**60, 3, dtype=np.uint64)))) for s in sets[:60]]
+    n, tree = np.array([len(s) for s in sets]), rng.integers(0, 3, len(sets))
+    tree[5:8] = 7
     v = simjoin.vectors([simjoin.count_vector(s) for s in sets], n)
-    found = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in simjoin.RTree(v, n, np.arange(len(sets))).pairs()), strict=True)}
-    for a in range(len(sets)):
-        for b in range(a):
-            both = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * both >= 75 * (n[a] + n[b] - both):
-                assert (b, a) in found
-    half = np.arange(len(sets)) % 2 == 0
-    across = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in simjoin.RTree(v, n, np.arange(len(sets))).pairs(half)), strict=True)}
-    assert across == {p for p in found if half[p[0]] != half[p[1]]}
+    for group in (np.arange(len(sets)), np.arange(len(sets)) % 5, np.zeros(len(sets), int)):
+        found = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in simjoin.RTrees(v, n, group, tree).pairs()), strict=True)}
+        assert all(tree[a] == tree[b] and group[a] != group[b] for a, b in found)
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if tree[a] == tree[b] and group[a] != group[b] and 100 * both >= 75 * (n[a] + n[b] - both):
+                    assert (b, a) in found
+
+
+def test_join_cuts_large_trees(spark, monkeypatch):
+    # Trees of a few points count as large: blocks of the largest class, blocks of the rest, salted frequent shingles.
+    for name, value in (("BLOCK", 8), ("LEAF", 3), ("FAN", 2), ("FOREST", 20), ("CELLS", 4096), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(simjoin, name, value)
+    monkeypatch.setattr(simjoin, "frequency_table", lambda strips: np.arange(simjoin.COUNTERS) % 2 == 0)
+    rng, rows = random.Random(12), {}
+    base = [f"w{k}" for k in range(90)]
+    for k in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(9)):
+            copy[rng.randrange(90)] = f"v{rng.randrange(400)}"
+        rows[k] = " ".join(copy[: rng.randint(60, 90)])
+    frame = spark.createDataFrame([(k, t) for k, t in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.jaccard_classes(frame).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_exact_shingles():
+    import pyarrow as pa
+
+    texts = [t for _, t in corpus()] + ["a b c d", "A b c", "b c d", "a b c d e", "", "e a b c d e"]
+    sets = textops.exact_shingle_sets(textops.Words(pa.array(texts)))
+    names = {}
+    for t, s in zip(texts, sets, strict=True):
+        assert len(s) == len(set(s.tolist())) == len(shingles(t))
+        assert len(names.setdefault(frozenset(s.tolist()), shingles(t))) == len(s)
+    for a, s in zip(texts, sets, strict=True):
+        for b, u in zip(texts[-12:], sets[-12:], strict=True):
+            assert len(np.intersect1d(s, u)) == len(shingles(a) & shingles(b))
+
+
+def test_join_null_ids_and_clashing_columns(spark):
+    long = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, long), (None, long), (None, long + " x"), (4, "y " + long), (5, "other words"), (None, None), (6, "other words")]
+    frame = spark.createDataFrame([(k, t, "s", 0) for k, t in rows], "doc_id long, text string, node string, n int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in simjoin.jaccard_classes(frame).collect())
+    assert got == [(0, 0, 0), (0, 26, 4), (0, 26, 4), (0, 27, 4), (4, 27, 4), (5, 1, 5), (6, 1, 5)]
 
 
 def test_components(spark):
