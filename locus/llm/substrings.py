@@ -13,8 +13,11 @@ repeat have equal anchors, and neighbouring windows mostly share theirs.
 
 Spark counts the anchors of all texts.  Only where an anchor is shared do its
 windows travel, together in one row, to where the others of that anchor are;
-there they are compared by the names of all their words.  Windows count as equal
-when the anchor's and the window's 64-bit names both are.
+there they are compared by the names of all their words.  Of equal windows of one
+slice of texts only the earliest travels, and of a slice's equal anchors one, so a
+line that a third of all texts hold is a row a slice there.  Windows count as equal
+when the anchor's name and the window's, two hashes of different make, 123 bits in
+all, both are.
 
 A null text has no words, texts of fewer than size words lose none.  Rows of one
 doc_id are one document's: equal places of them are not earlier than each other,
@@ -120,15 +123,24 @@ def _ordinals(text: np.ndarray) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, size: int) -> DataFrame:
-    """doc, ordinals: those stretches of every document whose anchor occurs elsewhere too."""
+    """row, ordinals: those stretches of every row's text whose anchor occurs elsewhere too."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            words = Words(part.column(1))
+            words, rows = Words(part.column(1)), part.column(0).to_numpy()
             _, _, text, name, times = stretches(words.hashes(lower=False), words.first, size)
             # Two symbols are enough to tell that the windows of one stretch can equal each other.
             again = np.repeat(np.arange(len(text)), np.clip(times, 1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(name[again].view(np.int64)), part.column(0).take(pa.array(text[again])), pa.array(_ordinals(text)[again].astype(np.int32))], ["name", "doc", "ordinal"])
+            name, row, ordinal = name[again], rows[text[again]], _ordinals(text)[again].astype(np.int32)
+            # Anchors met twice in a slice are settled (ordinal below 0).  One of each goes where the others of its name are, the rest anywhere: a frequent anchor is a row a slice.
+            order = np.argsort(name, kind="stable")
+            same = name[order[1:]] == name[order[:-1]]
+            rest, settled = np.zeros(len(name), bool), np.zeros(len(name), bool)
+            rest[order[1:]] = same
+            settled[order[1:]] = same
+            settled[order[:-1]] |= same
+            route = np.where(rest, mix64(row.view(np.uint64) + ordinal.astype(np.uint64)), name)
+            yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(row), pa.array(np.where(settled, -1 - ordinal, ordinal))], ["name", "row", "ordinal"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sorted by name; the last row waits for the next batch.
@@ -137,20 +149,21 @@ def shared_anchors(docs: DataFrame, size: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
-            name = rows.column(0).to_numpy()
-            twice = np.zeros(len(name), bool)
-            twice[1:] = name[1:] == name[:-1]
+            name, ordinal = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+            twice = ordinal < 0
+            twice[1:] |= name[1:] == name[:-1]
             twice[:-1] |= name[1:] == name[:-1]
             twice[0] |= held_twice
             held, held_twice = rows.slice(len(name) - 1), bool(twice[-1])
             twice[-1] = False
-            yield rows.filter(pa.array(twice)).select(["doc", "ordinal"])
+            yield pa.RecordBatch.from_arrays([rows.column(1).filter(pa.array(twice)), pa.array(np.maximum(ordinal, -1 - ordinal)[twice])], ["row", "ordinal"])
         if held is not None and held_twice:
-            yield held.select(["doc", "ordinal"])
+            ordinal = held.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([held.column(1), pa.array(np.maximum(ordinal, -1 - ordinal))], ["row", "ordinal"])
 
-    rows = docs.select("doc", "text").mapInArrow(named, "name long, doc long, ordinal int")
-    found = rows.repartition("name").sortWithinPartitions("name").mapInArrow(repeated, "doc long, ordinal int")
-    return found.groupBy("doc").agg(F.collect_list("ordinal").alias("ordinals"))
+    rows = docs.select("row", "text").mapInArrow(named, "name long, row long, ordinal int")
+    found = rows.repartition("name").sortWithinPartitions("name").mapInArrow(repeated, "row long, ordinal int")
+    return found.groupBy("row").agg(F.collect_set("ordinal").alias("ordinals"))
 
 
 class Judge:
@@ -183,47 +196,66 @@ class Judge:
 
 
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
-    """doc, text_hash, spans: the word ranges that repeated windows cover."""
+    """row, text_hash, spans: the word ranges that repeated windows cover."""
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = Words(part.column(1))
             hashed = words.hashes(lower=False)
             place, count, text, name, _ = stretches(hashed, words.first, size)
-            ordinals = part.column(3)
+            ordinals = part.column(4)
             wanted = np.repeat(np.arange(len(ordinals)), np.asarray(ordinals.value_lengths())) << 32 | ordinals.flatten().to_numpy()
             use = np.isin(text << 32 | _ordinals(text), wanted)
             place, count, text, name = place[use], count[use], text[use], name[use]
-            data = gram_hashes(hashed, size)[ranges(place, count)].tobytes()
-            offsets = np.concatenate(([0], np.cumsum(count * 8))).astype(np.int32)
-            windows = pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-            local = (place - words.first[text]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), part.column(0).take(pa.array(text)), part.column(2).take(pa.array(text)), pa.array(local), windows], ["name", "doc", "text_hash", "place", "windows"])
+            stretch = np.repeat(np.arange(len(count)), count)
+            window = gram_hashes(hashed, size)[ranges(place, count)]
+            at = (ranges(place, count) - words.first[text[stretch]]).astype(np.int64)
+            doc = part.column(0).to_numpy()[text]
+            # Of equal windows of a slice only the earliest has to meet the others.
+            order = np.lexsort((at, doc[stretch], name[stretch]))
+            hit = np.zeros(len(window), bool)
+            hit[order] = Judge().repeats(name[stretch[order]], doc[stretch[order]], at[order], window[order])
+            opens = np.ones(len(window), bool)
+            opens[1:] = (stretch[1:] != stretch[:-1]) | (hit[1:] != hit[:-1])
+            run = np.flatnonzero(opens)
+            length, known = np.diff(np.append(run, len(window))), hit[run]
+            offsets = np.concatenate(([0], np.cumsum(np.where(known, 0, length * 8)))).astype(np.int32)
+            windows = pa.BinaryArray.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(window[~hit].tobytes())])
+            owner, begin = text[stretch[run]], at[run]
+            # What is known needs no one to meet: it goes anywhere.
+            route = np.where(known, mix64(begin.view(np.uint64) + name[stretch[run]]), name[stretch[run]])
+            end = np.where(known, begin + length - 1 + size, 0)
+            owners = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), *(part.column(k).take(owners) for k in (0, 2, 3)), pa.array(begin), pa.array(end), windows], ["name", "doc", "row", "text_hash", "place", "known_end", "windows"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge()
+        judge, columns = Judge(), ["row", "text_hash", "a", "b"]
         for batch in batches:
-            name, doc, text_hash, place = (batch.column(k).to_numpy() for k in range(4))
-            count = np.asarray(pc.binary_length(batch.column(4)), np.int64) // 8
+            known = pc.greater(batch.column(5), 0)
+            done = batch.filter(known)
+            yield pa.RecordBatch.from_arrays([done.column(k) for k in (2, 3, 4, 5)], columns)
+            batch = batch.filter(pc.invert(known))
+            name, doc, owner, text_hash, place = (batch.column(k).to_numpy() for k in range(5))
+            count = np.asarray(pc.binary_length(batch.column(6)), np.int64) // 8
             row = np.repeat(np.arange(len(count)), count)
-            window = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64)
+            window = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64)
             at = place[row] + _ordinals(row)
             hit = np.flatnonzero(judge.repeats(name[row], doc[row], at, window))
             opens = np.ones(len(hit), bool)
             opens[1:] = (np.diff(hit) > 1) | (row[hit[1:]] != row[hit[:-1]])
             first, last = hit[opens], hit[np.append(opens[1:], True)] if len(hit) else hit
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array(text_hash[row[first]]), pa.array(at[first]), pa.array(at[last] + size)], ["doc", "text_hash", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner[row[first]]), pa.array(text_hash[row[first]]), pa.array(at[first]), pa.array(at[last] + size)], columns)
 
-    flagged = docs.join(shared_anchors(docs, size), "doc").select("doc", "text", "text_hash", "ordinals")
-    rows = flagged.mapInArrow(gathered, "name long, doc long, text_hash int, place long, windows binary")
-    spans = rows.repartition("name").sortWithinPartitions("name", "doc", "place").mapInArrow(judged, "doc long, text_hash int, a long, b long")
-    return spans.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    flagged = docs.join(shared_anchors(docs, size), "row").select("doc", "text", "row", "text_hash", "ordinals")
+    rows = flagged.mapInArrow(gathered, "name long, doc long, row long, text_hash int, place long, known_end long, windows binary")
+    spans = rows.repartition("name").sortWithinPartitions("name", "doc", "place").mapInArrow(judged, "row long, text_hash int, a long, b long")
+    return spans.groupBy("row", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and what names a row in joins: doc (a null id as the least number) and a hash of the text."""
+    """doc_id, text, doc (a null id as the least number), and what names a row in joins: 64 bits of id and text, and 32 more."""
     doc: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.select("doc_id", "text", doc.alias("doc"), F.hash("text").alias("text_hash"))
+    return docs.select("doc_id", "text", doc.alias("doc"), F.xxhash64("doc_id", "text").alias("row"), F.hash("text", "doc_id").alias("text_hash"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
@@ -252,4 +284,4 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(n - np.diff(before)), texts.cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     spans = materialised(repeated_spans(docs, size))
-    return docs.join(spans, ["doc", "text_hash"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.join(spans, ["row", "text_hash"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")

@@ -387,6 +387,23 @@ def test_substring_dedup_repeated_rows_and_null_ids(spark):
     assert got == [(0, 0), (1, 30), (1, 30), (2, 30)]
 
 
+def test_substring_dedup_of_a_hot_line_and_of_rows_without_ids(spark, monkeypatch):
+    rng = random.Random(5)
+    line, rows = " ".join(f"h{k}" for k in range(25)), {}
+    for k in range(300):
+        own = " ".join(f"{k}.{j}" for j in range(rng.randint(1, 30)))
+        rows[k] = rng.choice([own, f"{own} {line}", f"{line} {own} {line}", line])
+    frame = spark.createDataFrame([(k, t, "x", 1) for k, t in rows.items()], "doc_id long, text string, doc string, row int").repartition(6)
+    for step in (1 << 21, 700):
+        monkeypatch.setattr(substrings, "slices", lambda batches, step=step: textops.slices(batches, step=step))
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(frame).collect()}
+        assert got == brute_removed(rows, 20)
+    # Rows without an id are one document that comes first; each keeps its own text.
+    nulls = spark.createDataFrame([(None, line + " a"), (None, "b c " + line), (None, "other"), (3, line)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.remove_repeats(nulls).collect())
+    assert got == [(0, 1, 0), (0, 26, 0), (0, 27, 25), (3, 25, 25)]
+
+
 def test_judge_across_batches():
     rng = np.random.default_rng(1)
     n = 400
