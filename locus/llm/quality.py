@@ -13,7 +13,8 @@ that ever reaches the driver.  Scoring reads every whole text once.
 
 Null and empty texts get a score as any other (their features are zeros).  With
 no labelled rows, or labels of one kind only, every score is that label's
-smoothed frequency.  Rows whose id is null are scored but never used to fit.
+smoothed frequency.  Rows whose id is null are scored but never used to fit.  Of
+several labels of one id the least holds; rows that share an id share its label.
 Extra columns are kept, and a column named like an output column is replaced.
 """
 
@@ -169,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label: str
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where("doc_id is not null and y in (0, 1)")
         .where(F.crc32(key) % 5 != 0)
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )

@@ -187,12 +187,12 @@ def vocab():
     return vocabulary.load()
 
 
-ODD_TEXTS = ["a▁b", "  lead", "tail  ", "nul\0here", "\U0001f600 ok", "梦ゼ x", "日" * 40, " " * 45 + "z", "q" * 3000]
+ODD_TEXTS = ["a▁b", "  lead", "tail  ", "nul\0here", "\U0001f600 ok", "梦ゼ x", "日" * 40, " " * 45 + "z", "q" * 8000, "the" * 2500, "é▁" * 2000]
 
 
 def test_token_counts(spark, docs, empty, vocab):
     rows, frame = docs
-    rows = {k: t if t is None or len(t) < 3000 else t[:3000] for k, t in rows.items()} | {1000 + k: t for k, t in enumerate(ODD_TEXTS)}
+    rows = rows | {1000 + k: t for k, t in enumerate(ODD_TEXTS)}
     frame = spark.createDataFrame([(k, t, 0) for k, t in rows.items()], "doc_id long, text string, n_tokens long")
     got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokencount.count_tokens(frame, vocab).collect()}
     want = {k: (len(w := SPLIT.findall(t or "")), sum(len(brute_weight(vocab, " " + x)[1]) for x in w)) for k, t in rows.items()}
@@ -200,7 +200,7 @@ def test_token_counts(spark, docs, empty, vocab):
 
 
 def test_encoding(spark, docs, empty, vocab):
-    rows = {k: t if t is None or len(t) < 3000 else t[:3000] for k, t in docs[0].items()} | {1000 + k: t for k, t in enumerate(ODD_TEXTS)}
+    rows = docs[0] | {1000 + k: t for k, t in enumerate(ODD_TEXTS)}
     frame = spark.createDataFrame([(k, t, "old") for k, t in rows.items()], "doc_id long, text string, ids string")
     coded = pieces.encode(frame, vocab)
     back = {r.doc_id: r for r in pieces.decode(coded, vocab).collect()}
@@ -528,13 +528,60 @@ def test_sharding_crates(spark, monkeypatch):
     monkeypatch.setattr(sharding, "LARGE", 2)
     monkeypatch.setattr(sharding, "CRATES", 20)
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 100)
-    frame = spark.createDataFrame([(k, f"text {k % 700}") for k in range(900)] + [(1000 + k, "common " * 20) for k in range(60)], "doc_id long, text string")
+    frame = spark.createDataFrame([(k, f"text {k % 700}") for k in range(900)] + [(1000 + k, "common " * 20) for k in range(60)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("size", "shard", "slot", "row", "item", "bucket")})
     got = sharding.shard_by_bytes(frame, 8).groupBy("shard").agg(F.sum("size").alias("bytes"), F.max("slot").alias("last"), F.countDistinct("slot").alias("n")).collect()
     assert all(r.last + 1 == r.n for r in got) and len(got) == 8
     rest = sorted(r.bytes for r in got)[:-1]
     assert rest[-1] - rest[0] < 0.15 * rest[-1]
 
 
+def test_sharding_of_repeated_rows(spark):
+    frame = spark.createDataFrame([(7, "same")] * 200 + [(None, None)] * 50 + [(k, f"text {k}") for k in range(100, 400)], "doc_id long, text string")
+    got = sharding.shard_by_bytes(frame, 4).collect()
+    assert len(got) == 550 and len({r.shard for r in got if r.doc_id == 7}) == 1 and all(r["size"] == 1 for r in got if r.doc_id is None)
+    for s in range(4):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def naive_features(text):
+    raw, words = (text or "").encode(), SPLIT.findall((text or "").translate(LOWER))
+    sets = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'\"()-", b"!", b"|", b"#$%&*", b"@=+<>{}[]\\/^~_`", b"\n\r", b" \t\x0b\x0c", bytes(range(128, 256)), bytes([*range(9), *range(14, 32), 127])]
+    size, n = max(len(raw), 1), max(len(words), 1)
+    bytes_of = [len(w.encode()) for w in words]
+    pairs = list(zip(words, words[1:], strict=False))
+    return [
+        np.log1p(len(raw)), np.log1p(len(words)), sum(bytes_of) / n, *(sum(b in s for b in raw) / size for s in sets),
+        sum(b <= 3 for b in bytes_of) / n, sum(b >= 13 for b in bytes_of) / n,
+        len(set(words)) / n, len(set(pairs)) / len(pairs) if pairs else len(words), max(map(words.count, words), default=0) / n,
+        np.log1p(len(words) / (sum(b in b"\n\r" for b in raw) + 1)), len(set(raw)),
+    ]
+
+
+def test_quality_features_and_scores_against_plain_sums():
+    import pyarrow as pa
+
+    texts = [t if t is None else t[:2000] for _, t in corpus()] + ["A!b|c #1\n\tx=y \x01\x7f", "one"]
+    x = quality.features(pa.array(texts))
+    assert x.shape[1] == len(quality.FEATURES)
+    np.testing.assert_allclose(x, np.array([naive_features(t) for t in texts], float), rtol=1e-9)
+    y = np.array([len(t or "") % 2 for t in texts], float)
+    model = quality.fit(x, y, rounds=5, pair_rounds=3)
+    for row, score in zip(x, model.score(x), strict=True):
+        b = [int(np.searchsorted(e, v, "right")) for e, v in zip(model.edges, row, strict=True)]
+        total = model.intercept + sum(t[k] for t, k in zip(model.tables, b, strict=True)) + sum(t[b[i], b[j]] for (i, j), t in model.pairs.items())
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+    assert len(model.pairs) == 8
+
+
+def test_quality_takes_the_least_of_several_labels(spark):
+    frame = spark.createDataFrame([(k, "good plain words " * (k % 9)) for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, v) for k in range(100) for v in (k % 2, 1)], "doc_id long, quality int")
+    clean = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
+    scores = [[r.score for r in quality.score(frame, quality.train(frame, x)).orderBy("doc_id").collect()] for x in (labels.repartition(5), labels, clean)]
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(8)
     good = [(k, " ".join(rng.choice(["plain", "words", "of", "prose"]) for _ in range(rng.randint(5, 60))) + ".") for k in range(150)]
