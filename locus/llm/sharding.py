@@ -104,29 +104,32 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.unhex(F.sha2(text, 256)).alias("group_key"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
-    groups = rows.groupBy("group_key").agg(F.sum("size").alias("bytes"))
+    groups = materialised(rows.groupBy("group_key").agg(F.sum("size").alias("bytes")))
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    crate = F.when(
-        F.col("bytes") < total / (LARGE * shards), F.concat(F.lit("crate "), F.pmod(F.xxhash64("group_key"), F.lit(CRATES * shards)).cast("string"))
-    ).otherwise(F.hex("group_key"))
-    groups = groups.select("group_key", "bytes", crate.alias("item"))
-    # Bounded: at most (LARGE + CRATES) * shards items.
-    items = sorted(map(tuple, groups.groupBy("item").agg(F.sum("bytes").alias("bytes")).collect()))
+    # Bounded: at most LARGE * shards groups are that large, and there are CRATES * shards crates.
+    large = groups.where(F.col("bytes") >= total / (LARGE * shards)).select("group_key", F.hex("group_key").alias("own"))
+    crate = F.concat(F.lit("crate "), F.pmod(F.xxhash64("group_key"), F.lit(CRATES * shards)).cast("string"))
+
+    def with_items(table: DataFrame) -> DataFrame:
+        return table.join(F.broadcast(large), "group_key", "left").withColumn("item", F.coalesce("own", crate))
+
+    items = sorted(map(tuple, with_items(groups).groupBy("item").agg(F.sum("bytes").alias("bytes")).collect()))
     bins = pack_into([size for _, size in items], shards)
     placed = docs.sparkSession.createDataFrame([(item, b) for (item, _), b in zip(items, bins, strict=True)], "item string, shard int")
-    shard_of = groups.join(F.broadcast(placed), "item").select("group_key", "shard")
-    buckets = max(1, count // BUCKET_ROWS)
-    out = rows.join(shard_of, "group_key").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
+    # Rows find their shard where they lie; a group of a third of all rows is not brought together.
+    out = with_items(rows).join(F.broadcast(placed), "item")
+    out = out.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.col("row") % 4096), F.lit(max(1, count // BUCKET_ROWS))))
     before = (
         out.groupBy("shard", "bucket")
         .count()
         .select("shard", "bucket", (F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).alias("before"))
     )
-    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
+    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32", "row")
     return (
-        out.withColumn("row", F.row_number().over(order))
+        out.withColumn("place", F.row_number().over(order))
         .join(before, ["shard", "bucket"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("row") - 1).cast("long").alias("slot"))
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot"))
     )
