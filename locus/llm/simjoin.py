@@ -54,6 +54,8 @@ from locus.llm.textops import Words, exact_shingle_sets, mix64, ranges, shingle_
 COUNTERS, STRIP = 1 << 20, 1 << 12
 #: Parts of the tasks whose tables are summed first; rows that may be broadcast; bytes of texts that are verified together.
 PARTS, BROADCAST_ROWS, VERIFIED_BYTES = 32, 100_000, 1 << 21
+#: Bits of a frequent shingle's key that are not its salt's.
+SHINGLE_BITS = 48
 #: Points of a leaf, children of an inner box, points of a block of a large tree.
 LEAF, FAN, BLOCK = 16, 8, 1024
 #: Rows of small trees that are searched together, and counts that a step holds as a matrix.
@@ -208,15 +210,17 @@ def frequency_table(strips: DataFrame) -> np.ndarray:
 
 
 def cells(docs: DataFrame, frequent: np.ndarray, seed: int, salts: int) -> DataFrame:
-    """key, salt, node, pivot: the points of each shingle, and the least of them.
+    """key, node, pivot: the points of each shingle, and the least of them.
 
-    A frequent shingle's points are dealt over salts, so pivots are the least of a
-    salt there (salt > 0); of other shingles (salt 0) only those of two points or more are kept.
+    An even key is a shingle of two points or more.  A frequent shingle's points are
+    dealt over salts: there the key's upper SHINGLE_BITS are the shingle's, the others
+    the salt's and odd, and the pivot is the least of the salt.
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt_bits = np.uint64(64 - SHINGLE_BITS)
         for part in slices(batches):
-            keys, nodes, sizes, salted, seen = [], [], [], [], set()
+            keys, nodes, sizes, seen = [], [], [], set()
             for s in shingle_sets(Words(part.column(0))):
                 node = digest(s, seed)[0]
                 if not len(s) or node in seen:
@@ -224,29 +228,29 @@ def cells(docs: DataFrame, frequent: np.ndarray, seed: int, salts: int) -> DataF
                 seen.add(node)
                 first = len(s) - -(-3 * len(s) // 4) + 1
                 common = frequent[(s >> np.uint64(32) & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                take = np.concatenate((s[~common], s[common]))[:first]
-                keys.append(take)
+                rare, hot = s[~common][:first] & ~np.uint64(1), s[common]
+                hot = hot[: first - len(rare)] >> salt_bits << salt_bits | np.uint64(node % salts << 1 | 1)
+                keys += [rare, hot]
                 nodes.append(node)
                 sizes.append(first)
-                salted.append(np.where(np.arange(first) < np.count_nonzero(~common), 0, 1 + node % salts).astype(np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salted)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["key", "salt", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["key", "node"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by key, salt and node.  Of a group that goes on in the next batch only the last row, and the pivot, are kept back.
+        # Sorted by key and node.  Of a group that goes on in the next batch only the last row, and the pivot, are kept back.
         held = pivot = None
         grown = False
         for batch in batches:
-            key, salt, node = (batch.column(k).to_numpy() for k in range(3))
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(key):
                 continue
             if held is not None:
-                key, salt, node = (np.concatenate(([h], x)) for h, x in zip(held, (key, salt, node), strict=True))
-            new_group = np.ones(len(key), bool)
-            new_group[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
-            fresh = new_group.copy()
-            fresh[1:] |= node[1:] != node[:-1]
-            key, salt, node, opens = key[fresh], salt[fresh], node[fresh], new_group[fresh]
+                key, node = np.concatenate((held[:1], key)), np.concatenate((held[1:], node))
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node = key[fresh], node[fresh]
+            opens = np.ones(len(key), bool)
+            opens[1:] = key[1:] != key[:-1]
             first = np.maximum.accumulate(np.where(opens, np.arange(len(key)), 0))
             pivots = node[first]
             size_two = np.zeros(len(key), bool)
@@ -255,16 +259,16 @@ def cells(docs: DataFrame, frequent: np.ndarray, seed: int, salts: int) -> DataF
             if held is not None:
                 pivots[first == 0] = pivot
                 size_two[0] |= grown
-            out = size_two | (salt > 0)
-            held, pivot, grown = (key[-1], salt[-1], node[-1]), pivots[-1], bool(size_two[-1])
+            out = size_two | (key & 1 == 1)
+            held, pivot, grown = np.array([key[-1], node[-1]]), pivots[-1], bool(size_two[-1])
             out[-1] = False
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, salt, node, pivots)], ["key", "salt", "node", "pivot"])
-        if held is not None and (grown or held[1] > 0):
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*held, pivot), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["key", "salt", "node", "pivot"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, node, pivots)], ["key", "node", "pivot"])
+        if held is not None and (grown or held[0] & 1):
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (*held, pivot)], ["key", "node", "pivot"])
 
-    rows = docs.select("text").mapInArrow(dealt, "key long, salt int, node long")
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(shared, "key long, salt int, node long, pivot long")
+    rows = docs.select("text").mapInArrow(dealt, "key long, node long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long, pivot long")
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -274,12 +278,13 @@ def counted(rows: DataFrame) -> DataFrame:
 
 def trees(docs: DataFrame, frequent: np.ndarray, seed: int, folder: str) -> DataFrame:
     """key, node: the points of every tree; a tree is named by its least point."""
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialised(cells(docs, frequent, seed, salts), folder)
-    frequent_cells = found.where("salt > 0")
-    least = materialised(frequent_cells.groupBy("key").agg(F.min("pivot").alias("least"), F.min("node").alias("one"), F.max("node").alias("other")).where("one < other").select("key", "least"), folder)
-    joined = frequent_cells.join(counted(least), "key").select(F.col("least").alias("key"), "node")
-    return materialised(found.where("salt = 0").select(F.col("pivot").alias("key"), "node").unionByName(joined).distinct(), folder)
+    salts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << 63 - SHINGLE_BITS) - 1)
+    with scratch(docs.sparkSession) as own:
+        found = materialised(cells(docs, frequent, seed, salts), own)
+        salted = found.where("key % 2 <> 0").withColumn("key", F.shiftright("key", 64 - SHINGLE_BITS))
+        least = materialised(salted.groupBy("key").agg(F.min("pivot").alias("least"), F.min("node").alias("one"), F.max("node").alias("other")).where("one < other").select("key", "least"), own)
+        joined = salted.join(counted(least), "key").select(F.col("least").alias("key"), "node")
+        return materialised(found.where("key % 2 = 0").select(F.col("pivot").alias("key"), "node").unionByName(joined).distinct(), folder)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -355,8 +360,8 @@ def middles(counts: pa.Array, n: np.ndarray, tree: np.ndarray, wanted: np.ndarra
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def middle_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of each point with the middle one of its tree, or of its block of a large tree."""
+def middle_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each point with the middle one of its tree, or of its block of a large tree; members: key, node, n, counts, sizes: key, size of large trees."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, 2):
@@ -364,7 +369,8 @@ def middle_pairs(members: DataFrame) -> DataFrame:
             i, j = middles(batch.column(4), n, numbered(key, own), key == node)
             yield pair_batch(node, i, j)
 
-    rows = members.select("key", block(BLOCK, F.col("size")).alias("own"), "node", "n", "counts").repartition("key", "own").sortWithinPartitions("key", "own")
+    rows = members.join(sizes, "key", "left").select("key", block(BLOCK, F.coalesce("size", F.lit(1))).alias("own"), "node", "n", "counts")
+    rows = rows.repartition("key", "own").sortWithinPartitions("key", "own")
     return rows.mapInArrow(search, "a long, b long").distinct()
 
 
@@ -408,11 +414,12 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(search, "a long, b long").distinct()
 
 
-def texts_of(nodes: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, text for each of the nodes; the point's name tells a row that it stands for."""
+def texts_of(pairs: DataFrame, points: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """node, text of the pairs' ends; the point's name tells a row that it stands for."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     named = nodes.join(points.select("node", F.col("name.a").alias("name_a"), F.col("name.b").alias("name_b")), "node")
     rows = docs.select("text", row_name().alias("name")).select("text", F.col("name.a").alias("name_a"), F.col("name.b").alias("name_b"))
-    return rows.join(named, ["name_a", "name_b"]).dropDuplicates(["name_a", "name_b"]).select("node", "text")
+    return materialised(rows.join(counted(materialised(named, folder)), ["name_a", "name_b"]).dropDuplicates(["name_a", "name_b"]).select("node", "text"), folder)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -441,11 +448,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def mixed_trees(members: DataFrame, folder: str) -> DataFrame:
-    """members (with class) of those trees that hold several classes, and what tree_pairs() needs to cut large ones."""
+    """members (key, node, class) of those trees that hold several classes, and what tree_pairs() needs to cut large ones."""
     of = members.groupBy("key", "class").agg(F.count("*").alias("points"))
     stats = of.groupBy("key").agg(F.sum("points").alias("size"), F.max(F.struct("points", "class")).alias("largest"), F.count("*").alias("classes"))
     stats = materialised(stats.where("classes > 1").select("key", F.when(F.col("size") > BLOCK, F.struct(F.col("largest.class").alias("class"), F.col("largest.points").alias("mains"), (F.col("size") - F.col("largest.points")).alias("others"))).alias("cut")), folder)
-    return members.drop("size").join(counted(stats), "key").select("key", "node", "n", "counts", "class", (F.col("class") == F.col("cut.class")).alias("main"), F.col("cut.mains").alias("mains"), F.col("cut.others").alias("others"))
+    return members.join(counted(stats), "key").select("key", "node", "class", (F.col("class") == F.col("cut.class")).alias("main"), F.col("cut.mains").alias("mains"), F.col("cut.others").alias("others"))
 
 
 def jaccard_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -466,14 +473,13 @@ def _classes(docs: DataFrame, keep: tuple[str, ...], folder: str) -> DataFrame:
             break
         seed += 1  # two sets with one 64-bit name: take other names
     members = trees(docs, frequency_table(rows.where("kind = 1")), seed, folder)
+    vectors_of = points.select("node", "n", "counts")
     sizes = counted(materialised(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), folder))
-    members = materialised(members.join(points.select("node", "n", "counts"), "node").join(sizes, "key", "left").withColumn("size", F.coalesce("size", F.lit(1))), folder)
-    texts = materialised(texts_of(members.select("node").distinct(), points, docs), folder)
-    tried = materialised(middle_pairs(members), folder)
-    links = materialised(verified(tried, texts), folder)
+    tried = materialised(middle_pairs(members.join(vectors_of, "node"), sizes), folder)
+    links = materialised(verified(tried, texts_of(tried, points, docs, folder)), folder)
     spread = materialised(members.join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node")), folder)
-    pairs = materialised(tree_pairs(mixed_trees(spread, folder)).join(tried, ["a", "b"], "left_anti"), folder)
-    links = links.unionByName(materialised(verified(pairs, texts), folder))
+    pairs = materialised(tree_pairs(mixed_trees(spread, folder).join(vectors_of, "node")).join(tried, ["a", "b"], "left_anti"), folder)
+    links = links.unionByName(materialised(verified(pairs, texts_of(pairs, points, docs, folder)), folder))
     whole = points.select("node", "row").join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = whole.groupBy("class").agg(F.min("row").alias("component_id"))
     named_by = whole.join(least, "class").select("node", "component_id", *(["class"] if keep else []))
