@@ -22,6 +22,19 @@ def speaker_index(turns: DataFrame) -> DataFrame:
     return turns.groupBy(F.col("role").alias("speaker")).agg(F.count("*").alias("utterances"), F.sum(F.length("text")).alias("total_chars"), F.countDistinct("conv_id").alias("conversations"))
 
 
+def speaker_times(utterances: DataFrame, width: int) -> DataFrame:
+    """speaker, utterances, seconds (their total duration), segments (distinct ones that they touch, ascending, comma-joined); utterances: speaker, start, end, in seconds, ends exclusive."""
+    touched = F.sequence(F.expr(f"start div {width}"), F.greatest(F.expr(f"(end - 1) div {width}"), F.expr(f"start div {width}")))
+    spoken = utterances.groupBy("speaker").agg(F.count("*").alias("utterances"), F.sum(F.col("end") - F.col("start")).alias("seconds"))
+    segments = utterances.select("speaker", F.explode(touched).alias("segment")).distinct().groupBy("speaker").agg(F.array_join(F.array_sort(F.collect_list("segment")), ",").alias("segments"))
+    return spoken.join(segments, "speaker")
+
+
+def of_tier(events: DataFrame, tier: str, code: str) -> DataFrame:
+    """Annotations of one tier and code; events have tier and code."""
+    return events.where((F.col("tier") == tier) & (F.col("code") == code))
+
+
 def followed_by(events: DataFrame, first: str, second: str, gap: int) -> DataFrame:
     """Pairs (first_id, second_id): the second code within gap seconds after the first, same participant.
 

@@ -26,10 +26,18 @@ def depth(rows: DataFrame, size: int) -> DataFrame:
     return running_total(steps, "reference", "chunk", "position", "step", "depth").select("reference", "position", "depth")
 
 
-def summary(depths: DataFrame, at_least: int) -> DataFrame:
+def following(rows: DataFrame, by: str, chunk: str, place: str, name: str) -> DataFrame:
+    """rows with name: the next place of the same ``by`` (null for the last); a chunk's last row looks at the first place of the next chunk."""
+    firsts = rows.groupBy(by, chunk).agg(F.min(place).alias("_first"))
+    after = firsts.select(by, chunk, F.lead("_first").over(Window.partitionBy(by).orderBy(chunk)).alias("_after"))
+    inside = F.lead(place).over(Window.partitionBy(by, chunk).orderBy(place))
+    return rows.withColumn(name, inside).join(after, [by, chunk]).withColumn(name, F.coalesce(name, "_after")).drop("_after")
+
+
+def summary(depths: DataFrame, at_least: int, size: int) -> DataFrame:
     """reference, max_depth, bases (the integral of depth), covered (bases at depth at_least or more)."""
-    following = F.lead("position").over(Window.partitionBy("reference").orderBy("position"))
-    stretch = depths.withColumn("length", F.coalesce(following - F.col("position"), F.lit(0)))
+    stretch = following(depths.withColumn("chunk", F.expr(f"position div {size}")), "reference", "chunk", "position", "next")
+    stretch = stretch.withColumn("length", F.coalesce(F.col("next") - F.col("position"), F.lit(0)))
     return stretch.groupBy("reference").agg(
         F.max("depth").alias("max_depth"), F.sum(F.col("depth") * F.col("length")).alias("bases"), F.sum(F.when(F.col("depth") >= at_least, F.col("length")).otherwise(0)).alias("covered")
     )

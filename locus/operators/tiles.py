@@ -24,12 +24,15 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("c")).select("label", F.col("c.x").alias("centroid"))
 
 
-def nearest_centroid(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """vec_id, label, distance to the nearest centroid; the centroids, one a label, are gathered in one row of all."""
-    every = centres.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("all"))
+def nearest_centroid(vectors: DataFrame, centres: DataFrame, block: int = 256) -> DataFrame:
+    """vec_id, label, distance to the nearest centroid (ties: the smaller label); the centroids, one a label, come in blocks that each vector meets by number."""
+    blocks = max(1, -(-centres.count() // block))
+    numbered = centres.select("label", "centroid", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("block"))
+    packed = numbered.groupBy("block").agg(F.collect_list(F.struct("label", "centroid")).alias("all"))
     squared = F.transform("all", lambda c: F.struct(F.aggregate(F.zip_with("embedding", c["centroid"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d"), c["label"].alias("label")))
-    best = F.array_min(squared)
-    return vectors.join(every).select("vec_id", best["label"].alias("label"), F.sqrt(best["d"]).alias("distance"))
+    met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block").select("vec_id", F.array_min(squared).alias("best"))
+    best = met if blocks == 1 else met.groupBy("vec_id").agg(F.min("best").alias("best"))
+    return best.select("vec_id", F.col("best.label").alias("label"), F.sqrt("best.d").alias("distance"))
 
 
 def top_per_group(rows: DataFrame, by: str, order: list, k: int) -> DataFrame:

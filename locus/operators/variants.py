@@ -39,13 +39,31 @@ def allele_frequency(calls: DataFrame) -> DataFrame:
     return counted.withColumn("af", F.col("ac") / F.col("an"))
 
 
-def dense(calls: DataFrame, samples: DataFrame, start: int, end: int) -> DataFrame:
-    """sample, position, dosage for every sample and every variant position of [start, end); unstored calls are 0.  The range bounds the grid."""
+def dense(calls: DataFrame, samples: DataFrame, start: int, end: int, block: int = 10_000) -> DataFrame:
+    """sample, position, dosage for every sample and every variant position of [start, end); unstored calls are 0.  The range bounds the grid.
+
+    Samples lie in blocks and each site meets each block, an equi join whose rows
+    are the grid's own; no row holds all samples.
+    """
     near = sparse(calls).where((F.col("position") >= start) & (F.col("position") < end))
     stored = near.groupBy("sample", "position").agg(F.max("dosage").alias("dosage"))
-    sites = near.groupBy("position").agg(F.collect_set("sample").alias("_carriers"))
-    filled = sites.join(samples.agg(F.array_sort(F.collect_set("sample")).alias("_all"))).select("position", F.explode("_all").alias("sample"))
-    return filled.join(stored, ["sample", "position"], "left").select("sample", "position", F.coalesce("dosage", F.lit(0)).alias("dosage"))
+    every = samples.select("sample").distinct()
+    blocks = max(1, -(-every.count() // block))
+    sites = near.select("position").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    grid = sites.join(every.withColumn("block", F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int")), "block")
+    return grid.join(stored, ["sample", "position"], "left").select("sample", "position", F.coalesce("dosage", F.lit(0)).alias("dosage"))
+
+
+def filtered(sites: DataFrame, reference: str, start: int, end: int, min_quality: float = 0.0, min_depth: int = 0) -> DataFrame:
+    """Sites (reference, position, qual, depth, ...) of [start, end) with that quality and depth at least; all four are plain predicates that a columnar scan takes."""
+    near = sites.where((F.col("reference") == reference) & (F.col("position") >= start) & (F.col("position") < end))
+    return near.where((F.col("qual") >= min_quality) & (F.col("depth") >= min_depth))
+
+
+def site_sketch(calls: DataFrame) -> DataFrame:
+    """positions, samples (about: sketches of fixed size, merged map-side), median_position (about)."""
+    own = sparse(calls)
+    return own.agg(F.approx_count_distinct("position", 0.01).alias("positions"), F.approx_count_distinct("sample", 0.01).alias("samples"), F.percentile_approx("position", 0.5, 10_000).alias("median_position"))
 
 
 def shared(calls: DataFrame, one: int, other: int) -> DataFrame:

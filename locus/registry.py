@@ -228,7 +228,7 @@ def coverage_depth(spark, d):
 @query(_DEPTH + """, l AS (SELECT *, coalesce(lead(position) OVER (PARTITION BY reference ORDER BY position) - position, 0) AS n FROM depth)
     SELECT reference, max(depth) AS max_depth, CAST(sum(depth * n) AS BIGINT) AS bases, CAST(sum(CASE WHEN depth >= 100 THEN n ELSE 0 END) AS BIGINT) AS covered FROM l GROUP BY reference""")
 def coverage_summary(spark, d):
-    return coverage.summary(coverage.depth(P.mapped(spark, d), SIZE), 100)
+    return coverage.summary(coverage.depth(P.mapped(spark, d), SIZE), 100, SIZE)
 
 
 @query(READS + ", b AS (SELECT range AS position FROM range(300, 400)) SELECT b.position, count(*) AS depth FROM reads JOIN b ON reads.position <= b.position AND reads.position + span > b.position WHERE reference_id >= 0 AND reference = 'A' GROUP BY b.position")

@@ -65,15 +65,41 @@ def pack(records: list[tuple]) -> bytes:
     return b"".join(out)
 
 
+_NAMES = [c.split()[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
+#: The fields that older JSON chunks call otherwise.
+_OLD_NAMES = {"reference_id": "ref", "position": "pos", "mapq": "mapping_quality", "sequence": "seq", "quality": "qual"}
+
+
+def _from_json(data: bytes) -> Iterator[tuple]:
+    import json
+
+    for record in json.loads(_decompressed(data)):
+        given = {n: record.get(n, record.get(_OLD_NAMES.get(n))) for n in _NAMES}
+        yield tuple({k: str(v) for k, v in (given["tags"] or {}).items()} if n == "tags" else given[n] for n in _NAMES)
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all chunk files under path, packed or JSON, plain or compressed, as each file's first bytes say; a file is one record of the source, so a task holds one chunk."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.chunk").load(path).select("content")
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                data = _decompressed(content)
+                found = unpack(data) if data[:4] == MAGIC.to_bytes(4, "little") else _from_json(data)
+                yield pd.DataFrame(list(found), columns=_NAMES)
+
+    return files.mapInPandas(records, SCHEMA).withColumn("span", reference_span(F.col("cigar")).cast("int"))
+
+
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """Records of all packed chunk files under path; a file is one record of the source, so a task holds one chunk."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.chunk").load(path).select("path", "content")
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
         for batch in batches:
             for content in batch["content"]:
-                yield pd.DataFrame(list(unpack(content)), columns=names)
+                yield pd.DataFrame(list(unpack(content)), columns=_NAMES)
 
     return files.select("content").mapInPandas(records, SCHEMA).withColumn("span", reference_span(F.col("cigar")).cast("int"))
 

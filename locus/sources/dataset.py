@@ -1,59 +1,82 @@
-"""The stored dataset: Parquet partitioned by reference and chunk, with its manifest, header and snapshots beside it."""
+"""The stored dataset: Parquet partitioned by reference, chunk and batch, with its manifest and header beside it."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from locus.operators import regions
 from locus.operators.regions import Region
 from locus.plans import manifest as plan
+from locus.sources import chunk_files
 
 UNMAPPED = "unmapped"
 FORMAT_VERSION = "1"
 
 
-def write(rows: DataFrame, path: str, size: int, codec: str = "zstd", mode: str = "overwrite", max_rows_a_file: int = 5_000_000) -> None:
+def write(rows: DataFrame, path: str, size: int, codec: str = "zstd", mode: str = "overwrite", max_rows_a_file: int = 5_000_000, batch: str = "0") -> None:
     """rows (reference_id, reference, position, span, mapq, flag, ...) as a dataset at path.
 
     One shuffle brings each chunk's rows together; a crowded chunk is split by
     AQE's rebalancing instead of filling one task.  Rows are sorted in files, so
-    row-group statistics prune inside a chunk as well.
+    row-group statistics prune inside a chunk as well.  Mode "append" adds the rows
+    as a batch; a batch that is written again replaces itself, so a write that is
+    repeated after a failure changes nothing.  The manifest gets entries of these
+    rows only.
     """
-    chunked = regions.with_chunks(rows, size).withColumn("reference", F.when(F.col("reference_id") < 0, UNMAPPED).otherwise(F.col("reference")))
-    (
+    chunked = regions.with_chunks(rows, size).withColumn("reference", F.when(F.col("reference_id") < 0, UNMAPPED).otherwise(F.col("reference"))).withColumn("batch", F.lit(batch))
+    writer = (
         chunked.hint("rebalance", "reference", "chunk_start")
         .sortWithinPartitions("reference", "chunk_start", "position")
-        .write.mode(mode)
+        .write.mode("overwrite")
         .option("compression", codec)
         .option("maxRecordsPerFile", max_rows_a_file)
-        .partitionBy("reference", "chunk_start")
-        .parquet(f"{path}/data")
     )
-    refresh_manifest(rows.sparkSession, path, size)
+    for_part = {"partitionOverwriteMode": "dynamic" if mode == "append" else "static"}
+    writer.options(**for_part).partitionBy("reference", "chunk_start", "batch").parquet(f"{path}/data")
+    columns = sorted(c for c in rows.columns if c not in ("chunk_start", "reference", "batch") and not isinstance(rows.schema[c].dataType, (MapType, ArrayType, StructType)))
+    stored = spark_rows(rows.sparkSession, path).where(F.col("batch") == batch)
+    entries = plan.build_part(with_ids(stored), size, columns).withColumns({"chunk_size": F.lit(size), "version": F.lit(FORMAT_VERSION), "columns": F.lit(",".join(columns)), "batch": F.lit(batch)})
+    entries.coalesce(1).write.mode("overwrite").options(**for_part).partitionBy("batch").parquet(f"{path}/manifest")
 
 
-def refresh_manifest(spark: SparkSession, path: str, size: int) -> None:
-    """Writes the manifest anew from the stored rows, with the chunk size and format version on every entry."""
-    stored = read(spark, path)
-    rows = stored.withColumn("reference_id", F.when(F.col("reference") == UNMAPPED, -1).otherwise(F.col("reference_id")))
-    plan.build(rows, size).withColumn("chunk_size", F.lit(size)).withColumn("version", F.lit(FORMAT_VERSION)).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+def spark_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows with their batch; partition columns get their types back whatever Spark infers from folder names."""
+    rows = spark.read.parquet(f"{path}/data")
+    return rows.withColumns({"reference": F.col("reference").cast("string"), "chunk_start": F.col("chunk_start").cast("long"), "batch": F.col("batch").cast("string")})
+
+
+def with_ids(stored: DataFrame) -> DataFrame:
+    """Unmapped rows have a reference of their own in a dataset; their id is -1."""
+    return stored.withColumn("reference_id", F.when(F.col("reference") == UNMAPPED, -1).otherwise(F.col("reference_id")))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All rows; partition columns get their types back whatever Spark infers from folder names."""
-    rows = spark.read.parquet(f"{path}/data")
-    return rows.withColumn("reference", F.col("reference").cast("string")).withColumn("chunk_start", F.col("chunk_start").cast("long"))
+    """All rows."""
+    return spark_rows(spark, path).drop("batch")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One entry a chunk, with its checksum, chunk size and format version."""
     found = spark.read.parquet(f"{path}/manifest")
     versions = [r.version for r in found.select("version").distinct().limit(2).collect()]
     if versions not in ([], [FORMAT_VERSION]):
         raise ValueError(f"format version {versions} is not {FORMAT_VERSION}")
-    return found
+    return plan.merged(found)
+
+
+def write_header(header: DataFrame, path: str) -> None:
+    """The header (as text_formats.sam_header's) as JSON lines beside the data."""
+    header.coalesce(1).sortWithinPartitions("number").write.mode("overwrite").json(f"{path}/header")
+
+
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("number long, kind string, fields map<string,string>").json(f"{path}/header")
 
 
 def query(spark: SparkSession, path: str, region: Region | str, mode: str = "start") -> DataFrame:
@@ -65,7 +88,7 @@ def query(spark: SparkSession, path: str, region: Region | str, mode: str = "sta
     region = Region.parse(region) if isinstance(region, str) else region
     known = read_manifest(spark, path).where(F.col("reference") == region.reference).agg(F.max("chunk_size"), F.max("max_span")).first()
     size, span = known[0] or 1, known[1] or 0
-    rows = spark.read.parquet(f"{path}/data")
+    rows = spark.read.parquet(f"{path}/data").drop("batch")
     return regions.starts_in(rows, region, size) if mode == "start" else regions.overlapping(rows, region, size, span)
 
 
@@ -75,15 +98,99 @@ def query_many(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return regions.join_regions(read(spark, path), wanted, size)
 
 
-def append(rows: DataFrame, path: str, size: int) -> None:
-    """Late or new rows simply become more files of their chunks."""
-    write(rows, path, size, mode="append")
+def append(rows: DataFrame, path: str, size: int, batch: str | None = None) -> None:
+    """Late or new rows simply become more files of their chunks; only their own entries are added to the manifest."""
+    write(rows, path, size, mode="append", batch=batch or uuid.uuid4().hex)
 
 
 def rechunk(spark: SparkSession, path: str, target: str, size: int, codec: str = "zstd") -> None:
-    """The same rows under another chunk width or codec."""
-    rows = read(spark, path).drop("chunk_start").withColumn("reference_id", F.when(F.col("reference") == UNMAPPED, -1).otherwise(F.col("reference_id")))
-    write(rows, target, size, codec)
+    """The same rows under another chunk width or codec, their batches made one."""
+    write(with_ids(read(spark, path).drop("chunk_start")), target, size, codec)
+
+
+def upgrade(spark: SparkSession, chunk_files_path: str, references: DataFrame, target: str, size: int) -> None:
+    """A dataset of older chunk files (packed or JSON, told apart by their first bytes) as a dataset of this format."""
+    rows = chunk_files.read_any(spark, chunk_files_path).join(references.select("reference_id", "reference"), "reference_id", "left")
+    write(rows, target, size)
+
+
+def migrate(spark: SparkSession, jobs: list[tuple[str, str, int, str]]) -> DataFrame:
+    """Each (source, target, chunk size, codec) rechunked in turn; source, target, reads before and after, done (a target that already holds as many reads is left alone, so a broken run can be run again)."""
+    report = []
+    for source, target, size, codec in jobs:
+        before = read_manifest(spark, source).agg(F.sum("reads")).first()[0] or 0
+        after = _reads_if_any(spark, target)
+        if after != before:
+            rechunk(spark, source, target, size, codec)
+            after = _reads_if_any(spark, target)
+        report.append((source, target, before, after, before == after))
+    return spark.createDataFrame(report, "source string, target string, before long, after long, done boolean")
+
+
+def _reads_if_any(spark: SparkSession, path: str) -> int | None:
+    try:
+        return read_manifest(spark, path).agg(F.sum("reads")).first()[0] or 0
+    except AnalysisException:  # no such dataset yet
+        return None
+
+
+def violations(spark: SparkSession, path: str) -> DataFrame:
+    """rule, violations of a stored dataset: chunks without files or entry, counts, spans, checksums and references that differ, chunks of a wrong width, overlapping or off their grid."""
+    parts = spark.read.parquet(f"{path}/manifest")
+    listed = plan.merged(parts)
+    first = parts.select("columns", "chunk_size").limit(1).first()
+    columns, size = (first.columns.split(","), first.chunk_size) if first else ([], 1)
+    rows = with_ids(read(spark, path))
+    found = plan.merged(plan.build_part(rows, size, columns).withColumns({"chunk_size": F.lit(size), "version": F.lit(FORMAT_VERSION)}))
+    found = found.select("reference", "chunk_start", *(F.col(c).alias(f"found_{c}") for c in ("reads", "max_span", "checksum")))
+    key = listed["reference"].eqNullSafe(found["reference"]) & (listed["chunk_start"] == found["chunk_start"])
+    both = listed.withColumn("listed", F.lit(True)).join(found, key, "full_outer")
+    start, end = listed["chunk_start"], F.col("chunk_end")
+    chunk_rules = both.agg(
+        F.count_if(F.col("found_reads").isNull()).alias("files_missing"),
+        F.count_if(F.col("listed").isNull()).alias("chunk_not_listed"),
+        F.count_if(F.col("found_reads") != F.col("reads")).alias("reads_differ"),
+        F.count_if(F.col("found_checksum") != F.col("checksum")).alias("checksum_differs"),
+        F.count_if(F.col("found_max_span") > F.col("max_span")).alias("span_too_short"),
+        F.count_if((end > 0) & ((end - start != size) | (start % size != 0))).alias("wrong_width"),
+    )
+    # Chunks of one width on one grid overlap where two entries have the same start, or the widths differ.
+    entries = listed.where("reference is not null").groupBy("reference", F.explode(F.sequence(F.expr(f"chunk_start div {size}"), F.expr(f"greatest(chunk_end - 1, chunk_start) div {size}"))).alias("cell")).agg(F.count("*").alias("n"))
+    misplaced = (F.col("reference") != UNMAPPED) & ((F.col("position") < F.col("chunk_start")) | (F.col("position") >= F.col("chunk_start") + size))
+    rules = chunk_rules.unpivot([], chunk_rules.columns, "rule", "violations")
+    rules = rules.unionByName(entries.agg(F.count_if(F.col("n") > 1).alias("violations")).select(F.lit("chunks_overlap").alias("rule"), "violations"))
+    return rules.unionByName(rows.agg(F.count_if(misplaced).alias("violations")).select(F.lit("row_outside_its_chunk").alias("rule"), "violations"))
+
+
+def write_views(rows: DataFrame, path: str, sample: str, order: str) -> None:
+    """The same rows in two layouts: one folder a sample (sorted by the order column), and one sorted by it through all samples; a reader takes the one that its predicate prunes."""
+    rows.hint("rebalance", sample).sortWithinPartitions(sample, order).write.mode("overwrite").partitionBy(sample).parquet(f"{path}/by_{sample}")
+    rows.repartitionByRange(order).sortWithinPartitions(order, sample).write.mode("overwrite").parquet(f"{path}/by_{order}")
+
+
+def read_view(spark: SparkSession, path: str, view: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/by_{view}")
+
+
+def write_hierarchy(rows: DataFrame, path: str, place: str, coarse: int, fine: int) -> None:
+    """rows in folders of coarse ranges of place, files sorted so that fine ones are row groups' ranges, and their counts for whoever needs no rows."""
+    split = rows.withColumns({"coarse": F.expr(f"{place} div {coarse} * {coarse}"), "fine": F.expr(f"{place} div {fine} * {fine}")})
+    split.hint("rebalance", "coarse").sortWithinPartitions("coarse", "fine", place).write.mode("overwrite").partitionBy("coarse").parquet(f"{path}/rows")
+    rows.sparkSession.read.parquet(f"{path}/rows").groupBy("coarse", "fine").agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def read_hierarchy(spark: SparkSession, path: str, place: str, start: int, end: int, coarse: int, fine: int) -> DataFrame:
+    """Rows of [start, end): whole folders are left out, then row groups, then rows."""
+    rows = spark.read.parquet(f"{path}/rows")
+    near = (F.col("coarse") > start - coarse) & (F.col("coarse") < end) & (F.col("fine") > start - fine) & (F.col("fine") < end)
+    return rows.where(near & (F.col(place) >= start) & (F.col(place) < end)).drop("coarse", "fine")
+
+
+def counted_rows(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """rows, and what is counted of them on the way to wherever they are written: reads, mapped, bases, references."""
+    seen = Observation("ingest")
+    mapped = F.col("reference_id") >= 0
+    return rows.observe(seen, F.count(F.lit(1)).alias("reads"), F.count_if(mapped).alias("mapped"), F.sum(F.col("span").cast("long")).alias("bases"), F.approx_count_distinct(F.when(mapped, F.col("reference"))).alias("references")), seen
 
 
 def snapshot(manifest: DataFrame, snapshots: DataFrame | None, snapshot_id: int) -> DataFrame:

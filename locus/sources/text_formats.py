@@ -16,17 +16,26 @@ def sam_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sam_header(lines: DataFrame) -> DataFrame:
-    """kind (HD, SQ, RG, PG, CO) and fields (map; a comment's text under "text")."""
-    head = lines.where(F.col("value").startswith("@"))
+    """number (order of the lines), kind (HD, SQ, RG, PG, CO) and fields (map; a comment's text under "text")."""
+    head = lines.select(F.monotonically_increasing_id().alias("number"), "value").where(F.col("value").startswith("@"))
     kind = F.substring("value", 2, 2)
-    return head.select(kind.alias("kind"), F.when(kind == "CO", F.create_map(F.lit("text"), F.substr("value", F.lit(5)))).otherwise(header_fields(F.col("value"))).alias("fields"))
+    return head.select("number", kind.alias("kind"), F.when(kind == "CO", F.create_map(F.lit("text"), F.substr("value", F.lit(5)))).otherwise(header_fields(F.col("value"))).alias("fields"))
+
+
+def format_header(header: DataFrame) -> DataFrame:
+    """number, value: the header's lines again, @HD first, then @SQ, the others, comments last; fields keep their order."""
+    fields = F.transform(F.map_entries("fields"), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    line = F.when(F.col("kind") == "CO", F.concat_ws("\t", F.lit("@CO"), F.col("fields")["text"])).otherwise(F.concat_ws("\t", F.concat(F.lit("@"), "kind"), fields))
+    rank = F.when(F.col("kind") == "HD", 0).when(F.col("kind") == "SQ", 1).when(F.col("kind") == "CO", 3).otherwise(2)
+    return header.select(F.struct(rank.alias("rank"), "number").alias("number"), line.alias("value"))
 
 
 def sam_references(spark: SparkSession, path: str) -> DataFrame:
-    """reference_id (order of the header's SQ lines), reference, length.  The header is the first lines of a file, a bounded number."""
-    listed = spark.read.text(path, wholetext=False).where(F.col("value").startswith("@SQ")).select(F.monotonically_increasing_id().alias("_k"), header_fields(F.col("value")).alias("f"))
-    rows = listed.select("_k", F.col("f")["SN"].alias("reference"), F.col("f")["LN"].cast("long").alias("length"))
-    every = rows.agg(F.array_sort(F.collect_list(F.struct("_k", "reference", "length"))).alias("all"))
+    """reference_id (order of the header's SQ lines), reference, length.  Of several files each name counts once, where it comes first.  Headers are a bounded number of lines."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    listed = lines.where(F.col("value").startswith("@SQ")).select("file", "line", header_fields(F.col("value")).alias("f"))
+    rows = listed.groupBy(F.col("f")["SN"].alias("reference")).agg(F.min(F.struct("file", "line", F.col("f")["LN"].cast("long").alias("length"))).alias("first"))
+    every = rows.agg(F.array_sort(F.collect_list(F.struct("first.file", "first.line", "reference", "first.length"))).alias("all"))
     return every.select(F.posexplode("all").alias("reference_id", "r")).select("reference_id", "r.reference", "r.length")
 
 
@@ -69,24 +78,61 @@ def format_sam(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("\t", *(c.cast("string") for c in columns), tags).alias("value"))
 
 
-def write_sam(rows: DataFrame, references: DataFrame, path: str) -> None:
-    """Part files in (reference_id, position) order, unmapped rows last; the header is a file of its own before them."""
-    head = references.orderBy("reference_id").select(F.concat(F.lit("@SQ\tSN:"), "reference", F.lit("\tLN:"), F.col("length").cast("string")).alias("value"))
-    head.coalesce(1).write.mode("overwrite").text(f"{path}/header")
+def write_sam(rows: DataFrame, references: DataFrame, path: str, header: DataFrame | None = None) -> None:
+    """Part files in (reference_id, position) order, unmapped rows last; the header (as sam_header's, or without one the references alone) is a file of its own before them."""
+    if header is None:
+        header = references.select(F.col("reference_id").cast("long").alias("number"), F.lit("SQ").alias("kind"), F.create_map(F.lit("SN"), "reference", F.lit("LN"), F.col("length").cast("string")).alias("fields"))
+    format_header(header).coalesce(1).sortWithinPartitions("number").select("value").write.mode("overwrite").text(f"{path}/header")
     order = rows.join(references.select("reference", "reference_id"), "reference", "left").orderBy(F.col("reference_id").asc_nulls_last(), "position", "name")
     format_sam(order).write.mode("overwrite").text(f"{path}/body")
 
 
+def read_vcf_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, line (order within a file)."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+
+
+def vcf_sites(lines: DataFrame) -> DataFrame:
+    """reference, position (0-based), id, ref, alt, qual, filter, depth (DP of INFO): one row a variant line; numbers that are none are null."""
+    f = F.split("value", "\t")
+    text = [F.nullif(f[k], F.lit(".")) for k in range(8)]
+    depth = F.regexp_extract(f[7], "(?:^|;)DP=([0-9]+)", 1).try_cast("int")
+    return lines.where(~F.col("value").startswith("#")).select(
+        f[0].alias("reference"), (f[1].cast("long") - 1).alias("position"), text[2].alias("id"), f[3].alias("ref"), f[4].alias("alt"), text[5].try_cast("double").alias("qual"), text[6].alias("filter"), depth.alias("depth")
+    )
+
+
 def parse_vcf(lines: DataFrame) -> DataFrame:
-    """sample, reference, position (0-based), ref, alt, genotype: only genotypes that differ from the reference and are called."""
-    head = lines.where(F.col("value").startswith("#CHROM")).select(F.slice(F.split("value", "\t"), 10, 1 << 30).alias("samples")).limit(1)
-    body = lines.where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f")).join(head)
+    """sample, reference, position (0-based), ref, alt, genotype: only genotypes that differ from the reference and are called.  Each file's calls have the names of its own header; lines without a column file are one file's."""
+    if "file" not in lines.columns:
+        lines = lines.withColumn("file", F.lit(""))
+    head = lines.where(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.slice(F.split(F.first("value"), "\t"), 10, 1 << 30).alias("samples"))
+    body = lines.where(~F.col("value").startswith("#")).select("file", F.split("value", "\t").alias("f")).join(head, "file")
     calls = body.select(
         F.col("f")[0].alias("reference"), (F.col("f")[1].cast("long") - 1).alias("position"), F.col("f")[3].alias("ref"), F.split(F.col("f")[4], ",").alias("alt"),
         F.explode(F.arrays_zip("samples", F.slice("f", 10, 1 << 30).alias("calls"))).alias("c"),
     )
     genotype = F.split(F.col("c.calls"), ":")[0]
-    return calls.select(F.col("c.samples").alias("sample"), "reference", "position", "ref", "alt", genotype.alias("genotype")).where(~F.col("genotype").isin("0/0", "0|0", "./.", ".|.", "."))
+    return calls.select(F.col("c.samples").alias("sample"), "reference", "position", "ref", "alt", genotype.alias("genotype")).where(~F.regexp_like("genotype", F.lit("^[0.]([/|][0.])*$")))
+
+
+def concat_vcf(lines: DataFrame) -> DataFrame:
+    """value, in order: variant files of regions (value, file, line) as one: header lines once each, then all variants by reference and position; lines that overlapping regions share stay once.
+
+    The files must have the same samples; otherwise this is an error when it runs.
+    """
+    first = F.min(F.struct("file", "line")).alias("first")
+    meta = lines.where(F.col("value").startswith("##")).groupBy("value").agg(first)
+    chrom = lines.where(F.col("value").startswith("#CHROM")).agg(F.count_distinct("value").alias("n"), F.min("value").alias("value"), first)
+    chrom = chrom.select(F.when(F.col("n") <= 1, F.col("value")).otherwise(F.raise_error(F.lit("the files have different samples"))).alias("value"), "first").where("value is not null")
+    contig = F.regexp_extract("value", "^##contig=<ID=([^,>]+)", 1)
+    order = meta.where(contig != "").groupBy(contig.alias("reference")).agg(F.min("first").alias("first"))
+    f = F.split("value", "\t")
+    body = lines.where(~F.col("value").startswith("#")).select("value").distinct().select("value", f[0].alias("reference"), f[1].cast("long").alias("position")).join(order, "reference", "left")
+    none = [F.lit(None).cast("string").alias("reference"), F.lit(None).cast("long").alias("position")]
+    rows = meta.select("value", F.lit(0).alias("rank"), "first", *none).unionByName(chrom.select("value", F.lit(1).alias("rank"), "first", *none))
+    rows = rows.unionByName(body.select("value", F.lit(2).alias("rank"), "first", "reference", "position"))
+    return rows.orderBy("rank", F.col("first").asc_nulls_last(), "reference", "position", "value").select("value")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -115,5 +161,15 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat_ws("_", "reference", "start", "end").alias("name"), "reference", "start", "end")
 
 
+def first_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The first n lines in file order; Spark reads no further than it must."""
+    return lines.limit(n)
+
+
+def line_counts(lines: DataFrame, comment: str) -> DataFrame:
+    """lines, records (lines that do not begin with comment)."""
+    return lines.agg(F.count("*").alias("lines"), F.count_if(~F.col("value").startswith(comment)).alias("records"))
+
+
 def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="sample_id string, reads_r1 string, reads_r2 string")

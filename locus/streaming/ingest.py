@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from locus.operators.regions import with_chunks
 from locus.sources import dataset, text_formats
 
 
-def ingest_sam(spark: SparkSession, source: str, target: str, references: DataFrame, size: int, checkpoint: str) -> StreamingQuery:
+def ingest_sam(spark: SparkSession, source: str, target: str, references: DataFrame, size: int, checkpoint: str, name: str = "stream") -> StreamingQuery:
     """Text files that arrive in source, parsed and appended to the dataset at target; stops when all are in.
 
     Rows may come in any order and late: each micro-batch appends files to its
-    chunks, so nothing waits for a frontier.  The checkpoint makes it resumable.
+    chunks and entries to the manifest, so nothing waits for a frontier.  The
+    checkpoint makes it resumable, and a micro-batch that is played again replaces
+    its own files and entries.
     """
     lines = spark.readStream.text(source)
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, number: int) -> None:
         rows = text_formats.parse_sam(batch).join(references.select("reference", "reference_id"), "reference", "left")
         rows = rows.withColumn("reference_id", F.coalesce("reference_id", F.lit(-1)))
-        chunked = with_chunks(rows, size).withColumn("reference", F.when(F.col("reference_id") < 0, dataset.UNMAPPED).otherwise(F.col("reference")))
-        chunked.write.mode("append").partitionBy("reference", "chunk_start").parquet(f"{target}/data")
+        dataset.append(rows, target, size, batch=f"{name}-{number}")
 
     return lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -32,6 +32,13 @@ def frontier(rows: DataFrame, margin: int) -> DataFrame:
     return rows.groupBy("reference").agg(F.max("position").alias("frontier")).withColumn("settled", F.greatest(F.col("frontier") - margin, F.lit(0)))
 
 
+def settled_chunks(rows: DataFrame, size: int, chunks_late: int = 2) -> DataFrame:
+    """reference, chunk_start, reads of chunks that end chunks_late chunks or more before the frontier of their reference; rows need chunk_start."""
+    passed = frontier(rows, chunks_late * size)
+    counted = rows.groupBy("reference", "chunk_start").agg(F.count("*").alias("reads"))
+    return counted.join(passed, "reference").where(F.col("chunk_start") + size <= F.col("settled")).select("reference", "chunk_start", "reads")
+
+
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """start, code, events: tumbling windows, or sliding ones; rows later than ``late`` may be dropped."""
     stamped = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
