@@ -24,9 +24,9 @@ the tree's mean, so that a crowd of near copies costs a pass and not a square.
 links found are joined into classes.  Then the tree meets itself from its root
 down: boxes that hold one and the same class are left alone, as are those that the
 bound tells apart, and the pairs of points that remain are verified.  Trees of more
-than BLOCK points are cut: in the first search into blocks, in the second into the
-tree's largest class, whose blocks never meet each other, and blocks of the rest,
-which meet all others.  A third of all rows in one tree is therefore many tasks.
+than BLOCK points are cut: in the first search into blocks, whose middle points make
+the next tree above them, in the second into the tree's largest class, whose blocks
+never meet each other, and blocks of the rest, which meet all others.  A third of all rows in one tree is therefore many tasks.
 
 Repeated rows belong to one class.  A null text has an empty set.  Rows with a
 null doc_id take part; they never name a class that has a document with an id.
@@ -36,6 +36,7 @@ An empty table gives an empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -361,17 +362,28 @@ def middles(counts: pa.Array, n: np.ndarray, tree: np.ndarray, wanted: np.ndarra
 
 
 def middle_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of each point with the middle one of its tree, or of its block of a large tree; members: key, node, n, counts, sizes: key, size of large trees."""
+    """key, node, middle: each point of a tree with its middle one, or that of its block of a large tree, as far as the bound leaves them; members: key, node, n, counts, sizes: key, size of large trees."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, 2):
             key, own, node, n = (batch.column(k).to_numpy() for k in range(4))
             i, j = middles(batch.column(4), n, numbered(key, own), key == node)
-            yield pair_batch(node, i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(node[i]), pa.array(node[j])], ["key", "node", "middle"])
 
     rows = members.join(sizes, "key", "left").select("key", block(BLOCK, F.coalesce("size", F.lit(1))).alias("own"), "node", "n", "counts")
-    rows = rows.repartition("key", "own").sortWithinPartitions("key", "own")
-    return rows.mapInArrow(search, "a long, b long").distinct()
+    return rows.repartition("key", "own").sortWithinPartitions("key", "own").mapInArrow(search, "key long, node long, middle long")
+
+
+def first_pairs(members: DataFrame, vectors_of: DataFrame, folder: str) -> DataFrame:
+    """Distinct pairs (a, b) of middle_pairs(); the middle points of a large tree's blocks are the points of a tree in turn, until it has one block."""
+    pairs = []
+    while True:
+        sizes = counted(materialised(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), folder))
+        found = materialised(middle_pairs(members.join(vectors_of, "node"), sizes), folder)
+        pairs.append(found.select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")))
+        if not sizes.limit(1).count():
+            return reduce(DataFrame.union, pairs).distinct()
+        members = materialised(found.join(sizes, "key", "left_semi").select("key", F.col("middle").alias("node")).distinct(), folder)
 
 
 def block(size: int, of: Column) -> Column:
@@ -474,8 +486,7 @@ def _classes(docs: DataFrame, keep: tuple[str, ...], folder: str) -> DataFrame:
         seed += 1  # two sets with one 64-bit name: take other names
     members = trees(docs, frequency_table(rows.where("kind = 1")), seed, folder)
     vectors_of = points.select("node", "n", "counts")
-    sizes = counted(materialised(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), folder))
-    tried = materialised(middle_pairs(members.join(vectors_of, "node"), sizes), folder)
+    tried = materialised(first_pairs(members, vectors_of, folder), folder)
     links = materialised(verified(tried, texts_of(tried, points, docs, folder)), folder)
     spread = materialised(members.join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node")), folder)
     pairs = materialised(tree_pairs(mixed_trees(spread, folder).join(vectors_of, "node")).join(tried, ["a", "b"], "left_anti"), folder)
