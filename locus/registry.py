@@ -14,7 +14,7 @@ from locus.functions import codecs, scalars
 from locus.operators import annotations, coverage, maintenance, ordering, regions, summaries, tiles, variants
 from locus.operators.regions import Region
 from locus.plans import manifest
-from locus.sources import dataset, text_formats
+from locus.sources import bam, dataset, sidecars, text_formats
 from locus.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +54,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests, one machine) a folder of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='locus-')}").rstrip("/")
+def _folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; only where that is unset and all runs on this machine (tests), one of our own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or f'file://{tempfile.mkdtemp()}').rstrip('/')}/locus-{uuid.uuid4().hex}"
 
 
 # Regions and chunks
@@ -186,7 +189,7 @@ def rechunk(spark, d):
 @query("SELECT 0::BIGINT AS different")
 def roundtrip_diff(spark, d):
     """Rows through a written dataset, and from there through lines of text that are written, read and parsed."""
-    folder = f"{_shared_folder(spark)}/roundtrip-{uuid.uuid4().hex}"
+    folder = _folder(spark)
     fields = ["reference", "position", "span", "mapq", "flag", "l_orderkey", "l_linenumber", "l_suppkey"]
     rows = P.reads(spark, d)
     dataset.write(rows, f"{folder}/dataset", SIZE)
@@ -203,13 +206,19 @@ def roundtrip_diff(spark, d):
     return regions.difference(before, stored).unionByName(regions.difference(before, parsed)).agg(F.count("*").alias("different"))
 
 
-@query(READS + " SELECT count(*) AS chunks, CAST(sum(n) AS BIGINT) AS reads FROM (SELECT reference, chunk_start, count(*) AS n FROM reads GROUP BY ALL)")
+def _checksum_sql(*columns: str) -> str:
+    """Common tables h (a 60-bit number of each row) and c (a checksum of each chunk)."""
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f""", h AS (SELECT reference, chunk_start, CAST('0x' || md5(concat_ws(chr(9), {text}))[1:15] AS BIGINT) AS h FROM reads),
+    c AS (SELECT reference, chunk_start, count(*) AS reads, sha256(concat_ws(':', count(*), bit_xor(h), sum(h))) AS checksum FROM h GROUP BY ALL)"""
+
+
+@query(READS + _checksum_sql("position", "span") + " SELECT * FROM c")
 def chunk_checksums(spark, d):
-    sums = manifest.checksums(P.reads(spark, d), ["position", "span", "mapq", "flag", "l_orderkey", "l_linenumber"])
-    return sums.where(F.length("checksum") == 64).agg(F.count("*").alias("chunks"), F.sum("reads").alias("reads"))
+    return manifest.checksums(P.reads(spark, d), ["position", "span"])
 
 
-@query()
+@query(READS + _checksum_sql("position", "span", "mapq", "flag", "l_orderkey", "l_linenumber") + " SELECT * FROM c")
 def chunk_checksum_values(spark, d):
     return manifest.checksums(P.reads(spark, d), ["position", "span", "mapq", "flag", "l_orderkey", "l_linenumber"])
 
@@ -241,11 +250,11 @@ def coordinate_sort(spark, d):
     return ordering.ranked(P.placed(spark, d), *TIES).select("reference", "position", *TIES, "rank")
 
 
-@query(READS + " SELECT reference_id, reference, position, l_orderkey FROM reads WHERE l_linenumber = 1")
+@query(READS + " SELECT reference_id, reference, position, l_orderkey, l_linenumber, l_suppkey FROM reads")
 def kway_merge(spark, d):
-    rows = P.reads(spark, d).where("l_linenumber = 1").select("reference_id", "reference", "position", "l_orderkey")
-    halves = [ordering.coordinate_sort(rows.where(F.col("position") % 2 == k), "l_orderkey") for k in (0, 1)]
-    return ordering.merge_sorted(*halves, by=["reference_id", "position", "l_orderkey"])
+    rows = P.reads(spark, d).select("reference_id", "reference", "position", "l_orderkey", "l_linenumber", "l_suppkey")
+    runs = [ordering.coordinate_sort(rows.where(F.col("l_orderkey") % 3 == k), *TIES) for k in range(3)]
+    return ordering.merge_sorted(*runs, by=["reference_id", "position", *TIES])
 
 
 @query(READS + " SELECT reference_id, reference, position, l_orderkey, l_linenumber FROM reads")
@@ -670,10 +679,10 @@ def span_distribution(spark, d):
     return P.reads(spark, d).groupBy("reference").agg(F.countDistinct("position").alias("positions"), F.percentile("span", F.lit(0.5)).alias("median_span"), F.min("span").alias("least"), F.max("span").alias("most"))
 
 
-@query("SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_nationkey < 5")
+@query("SELECT c_custkey, c_nationkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def intervals_per_sample(spark, d):
     counts = P.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return P.table(spark, d, "customer").where("c_nationkey < 5").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
+    return P.table(spark, d, "customer").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "c_nationkey", F.coalesce("n", F.lit(0)).alias("orders"))
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -686,3 +695,317 @@ def intervals_per_sample_whole(spark, d):
 def population_counts(spark, d):
     joined = P.table(spark, d, "supplier").join(P.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(P.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("samples"))
+
+
+# Stored datasets: written to the shared folder, read back from there
+
+
+def _stored(spark: SparkSession, d: str, rows: DataFrame | None = None) -> str:
+    path = _folder(spark)
+    dataset.write(P.reads(spark, d) if rows is None else rows, path, SIZE)
+    return path
+
+
+@query(READS + " SELECT l_orderkey, l_linenumber, l_suppkey, position, span FROM reads WHERE reference_id >= 0 AND reference = 'A' AND position >= 30 AND position < 90")
+def stored_region(spark, d):
+    return dataset.query(spark, _stored(spark, d), "A:30-90").select("l_orderkey", "l_linenumber", "l_suppkey", "position", "span")
+
+
+@query(READS + " SELECT l_orderkey, l_linenumber, l_suppkey, position, span FROM reads WHERE reference_id >= 0 AND reference = 'N' AND position < 140 AND position + span > 120")
+def stored_overlap(spark, d):
+    return dataset.query(spark, _stored(spark, d), "N:120-140", mode="overlap").select("l_orderkey", "l_linenumber", "l_suppkey", "position", "span")
+
+
+@query(READS + """, named AS (SELECT * FROM (VALUES ('r1', 'A', 10, 60), ('r2', 'N', 50, 300), ('r3', 'R', 0, 2000)) v(name, ref, s, e))
+    SELECT name, l_orderkey, l_linenumber, l_suppkey, position FROM reads JOIN named ON reference = ref AND position >= s AND position < e WHERE reference_id >= 0""")
+def stored_regions(spark, d):
+    named = spark.createDataFrame([("r1", "A", 10, 60), ("r2", "N", 50, 300), ("r3", "R", 0, 2000)], "name string, reference string, start long, end long")
+    return dataset.query_many(spark, _stored(spark, d), named).select("name", *TIES, "position")
+
+
+@query(READS + " SELECT CASE WHEN reference_id < 0 THEN 'unmapped' ELSE reference END AS reference, position, l_orderkey, l_linenumber, l_suppkey FROM reads")
+def stored_append(spark, d):
+    """Three batches, one of them written twice as after a failure."""
+    rows, path = P.reads(spark, d), _folder(spark)
+    for k in (0, 1, 2, 1):
+        dataset.append(rows.where(F.col("l_linenumber") % 3 == k), path, SIZE, batch=f"b{k}")
+    return dataset.read(spark, path).select("reference", "position", *TIES)
+
+
+@query(READS + " SELECT CASE WHEN reference_id < 0 THEN 'unmapped' ELSE reference END AS reference, CASE WHEN reference_id < 0 THEN 0 ELSE position // 1024 * 1024 END AS chunk_start, l_orderkey, l_linenumber, l_suppkey FROM reads")
+def stored_rechunk(spark, d):
+    path, target = _stored(spark, d), _folder(spark)
+    dataset.rechunk(spark, path, target, 1024, "snappy")
+    return dataset.read(spark, target).select("reference", "chunk_start", *TIES)
+
+
+@query(READS.replace("reads AS (", "raw AS (").replace("FROM lineitem\n)", "FROM lineitem\n), reads AS (SELECT * REPLACE (CASE WHEN reference_id >= 0 THEN reference END AS reference) FROM raw)") + _checksum_sql("flag", "l_linenumber", "l_orderkey", "l_suppkey", "mapq", "position", "reference_id", "span") + """,
+    m AS (SELECT reference, chunk_start, CAST(sum(span) AS BIGINT) AS bases, max(span) AS max_span FROM reads GROUP BY ALL)
+    SELECT c.reference, CAST(c.chunk_start AS BIGINT) AS chunk_start, c.reads, bases, max_span, checksum FROM c JOIN m ON c.reference IS NOT DISTINCT FROM m.reference AND c.chunk_start = m.chunk_start""")
+def stored_manifest(spark, d):
+    """The manifest that three batches have left, merged."""
+    rows, path = P.reads(spark, d), _folder(spark)
+    for k in range(3):
+        dataset.append(rows.where(F.col("l_linenumber") % 3 == k), path, SIZE, batch=f"b{k}")
+    return dataset.read_manifest(spark, path).select("reference", "chunk_start", F.col("reads").cast("long").alias("reads"), "bases", "max_span", "checksum")
+
+
+@query(READS + """, c AS (SELECT CASE WHEN reference_id >= 0 THEN reference END AS reference, chunk_start, count(*) AS n FROM reads GROUP BY ALL)
+    SELECT rule, CAST(CASE rule WHEN 'chunk_not_listed' THEN (SELECT count(*) FROM c WHERE reference = 'A') WHEN 'reads_differ' THEN (SELECT count(*) FROM c WHERE reference = 'R') WHEN 'checksum_differs' THEN (SELECT count(*) FROM c WHERE reference = 'R')
+        WHEN 'chunks_overlap' THEN (SELECT count(*) FROM c WHERE reference = 'N' AND chunk_start = 0) WHEN 'files_missing' THEN 1 WHEN 'wrong_width' THEN 1 ELSE 0 END AS BIGINT) AS violations
+    FROM (VALUES ('files_missing'), ('chunk_not_listed'), ('reads_differ'), ('checksum_differs'), ('span_too_short'), ('wrong_width'), ('chunks_overlap'), ('row_outside_its_chunk')) v(rule)""")
+def stored_violations(spark, d):
+    """A dataset whose manifest was spoiled: no entries of A, other counts and sums for R, an entry of N that overlaps its first chunk and has no files."""
+    path = _stored(spark, d)
+    entries = spark.read.parquet(f"{path}/manifest").where("reference is null or reference <> 'A'")
+    off = F.when(F.col("reference") == "R", 1).otherwise(0)
+    spoiled = entries.withColumns({"reads": F.col("reads") + off, "hash_xor": F.col("hash_xor") + off})
+    extra = entries.where("reference = 'N' and chunk_start = 0").withColumns({"chunk_start": F.lit(7).cast("long"), "path": F.lit("N/7")})
+    spoiled = spark.createDataFrame(spoiled.unionByName(extra).collect(), entries.schema)
+    spoiled.write.mode("overwrite").partitionBy("batch").parquet(f"{path}/manifest")
+    return dataset.violations(spark, path)
+
+
+@query(READS + " SELECT count(*) AS reads, count(*) FILTER (reference_id >= 0) AS mapped, CAST(sum(span) AS BIGINT) AS bases, count(DISTINCT reference) FILTER (reference_id >= 0) AS \"references\" FROM reads")
+def ingest_counters(spark, d):
+    rows, seen = dataset.counted_rows(P.reads(spark, d))
+    dataset.write(rows, _folder(spark), SIZE)
+    got = seen.get
+    return spark.createDataFrame([tuple(got[k] for k in ("reads", "mapped", "bases", "references"))], "reads long, mapped long, bases long, references long")
+
+
+@query(READS + " SELECT l_suppkey, position, count(*) AS n FROM reads WHERE l_suppkey = 3 GROUP BY ALL")
+def view_of_sample(spark, d):
+    path = _folder(spark)
+    dataset.write_views(P.reads(spark, d).drop("chunk_start"), path, "l_suppkey", "position")
+    return dataset.read_view(spark, path, "l_suppkey").where("l_suppkey = 3").groupBy("l_suppkey", "position").agg(F.count("*").alias("n"))
+
+
+@query(READS + " SELECT l_suppkey, position, count(*) AS n FROM reads WHERE position >= 20 AND position < 60 GROUP BY ALL")
+def view_of_positions(spark, d):
+    path = _folder(spark)
+    dataset.write_views(P.reads(spark, d).drop("chunk_start"), path, "l_suppkey", "position")
+    return dataset.read_view(spark, path, "position").where("position >= 20 and position < 60").groupBy("l_suppkey", "position").agg(F.count("*").alias("n"))
+
+
+@query(READS + " SELECT position, l_orderkey, l_linenumber, l_suppkey FROM reads WHERE position >= 100 AND position < 150")
+def hierarchy_range(spark, d):
+    path = _folder(spark)
+    dataset.write_hierarchy(P.reads(spark, d).drop("chunk_start"), path, "position", 1024, 64)
+    return dataset.read_hierarchy(spark, path, "position", 100, 150, 1024, 64).select("position", *TIES)
+
+
+@query(READS + " SELECT l_suppkey % 4 AS sample_id, reference, count(*) AS reads FROM reads WHERE reference_id >= 0 GROUP BY ALL")
+def multi_sample(spark, d):
+    """Four samples' datasets in one table."""
+    rows = P.mapped(spark, d)
+    paths = {k: _stored(spark, d, rows.where(F.col("l_suppkey") % 4 == k)) for k in range(4)}
+    whole = dataset.union(dataset.read(spark, p).withColumn("sample_id", F.lit(k).cast("long")) for k, p in paths.items())
+    return whole.groupBy("sample_id", "reference").agg(F.count("*").alias("reads"))
+
+
+@query(READS + " SELECT source, target, CAST(n AS BIGINT) AS reads, true AS done FROM (SELECT count(*) AS n FROM reads), (VALUES ('a', 'x'), ('a', 'y'), ('a', 'x')) v(source, target)")
+def batch_migration(spark, d):
+    path, x, y = _stored(spark, d), _folder(spark), _folder(spark)
+    names = F.create_map(*(F.lit(v) for pair in ((path, "a"), (x, "x"), (y, "y")) for v in pair))
+    done = dataset.migrate(spark, [(path, x, 512, "zstd"), (path, y, 1024, "snappy"), (path, x, 512, "zstd")])
+    return done.select(names[F.col("source")].alias("source"), names[F.col("target")].alias("target"), F.col("after").alias("reads"), "done")
+
+
+@query(READS + """, c AS (SELECT CASE WHEN reference_id >= 0 THEN reference ELSE 'unmapped' END AS reference, chunk_start, count(*) AS n FROM reads GROUP BY ALL)
+    SELECT reference, count(*) AS chunks, CAST(max(chunk_start) AS BIGINT) AS last_start, CAST(sum(n) AS BIGINT) AS reads FROM c GROUP BY reference""")
+def index_with_unmapped(spark, d):
+    index = manifest.index_entries(manifest.build(P.reads(spark, d), SIZE))
+    total = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c["reads"])
+    return index.select("reference", F.size("chunks").cast("long").alias("chunks"), F.element_at("chunks", -1)["start"].alias("last_start"), total.alias("reads"))
+
+
+@query(READS + """, c AS (SELECT reference || '/' || lpad(CAST(chunk_start AS VARCHAR), 9, '0') || '-' || lpad(CAST(chunk_start + 256 AS VARCHAR), 9, '0') || '.chunk' AS path, count(*) AS reads FROM reads WHERE reference_id >= 0 GROUP BY 1)
+    SELECT p.path, coalesce(c.reads, -1) AS reads FROM (VALUES ('A/000000000-000000256.chunk'), ('N/000000000-000000256.chunk'), ('nowhere')) p(path) LEFT JOIN c ON c.path = p.path""")
+def chunk_lookup(spark, d):
+    paths = spark.createDataFrame([("A/000000000-000000256.chunk",), ("N/000000000-000000256.chunk",), ("nowhere",)], "path string")
+    return manifest.chunk_info(manifest.build(P.reads(spark, d), SIZE), paths).select("path", F.coalesce("reads", F.lit(-1)).alias("reads"))
+
+
+@query("""WITH c AS (SELECT 's' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS reference, l_partkey // 256 AS c, count(*) AS n, sum(CAST(l_quantity AS INT)) AS b FROM lineitem GROUP BY ALL), r AS (SELECT DISTINCT reference FROM c)
+    SELECT (SELECT count(*) FROM c) AS chunks, (SELECT CAST(sum(n) AS BIGINT) FROM c) AS reads, (SELECT CAST(sum(b) AS BIGINT) FROM c) AS bases, (SELECT count(*) FROM r) AS "references",
+        (SELECT string_agg(reference, ', ' ORDER BY reference) FROM (SELECT reference FROM r ORDER BY reference LIMIT 10)) || CASE WHEN (SELECT count(*) FROM r) > 10 THEN ' and ' || ((SELECT count(*) FROM r) - 10) || ' more' ELSE '' END AS first_references""")
+def dataset_info(spark, d):
+    rows = P.placed(spark, d).withColumns({"reference": F.concat(F.lit("s"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")), "reference_id": F.lit(0)})
+    return manifest.info(manifest.build(rows, SIZE))
+
+
+@query(READS + """, f AS (SELECT reference, greatest(max(position) - 128, 0) AS settled FROM reads WHERE reference_id >= 0 GROUP BY reference)
+    SELECT reference, CAST(position // 64 * 64 AS BIGINT) AS chunk_start, count(*) AS reads FROM reads JOIN f USING (reference) WHERE reference_id >= 0 AND position // 64 * 64 + 64 <= settled GROUP BY ALL""")
+def settled_chunks(spark, d):
+    return ingest.settled_chunks(P.mapped(spark, d, 64), 64)
+
+
+# Files of other formats, written and read
+
+
+@query(READS + """ SELECT l_orderkey || ':' || l_linenumber || ':' || l_suppkey AS name, CASE WHEN reference_id >= 0 THEN reference ELSE '*' END AS reference, position, mapq, flag, span, CAST(l_linenumber AS VARCHAR) AS tag FROM reads""")
+def bam_roundtrip(spark, d):
+    """All rows as a binary alignment file and back."""
+    rows = P.reads(spark, d).withColumns({"name": F.concat_ws(":", *TIES), "reference": F.when(F.col("reference_id") >= 0, F.col("reference")), "cigar": F.concat(F.col("span").cast("string"), F.lit("M")), "tags": F.create_map(F.lit("LN"), F.col("l_linenumber").cast("string"))})
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("mate_reference", "sequence", "quality")} | {c: F.lit(0) for c in ("mate_position", "template_length")})
+    path = _folder(spark)
+    bam.write_bam(rows, "@HD\tVN:1.6\tSO:coordinate\n", [(r, 1 << 28) for r in "ANR"], path)
+    back = bam.read_bam(spark, path)
+    return back.select("name", F.coalesce("reference", F.lit("*")).alias("reference"), F.col("position").cast("long").alias("position"), "mapq", "flag", "span", F.col("tags")["LN"].alias("tag"))
+
+
+@query("SELECT '@HD' || chr(9) || 'VN:1.6' AS value UNION ALL SELECT '@SQ' || chr(9) || 'SN:c' || s_suppkey || chr(9) || 'LN:' || s_suppkey * 1000 FROM supplier UNION ALL SELECT '@RG' || chr(9) || 'ID:rg1' || chr(9) || 'SM:s1' UNION ALL SELECT '@CO' || chr(9) || 'made: by hand'")
+def header_roundtrip(spark, d):
+    """Header lines parsed, stored as JSON beside a dataset, read and formatted again."""
+    sq = P.table(spark, d, "supplier").select(F.concat(F.lit("@SQ\tSN:c"), F.col("s_suppkey").cast("string"), F.lit("\tLN:"), (F.col("s_suppkey") * 1000).cast("string")).alias("value"))
+    others = spark.createDataFrame([("@HD\tVN:1.6",), ("@RG\tID:rg1\tSM:s1",), ("@CO\tmade: by hand",)], "value string")
+    path = _folder(spark)
+    dataset.write_header(text_formats.sam_header(sq.unionByName(others)), path)
+    return text_formats.format_header(dataset.read_header(spark, path)).select("value")
+
+
+@query(READS + " SELECT count(*) + 3 AS lines, count(*) AS records FROM reads")
+def line_counts(spark, d):
+    path = _folder(spark)
+    body = P.reads(spark, d).select(F.concat_ws("\t", *TIES).alias("value"))
+    spark.createDataFrame([("@HD",), ("@SQ",), ("@CO",)], "value string").unionByName(body).write.text(path)
+    return text_formats.line_counts(spark.read.text(path), "@")
+
+
+@query(READS + " SELECT concat_ws(chr(9), l_orderkey, flag, reference, position + 1, mapq, span || 'M', '*', 0, 0, '*', '*') AS value FROM reads")
+def sam_display(spark, d):
+    rows = P.reads(spark, d).withColumns({"name": F.col("l_orderkey").cast("string"), "cigar": F.concat(F.col("span").cast("string"), F.lit("M")), "sequence": F.lit(None).cast("string"), "quality": F.lit(None).cast("string")})
+    return text_formats.format_simple(rows)
+
+
+_VCF = """, b AS (SELECT position, sample, max(dosage) AS dosage FROM calls WHERE dosage <> 0 AND sample IN (1, 2, 3) GROUP BY ALL),
+    w AS (SELECT position, max(dosage) FILTER (sample = 1) AS a, max(dosage) FILTER (sample = 2) AS b, max(dosage) FILTER (sample = 3) AS c FROM b GROUP BY position)"""
+
+
+@query(CALLS + _VCF + """ SELECT '##fileformat=VCFv4.2' AS value UNION ALL SELECT concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', '1', '2', '3') UNION ALL
+    SELECT concat_ws(chr(9), '1', position, '.', 'A', 'G', '.', 'PASS', '.', 'GT', ['0/0', '0/1', '1/1'][coalesce(a, 0) + 1], ['0/0', '0/1', '1/1'][coalesce(b, 0) + 1], ['0/0', '0/1', '1/1'][coalesce(c, 0) + 1]) FROM w""")
+def vcf_concat(spark, d):
+    """Variant files of two overlapping regions as one."""
+    lines, path = variants.vcf_lines(P.calls(spark, d), [1, 2, 3]), _folder(spark)
+    head = ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "1", "2", "3"])]
+    for k, part in enumerate((lines.where("position < 120"), lines.where("position >= 100"))):
+        spark.createDataFrame([(h,) for h in head], "value string").unionByName(part.select(F.col("line").alias("value"))).coalesce(1).write.text(f"{path}/part={k}")
+    return text_formats.concat_vcf(text_formats.read_vcf_lines(spark, path))
+
+
+@query(CALLS + _VCF + """ SELECT sample, position - 1 AS position, ['0/0', '0/1', '1/1'][dosage + 1] AS genotype FROM (SELECT position, unnest([{'s': '1', 'd': a}, {'s': '2', 'd': b}, {'s': '3', 'd': c}]) AS u FROM w) t, LATERAL (SELECT u.s AS sample, u.d AS dosage) WHERE dosage IS NOT NULL""")
+def vcf_calls(spark, d):
+    """Genotypes read back from two files whose sample columns are in another order."""
+    calls, path = P.calls(spark, d), _folder(spark)
+    for k, samples in enumerate(([1, 2, 3], [3, 1, 2])):
+        lines = variants.vcf_lines(calls.where(F.col("position") % 2 == k), samples).select(F.col("line").alias("value"))
+        head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *map(str, samples)])
+        spark.createDataFrame([(head,)], "value string").unionByName(lines).coalesce(1).write.text(f"{path}/part={k}")
+    return text_formats.parse_vcf(text_formats.read_vcf_lines(spark, path)).select("sample", "position", "genotype")
+
+
+@query("SELECT p_partkey AS position, p_retailprice AS qual, p_size AS depth FROM part WHERE p_partkey >= 20 AND p_partkey < 180 AND p_retailprice >= 910 AND p_size > 30")
+def variant_predicates(spark, d):
+    """Site columns written as Parquet; reference, position, quality and depth reach the scan."""
+    part, path = P.table(spark, d, "part"), _folder(spark)
+    lines = part.select(F.concat_ws("\t", F.lit("1"), F.col("p_partkey") + 1, F.lit("."), F.lit("A"), F.lit("G"), F.col("p_retailprice"), F.lit("PASS"), F.concat(F.lit("AC=1;DP="), "p_size")).alias("value"))
+    text_formats.vcf_sites(lines).write.parquet(path)
+    return variants.filtered(spark.read.parquet(path), "1", 20, 180, 910.0, 31).select("position", F.col("qual"), F.col("depth").cast("long").alias("depth"))
+
+
+@query()
+def site_sketch(spark, d):
+    return variants.site_sketch(P.calls(spark, d))
+
+
+@query("SELECT s_suppkey || '_1' AS sample_id, 's3://reads/' || s_suppkey || '_R1.fastq' AS reads_r1, 's3://reads/' || s_suppkey || '_R2.fastq' AS reads_r2 FROM supplier")
+def sample_sheet(spark, d):
+    path, key = _folder(spark), F.col("s_suppkey").cast("string")
+    sheet = P.table(spark, d, "supplier").select(F.concat(key, F.lit("_1")).alias("sample_id"), *(F.concat(F.lit("s3://reads/"), key, F.lit(f"_R{k}.fastq")).alias(f"reads_r{k}") for k in (1, 2)))
+    sheet.write.csv(path, header=True)
+    return text_formats.read_sample_sheet(spark, path)
+
+
+@query(READS + ", b AS (SELECT 'A' AS ref, s_suppkey * 7 AS s, s_suppkey * 7 + 9 AS e FROM supplier) SELECT 'A_' || s || '_' || e AS name, count(*) AS reads FROM reads JOIN b ON reference = ref AND position >= s AND position < e WHERE reference_id >= 0 GROUP BY 1")
+def bed_regions(spark, d):
+    path = _folder(spark)
+    P.samples(spark, d).select(F.lit("A"), F.col("sample") * 7, F.col("sample") * 7 + 9).write.csv(path, sep="\t")
+    return regions.join_regions(P.mapped(spark, d), text_formats.read_bed(spark, path), SIZE).groupBy("name").agg(F.count("*").alias("reads"))
+
+
+@query("SELECT s, count(*) AS n FROM (SELECT substr(sha256('reads/' || l_orderkey || '.chunk'), 1, 1) AS s FROM lineitem) WHERE s IN ('3', 'a') GROUP BY s")
+def sharded_scan(spark, d):
+    """Rows in folders by the hash prefix of their path; a scan of two prefixes reads two folders."""
+    path = _folder(spark)
+    rows = P.table(spark, d, "lineitem").select("l_orderkey", scalars.shard_prefix(F.concat(F.lit("reads/"), F.col("l_orderkey").cast("string"), F.lit(".chunk")), 4).alias("s"))
+    rows.hint("rebalance", "s").write.partitionBy("s").parquet(path)
+    return spark.read.schema("l_orderkey long, s string").parquet(path).where("s in ('3', 'a')").groupBy("s").agg(F.count("*").alias("n"))
+
+
+# Transcripts, tiers and exports
+
+
+_WORDS = "SELECT conv_id || ':' || turn AS id, unnest(list_filter(string_split(text, ' '), lambda w: w <> '')) AS word FROM conversations"
+
+
+@query(f"SELECT word, count(*) AS times, count(DISTINCT id) AS utterances FROM ({_WORDS}) GROUP BY word")
+def transcript_words(spark, d):
+    """Conversations as transcript files, one a conversation, and their words from there."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    word = F.transform(words, lambda w, k: F.struct(w.alias("word"), k.cast("double").alias("start_time"), (k + 1).cast("double").alias("end_time")))
+    spoken = P.table(spark, d, "conversations").select("conv_id", F.struct(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("role").alias("speaker"), F.col("turn").cast("double").alias("start_time"), F.col("text"), word.alias("words")).alias("u"))
+    path = _folder(spark)
+    spoken.groupBy("conv_id").agg(F.collect_list("u").alias("utterances")).select(F.to_json(F.struct("utterances")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return sidecars.read_words(spark, path).groupBy("word").agg(F.count("*").alias("times"), F.count_distinct("utterance_id").alias("utterances"))
+
+
+@query(EVENTS + " SELECT id, CAST(t AS DOUBLE) AS start_time FROM e WHERE code = 'click' AND participant % 3 = 1")
+def tier_codes(spark, d):
+    """Tiers as JSON files, read, and one tier's annotations of one code."""
+    path, tier = _folder(spark), F.concat(F.lit("t"), (F.col("participant") % 3).cast("string"))
+    one = F.struct(F.col("id").cast("string").alias("id"), F.col("t").cast("double").alias("time"), "code", F.col("participant").cast("string").alias("participant"))
+    files = P.annotations(spark, d).groupBy(tier.alias("tier"), F.expr("t div 86400").alias("day")).agg(F.collect_list(one).alias("annotations"))
+    files.select(F.to_json(F.struct("tier", "annotations")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return annotations.of_tier(sidecars.read_tiers(spark, path), "t1", "click").select(F.col("id").cast("long").alias("id"), "start_time")
+
+
+@query(EVENTS + " SELECT 'all' AS tier, CAST(id AS VARCHAR) AS id, CAST(t AS DOUBLE) AS start_time, code, 'p' || participant || ';x' AS participants FROM e")
+def annotation_export(spark, d):
+    """Annotations exported as CSV, JSON and XML, counted to be the same, and the CSV's rows."""
+    who = F.array(F.concat(F.lit("p"), F.col("participant").cast("string")), F.lit("x"))
+    start = F.col("t").cast("double")
+    rows = P.annotations(spark, d).select(F.lit("all").alias("tier"), F.col("id").cast("string").alias("id"), start.alias("start_time"), start.alias("end_time"), "code", who.alias("participants"), F.create_map(F.lit("v"), F.col("value").cast("string")).alias("metadata"))
+    path = _folder(spark)
+    sidecars.write_csv(rows, f"{path}/csv")
+    sidecars.write_json(rows, f"{path}/json")
+    sidecars.write_xml(rows, f"{path}/xml")
+    names = "tier string, id string, start_time double, end_time double, code string, participants string, metadata string"
+    csv = spark.read.schema(names).csv(f"{path}/csv", header=True).select("tier", "id", "start_time", "code", "participants")
+    json = spark.read.schema("tier string, id string, start_time double, code string, participants array<string>").json(f"{path}/json").withColumn("participants", F.array_join("participants", ";"))
+    xml = spark.read.schema(names).option("rowTag", "ANNOTATION").format("xml").load(f"{path}/xml").select(csv.columns)
+    return csv.intersectAll(json).intersectAll(xml)
+
+
+@query("""WITH u AS (SELECT role AS speaker, turn * 10 AS s, turn * 10 + length(text) % 45 + 1 AS e FROM conversations), g AS (SELECT speaker, string_agg(k, ',' ORDER BY k) AS segments FROM (SELECT DISTINCT speaker, unnest(range(s // 30, (e - 1) // 30 + 1)) AS k FROM u) GROUP BY speaker)
+    SELECT speaker, count(*) AS utterances, CAST(sum(e - s) AS BIGINT) AS seconds, segments FROM u JOIN g USING (speaker) GROUP BY speaker, segments""")
+def speaker_times(spark, d):
+    start = (F.col("turn") * 10).cast("long")
+    spoken = P.table(spark, d, "conversations").select(F.col("role").alias("speaker"), start.alias("start"), (start + F.length("text") % 45 + 1).alias("end"))
+    return annotations.speaker_times(spoken, 30)
+
+
+@query(EVENTS + " SELECT id, t // 30 AS segment, strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS minute FROM e")
+def segment_of_time(spark, d):
+    return P.annotations(spark, d).select("id", scalars.segment_index(F.col("t")).alias("segment"), F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd HH:mm").alias("minute"))
+
+
+@query(READS + " SELECT count(*) AS total_reads, count(*) FILTER (flag & 4 = 0) AS mapped_reads, count(*) FILTER (flag & 4 <> 0) AS unmapped_reads FROM reads")
+def mapped_by_flag(spark, d):
+    return summaries.dataset_statistics(P.reads(spark, d), 6000, mapped_by="flag").select("total_reads", "mapped_reads", "unmapped_reads")
+
+
+@query(READS + " SELECT l_orderkey, position, mapq, span || 'M' AS cigar FROM reads WHERE reference_id >= 0 AND reference = 'A' AND position >= 30 AND position < 90")
+def simple_projection(spark, d):
+    rows = dataset.query(spark, _stored(spark, d), "A:30-90")
+    return rows.select("l_orderkey", "position", "mapq", F.concat(F.col("span").cast("string"), F.lit("M")).alias("cigar"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -128,10 +127,11 @@ def migrate(spark: SparkSession, jobs: list[tuple[str, str, int, str]]) -> DataF
 
 
 def _reads_if_any(spark: SparkSession, path: str) -> int | None:
-    try:
-        return read_manifest(spark, path).agg(F.sum("reads")).first()[0] or 0
-    except AnalysisException:  # no such dataset yet
+    """The reads of the dataset at path, None if there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    return read_manifest(spark, path).agg(F.sum("reads")).first()[0] or 0
 
 
 def violations(spark: SparkSession, path: str) -> DataFrame:
@@ -155,7 +155,8 @@ def violations(spark: SparkSession, path: str) -> DataFrame:
         F.count_if((end > 0) & ((end - start != size) | (start % size != 0))).alias("wrong_width"),
     )
     # Chunks of one width on one grid overlap where two entries have the same start, or the widths differ.
-    entries = listed.where("reference is not null").groupBy("reference", F.explode(F.sequence(F.expr(f"chunk_start div {size}"), F.expr(f"greatest(chunk_end - 1, chunk_start) div {size}"))).alias("cell")).agg(F.count("*").alias("n"))
+    cells = F.sequence(F.expr(f"chunk_start div {size}"), F.expr(f"greatest(chunk_end - 1, chunk_start) div {size}"))
+    entries = listed.where("reference is not null").select("reference", F.explode(cells).alias("cell")).groupBy("reference", "cell").agg(F.count("*").alias("n"))
     misplaced = (F.col("reference") != UNMAPPED) & ((F.col("position") < F.col("chunk_start")) | (F.col("position") >= F.col("chunk_start") + size))
     rules = chunk_rules.unpivot([], chunk_rules.columns, "rule", "violations")
     rules = rules.unionByName(entries.agg(F.count_if(F.col("n") > 1).alias("violations")).select(F.lit("chunks_overlap").alias("rule"), "violations"))

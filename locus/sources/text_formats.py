@@ -78,6 +78,13 @@ def format_sam(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("\t", *(c.cast("string") for c in columns), tags).alias("value"))
 
 
+def format_simple(rows: DataFrame) -> DataFrame:
+    """One line a row without mates and tags: the display form, not the inverse of parse_sam."""
+    given = [F.coalesce(F.col(c), F.lit("*")) for c in ("reference", "cigar", "sequence", "quality")]
+    columns = [F.col("name"), F.col("flag"), given[0], F.col("position") + 1, F.col("mapq"), given[1], F.lit("*"), F.lit(0), F.lit(0), *given[2:]]
+    return rows.select(F.concat_ws("\t", *(c.cast("string") for c in columns)).alias("value"))
+
+
 def write_sam(rows: DataFrame, references: DataFrame, path: str, header: DataFrame | None = None) -> None:
     """Part files in (reference_id, position) order, unmapped rows last; the header (as sam_header's, or without one the references alone) is a file of its own before them."""
     if header is None:
