@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from locus import proxies
-from locus.operators import maintenance, regions
+from locus.operators import maintenance, regions, tiles, variants
 from locus.operators.regions import Region
-from locus.sources import chunk_files, dataset, text_formats
+from locus.sources import bam, chunk_files, dataset, text_formats
 from locus.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -156,3 +156,200 @@ def test_fastq_keeps_qualities_that_begin_with_at(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def aligned(spark, n=1500, seed=3):
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        unmapped, size = rng.random() < 0.1, rng.randint(1, 120)
+        rows.append((
+            f"r{k}", 4 if unmapped else rng.choice([0, 16, 99, 1024]), None if unmapped else rng.choice(["chr1", "chr2"]), -1 if unmapped else rng.randint(0, 10**6), 0 if unmapped else 60,
+            None if unmapped else rng.choice([f"{size}M", f"{size}M2D", f"1S{size}="]), rng.choice([None, "chr1"]), rng.randint(-1, 1000), rng.randint(-500, 500), "".join(rng.choice("ACGTN") for _ in range(size)),
+            None if rng.random() < 0.1 else "".join(chr(33 + rng.randint(0, 60)) for _ in range(size)), {"NM": str(k % 7), "RG": "rg1"} if rng.random() < 0.8 else {}, 0 if unmapped else size,
+        ))
+    schema = "name string, flag int, reference string, position int, mapq int, cigar string, mate_reference string, mate_position int, template_length int, sequence string, quality string, tags map<string,string>, span int"
+    return rows, spark.createDataFrame(rows, schema).repartition(5)
+
+
+REFERENCES = [("chr2", 8_000_000), ("chr1", 10_000_000)]
+
+
+def test_bam_round_trip_over_members_and_splits(spark, tmp_path):
+    import gzip
+
+    rows, frame = aligned(spark)
+    text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in REFERENCES)
+    bam.write_bam(frame, text, REFERENCES, str(tmp_path / "out"), payload=700)
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert gzip.decompress(whole)[:4] == bam.MAGIC and whole.endswith(bam.LAST)
+    (tmp_path / "whole.bam").write_bytes(whole)
+    assert bam.read_header(spark, str(tmp_path / "whole.bam")) == (text, REFERENCES)
+    want = sorted(str((*r[:11], sorted(r[11].items()))) for r in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "3000", "20000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = bam.read_bam(spark, str(tmp_path / "whole.bam")).select(*frame.columns[:12]).collect()
+            assert sorted(str((*r[:11], sorted(r[11].items()))) for r in map(tuple, got)) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    order = [(r.reference_id, r.position) for r in bam.read_bam(spark, str(tmp_path / "whole.bam")).collect()]
+    mapped = [x for x in order if x[0] >= 0]
+    assert sorted(mapped) == [(r, p) for r, p in sorted(mapped)] and len(order) == len(rows)
+
+
+def test_bam_of_broken_files(spark, tmp_path):
+    _, frame = aligned(spark, 50)
+    bam.write_bam(frame, "@HD\tVN:1.6\n", REFERENCES, str(tmp_path / "out"))
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    (tmp_path / "cut.bam").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "other.bam").write_bytes(bam.member(b"no such file") + bam.LAST)
+    with pytest.raises(Exception):
+        bam.read_bam(spark, str(tmp_path / "cut.bam")).collect()
+    with pytest.raises(ValueError):
+        bam.read_header(spark, str(tmp_path / "other.bam"))
+    bam.write_bam(frame.limit(0), "@HD\tVN:1.6\n", REFERENCES, str(tmp_path / "none"))
+    assert bam.read_bam(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_bam_tags_of_every_type():
+    import struct
+
+    data = b"XAAq" + b"Xcc\xff" + b"XsS" + struct.pack("<H", 65535) + b"XfF"[:2] + b"f" + struct.pack("<f", 1.5) + b"XZZab\0" + b"XBBs" + struct.pack("<ihh", 2, -3, 4)
+    assert bam._tags(data) == {"XA": "q", "Xc": "-1", "Xs": "65535", "Xf": "1.5", "XZ": "ab", "XB": "s,-3,4"}
+
+
+def test_references_of_several_files_count_once(spark, tmp_path):
+    for k, names in enumerate((["b", "a"], ["b", "a", "c"])):
+        (tmp_path / f"{k}.sam").write_text("@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{len(names)}\n" for n in names))
+    assert [tuple(r) for r in text_formats.sam_references(spark, str(tmp_path)).collect()] == [(0, "b", 2), (1, "a", 2), (2, "c", 3)]
+
+
+def test_sam_files_keep_their_header(spark, tmp_path):
+    (tmp_path / "x.sam").write_text("\n".join(SAM[:7]) + "\n@RG\tID:rg1\tSM:a:b\n@PG\tID:p\tCL:x y\n")
+    lines = text_formats.sam_lines(spark, str(tmp_path / "x.sam"))
+    references = text_formats.sam_references(spark, str(tmp_path / "x.sam"))
+    text_formats.write_sam(text_formats.parse_sam(lines), references, str(tmp_path / "out"), text_formats.sam_header(lines))
+    header = [r.value for r in spark.read.text(str(tmp_path / "out" / "header")).collect()]
+    assert header == [SAM[0], SAM[1], SAM[2], "@RG\tID:rg1\tSM:a:b", "@PG\tID:p\tCL:x y", SAM[3]]
+    assert [r.value.split("\t")[0] for r in spark.read.text(str(tmp_path / "out" / "body")).collect()] == ["r3", "r1", "r2"]
+    text_formats.write_sam(text_formats.parse_sam(lines), references, str(tmp_path / "short"))
+    assert spark.read.text(str(tmp_path / "short" / "header")).count() == 2
+
+
+def test_vcf_files_with_other_samples_keep_their_names(spark, tmp_path):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"
+    (tmp_path / "a").write_text(f"##x\n{head}\ts1\ts2\n1\t11\t.\tA\tG\t9\tPASS\tDP=31;AF=1\tGT\t0/1\t0\n")
+    (tmp_path / "b").write_text(f"##y\n{head}\ts9\n1\t12\trs1\tA\tG\t.\tq10\tXDP=4\tGT\t1\n")
+    lines = text_formats.read_vcf_lines(spark, str(tmp_path))
+    assert sorted((r.sample, r.position, r.genotype) for r in text_formats.parse_vcf(lines).collect()) == [("s1", 10, "0/1"), ("s9", 11, "1")]
+    assert sorted(tuple(r) for r in text_formats.vcf_sites(lines).select("position", F.coalesce("id", F.lit("-")), F.coalesce("qual", F.lit(-1.0)), "filter", F.coalesce("depth", F.lit(-1))).collect()) == [(10, "-", 9.0, "PASS", 31), (11, "rs1", -1.0, "q10", -1)]
+    with pytest.raises(Exception, match="different samples"):
+        text_formats.concat_vcf(lines).collect()
+
+
+def test_vcf_concat_orders_contigs_as_the_header_does(spark, tmp_path):
+    head = "##contig=<ID=2,length=9>\n##contig=<ID=10>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts"
+    for k, body in enumerate((["10\t5", "2\t9"], ["2\t30", "2\t9"])):
+        (tmp_path / str(k)).write_text(f"{head}\n" + "".join(f"{b}\t.\tA\tG\t.\t.\t.\tGT\t0/1\n" for b in body))
+    got = [r.value for r in text_formats.concat_vcf(text_formats.read_vcf_lines(spark, str(tmp_path))).collect()]
+    assert got[:3] == head.split("\n") and [v.split("\t")[:2] for v in got[3:]] == [["2", "9"], ["2", "30"], ["10", "5"]]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "a.sam").write_text("\n".join(SAM) + "\n")
+    references = spark.createDataFrame([(0, "chr2"), (1, "chr1")], "reference_id int, reference string")
+    for k in range(2):  # the second run has lost its checkpoint and plays the batch again
+        ingest.ingest_sam(spark, str(source), target, references, 1000, str(tmp_path / f"cp{k}")).awaitTermination()
+    assert dataset.read(spark, target).count() == 3
+    m = {(r.reference, r.chunk_start): (r.reads, r.max_span) for r in dataset.read_manifest(spark, target).collect()}
+    assert m == {("chr1", 0): (1, 5), ("chr2", 0): (1, 6), (None, 0): (1, 0)}
+    assert dataset.query(spark, target, "chr2:303-305", mode="overlap").count() == 1
+
+
+def test_append_adds_entries_of_its_own_rows_only(spark, tmp_path):
+    rows, path = proxies.reads(spark, SF), str(tmp_path / "d")
+    dataset.write(rows.where("l_linenumber <= 3"), path, 256)
+    parts = set((tmp_path / "d" / "manifest").glob("batch=*/*.parquet"))
+    dataset.append(rows.where("l_linenumber > 3"), path, 256)
+    assert parts < set((tmp_path / "d" / "manifest").glob("batch=*/*.parquet"))
+    dataset.write(rows, str(tmp_path / "e"), 256)
+    both = [dataset.read_manifest(spark, p).orderBy("reference", "chunk_start").collect() for p in (path, str(tmp_path / "e"))]
+    assert both[0] == both[1] and dataset.violations(spark, path).agg(F.sum("violations")).first()[0] == 0
+
+
+def test_a_lost_file_is_a_violation(spark, tmp_path):
+    path = tmp_path / "d"
+    dataset.write(proxies.reads(spark, SF), str(path), 256)
+    gone = next((path / "data" / "reference=R").glob("chunk_start=*/batch=0/*.parquet"))
+    gone.rename(tmp_path / "gone")
+    found = {r.rule: r.violations for r in dataset.violations(spark, str(path)).collect()}
+    assert found["files_missing"] == 1 and sum(found.values()) == 1
+
+
+def test_older_datasets_become_new_ones(spark, tmp_path):
+    import zstandard
+
+    records = [(f"r{k}", 0, k % 2, 10 * k, 60, "5M", "ACGTN", "IIIII", {"NM": "0"}) for k in range(20)]
+    old = tmp_path / "old"
+    old.mkdir()
+    (old / "a.chunk").write_bytes(chunk_files.pack(records[:8]))
+    (old / "b.chunk").write_bytes(zstandard.ZstdCompressor().compress(chunk_files.pack(records[8:12])))
+    as_json = json.dumps([{"name": r[0], "flag": r[1], "ref": r[2], "pos": r[3], "mapq": r[4], "cigar": r[5], "seq": r[6], "qual": r[7], "tags": r[8]} for r in records[12:]]).encode()
+    (old / "c.chunk").write_bytes(zstandard.ZstdCompressor().compress(as_json))
+    got = [tuple(r)[:9] for r in chunk_files.read_any(spark, str(old)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, records))
+    references = spark.createDataFrame([(0, "x"), (1, "y")], "reference_id int, reference string")
+    dataset.upgrade(spark, str(old), references, str(tmp_path / "new"), 64)
+    assert dataset.query(spark, str(tmp_path / "new"), "y:0-100").count() == 5 and dataset.read(spark, str(tmp_path / "new")).count() == 20
+
+
+def test_views_prune(spark, tmp_path):
+    rows = proxies.reads(spark, SF).drop("chunk_start")
+    dataset.write_hierarchy(rows, str(tmp_path), "position", 64, 16)
+    near = dataset.read_hierarchy(spark, str(tmp_path), "position", 40, 60, 64, 16)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "coarse" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThan(fine,24)" in plan
+    assert near.count() == rows.where("position >= 40 and position < 60").count() > 0
+
+
+def test_sites_reach_the_scan(spark, tmp_path):
+    text_formats.vcf_sites(spark.createDataFrame([("1\t5\t.\tA\tG\t30\tPASS\tDP=40",), ("1\t6\t.\tA\tG\t.\tPASS\t.",)], "value string")).write.parquet(str(tmp_path / "v"))
+    found = variants.filtered(spark.read.parquet(str(tmp_path / "v")), "1", 0, 10, 20.0, 30)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = found._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1].split("]")[0]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert found.count() == 1 and "GreaterThanOrEqual(qual,20.0)" in plan and "GreaterThanOrEqual(depth,30)" in plan
+
+
+def test_nearest_centroid_in_blocks(spark):
+    rng = random.Random(2)
+    vectors = spark.createDataFrame([(k, [rng.random() for _ in range(4)]) for k in range(60)], "vec_id long, embedding array<double>")
+    centres = spark.createDataFrame([(k, [rng.random() for _ in range(4)]) for k in range(25)], "label long, centroid array<double>")
+    whole, cut = ({r.vec_id: (r.label, r.distance) for r in tiles.nearest_centroid(vectors, centres, block).collect()} for block in (256, 3))
+    assert whole == cut and len(cut) == 60
+
+
+def test_stream_joins_and_dedup(spark, tmp_path):
+    rows = [(k, "2024-01-01 00:00:%02d" % (k % 50), k % 5, "view", 1.0) for k in range(50)]
+    spark.createDataFrame(rows + rows[:7], "event_id long, ts string, user_id long, event_type string, value double").write.parquet(str(tmp_path / "e"))
+    events = spark.readStream.schema("event_id long, ts string, user_id long, event_type string, value double").parquet(str(tmp_path / "e"))
+
+    def ran(frame, name):
+        frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    assert ran(ingest.deduplicated(events, ["event_id"]), "dedup").count() == 50
+    pairs = ran(ingest.paired(events, events, "user_id", "10 seconds"), "pairs")
+    stamps = [(k, k % 50, k % 5) for k in [*range(50), *range(7)]]
+    assert pairs.count() == sum(a[2] == b[2] and 0 <= b[1] - a[1] <= 10 for a in stamps for b in stamps)
+
+
+def test_stream_frontier(spark):
+    rows = proxies.mapped(spark, SF, 64)
+    found = {(r.reference, r.chunk_start) for r in ingest.settled_chunks(rows, 64).collect()}
+    last = {r.reference: r.m for r in rows.groupBy("reference").agg(F.max("position").alias("m")).collect()}
+    want = {(r.reference, r.chunk_start) for r in rows.select("reference", "chunk_start").distinct().collect() if r.chunk_start + 64 <= last[r.reference] - 128}
+    assert found == want
