@@ -26,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locus.llm.storage import materialised
+from locus.llm.storage import materialised, scratch
 
 SHINGLE = 5
 BROADCAST_ROWS = 500_000
@@ -58,6 +58,11 @@ def _bounded(rows: DataFrame) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment for every document that contains an item."""
+    with scratch(docs.sparkSession) as folder:
+        return materialised(_contained(docs, items, threshold, folder))
+
+
+def _contained(docs: DataFrame, items: DataFrame, threshold: float, folder: str) -> DataFrame:
     sized = items.where("item_id is not null").select("item_id", words("text").alias("w")).where(F.size("w") > 0).withColumn("width", F.least(F.size("w"), F.lit(SHINGLE)))
     runs = sized.select("item_id", "width", F.explode(_runs(F.col("w"), F.col("width"), lambda r: F.struct(_text(r).alias("shingle"), _hash(r).alias("hash")))).alias("r"))
     whole = Window.partitionBy("item_id")
@@ -65,19 +70,20 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> Dat
         runs.select("item_id", "width", "r.*")
         .distinct()
         .withColumn("n_item", F.count("*").over(whole))
-        .withColumn("place", F.row_number().over(whole.orderBy("hash", "shingle")))
+        .withColumn("place", F.row_number().over(whole.orderBy("hash", "shingle"))),
+        folder,
     )
     # A partition of items is all those of one size; its sketch has as many minima as that size needs.
     sketch_size = F.col("n_item") - F.ceil(F.col("n_item") * threshold - 1e-9) + 1
-    keys = materialised(shingles.where(F.col("place") <= sketch_size).select("item_id", "width", "hash").distinct())
+    keys = materialised(shingles.where(F.col("place") <= sketch_size).select("item_id", "width", "hash").distinct(), folder)
     widths = sorted(r.width for r in keys.select("width").distinct().collect())  # at most SHINGLE of them
 
     # A row's name; rows that share one by chance are merely verified for nothing.
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     hashes = F.concat(F.array().cast("array<bigint>"), *(_runs(F.col("w"), width, _hash) for width in widths))
     met = rows.select("row", words("text").alias("w")).select("row", F.explode(hashes).alias("hash")).join(_bounded(keys), "hash")
-    pairs = materialised(met.select("row", "item_id", "width").distinct())
-    marked = rows.join(_bounded(materialised(pairs.select("row").distinct())), "row", "left_semi")
+    pairs = materialised(met.select("row", "item_id", "width").distinct(), folder)
+    marked = rows.join(_bounded(materialised(pairs.select("row").distinct(), folder)), "row", "left_semi")
     wanted = shingles.groupBy("item_id", "n_item").agg(F.collect_set("shingle").alias("shingles"))
     return (
         marked.select("row", "doc_id", words("text").alias("w"))

@@ -14,7 +14,8 @@ that ever reaches the driver.  Scoring reads every whole text once.
 Null and empty texts get a score as any other (their features are zeros).  With
 no labelled rows, or labels of one kind only, every score is that label's
 smoothed frequency.  Rows whose id is null are scored but never used to fit.  Of
-several labels of one id the least holds; rows that share an id share its label.
+several labels of one id the least holds, and of several rows that share an id the
+one with the least features is fitted.
 Extra columns are kept, and a column named like an output column is replaced.
 """
 
@@ -180,7 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label: str
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(features(part.column(1))), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(measured, "doc_id long, y int, x array<double>").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(measured, "doc_id long, y int, x array<double>")
+    # One row an id, however many documents share it.
+    rows = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.x))
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows], float))
 

@@ -5,12 +5,14 @@ import os
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from locus.llm import chat, decontaminate, pii, queries, simjoin
+from locus.llm import chat, decontaminate, pii, quality, queries, simjoin, vocabulary
+from tests.llm.test_operators import brute_classes, brute_weight, shingles
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -91,6 +93,34 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() == masked.count()
 
 
+def test_pipeline_against_brute_force(spark):
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    model = quality.train(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    scores = dict(zip(rows, model.score(quality.features(pa.array([r.text for r in rows.values()]))), strict=True))
+    texts = {k: r.text for k, r in rows.items() if scores[k] >= 0.3}
+    first = {k for k, (_, c) in brute_classes(texts).items() if c == k}
+    items = [shingles(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    clean = {k for k in first if not any(len(i) and len(next(iter(i))) == 5 and 4 * len(i & shingles(texts[k])) >= 3 * len(i) for i in items)}
+    assert all(len(next(iter(i))) == 5 for i in items if i)
+    vocab = vocabulary.load()
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
+    assert set(got) == clean and all(r.round_trip for r in got.values())
+    for k in sorted(clean)[::9]:
+        masked = pii.mask_text(texts[k])
+        assert got[k].ids == [i for c in re.findall(" *[^ ]+| +", masked) for i in brute_weight(vocab, c)[1]]
+        assert got[k].n_tokens == len(got[k].ids) and got[k].n_chars == len(masked)
+
+
+def test_pipeline_of_empty_tables_and_of_nulls(spark, tmp_path):
+    for name, rows in (("none", []), ("odd", [(None, None), (None, "a b c d e f"), (1, None), (1, ""), (2, " \n"), (2, "q" * 30_000), (3, "one"), (3, "one")])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as score", "1 as row", "'en' as lang", "0L as n_chars").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert sorted(str((r.doc_id, r.n_tokens > 0)) for r in got) == sorted(str((k, bool(t))) for k, t in set(rows)) and all(r.round_trip for r in got)
+
+
 def test_dedup_stage_with_repeated_rows_and_ids(spark):
     long = " ".join(f"w{k}" for k in range(30))
     rows = [(5, long, "x"), (5, long, "x"), (6, long + " more", "x"), (7, None, "x"), (7, None, "x"), (None, long, "x"), (8, "", "x"), (9, "only this", "x")]
