@@ -75,17 +75,20 @@ def n_groups(n: int) -> int:
 
 
 def count_vector(shingles: np.ndarray) -> bytes:
+    """The counts of a set's groups: the bytes a count takes, then the compressed counts, which are mostly 0, 1 and 2."""
     groups = n_groups(len(shingles))
     counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return counts.astype(np.uint8 if counts.max() < 1 << 8 else np.uint32).tobytes()
+    kind = np.uint8 if counts.max() < 1 << 8 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + pa.Codec("zstd").compress(counts.astype(kind).tobytes(), asbytes=True)
 
 
 def vectors(points: list[bytes], n: np.ndarray) -> np.ndarray:
     """Count vectors as a matrix, folded to the fewest groups among them: halves of a vector sum up to one of half the groups."""
-    groups = n_groups(int(n.min()))
+    groups, codec = n_groups(int(n.min())), pa.Codec("zstd")
     out = np.empty((len(points), groups), np.int32)
-    for k, (p, size) in enumerate(zip(points, n, strict=True)):
-        out[k] = np.frombuffer(p, np.uint8 if len(p) == n_groups(int(size)) else np.uint32).reshape(-1, groups).sum(0)
+    for k, (p, size) in enumerate(zip(points, n.tolist(), strict=True)):
+        kind = np.uint8 if p[0] == 1 else np.uint32
+        out[k] = np.frombuffer(codec.decompress(p[1:], n_groups(size) * p[0]), kind).reshape(-1, groups).sum(0)
     return out
 
 
@@ -390,40 +393,41 @@ def block(size: int, of: Column) -> Column:
     return F.pmod(F.xxhash64("node"), F.greatest(F.ceil(of / size), F.lit(1))).cast("int")
 
 
+def bands(n: np.ndarray) -> np.ndarray:
+    """Size bands, each a third wider than the one before: sets that can link are in one or in neighbouring ones."""
+    return np.floor(np.log(n) / np.log(4 / 3) + 1e-9).astype(np.int64)
+
+
 def tree_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of points of different classes that the trees leave; members: key, node, n, counts, class, and of a tree that is cut (else null): main (whether the point is of its largest class), mains and others (how many are, how many are not).
 
-    Every point is in its size band and the next one: bands are a third wider one
-    than the other, so sets that can link have a band in common, and the points of a
-    tree are counted in much the same groups.
+    In its task every point is put in its size band and the one before, and each
+    band of a tree is packed by itself: its points are counted in much the same groups.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches, 4):
-            band, key, low, high, own, node, n, group = (batch.column(k).to_numpy() for k in range(8))
-            tree, counts = numbered(band, key, low, high), batch.column(8)
-            for one in np.unique(band):
-                rows = np.flatnonzero(band == one)
-                for step in steps(tree[rows], n_groups(int(n[rows].min()))):
+        for batch in whole_groups(batches, 3):
+            key, low, high, own, node, n, group = (batch.column(k).to_numpy() for k in range(7))
+            tree, counts, band = numbered(key, low, high), batch.column(7), bands(n)
+            for one in np.unique(np.concatenate((band - 1, band))):
+                rows = np.flatnonzero((band == one) | (band - 1 == one))
+                # Trees of one point, or one class, have no pairs here.
+                of = numbered(tree[rows])
+                first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                rows = rows[(np.minimum.reduceat(group[rows], first) < np.maximum.reduceat(group[rows], first))[of]]
+                for step in steps(tree[rows], n_groups(int(n[rows].min()))) if len(rows) else ():
                     row = rows[step]
                     i, j = RTrees(vectors([counts[int(r)].as_py() for r in row], n[row]), n[row], group[row], tree[row]).pairs()
                     i, j = row[i], row[j]
                     across = (low[i] == high[i]) | (own[i] != own[j])
                     yield pair_batch(node, i[across], j[across])
 
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     n_main, n_other = (F.when(F.col(c) > 0, F.ceil(F.col(c) / BLOCK)).otherwise(0).cast("int") for c in ("mains", "others"))
     # Blocks of the largest class come first and meet those of the others only.
     own = F.when(F.col("main"), block(BLOCK, F.col("mains"))).when(~F.col("main"), n_main + block(BLOCK, F.col("others"))).otherwise(0)
     others = F.when(F.col("main"), F.sequence(n_main, n_main + n_other - 1)).when(~F.col("main"), F.sequence(F.lit(0), n_main + n_other - 1)).otherwise(F.array(F.lit(0)))
-    rows = (
-        members.withColumn("own", own)
-        .withColumn("other", F.explode(others))
-        .withColumn("band", F.explode(F.array(band - 1, band)))
-        .select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "class", "counts")
-    )
-    rows = rows.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
-    return rows.mapInArrow(search, "a long, b long").distinct()
+    rows = members.withColumn("own", own).withColumn("other", F.explode(others)).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "class", "counts")
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(search, "a long, b long").distinct()
 
 
 def texts_of(pairs: DataFrame, points: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
