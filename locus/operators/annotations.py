@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,16 +54,34 @@ def clips(events: DataFrame, code: str, context: int) -> DataFrame:
     return inside.groupBy("id", "centre").agg(F.count("*").alias("events")).select("id", (F.col("centre") - context).alias("clip_start"), (F.col("centre") + context).alias("clip_end"), "events")
 
 
-def gaps(events: DataFrame) -> DataFrame:
-    """id, gap: seconds since the participant's event before (null for the first)."""
-    return events.select("id", (F.col("t") - F.lag("t").over(Window.partitionBy("participant").orderBy("t", "id"))).alias("gap"))
+def _edges(rows: DataFrame, by: str, edge: Column, towards: int) -> DataFrame:
+    """by, bucket, edge of the bucket before (towards -1) or after (1): one row a bucket, so that no window holds all rows of a busy ``by``."""
+    buckets = rows.groupBy(by, "bucket").agg(edge.alias("edge"))
+    return buckets.select(by, "bucket", F.lag("edge", -towards).over(Window.partitionBy(by).orderBy("bucket")).alias("edge"))
 
 
-def adjacent(events: DataFrame, first: str, second: str) -> DataFrame:
-    """code pairs of directly successive events of one participant, counted."""
-    order = Window.partitionBy("participant").orderBy("t", "id")
-    pairs = events.select("code", F.lead("code").over(order).alias("next_code"), "t", F.lead("t").over(order).alias("next_t"))
-    return pairs.where((F.col("code") == first) & (F.col("next_code") == second)).agg(F.count("*").alias("pairs"), F.coalesce(F.sum(F.col("next_t") - F.col("t")), F.lit(0)).alias("seconds"))
+def gaps(events: DataFrame, width: int = 86400) -> DataFrame:
+    """id, gap: seconds since the participant's event before (null for the first); looked for inside buckets of width seconds, the first of a bucket looks at the bucket before."""
+    rows = events.select("id", "participant", "t", F.expr(f"t div {width}").alias("bucket"))
+    inside = rows.withColumn("before", F.lag("t").over(Window.partitionBy("participant", "bucket").orderBy("t", "id")))
+    edges = _edges(rows, "participant", F.max("t"), -1)
+    return inside.join(edges, ["participant", "bucket"]).select("id", (F.col("t") - F.coalesce("before", "edge")).alias("gap"))
+
+
+def turn_taking(utterances: DataFrame) -> DataFrame:
+    """conversation, start, speaker, pause: seconds from the end of the turn before (by start) to this turn's start, negative where they overlap, null for the first; utterances: conversation, speaker, start, end."""
+    order = Window.partitionBy("conversation").orderBy("start", "end", "speaker")
+    return utterances.select("conversation", "start", "speaker", (F.col("start") - F.lag("end").over(order)).alias("pause"))
+
+
+def adjacent(events: DataFrame, first: str, second: str, width: int = 86400) -> DataFrame:
+    """pairs of directly successive events of one participant with those codes, counted, and the seconds between them; buckets as in gaps()."""
+    rows = events.select("id", "participant", "t", "code", F.expr(f"t div {width}").alias("bucket"))
+    own = F.struct("t", "id", "code")
+    inside = rows.withColumn("next", F.lead(own).over(Window.partitionBy("participant", "bucket").orderBy("t", "id")))
+    pairs = inside.join(_edges(rows, "participant", F.min(own), 1), ["participant", "bucket"]).withColumn("next", F.coalesce("next", "edge"))
+    pairs = pairs.where((F.col("code") == first) & (F.col("next.code") == second))
+    return pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.sum(F.col("next.t") - F.col("t")), F.lit(0)).alias("seconds"))
 
 
 def sessions(events: DataFrame, gap: int) -> DataFrame:
@@ -84,10 +102,21 @@ def agreement(ratings: DataFrame, one: str, other: str) -> DataFrame:
     return n.join(by_chance).select("n", "agree", F.try_divide(F.col("agree") / F.col("n") - pe, 1 - pe).alias("kappa"))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """left with the value of the latest row of right (same ``by``) at or before it: both are merged in time order and the value is carried forward."""
+def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, width: int = 86400) -> DataFrame:
+    """left with the value of the latest row of right (same ``by``) at or before it.
+
+    Both are merged in time order and the value is carried forward inside buckets of
+    width units of time; what a bucket begins with comes from a table of one row a bucket.
+    """
     both = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1)).unionByName(
         right.select(by, at, F.col(value).alias("_v")).withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
-    order = Window.partitionBy(by).orderBy(at, "_side", F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(order)).where("_side = 1").drop("_v", "_side")
+    both = both.withColumn("bucket", F.floor(F.col(at) / width))
+    order = Window.partitionBy(by, "bucket").orderBy(at, "_side", F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    last = both.groupBy(by, "bucket").agg(F.max(F.when(F.col("_v").isNotNull(), F.struct(at, F.col("_v").alias("v")))).alias("last"))
+    before = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(by, "bucket", F.last("last", ignorenulls=True).over(before)["v"].alias("_carried"))
+    out = both.withColumn(value, F.last("_v", ignorenulls=True).over(order)).where("_side = 1").join(carried, [by, "bucket"])
+    return out.withColumn(value, F.coalesce(value, "_carried")).select(*left.columns, value)
+
+

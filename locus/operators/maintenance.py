@@ -46,3 +46,11 @@ def speedups(results: DataFrame, baseline: str) -> DataFrame:
     base = results.where((F.col("method") == baseline) & F.col("success")).groupBy("operation").agg(F.min("seconds").alias("_base"))
     out = results.join(base, "operation", "left").withColumn("throughput", F.try_divide(F.col("n_bytes"), F.col("seconds"))).withColumn("speedup", F.try_divide(F.col("_base"), F.col("seconds")))
     return out.drop("_base").orderBy(F.desc("success"), "seconds")
+
+
+def markdown(rows: DataFrame, title: str) -> DataFrame:
+    """number, line: a small result as a Markdown table, row by row in the result's order."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns)), F.lit(" |"))
+    head = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
+    lines = rows.sparkSession.createDataFrame([(k - len(head), line) for k, line in enumerate(head)], "number long, line string")
+    return lines.unionByName(rows.select(F.monotonically_increasing_id().alias("number"), cells.alias("line")))

@@ -14,7 +14,7 @@ from locus.functions import codecs, scalars
 from locus.operators import annotations, coverage, maintenance, ordering, regions, summaries, tiles, variants
 from locus.operators.regions import Region
 from locus.plans import manifest
-from locus.sources import bam, dataset, sidecars, text_formats
+from locus.sources import bam, chunk_files, dataset, sidecars, text_formats
 from locus.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1009,3 +1009,75 @@ def mapped_by_flag(spark, d):
 def simple_projection(spark, d):
     rows = dataset.query(spark, _stored(spark, d), "A:30-90")
     return rows.select("l_orderkey", "position", "mapq", F.concat(F.col("span").cast("string"), F.lit("M")).alias("cigar"))
+
+
+@query(READS + """, c AS (SELECT CASE WHEN reference_id < 0 THEN 'unmapped' ELSE reference END AS reference, CAST(chunk_start AS BIGINT) AS chunk_start FROM reads GROUP BY ALL) SELECT reference, chunk_start, true AS has_bytes FROM c""")
+def stored_sizes(spark, d):
+    return dataset.chunk_files(spark, _stored(spark, d)).select("reference", "chunk_start", ((F.col("files") >= 1) & (F.col("bytes") > 0)).alias("has_bytes"))
+
+
+@query(READS + """, c AS (SELECT reference, chunk_start, count(*) AS n FROM reads WHERE reference_id >= 0 GROUP BY ALL) SELECT reference, CAST(chunk_start AS BIGINT) AS chunk_start, n AS reads, CAST(row_number() OVER (ORDER BY reference, chunk_start) AS INT) AS place FROM c""")
+def export_order(spark, d):
+    """Chunks in the order of an export: references by name, then by start; the manifest is a row a chunk."""
+    from pyspark.sql import Window
+
+    entries = manifest.build(P.mapped(spark, d), SIZE)
+    return entries.select("reference", "chunk_start", "reads", F.row_number().over(Window.orderBy("reference", "chunk_start")).alias("place"))
+
+
+@query(READS + ", c AS (SELECT sum(span) AS b FROM reads GROUP BY CASE WHEN reference_id >= 0 THEN reference END, chunk_start) SELECT count(*) AS chunks, CAST(sum(b) * 1.5e0 AS DOUBLE) AS bytes, round(count(*) * 2 / 1000e0 * 0.0004e0 + sum(b) * 1.5e0 / 1073741824e0 * 0.09e0, 12) AS cost FROM c")
+def migration_estimate(spark, d):
+    return maintenance.migration_estimate(manifest.build(P.reads(spark, d), SIZE), 1.5).withColumn("cost", F.round("cost", 12))
+
+
+@query("""WITH u AS (SELECT conv_id AS conversation, role AS speaker, turn * 10 AS start, turn * 10 + length(text) % 25 AS e FROM conversations)
+    SELECT conversation, start, speaker, coalesce(start - lag(e) OVER (PARTITION BY conversation ORDER BY start, e, speaker), -999) AS pause FROM u""")
+def turn_taking(spark, d):
+    start = (F.col("turn") * 10).cast("long")
+    spoken = P.table(spark, d, "conversations").select(F.col("conv_id").alias("conversation"), F.col("role").alias("speaker"), start.alias("start"), (start + F.length("text") % 25).alias("end"))
+    return annotations.turn_taking(spoken).withColumn("pause", F.coalesce("pause", F.lit(-999)))
+
+
+@query(READS + " SELECT l_orderkey, l_linenumber, l_suppkey, position, flag, CAST(span AS VARCHAR) AS span_tag FROM reads")
+def records_json(spark, d):
+    """Records as JSON texts and parsed back."""
+    rows = P.reads(spark, d).withColumn("tags", F.create_map(F.lit("SP"), F.col("span").cast("string")))
+    text = rows.select(F.to_json(F.struct(*TIES, "position", "flag", "tags")).alias("json"))
+    back = text.select(F.from_json("json", "l_orderkey long, l_linenumber int, l_suppkey long, position long, flag int, tags map<string,string>").alias("r"))
+    return back.select(*(F.col(f"r.{c}").alias(c) for c in (*TIES, "position", "flag")), F.col("r.tags")["SP"].alias("span_tag"))
+
+
+@query("SELECT p_partkey AS read_id, repeat('ACGT', p_size % 5 + 1) AS sequence, repeat('@+I', p_size % 5 + 1) || repeat('!', p_size % 5 + 1) AS quality FROM part")
+def fastq_reads(spark, d):
+    """Reads written as four lines each, in several files, and read in splits; many quality lines begin with "@"."""
+    n, path = (F.col("p_size") % 5 + 1).cast("int"), _folder(spark)
+    quality = F.concat(F.repeat(F.lit("@+I"), n), F.repeat(F.lit("!"), n))
+    rows = P.table(spark, d, "part").select(F.concat_ws("\n", F.concat(F.lit("@"), F.col("p_partkey").cast("string"), F.lit(" x")), F.repeat(F.lit("ACGT"), n), F.lit("+"), quality).alias("value"))
+    rows.repartition(3).write.text(path)
+    return text_formats.read_fastq(spark, path).select(F.col("read_id").cast("long").alias("read_id"), "sequence", "quality")
+
+
+@query("WITH m AS (SELECT p_brand AS brand, count(*) AS sites FROM part GROUP BY 1) SELECT line FROM (VALUES ('## Sites'), (''), ('| brand | sites |'), ('| --- | --- |')) v(line) UNION ALL SELECT '| ' || brand || ' | ' || sites || ' |' FROM m")
+def markdown_report(spark, d):
+    sites = P.table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("sites")).orderBy("brand")
+    return maintenance.markdown(sites, "Sites").select("line")
+
+
+@query(READS + " SELECT l_orderkey || ':' || l_linenumber || ':' || l_suppkey AS name, CAST(reference_id AS INT) AS reference_id, position, mapq, flag, span FROM reads")
+def chunk_files_scan(spark, d):
+    """Older chunk files, half of them packed and half JSON, told apart by their first bytes."""
+    folder = _folder(spark)
+    rows = P.reads(spark, d).select(F.concat_ws(":", *TIES).alias("name"), "flag", "reference_id", F.col("position").cast("int").alias("position"), "mapq", F.concat(F.col("span").cast("string"), F.lit("M")).alias("cigar"), (F.col("l_orderkey") % 8).alias("chunk"))
+    record = F.struct("name", "flag", F.col("reference_id").alias("ref"), F.col("position").alias("pos"), "mapq", "cigar", F.lit("").alias("seq"), F.lit("").alias("qual"))
+    rows.where("chunk % 2 = 1").groupBy("chunk").agg(F.to_json(F.collect_list(record)).alias("value")).repartition(4, "chunk").select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/json")
+
+    def packed(key, pdf):
+        import pandas as pd
+
+        records = [(*r, "", "", {}) for r in pdf[["name", "flag", "reference_id", "position", "mapq", "cigar"]].itertuples(index=False)]
+        return pd.DataFrame({"value": [chunk_files.pack(records)]})
+
+    chunks = rows.where("chunk % 2 = 0").groupBy("chunk").applyInPandas(packed, "value binary")
+    # Spark has no sink for plain bytes; in a text file a chunk is followed by a line end, which unpacking leaves alone.
+    chunks.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/packed")
+    return chunk_files.read_any(spark, folder, "part-*").select("name", "reference_id", F.col("position").cast("long").alias("position"), "mapq", "flag", "span")

@@ -78,9 +78,9 @@ def _from_json(data: bytes) -> Iterator[tuple]:
         yield tuple({k: str(v) for k, v in (given["tags"] or {}).items()} if n == "tags" else given[n] for n in _NAMES)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all chunk files under path, packed or JSON, plain or compressed, as each file's first bytes say; a file is one record of the source, so a task holds one chunk."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.chunk").load(path).select("content")
+def read_any(spark: SparkSession, path: str, pattern: str = "*.chunk") -> DataFrame:
+    """Records of all chunk files under path whose names fit the pattern, packed or JSON, plain or compressed, as each file's first bytes say; a file is one record of the source, so a task holds one chunk."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("content")
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

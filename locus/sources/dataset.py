@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from locus.operators import regions
 from locus.operators.regions import Region
 from locus.plans import manifest as plan
-from locus.sources import chunk_files
+from locus.sources.chunk_files import read_any
 
 UNMAPPED = "unmapped"
 FORMAT_VERSION = "1"
@@ -109,7 +109,7 @@ def rechunk(spark: SparkSession, path: str, target: str, size: int, codec: str =
 
 def upgrade(spark: SparkSession, chunk_files_path: str, references: DataFrame, target: str, size: int) -> None:
     """A dataset of older chunk files (packed or JSON, told apart by their first bytes) as a dataset of this format."""
-    rows = chunk_files.read_any(spark, chunk_files_path).join(references.select("reference_id", "reference"), "reference_id", "left")
+    rows = read_any(spark, chunk_files_path).join(references.select("reference_id", "reference"), "reference_id", "left")
     write(rows, target, size)
 
 
@@ -163,6 +163,13 @@ def violations(spark: SparkSession, path: str) -> DataFrame:
     return rules.unionByName(rows.agg(F.count_if(misplaced).alias("violations")).select(F.lit("row_outside_its_chunk").alias("rule"), "violations"))
 
 
+def chunk_files(spark: SparkSession, path: str) -> DataFrame:
+    """reference, chunk_start, files, bytes of every chunk, from the listing alone."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path}/data").select("path", "length")
+    found = listed.select(F.url_decode(F.regexp_extract("path", "/reference=([^/]+)/", 1)).alias("reference"), F.regexp_extract("path", "/chunk_start=([0-9]+)/", 1).cast("long").alias("chunk_start"), "length")
+    return found.groupBy("reference", "chunk_start").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
 def write_views(rows: DataFrame, path: str, sample: str, order: str) -> None:
     """The same rows in two layouts: one folder a sample (sorted by the order column), and one sorted by it through all samples; a reader takes the one that its predicate prunes."""
     rows.hint("rebalance", sample).sortWithinPartitions(sample, order).write.mode("overwrite").partitionBy(sample).parquet(f"{path}/by_{sample}")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locus import proxies
-from locus.operators import maintenance, regions, tiles, variants
+from locus.operators import annotations, maintenance, regions, tiles, variants
 from locus.operators.regions import Region
 from locus.sources import bam, chunk_files, dataset, text_formats
 from locus.streaming import ingest
@@ -353,3 +353,46 @@ def test_stream_frontier(spark):
     last = {r.reference: r.m for r in rows.groupBy("reference").agg(F.max("position").alias("m")).collect()}
     want = {(r.reference, r.chunk_start) for r in rows.select("reference", "chunk_start").distinct().collect() if r.chunk_start + 64 <= last[r.reference] - 128}
     assert found == want
+
+
+def test_other_format_versions_are_refused(spark, tmp_path):
+    path = str(tmp_path / "d")
+    dataset.write(proxies.reads(spark, SF), path, 256)
+    entries = spark.createDataFrame(spark.read.parquet(f"{path}/manifest").collect(), spark.read.parquet(f"{path}/manifest").schema)
+    entries.withColumn("version", F.lit("9")).write.mode("overwrite").partitionBy("batch").parquet(f"{path}/manifest")
+    with pytest.raises(ValueError, match="version"):
+        dataset.query(spark, path, "A")
+
+
+def test_stream_sessions(spark, tmp_path):
+    stamps = [(1, 0), (1, 20), (1, 400), (2, 5), (2, 50)]
+    rows = [(k, f"2024-01-01 00:{t // 60:02d}:{t % 60:02d}", u, "view", 1.0) for k, (u, t) in enumerate(stamps)]
+    # Late enough to close all sessions before it.
+    rows.append((99, "2024-01-02 00:00:00", 3, "view", 1.0))
+    schema = "event_id long, ts string, user_id long, event_type string, value double"
+    for k, part in enumerate((rows[:-1], rows[-1:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "e" / str(k)))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "e"))
+    ingest.session_counts(events, "1 minute").writeStream.format("memory").queryName("s").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.user_id, r.events) for r in spark.table("s").collect()) == [(1, 1), (1, 2), (2, 2)]
+
+
+def test_edges_of_buckets(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.randint(0, 2), rng.choice("abc"), rng.randint(0, 400)) for k in range(200)]
+    events = spark.createDataFrame(rows, "id long, participant long, code string, t long")
+    for width in (7, 100, 10_000):
+        got = {r.id: r.gap for r in annotations.gaps(events, width).collect()}
+        pairs = annotations.adjacent(events, "a", "b", width).first()
+        want, n, seconds = {}, 0, 0
+        for p in range(3):
+            own = sorted((t, k, c) for k, q, c, t in rows if q == p)
+            for before, at in zip([None, *own], own):
+                want[at[1]] = at[0] - before[0] if before else None
+                if before and before[2] == "a" and at[2] == "b":
+                    n, seconds = n + 1, seconds + at[0] - before[0]
+        assert got == want and tuple(pairs) == (n, seconds)
+        right = events.where("code = 'b'").groupBy("participant", "t").agg(F.max("id").alias("v"))
+        last = {r.id: r.v for r in annotations.as_of(events.select("id", "participant", "t"), right, "participant", "t", "v", width).collect()}
+        known = [(r.participant, r.t, r.v) for r in right.collect()]
+        assert last == {k: max(((t2, v) for q, t2, v in known if q == p and t2 <= t), default=(0, None))[1] for k, p, _, t in rows}
