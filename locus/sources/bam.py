@@ -72,8 +72,11 @@ def _header(data: bytes) -> tuple[str, list[tuple[str, int]], int] | None:
 
 
 def read_header(spark: SparkSession, path: str) -> tuple[str, list[tuple[str, int]]]:
-    """The header text and (name, length) of the references, of the first file under path; only its first members are read."""
-    members = _members(spark, path).select("member")
+    """The header text and (name, length) of the references, of the first file under path by name; only its first members are read."""
+    first_file = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
+    if first_file is None:
+        raise ValueError("no binary alignment file")
+    members = _members(spark, first_file).select("member")
     k = 4
     while True:
         first = members.limit(k).collect()

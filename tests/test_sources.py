@@ -193,6 +193,12 @@ def test_bam_round_trip_over_members_and_splits(spark, tmp_path):
             assert sorted(str((*r[:11], sorted(r[11].items()))) for r in map(tuple, got)) == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # Several parts, of which the first is not the largest.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    bam.write_bam(frame, text, REFERENCES, str(tmp_path / "parts"), payload=700)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "parts").glob("part-*"))) > 1 and bam.read_header(spark, str(tmp_path / "parts")) == (text, REFERENCES)
+    assert sorted(str((*r[:11], sorted(r[11].items()))) for r in map(tuple, bam.read_bam(spark, str(tmp_path / "parts")).select(*frame.columns[:12]).collect())) == want
     order = [(r.reference_id, r.position) for r in bam.read_bam(spark, str(tmp_path / "whole.bam")).collect()]
     mapped = [x for x in order if x[0] >= 0]
     assert sorted(mapped) == [(r, p) for r, p in sorted(mapped)] and len(order) == len(rows)
