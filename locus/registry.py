@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,11 @@ def _folder(spark: SparkSession) -> str:
     return f"{(shared or f'file://{tempfile.mkdtemp()}').rstrip('/')}/locus-{uuid.uuid4().hex}"
 
 
+def _few(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
+    """A few rows as a table whose size Spark knows, so that joins with it may broadcast."""
+    return spark.createDataFrame(pa.table({n: [r[k] for r in rows] for k, n in enumerate(names.split())}))
+
+
 # Regions and chunks
 
 
@@ -93,14 +99,14 @@ def find_chunks(spark, d):
 @query(READS + """, named AS (SELECT * FROM (VALUES ('r1', 'A', 100, 300), ('r2', 'N', 250, 900), ('r3', 'R', 0, 2000)) v(name, ref, s, e))
     SELECT name, count(*) AS reads FROM reads JOIN named ON reference = ref AND position >= s AND position < e WHERE reference_id >= 0 GROUP BY name""")
 def multi_region(spark, d):
-    named = spark.createDataFrame([("r1", "A", 100, 300), ("r2", "N", 250, 900), ("r3", "R", 0, 2000)], "name string, reference string, start long, end long")
+    named = _few(spark, "name reference start end", [("r1", "A", 100, 300), ("r2", "N", 250, 900), ("r3", "R", 0, 2000)])
     return regions.join_regions(P.mapped(spark, d), named, SIZE).groupBy("name").agg(F.count("*").alias("reads"))
 
 
 @query(READS + """, named AS (SELECT * FROM (VALUES ('r1', 'A', 100, 300), ('r2', 'N', 250, 900)) v(name, ref, s, e))
     SELECT name, l_suppkey AS sample, count(*) AS reads FROM reads JOIN named ON reference = ref AND position >= s AND position < e WHERE reference_id >= 0 GROUP BY ALL""")
 def sample_region_fanout(spark, d):
-    named = spark.createDataFrame([("r1", "A", 100, 300), ("r2", "N", 250, 900)], "name string, reference string, start long, end long")
+    named = _few(spark, "name reference start end", [("r1", "A", 100, 300), ("r2", "N", 250, 900)])
     return regions.join_regions(P.mapped(spark, d), named, SIZE).groupBy("name", F.col("l_suppkey").alias("sample")).agg(F.count("*").alias("reads"))
 
 
@@ -145,7 +151,7 @@ def chunk_manifest(spark, d):
 @query(READS + """, c AS (SELECT reference, chunk_start, count(*) AS n FROM reads WHERE reference_id >= 0 GROUP BY ALL)
     SELECT reference, count(*) AS chunks, min(chunk_start) AS "first", max(chunk_start) + 256 AS "last", CAST(sum(n) AS BIGINT) AS reads, CAST(CASE reference WHEN 'A' THEN 2000 WHEN 'N' THEN 3000 ELSE 0 END AS BIGINT) AS length FROM c GROUP BY reference""")
 def spatial_index(spark, d):
-    lengths = spark.createDataFrame([("A", 2000), ("N", 3000)], "reference string, length long")
+    lengths = _few(spark, "reference length", [("A", 2000), ("N", 3000)])
     return manifest.spatial_index(manifest.build(P.reads(spark, d), SIZE), lengths)
 
 
@@ -719,7 +725,7 @@ def stored_overlap(spark, d):
 @query(READS + """, named AS (SELECT * FROM (VALUES ('r1', 'A', 10, 60), ('r2', 'N', 50, 300), ('r3', 'R', 0, 2000)) v(name, ref, s, e))
     SELECT name, l_orderkey, l_linenumber, l_suppkey, position FROM reads JOIN named ON reference = ref AND position >= s AND position < e WHERE reference_id >= 0""")
 def stored_regions(spark, d):
-    named = spark.createDataFrame([("r1", "A", 10, 60), ("r2", "N", 50, 300), ("r3", "R", 0, 2000)], "name string, reference string, start long, end long")
+    named = _few(spark, "name reference start end", [("r1", "A", 10, 60), ("r2", "N", 50, 300), ("r3", "R", 0, 2000)])
     return dataset.query_many(spark, _stored(spark, d), named).select("name", *TIES, "position")
 
 
