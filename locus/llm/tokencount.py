@@ -14,6 +14,7 @@ output column.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from locus.llm.vocabulary import SPACE, Vocabulary
 
 #: Text that shares one trie, and terminal counts that a task remembers for its next slices.
 SLICE_BYTES, REMEMBERED = 1 << 23, 300_000
+#: Longer pre-tokens are counted by themselves, outside of the trie.
+LONG = 4096
 
 
 def backward_trie(weights: dict[str, int]) -> dict:
@@ -44,7 +47,7 @@ class TrieCounter:
 
     def __init__(self, vocabulary: Vocabulary):
         self.root, self.byte_weight = backward_trie(vocabulary.weights), vocabulary.byte_weight
-        self.single = {p for p in vocabulary.weights if len(p) == 1}
+        self.single, self.longest = {p for p in vocabulary.weights if len(p) == 1}, vocabulary.longest + 1
 
     def counts(self, words: list[str]) -> list[int]:
         """For words in sorted order; the space sign before each is implied."""
@@ -53,6 +56,9 @@ class TrieCounter:
         forward = [(0, 0), self._first()]  # (weight, pieces) of each prefix of the path
         out, before = [], ""
         for word in words:
+            if len(word) > LONG:
+                out.append(self._long(word))
+                continue
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
@@ -86,6 +92,30 @@ class TrieCounter:
             before = word
         return out
 
+    def _long(self, word: str) -> int:
+        """The count of one word, of any length: only as many forward scores are kept as the longest piece has characters."""
+        path, forward = deque([SPACE], self.longest), deque([(0, 0), self._first()], self.longest)
+        for c in word:
+            literal = c == SPACE
+            path.append("\0" + c if literal else c)
+            best, pieces = None, 0
+            if literal or c not in self.single:
+                size = len(c.encode("utf-8", "surrogatepass"))
+                w, k = forward[-1]
+                best, pieces = w + size * self.byte_weight, k + size
+            if not literal:
+                node = self.root
+                for at in range(1, min(len(path), len(forward)) + 1):
+                    node = node.get(path[-at])
+                    if node is None:
+                        break
+                    if "" in node:
+                        w, k = forward[-at]
+                        if best is None or w + node[""] < best:
+                            best, pieces = w + node[""], k + 1
+            forward.append((best, pieces))
+        return forward[-1][1]
+
     def _first(self) -> tuple[int, int]:
         node = self.root.get(SPACE, {})
         size = len(SPACE.encode())
@@ -115,8 +145,9 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ca
             new = sorted(w for w in distinct if w not in known)
             if len(known) + len(new) > REMEMBERED:
                 known, new = {}, sorted(distinct)
-            known.update(zip(new, counter.counts(new), strict=True))
-            each = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+            here = dict(zip(new, counter.counts(new), strict=True))
+            each = np.fromiter((here[w] if w in here else known[w] for w in distinct), np.int64, len(distinct))
+            known.update((w, k) for w, k in here.items() if len(w) <= LONG)
             total = np.concatenate(([0], np.cumsum(each[coded.indices.to_numpy()]))) if len(distinct) else np.zeros(1, np.int64)
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in out), pa.array(np.diff(words.first)), pa.array(np.diff(total[words.first]))], names)
 
