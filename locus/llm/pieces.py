@@ -25,7 +25,9 @@ from pyspark.sql import types as T
 from locus.llm.textops import ranges, slices
 from locus.llm.vocabulary import SPACE, Vocabulary
 
-SLICE_BYTES, REMEMBERED, CHARACTERS = 1 << 21, 250_000, 1 << 18
+SLICE_BYTES, CHARACTERS = 1 << 21, 1 << 18
+#: Encoded cuts that a task keeps, of at most so many bytes.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 64
 _BITS, _PACK = 15, 4  # characters are numbered in 15 bits, four to a key
 _FAR = np.int64(1) << 62
 _IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
@@ -80,19 +82,20 @@ class Encoder:
         return lo
 
     def encode(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all cuts one after another, each cut's first place in them and the end); CHARACTERS at a time share a suffix array."""
+        """(ids of all cuts one after another, each cut's first place in them and the end); CHARACTERS at a time share a suffix array, a longer cut has several."""
         total = np.concatenate(([0], np.cumsum([len(c) for c in cuts]))).astype(np.int64)
         ids, sizes, at = [], [], 0
         while at < len(cuts):
             to = max(at + 1, int(np.searchsorted(total, total[at] + CHARACTERS, "right")) - 1)
-            got, bounds = self._matched(cuts[at:to])
+            got, bounds = self._matched(cuts[at:to]) if total[to] - total[at] <= CHARACTERS else self._long(cuts[at])
             ids.append(got.astype(np.int32))
             sizes.append(np.diff(bounds))
             at = to
         none = np.zeros(0, np.int32)
         return np.concatenate([none, *ids]), np.concatenate(([0], np.cumsum(np.concatenate([none, *sizes]))))
 
-    def _matched(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _edges(self, cuts: list[str]) -> tuple[np.ndarray, ...]:
+        """The cuts' code points (each cut followed by a zero), their first places and lengths, and the edges: place, step, weight and piece (-1: a character spelled in bytes)."""
         text = "\0".join(cuts) + "\0"
         point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         n, lengths = len(point), np.fromiter(map(len, cuts), np.int64, len(cuts))
@@ -112,11 +115,14 @@ class Encoder:
         piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
         # Characters without a piece: an edge of one step, told by a piece number of -1.
         bare = inside[~(self.has_single[np.where(point == 32, ord(SPACE), point)[inside]] & (point[inside] != ord(SPACE)))]
-        n_bytes = 1 + (point[bare] > 0x7F) + (point[bare] > 0x7FF) + (point[bare] > 0xFFFF)
         place = np.concatenate((place, bare))
         step = np.concatenate((self.size[piece], np.ones(len(bare), np.int64)))
-        weight = np.concatenate((self.weight[piece], n_bytes * self.byte_weight))
-        piece = np.concatenate((piece, np.full(len(bare), -1)))
+        weight = np.concatenate((self.weight[piece], _utf8(point[bare]) * self.byte_weight))
+        return point, begin, lengths, place, step, weight, np.concatenate((piece, np.full(len(bare), -1)))
+
+    def _matched(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        point, begin, lengths, place, step, weight, piece = self._edges(cuts)
+        n = len(point)
         depth = place - np.repeat(begin, lengths + 1)[place]
         by_place = np.argsort(depth, kind="stable")
         place, step, weight, piece = place[by_place], step[by_place], weight[by_place], piece[by_place]
@@ -128,12 +134,8 @@ class Encoder:
             # Edges from one depth of one cut differ in length, so no two of them meet in a node.
             to = ends[a:b]
             best[to] = np.minimum(best[to], best[place[a:b]] + weight[a:b])
-        good = np.flatnonzero(best[place] + weight == best[ends])
-        back = np.zeros(n + 1, np.int64)
-        np.maximum.at(back, ends[good], step[good])
-        chosen = np.full(n + 1, -1)
-        last = good[step[good] == back[ends[good]]]
-        chosen[ends[last]] = piece[last]
+        back, chosen = np.zeros(n + 1, np.int64), np.full(n + 1, -1)
+        self._choose(best, back, chosen, place, ends, step, weight, piece)
         # All cuts go back from their ends in step.
         which, node, found = np.flatnonzero(lengths), (begin + lengths)[lengths > 0], []
         while len(which):
@@ -146,15 +148,56 @@ class Encoder:
         which, node, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         by_node = np.argsort(node)
         which, node, piece = which[by_node], node[by_node], piece[by_node]
+        ids, many = self._spelled(piece, point[node - 1])
+        return ids, np.concatenate(([0], np.cumsum(np.bincount(which, many, len(cuts)).astype(np.int64))))
+
+    @staticmethod
+    def _choose(best, back, chosen, place, ends, step, weight, piece) -> None:
+        """Enters for every node the longest of the edges that its best split may end with."""
+        good = np.flatnonzero(best[place] + weight == best[ends])
+        np.maximum.at(back, ends[good], step[good])
+        last = good[step[good] == back[ends[good]]]
+        chosen[ends[last]] = piece[last]
+
+    def _long(self, cut: str) -> tuple[np.ndarray, np.ndarray]:
+        """As _matched, for one cut of any length: edges of CHARACTERS at a time, relaxed in order, then met again to choose; what stays is a few numbers a character."""
+        n = len(cut)
+        best, back, chosen = np.full(n + 1, _FAR), np.zeros(n + 1, np.int64), np.full(n + 1, -1)
+        best[0] = 0
+        for choosing in (False, True):
+            for a in range(0, n, CHARACTERS):
+                _, _, _, place, step, weight, piece = self._edges([cut[a : a + CHARACTERS + self.depth * _PACK]])
+                own = place < CHARACTERS
+                place, step, weight, piece = place[own] + a, step[own], weight[own], piece[own]
+                if choosing:
+                    self._choose(best, back, chosen, place, place + step, step, weight, piece)
+                    continue
+                by_place = np.argsort(place, kind="stable")
+                for p, to, w in zip(place[by_place].tolist(), (place + step)[by_place].tolist(), weight[by_place].tolist(), strict=True):
+                    best[to] = min(best[to], best[p] + w)
+        node, nodes = n, []
+        while node:
+            nodes.append(node)
+            node -= int(back[node])
+        node = np.array(nodes[::-1])
+        ids, _ = self._spelled(chosen[node], np.array([ord(cut[k - 1]) for k in node.tolist()]))
+        return ids, np.array([0, len(ids)])
+
+    def _spelled(self, piece: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, those of -1 spelled in bytes of their character, and how many each has."""
         spelled = piece < 0
-        many = np.ones(len(piece), np.int64)
-        chars = point[node[spelled] - 1]
-        many[spelled] = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+        many, chars = np.ones(len(piece), np.int64), point[spelled]
+        many[spelled] = _utf8(chars)
         ids = np.repeat(np.where(spelled, 0, self.id[piece]), many)
         if len(chars):
             raw = np.frombuffer("".join(map(chr, chars)).encode("utf-8", "surrogatepass"), np.uint8)
             ids[np.repeat(spelled, many)] = self.byte_ids[raw]
-        return ids, np.concatenate(([0], np.cumsum(np.bincount(which, many, len(cuts)).astype(np.int64))))
+        return ids, many
+
+
+def _utf8(point: np.ndarray) -> np.ndarray:
+    """Bytes that code points take."""
+    return 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
 
 
 def _cuts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -188,12 +231,16 @@ def _encoding(vocabulary: Vocabulary, at: int, out: list[int], names: list[str])
             if len(known) + len(new) > REMEMBERED:
                 known, ids, first, new = known[:0], ids[:0], first[:1], coded.dictionary
             got, got_at = encoder.encode(new.to_pylist()) if len(new) else (ids[:0], np.zeros(1, np.int64))
-            known = pa.concat_arrays([known, new])
-            ids, first = np.concatenate((ids, got)), np.concatenate((first, first[-1] + got_at[1:]))
-            where = pc.index_in(coded.dictionary, known).to_numpy()
+            here_ids, here_first = np.concatenate((ids, got)), np.concatenate((first, first[-1] + got_at[1:]))
+            where = pc.index_in(coded.dictionary, pa.concat_arrays([known, new])).to_numpy()
             use = where[coded.indices.to_numpy()] if len(where) else np.zeros(0, np.int64)
-            size = np.diff(first)[use]
-            flat = ids[ranges(first[use], size)]
+            size = np.diff(here_first)[use]
+            flat = here_ids[ranges(here_first[use], size)]
+            # Short cuts come again; long ones are not worth their place.
+            short = pc.less_equal(pc.binary_length(new), REMEMBERED_BYTES)
+            kept, sizes = np.flatnonzero(short.to_numpy(zero_copy_only=False)), np.diff(got_at)
+            known, ids = pa.concat_arrays([known, new.filter(short)]), np.concatenate((ids, got[ranges(got_at[kept], sizes[kept])]))
+            first = np.concatenate((first, first[-1] + np.cumsum(sizes[kept])))
             bounds = np.concatenate(([0], np.cumsum(size)))[cut_at].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat), mask=texts.is_null())
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in out), lists], names)

@@ -216,6 +216,20 @@ def test_encoding(spark, docs, empty, vocab):
     assert once.columns == ["doc_id", "ids", "text"] and {r.doc_id: (r.ids, r.text) for r in once.collect()} == {k: (r.ids, r.text) for k, r in back.items()}
 
 
+def test_long_words_in_steps(vocab, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["the", "a", "ing", "日", "q", "é", "▁", "\U0001f600"]) for _ in range(rng.randint(1, 400))) for _ in range(30)]
+    want = [brute_weight(vocab, " " + w)[1] for w in words]
+    for size in (50, 333, 1 << 18):
+        monkeypatch.setattr(pieces, "CHARACTERS", size)
+        ids, at = pieces.Encoder(vocab).encode([" " + w for w in words])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+    counter, order = tokencount.TrieCounter(vocab), sorted(range(len(words)), key=words.__getitem__)
+    for size in (0, 20, 4096):
+        monkeypatch.setattr(tokencount, "LONG", size)
+        assert counter.counts([words[k] for k in order]) == [len(want[k]) for k in order]
+
+
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
