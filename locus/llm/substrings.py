@@ -15,7 +15,8 @@ Spark counts the anchors of all texts.  Only where an anchor is shared do its
 windows travel, together in one row, to where the others of that anchor are;
 there they are compared by the names of all their words.  Of equal windows of one
 slice of texts only the earliest travels, and of a slice's equal anchors one, so a
-line that a third of all texts hold is a row a slice there.  Windows count as equal
+line that a third of all texts hold is a row a slice there; and windows of the most
+frequent anchors are dealt by their own names.  Windows count as equal
 when the anchor's name and the window's, two hashes of different make, 123 bits in
 all, both are.
 
@@ -35,10 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locus.llm.storage import materialised
+from locus.llm.storage import materialised, scratch
 from locus.llm.textops import Words, gram_hashes, mix64, ranges, slices
 
 ROUNDS = 6
+#: Rows (one a slice at most, besides single ones) that make an anchor frequent, and how many frequent ones are told apart.
+HOT, HOT_NAMES = 10_000, 100_000
 _LEFT, _RIGHT, _RUN = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xCA5A826395121157, 0x9FB21C651E98DF25))
 
 
@@ -122,8 +125,8 @@ def _ordinals(text: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(opens, at, 0))
 
 
-def shared_anchors(docs: DataFrame, size: int) -> DataFrame:
-    """row, ordinals: those stretches of every row's text whose anchor occurs elsewhere too."""
+def shared_anchors(docs: DataFrame, size: int, folder: str) -> tuple[DataFrame, np.ndarray]:
+    """row, ordinals: those stretches of every row's text whose anchor occurs elsewhere too; and the most frequent anchors, at most HOT_NAMES of them."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -143,27 +146,42 @@ def shared_anchors(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(row), pa.array(np.where(settled, -1 - ordinal, ordinal))], ["name", "row", "ordinal"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by name; the last row waits for the next batch.
-        held, held_twice = None, False
+        # Sorted by name; the last row waits for the next batch.  A name of HOT rows or more is told by a row of its own: the name, and its rows below 0.
+        held, held_twice, before = None, False, 0
+
+        def busy(name: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(name[rows >= HOT]), pa.array(-np.minimum(rows[rows >= HOT], 2**31 - 1).astype(np.int32))], ["row", "ordinal"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
             name, ordinal = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+            same = name[1:] == name[:-1]
             twice = ordinal < 0
-            twice[1:] |= name[1:] == name[:-1]
-            twice[:-1] |= name[1:] == name[:-1]
+            twice[1:] |= same
+            twice[:-1] |= same
             twice[0] |= held_twice
-            held, held_twice = rows.slice(len(name) - 1), bool(twice[-1])
+            first = np.flatnonzero(np.append(True, ~same))
+            size = np.diff(np.append(first, len(name)))
+            size[0] += before
+            yield busy(name[first[:-1]], size[:-1])
+            held, held_twice, before = rows.slice(len(name) - 1), bool(twice[-1]), int(size[-1]) - 1
             twice[-1] = False
             yield pa.RecordBatch.from_arrays([rows.column(1).filter(pa.array(twice)), pa.array(np.maximum(ordinal, -1 - ordinal)[twice])], ["row", "ordinal"])
-        if held is not None and held_twice:
-            ordinal = held.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([held.column(1), pa.array(np.maximum(ordinal, -1 - ordinal))], ["row", "ordinal"])
+        if held is not None:
+            yield busy(held.column(0).to_numpy(), np.array([before + 1]))
+            if held_twice:
+                ordinal = held.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([held.column(1), pa.array(np.maximum(ordinal, -1 - ordinal))], ["row", "ordinal"])
 
     rows = docs.select("row", "text").mapInArrow(named, "name long, row long, ordinal int")
-    found = rows.repartition("name").sortWithinPartitions("name").mapInArrow(repeated, "row long, ordinal int")
-    return found.groupBy("row").agg(F.collect_set("ordinal").alias("ordinals"))
+    found = materialised(rows.repartition("name").sortWithinPartitions("name").mapInArrow(repeated, "row long, ordinal int"), folder)
+    most = HOT
+    while (hot := found.where(F.col("ordinal") <= -most).select("row")).count() > HOT_NAMES:
+        most *= 4
+    names = np.sort(np.array([r.row for r in hot.collect()], np.int64).view(np.uint64))
+    return found.where("ordinal >= 0").groupBy("row").agg(F.collect_set("ordinal").alias("ordinals")), names
 
 
 class Judge:
@@ -195,7 +213,7 @@ class Judge:
         return out[len(out) - count :]
 
 
-def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int, folder: str) -> DataFrame:
     """row, text_hash, spans: the word ranges that repeated windows cover."""
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,15 +233,18 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
             order = np.lexsort((at, doc[stretch], name[stretch]))
             hit = np.zeros(len(window), bool)
             hit[order] = Judge().repeats(name[stretch[order]], doc[stretch[order]], at[order], window[order])
-            opens = np.ones(len(window), bool)
-            opens[1:] = (stretch[1:] != stretch[:-1]) | (hit[1:] != hit[:-1])
+            # A frequent anchor's windows are dealt one by one, so that they are many tasks' work.
+            single = np.isin(name, hot)[stretch]
+            opens = single.copy()
+            opens[:1] = True
+            opens[1:] |= (stretch[1:] != stretch[:-1]) | (hit[1:] != hit[:-1])
             run = np.flatnonzero(opens)
             length, known = np.diff(np.append(run, len(window))), hit[run]
             offsets = np.concatenate(([0], np.cumsum(np.where(known, 0, length * 8)))).astype(np.int32)
             windows = pa.BinaryArray.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(window[~hit].tobytes())])
             owner, begin = text[stretch[run]], at[run]
             # What is known needs no one to meet: it goes anywhere.
-            route = np.where(known, mix64(begin.view(np.uint64) + name[stretch[run]]), name[stretch[run]])
+            route = np.where(known, mix64(begin.view(np.uint64) + name[stretch[run]]), np.where(single[run], mix64(name[stretch[run]] ^ window[run]), name[stretch[run]]))
             end = np.where(known, begin + length - 1 + size, 0)
             owners = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), *(part.column(k).take(owners) for k in (0, 2, 3)), pa.array(begin), pa.array(end), windows], ["name", "doc", "row", "text_hash", "place", "known_end", "windows"])
@@ -246,7 +267,8 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
             first, last = hit[opens], hit[np.append(opens[1:], True)] if len(hit) else hit
             yield pa.RecordBatch.from_arrays([pa.array(owner[row[first]]), pa.array(text_hash[row[first]]), pa.array(at[first]), pa.array(at[last] + size)], columns)
 
-    flagged = docs.join(shared_anchors(docs, size), "row").select("doc", "text", "row", "text_hash", "ordinals")
+    ordinals, hot = shared_anchors(docs, size, folder)
+    flagged = docs.join(ordinals, "row").select("doc", "text", "row", "text_hash", "ordinals")
     rows = flagged.mapInArrow(gathered, "name long, doc long, row long, text_hash int, place long, known_end long, windows binary")
     spans = rows.repartition("name").sortWithinPartitions("name", "doc", "place").mapInArrow(judged, "row long, text_hash int, a long, b long")
     return spans.groupBy("row", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
@@ -283,5 +305,6 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
             n = np.diff(words.first)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(n - np.diff(before)), texts.cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    spans = materialised(repeated_spans(docs, size))
+    with scratch(docs.sparkSession) as folder:
+        spans = materialised(repeated_spans(docs, size, folder))
     return docs.join(spans, ["row", "text_hash"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
