@@ -54,7 +54,7 @@ from locus.llm.textops import Words, exact_shingle_sets, mix64, ranges, shingle_
 #: Counters of the frequency table, and how many of them travel in a row.
 COUNTERS, STRIP = 1 << 20, 1 << 12
 #: Parts of the tasks whose tables are summed first; rows that may be broadcast; bytes of texts that are verified together.
-PARTS, BROADCAST_ROWS, VERIFIED_BYTES = 32, 100_000, 1 << 21
+PARTS, BROADCAST_ROWS, VERIFIED_BYTES = 32, 100_000, 1 << 20
 #: Bits of a frequent shingle's key that are not its salt's.
 SHINGLE_BITS = 48
 #: Points of a leaf, children of an inner box, points of a block of a large tree.

@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from locus.llm.storage import materialised, scratch
 from locus.llm.textops import Words, gram_hashes, mix64, ranges, slices
 
-ROUNDS = 6
+#: Rounds of naming, and bytes of text among which equal anchors and windows are found before any travels.
+ROUNDS, SLICE_BYTES = 6, 1 << 21
 #: Rows (one a slice at most, besides single ones) that make an anchor frequent, and how many frequent ones are told apart.
 HOT, HOT_NAMES = 10_000, 100_000
 _LEFT, _RIGHT, _RUN = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xCA5A826395121157, 0x9FB21C651E98DF25))
@@ -129,7 +130,7 @@ def shared_anchors(docs: DataFrame, size: int, folder: str) -> tuple[DataFrame,
     """row, ordinals: those stretches of every row's text whose anchor occurs elsewhere too; and the most frequent anchors, at most HOT_NAMES of them."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, step=SLICE_BYTES):
             words, rows = Words(part.column(1)), part.column(0).to_numpy()
             _, _, text, name, times = stretches(words.hashes(lower=False), words.first, size)
             # Two symbols are enough to tell that the windows of one stretch can equal each other.
@@ -217,7 +218,7 @@ def repeated_spans(docs: DataFrame, size: int, folder: str) -> DataFrame:
     """row, text_hash, spans: the word ranges that repeated windows cover."""
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, step=SLICE_BYTES):
             words = Words(part.column(1))
             hashed = words.hashes(lower=False)
             place, count, text, name, _ = stretches(hashed, words.first, size)
@@ -285,7 +286,7 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     docs = keyed(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, step=SLICE_BYTES):
             words, spans = Words(part.column(1)), part.column(2)
             ends = spans.flatten()
             row = np.repeat(np.arange(len(spans)), np.asarray(pc.fill_null(spans.value_lengths(), 0)))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step takes at most (a longer single word is taken alone).
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _RNG = np.random.Generator(np.random.PCG64(20240229))

@@ -410,7 +410,7 @@ def test_substring_dedup_of_a_hot_line_and_of_rows_without_ids(spark, monkeypatc
     frame = spark.createDataFrame([(k, t, "x", 1) for k, t in rows.items()], "doc_id long, text string, doc string, row int").repartition(6)
     for step, hot in ((1 << 21, 10_000), (700, 10_000), (700, 3), (150, 2)):
         monkeypatch.setattr(substrings, "HOT", hot)
-        monkeypatch.setattr(substrings, "slices", lambda batches, step=step: textops.slices(batches, step=step))
+        monkeypatch.setattr(substrings, "SLICE_BYTES", step)
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(frame).collect()}
         assert got == brute_removed(rows, 20)
     # Rows without an id are one document that comes first; each keeps its own text.
