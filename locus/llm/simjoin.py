@@ -177,7 +177,7 @@ def sketches(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFram
             none = pa.array([None] * len(strips), pa.int64())
             blank = {c: pa.nulls(len(strips), t) for c, t in zip(keep, kept_types, strict=True)}
             yield pa.RecordBatch.from_pydict({
-                "kind": pa.array([1] * len(strips), pa.int32()), "doc_id": none, "n": none, "node": pa.array(strips, pa.int64()), "check": none,
+                "kind": pa.array([1] * len(strips), pa.int32()), "doc_id": none, "n": pa.array([TaskContext.get().partitionId() % PARTS] * len(strips), pa.int64()), "node": pa.array(strips, pa.int64()), "check": none,
                 "counts": pa.array([seen[k : k + STRIP].astype(np.uint32).tobytes() for k in strips], pa.binary()), **blank,
             })
 

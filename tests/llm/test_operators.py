@@ -123,6 +123,16 @@ def test_trees_lose_no_link():
                     assert (b, a) in found
 
 
+def test_frequency_table_sums_all_tasks(spark):
+    rows = [(k, f"always the same five words {k % 7}" if k % 2 else f"x{k} y{k} z{k} u{k} v{k} w{k}") for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    table = simjoin.frequency_table(simjoin.sketches(frame, 0).where("kind = 1"))
+    import pyarrow as pa
+
+    one = textops.shingle_sets(textops.Words(pa.array(["always the same five words"])))[0][0]
+    assert table[int(one >> np.uint64(32)) & (simjoin.COUNTERS - 1)] and 1 <= table.sum() <= 20
+
+
 def test_join_cuts_large_trees(spark, monkeypatch):
     # Trees of a few points count as large: blocks of the largest class, blocks of the rest, salted frequent shingles.
     for name, value in (("BLOCK", 8), ("LEAF", 3), ("FAN", 2), ("FOREST", 20), ("CELLS", 4096), ("BROADCAST_ROWS", 0)):
