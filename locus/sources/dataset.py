@@ -1,4 +1,4 @@
-"""The stored dataset: Parquet partitioned by reference, chunk and batch, with its manifest and header beside it."""
+"""The stored dataset: batches of Parquet partitioned by reference and chunk, with a manifest of each batch and the header beside them."""
 
 from __future__ import annotations
 
@@ -28,26 +28,27 @@ def write(rows: DataFrame, path: str, size: int, codec: str = "zstd", mode: str
     repeated after a failure changes nothing.  The manifest gets entries of these
     rows only.
     """
-    chunked = regions.with_chunks(rows, size).withColumn("reference", F.when(F.col("reference_id") < 0, UNMAPPED).otherwise(F.col("reference"))).withColumn("batch", F.lit(batch))
-    writer = (
-        chunked.hint("rebalance", "reference", "chunk_start")
-        .sortWithinPartitions("reference", "chunk_start", "position")
-        .write.mode("overwrite")
-        .option("compression", codec)
-        .option("maxRecordsPerFile", max_rows_a_file)
-    )
-    for_part = {"partitionOverwriteMode": "dynamic" if mode == "append" else "static"}
-    writer.options(**for_part).partitionBy("reference", "chunk_start", "batch").parquet(f"{path}/data")
+    chunked = regions.with_chunks(rows, size).withColumn("reference", F.when(F.col("reference_id") < 0, UNMAPPED).otherwise(F.col("reference")))
+    sorted_rows = chunked.hint("rebalance", "reference", "chunk_start").sortWithinPartitions("reference", "chunk_start", "position")
+    _put(sorted_rows, f"{path}/data", mode, batch, ["reference", "chunk_start"], compression=codec, maxRecordsPerFile=max_rows_a_file)
     columns = sorted(c for c in rows.columns if c not in ("chunk_start", "reference", "batch") and not isinstance(rows.schema[c].dataType, (MapType, ArrayType, StructType)))
-    stored = spark_rows(rows.sparkSession, path).where(F.col("batch") == batch)
-    entries = plan.build_part(with_ids(stored), size, columns).withColumns({"chunk_size": F.lit(size), "version": F.lit(FORMAT_VERSION), "columns": F.lit(",".join(columns)), "batch": F.lit(batch)})
-    entries.coalesce(1).write.mode("overwrite").options(**for_part).partitionBy("batch").parquet(f"{path}/manifest")
+    # Read back from the batch's own folder: no other file is listed.
+    stored = _typed(rows.sparkSession.read.parquet(f"{path}/data/batch={batch}"))
+    entries = plan.build_part(with_ids(stored), size, columns).withColumns({"chunk_size": F.lit(size), "version": F.lit(FORMAT_VERSION), "columns": F.lit(",".join(columns))})
+    _put(entries.coalesce(1), f"{path}/manifest", mode, batch, [])
+
+
+def _put(rows: DataFrame, path: str, mode: str, batch: str, by: list[str], **options) -> None:
+    """rows as the batch's folder under path; mode "overwrite" first removes all other batches."""
+    if mode == "overwrite":
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").options(partitionOverwriteMode="static", **options).partitionBy("batch", *by).parquet(path)
+    else:
+        rows.write.mode("overwrite").options(partitionOverwriteMode="static", **options).partitionBy(*by).parquet(f"{path}/batch={batch}")
 
 
-def spark_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The stored rows with their batch; partition columns get their types back whatever Spark infers from folder names."""
-    rows = spark.read.parquet(f"{path}/data")
-    return rows.withColumns({"reference": F.col("reference").cast("string"), "chunk_start": F.col("chunk_start").cast("long"), "batch": F.col("batch").cast("string")})
+def _typed(rows: DataFrame) -> DataFrame:
+    """Partition columns with their types, whatever Spark infers from folder names."""
+    return rows.withColumns({"reference": F.col("reference").cast("string"), "chunk_start": F.col("chunk_start").cast("long")})
 
 
 def with_ids(stored: DataFrame) -> DataFrame:
@@ -56,8 +57,8 @@ def with_ids(stored: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All rows."""
-    return spark_rows(spark, path).drop("batch")
+    """All rows of all batches."""
+    return _typed(spark.read.parquet(f"{path}/data")).drop("batch")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -289,7 +289,7 @@ def test_append_adds_entries_of_its_own_rows_only(spark, tmp_path):
 def test_a_lost_file_is_a_violation(spark, tmp_path):
     path = tmp_path / "d"
     dataset.write(proxies.reads(spark, SF), str(path), 256)
-    gone = next((path / "data" / "reference=R").glob("chunk_start=*/batch=0/*.parquet"))
+    gone = next((path / "data" / "batch=0" / "reference=R").glob("chunk_start=*/*.parquet"))
     gone.rename(tmp_path / "gone")
     found = {r.rule: r.violations for r in dataset.violations(spark, str(path)).collect()}
     assert found["files_missing"] == 1 and sum(found.values()) == 1
