@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locus.llm.storage import materialised, scratch
+from locus.llm.storage import forget_shuffles, materialised, scratch
 from locus.llm.textops import Words, gram_hashes, mix64, ranges, slices
 
 #: Rounds of naming, and bytes of text among which equal anchors and windows are found before any travels.
@@ -178,6 +178,7 @@ def shared_anchors(docs: DataFrame, size: int, folder: str) -> tuple[DataFrame,
 
     rows = docs.select("row", "text").mapInArrow(named, "name long, row long, ordinal int")
     found = materialised(rows.repartition("name").sortWithinPartitions("name").mapInArrow(repeated, "row long, ordinal int"), folder)
+    forget_shuffles(docs.sparkSession)
     most = HOT
     while (hot := found.where(F.col("ordinal") <= -most).select("row")).count() > HOT_NAMES:
         most *= 4
@@ -308,4 +309,5 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
 
     with scratch(docs.sparkSession) as folder:
         spans = materialised(repeated_spans(docs, size, folder))
+    forget_shuffles(docs.sparkSession)
     return docs.join(spans, ["row", "text_hash"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
