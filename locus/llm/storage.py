@@ -44,11 +44,6 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Has the driver's JVM collect garbage, whereupon Spark removes the files of shuffles that nothing refers to any more; else they lie until it happens to."""
-    spark._jvm.System.gc()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint (for small tables inside loops)."""
     shared_dir(df.sparkSession)
