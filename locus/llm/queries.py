@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locus.llm import chat, decontaminate, pieces, pii, quality, sharding, simjoin, substrings, tokencount, topk, vocabulary
+from locus.llm import chat, decontaminate, negatives, phrases, pieces, pii, quality, sharding, simjoin, substrings, tokencount, topk, urlfilter, vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,94 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, scale=256, label=label)
+
+
+OP11_SQL = """
+WITH q AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+r AS (
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM piece),
+gram AS (
+    SELECT lang, 1 AS size, unnest(w) AS phrase FROM split
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM split
+), f AS (SELECT lang, size, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, count(*) AS n FROM gram WHERE size = 1 GROUP BY lang),
+cut AS (
+    SELECT lang, phrase, f AS a, size, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS one, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS two FROM f, (VALUES (1), (2)) v(k) WHERE k < size
+), score AS (
+    SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, k, (1000000 * a::HUGEINT * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = one JOIN f y ON y.lang = cut.lang AND y.phrase = two
+), best AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+outside AS (SELECT lang, unnest([array_to_string(string_split(phrase, ' ')[:2], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS phrase, f FROM f WHERE size = 3),
+most AS (SELECT lang, phrase, max(f) AS f FROM outside GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN most USING (lang, phrase) WHERE most.f IS NULL OR 100 * most.f < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), rules, carry=("page_id",))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE rules(rule_host, rule_path, rule_verdict) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), tags AS (
+    SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^<>]*>')) AS tag FROM pages WHERE url IS NOT NULL
+), found AS (
+    SELECT url, CASE WHEN regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?\s*canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+        WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) END AS link FROM tags
+), seen AS (
+    SELECT url, replace(link, '&amp;', '&') AS link, regexp_extract(url, '^(?s:.*?)://', 0) AS scheme, regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1) AS site, regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM found WHERE link <> ''
+), edge AS (
+    SELECT url AS a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN link LIKE '//%' THEN replace(scheme, '//', '') || link WHEN link LIKE '/%' THEN site || link
+        WHEN link LIKE '?%' THEN site || path || link WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE site || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^((?s:.*)/)', 1) END || link END AS b FROM seen
+), noded AS (
+    SELECT lower(regexp_extract(a, '^((?s:.*?)://[^/?#]*)', 1)) || regexp_extract(a, '^(?s:.*?)://[^/?#]*([^#]*)', 1) AS a, lower(regexp_extract(b, '^((?s:.*?)://[^/?#]*)', 1)) || regexp_extract(b, '^(?s:.*?)://[^/?#]*([^#]*)', 1) AS b FROM edge WHERE contains(b, '://')
+), ends AS (SELECT a, b FROM noded UNION SELECT b, a FROM noded),
+reach(node, other) AS (SELECT a, b FROM ends UNION SELECT node, b FROM reach JOIN ends ON other = a),
+urls AS (SELECT page_id, url, NULL::VARCHAR AS node FROM pages UNION ALL SELECT NULL, other, other FROM (SELECT DISTINCT other FROM reach)),
+parts AS (
+    SELECT *, coalesce(lower(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+        CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1)) || regexp_extract(url, '^(?s:.*?)://[^/?#]*([^#]*)', 1) END AS own
+    FROM urls
+), judged AS (
+    SELECT *, (SELECT max({n: length(rule_host || rule_path), rule: rule_host || rule_path, verdict: rule_verdict}) FROM rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS best FROM parts
+), tainted AS (SELECT DISTINCT reach.node FROM reach JOIN judged ON judged.node = other AND best.verdict = 'block')
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN own IN (SELECT node FROM tainted) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged WHERE node IS NULL
+"""
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
@@ -153,9 +241,15 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_phrases": op12_phrases,
+    "op13_url_filters": op13_url_filters,
 }
 ORACLE_SQL = {
     "op4_decontamination": OP4_SQL,
     "op5_topk_search": OP5_SQL,
     "op6_chat_formatting": OP6_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_phrases": OP12_SQL,
+    "op13_url_filters": OP13_SQL,
 }

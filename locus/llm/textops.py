@@ -7,6 +7,7 @@ inside a multi-byte character.  A null text counts as an empty one.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -48,6 +49,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_names(words: pa.Array) -> np.ndarray:
+    """Two 64-bit numbers for every word of a binary array: its BLAKE2b digest, so that no words with one name can be made up."""
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+def distinct_words(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word data[start : start + length] in a table of the distinct ones, and that table."""
+    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int64)
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[ranges(start, length)].tobytes())])
+    coded = every.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
 class Words:
     """Words of a slice of texts: byte ranges, and each text's first word index."""
 
