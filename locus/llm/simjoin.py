@@ -16,8 +16,10 @@ are dealt over many trees: one for each shingle among a set's first
 |set| - ceil(.75 |set|) + 1, in one global order that puts frequent shingles last.
 Two sets that link have such a shingle, and so a tree, in common.  How frequent a
 shingle is, a table of counts tells that all texts add to; it is of fixed size, so
-it mixes shingles up, but any order will do.  Equal sets (by 128 bits of hash) are
-one point, and trees with the same least point are one.
+it mixes shingles up, but any order will do.  Equal sets are
+one point: by 128 bits of BLAKE2b over the names of their shingles, which come from
+their words' BLAKE2b names, all under a key that every job draws anew, so no texts can
+be made up that only seem equal.  Trees with the same least point are one.
 
 Every tree is searched twice.  First each of its points meets the point nearest to
 the tree's mean, so that a crowd of near copies costs a pass and not a square.  The
@@ -35,6 +37,8 @@ An empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 from functools import reduce
 
@@ -49,7 +53,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from locus.llm.components import connected
 from locus.llm.storage import materialised, scratch
-from locus.llm.textops import Words, exact_shingle_sets, mix64, ranges, shingle_sets, slices
+from locus.llm.textops import Words, exact_shingle_sets, ranges, shingle_sets, slices
 
 #: Counters of the frequency table, and how many of them travel in a row.
 COUNTERS, STRIP = 1 << 20, 1 << 12
@@ -63,10 +67,10 @@ LEAF, FAN, BLOCK = 16, 8, 1024
 FOREST, CELLS = 4096, 1 << 22
 
 
-def digest(shingles: np.ndarray, seed: int) -> tuple[int, int]:
+def digest(shingles: np.ndarray, key: bytes) -> tuple[int, int]:
     """128 bits that name a set, as two signed numbers."""
-    a = mix64(shingles + np.uint64(2 * seed + 1))
-    return int(mix64(a.sum(dtype=np.uint64)[None]).view(np.int64)[0]), int(np.bitwise_xor.reduce(mix64(a ^ np.uint64(0xA5A5A5A5A5A5A5A5))).astype(np.uint64).view(np.int64))
+    a, b = np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16, key=key).digest(), np.int64)
+    return int(a), int(b)
 
 
 def n_groups(n: int) -> int:
@@ -154,7 +158,7 @@ def row_name() -> Column:
     return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.hash("text", "doc_id").alias("b"))
 
 
-def sketches(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def sketches(docs: DataFrame, key: bytes, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for every document (kind 0: n, node, check, counts, the row's name, the columns keep), and each task's frequency table in strips (kind 1: node, counts, and in n the part of the tasks that it is summed with first)."""
     docs = docs.select("doc_id", "text", row_name().alias("row_name"), *keep)
     keep = ("row_name", *keep)
@@ -164,8 +168,8 @@ def sketches(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFram
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, np.int64)
         for part in slices(batches):
-            sets = shingle_sets(Words(part.column(1)))
-            names = [digest(s, seed) for s in sets]
+            sets = shingle_sets(Words(part.column(1)), key)
+            names = [digest(s, key) for s in sets]
             seen += np.bincount((np.concatenate(sets) >> np.uint64(32) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array([0] * len(sets), pa.int32()), "doc_id": part.column(0).cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
@@ -213,7 +217,7 @@ def frequency_table(strips: DataFrame) -> np.ndarray:
     return table > table.mean() + 4 * np.sqrt(table.mean()) + 4
 
 
-def cells(docs: DataFrame, frequent: np.ndarray, seed: int, salts: int) -> DataFrame:
+def cells(docs: DataFrame, frequent: np.ndarray, key: bytes, salts: int) -> DataFrame:
     """key, node, pivot: the points of each shingle, and the least of them.
 
     An even key is a shingle of two points or more.  A frequent shingle's points are
@@ -225,8 +229,8 @@ def cells(docs: DataFrame, frequent: np.ndarray, seed: int, salts: int) -> DataF
         salt_bits = np.uint64(64 - SHINGLE_BITS)
         for part in slices(batches):
             keys, nodes, sizes, seen = [], [], [], set()
-            for s in shingle_sets(Words(part.column(0))):
-                node = digest(s, seed)[0]
+            for s in shingle_sets(Words(part.column(0)), key):
+                node = digest(s, key)[0]
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
@@ -280,11 +284,11 @@ def counted(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def trees(docs: DataFrame, frequent: np.ndarray, seed: int, folder: str) -> DataFrame:
+def trees(docs: DataFrame, frequent: np.ndarray, key: bytes, folder: str) -> DataFrame:
     """key, node: the points of every tree; a tree is named by its least point."""
     salts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << 63 - SHINGLE_BITS) - 1)
     with scratch(docs.sparkSession) as own:
-        found = materialised(cells(docs, frequent, seed, salts), own)
+        found = materialised(cells(docs, frequent, key, salts), own)
         salted = found.where("key % 2 <> 0").withColumn("key", F.shiftright("key", 64 - SHINGLE_BITS))
         least = materialised(salted.groupBy("key").agg(F.min("pivot").alias("least"), F.min("node").alias("one"), F.max("node").alias("other")).where("one < other").select("key", "least"), own)
         joined = salted.join(counted(least), "key").select(F.col("least").alias("key"), "node")
@@ -478,17 +482,17 @@ def jaccard_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _classes(docs: DataFrame, keep: tuple[str, ...], folder: str) -> DataFrame:
-    seed = 0
     while True:
-        rows = materialised(sketches(docs, seed, keep), folder)
+        key = secrets.token_bytes(32)
+        rows = materialised(sketches(docs, key, keep), folder)
         named = rows.where("kind = 0 and n > 0")
         points = materialised(
             named.groupBy("node").agg(F.min("doc_id").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.min("row_name").alias("name"), (F.max("check") != F.min("check")).alias("clash")), folder
         )
         if not points.where("clash").limit(1).count():
             break
-        seed += 1  # two sets with one 64-bit name: take other names
-    members = trees(docs, frequency_table(rows.where("kind = 1")), seed, folder)
+        # Two sets share 64 bits of their names: take other names.
+    members = trees(docs, frequency_table(rows.where("kind = 1")), key, folder)
     vectors_of = points.select("node", "n", "counts")
     tried = materialised(first_pairs(members, vectors_of, folder), folder)
     links = materialised(verified(tried, texts_of(tried, points, docs, folder)), folder)

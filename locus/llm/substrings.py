@@ -17,8 +17,10 @@ there they are compared by the names of all their words.  Of equal windows of on
 slice of texts only the earliest travels, and of a slice's equal anchors one, so a
 line that a third of all texts hold is a row a slice there; and windows of the most
 frequent anchors are dealt by their own names.  Windows count as equal
-when the anchor's name and the window's, two hashes of different make, 123 bits in
-all, both are.
+when the anchor's name and the window's are, 59 and 64 bits that are made of the two
+halves of their words' BLAKE2b names.  Every job draws the key of these names anew, so
+no windows can be made up that only seem equal, and chance needs 2**64 pairs of one
+anchor; the words themselves do not travel.
 
 A null text has no words, texts of fewer than size words lose none.  Rows of one
 doc_id are one document's: equal places of them are not earlier than each other,
@@ -28,6 +30,7 @@ Extra columns are ignored, an empty table gives an empty result.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,13 +129,13 @@ def _ordinals(text: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(opens, at, 0))
 
 
-def shared_anchors(docs: DataFrame, size: int, folder: str) -> tuple[DataFrame, np.ndarray]:
+def shared_anchors(docs: DataFrame, size: int, key: bytes, folder: str) -> tuple[DataFrame, np.ndarray]:
     """row, ordinals: those stretches of every row's text whose anchor occurs elsewhere too; and the most frequent anchors, at most HOT_NAMES of them."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, step=SLICE_BYTES):
             words, rows = Words(part.column(1)), part.column(0).to_numpy()
-            _, _, text, name, times = stretches(words.hashes(lower=False), words.first, size)
+            _, _, text, name, times = stretches(words.names(False, key)[:, 0], words.first, size)
             # Two symbols are enough to tell that the windows of one stretch can equal each other.
             again = np.repeat(np.arange(len(text)), np.clip(times, 1, 2))
             name, row, ordinal = name[again], rows[text[again]], _ordinals(text)[again].astype(np.int32)
@@ -220,14 +223,14 @@ def repeated_spans(docs: DataFrame, size: int, folder: str) -> DataFrame:
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, step=SLICE_BYTES):
             words = Words(part.column(1))
-            hashed = words.hashes(lower=False)
-            place, count, text, name, _ = stretches(hashed, words.first, size)
+            names = words.names(False, key)
+            place, count, text, name, _ = stretches(names[:, 0], words.first, size)
             ordinals = part.column(4)
             wanted = np.repeat(np.arange(len(ordinals)), np.asarray(ordinals.value_lengths())) << 32 | ordinals.flatten().to_numpy()
             use = np.isin(text << 32 | _ordinals(text), wanted)
             place, count, text, name = place[use], count[use], text[use], name[use]
             stretch = np.repeat(np.arange(len(count)), count)
-            window = gram_hashes(hashed, size)[ranges(place, count)]
+            window = gram_hashes(names[:, 1], size)[ranges(place, count)]
             at = (ranges(place, count) - words.first[text[stretch]]).astype(np.int64)
             doc = part.column(0).to_numpy()[text]
             # Of equal windows of a slice only the earliest has to meet the others.
@@ -268,7 +271,8 @@ def repeated_spans(docs: DataFrame, size: int, folder: str) -> DataFrame:
             first, last = hit[opens], hit[np.append(opens[1:], True)] if len(hit) else hit
             yield pa.RecordBatch.from_arrays([pa.array(owner[row[first]]), pa.array(text_hash[row[first]]), pa.array(at[first]), pa.array(at[last] + size)], columns)
 
-    ordinals, hot = shared_anchors(docs, size, folder)
+    key = secrets.token_bytes(32)
+    ordinals, hot = shared_anchors(docs, size, key, folder)
     flagged = docs.join(ordinals, "row").select("doc", "text", "row", "text_hash", "ordinals")
     rows = flagged.mapInArrow(gathered, "name long, doc long, row long, text_hash int, place long, known_end long, windows binary")
     spans = rows.repartition("name").sortWithinPartitions("name", "doc", "place").mapInArrow(judged, "row long, text_hash int, a long, b long")

@@ -49,9 +49,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_names(words: pa.Array) -> np.ndarray:
-    """Two 64-bit numbers for every word of a binary array: its BLAKE2b digest, so that no words with one name can be made up."""
-    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.to_pylist()), np.uint64).reshape(-1, 2)
+def word_names(words: pa.Array, key: bytes = b"") -> np.ndarray:
+    """Two 64-bit numbers for every word of a binary array: its BLAKE2b digest under the key.  Who does not know the key can make up no words, nor sums of words, with one name."""
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16, key=key).digest() for w in words.to_pylist()), np.uint64).reshape(-1, 2)
 
 
 def distinct_words(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -84,8 +84,14 @@ class Words:
         self.end = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, self.text_at)
 
+    def names(self, lower: bool, key: bytes) -> np.ndarray:
+        """Two names (columns) of every word, as word_names(); lower: with A-Z as a-z."""
+        data = np.where((self.bytes >= 65) & (self.bytes <= 90), self.bytes + np.uint8(32), self.bytes) if lower else self.bytes
+        word, distinct = distinct_words(data, self.start, self.end - self.start)
+        return word_names(distinct, key)[word]
+
     def hashes(self, lower: bool) -> np.ndarray:
-        """A 64-bit hash of every word; lower: with A-Z as a-z."""
+        """A 64-bit hash of every word, the same in every job; lower: with A-Z as a-z.  Words can be made up that share one, so it serves for features, not to tell words apart."""
         code = _LOWER_CODE if lower else _BYTE_CODE
         out = np.empty(len(self.start), np.uint64)
         at = 0
@@ -116,7 +122,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", step: in
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of size consecutive word hashes."""
+    """A hash of every run of size consecutive word hashes; of words' secret names, one that nobody can aim at."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -126,9 +132,9 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def shingle_sets(words: Words, size: int = 5) -> list[np.ndarray]:
-    """Each text's sorted distinct shingle hashes; a shorter text's whole sequence is one shingle."""
-    hashed = words.hashes(lower=True)
+def shingle_sets(words: Words, key: bytes = b"", size: int = 5) -> list[np.ndarray]:
+    """Each text's sorted distinct shingle names; a shorter text's whole sequence is one shingle."""
+    hashed = words.names(True, key)[:, 0]
     grams = gram_hashes(hashed, size)
     out = []
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):

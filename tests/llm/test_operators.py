@@ -126,7 +126,7 @@ def test_trees_lose_no_link():
 def test_frequency_table_sums_all_tasks(spark):
     rows = [(k, f"always the same five words {k % 7}" if k % 2 else f"x{k} y{k} z{k} u{k} v{k} w{k}") for k in range(400)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
-    table = simjoin.frequency_table(simjoin.sketches(frame, 0).where("kind = 1"))
+    table = simjoin.frequency_table(simjoin.sketches(frame, b"").where("kind = 1"))
     import pyarrow as pa
 
     one = textops.shingle_sets(textops.Words(pa.array(["always the same five words"])))[0][0]
