@@ -14,7 +14,7 @@ phrase of two or three words is a candidate if it occurs at least ``least`` time
 3. Every slice of texts compiles its own phrases that have passed into an Aho-Corasick
    automaton of at most SHARD phrases (of more phrases, into several, one after the
    other), guarded by the delimiters on either side, and scans its texts for all
-   overlapping matches.  Spark sums the slices' counts, and what reaches ``least`` is
+   overlapping matches; words are counted as they are.  Spark sums the slices' counts, and what reaches ``least`` is
    exact: it was in the automaton of every slice that holds it.
 
 The parts of a candidate occur as often as it does, so their counts are at hand.  A cut
@@ -41,18 +41,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locus.llm.storage import materialised, scratch
-from locus.llm.textops import distinct_words, mix64, ranges, slices, word_names
+from locus.llm.textops import LOWER, distinct_words, mix64, polynomials, slices, word_names
 
 #: Bytes of text that are counted together, phrases of one automaton.
-SLICE_BYTES, SHARD = 4 << 20, 100_000
+SLICE_BYTES, HELD, SHARD = 4 << 20, 4, 100_000
 #: Bits of a filter for each counter in it, and bits of the largest filter (64 MB).
 BITS_EACH, LEAST_BITS, MAX_BITS = 32, 1 << 16, 1 << 29
 BROADCAST_ROWS = 100_000
-_BREAK, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
-_BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
-_SPACE[[9, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Of each byte: 1 if it parts words, 2 if it parts pieces.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 32]] = 1
+_KIND[[*b".,;:!?", 10, 11, 12, 13]] = 2
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -65,31 +64,41 @@ class Pieces:
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         # A break after every text keeps texts apart.
-        at = offsets[1:] - offsets[0]
-        raw = np.insert(raw, at, np.uint8(10))
-        broken = _BREAK[raw]
-        inside = ~(broken | _SPACE[raw])
-        edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        piece = np.cumsum(broken)[start]
+        kept = np.empty(len(raw) + len(texts), np.uint8)
+        ends = offsets[1:] - offsets[0] + np.arange(len(texts))
+        own = np.ones(len(kept), bool)
+        own[ends] = False
+        kept[own], kept[ends] = raw, 10
+        kind = _KIND[kept]
+        inside = kind == 0
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        start, end = edge[::2], edge[1::2]
+        # The words' places among the breaks tell whether the next word, or the next two, are in the same piece.
+        piece = np.searchsorted(np.flatnonzero(kind == 2), start)
         self.length = end - start
-        #: Whether the next word, or the next two, are in the same piece.
         self.two = np.zeros(len(start), bool)
         self.two[:-1] = piece[1:] == piece[:-1]
         self.three = np.zeros(len(start), bool)
         self.three[:-2] = piece[2:] == piece[:-2]
+        joined = LOWER[kept[inside]]
         # Each word is preceded by a space; the last one of a piece is followed by a space and a line end.
         last = ~self.two
         room = self.length + 1 + 2 * last
         self.end = np.cumsum(room) - 2 * last
         self.start = self.end - self.length
-        self.bytes = np.full(int(room.sum()), 32, np.uint8)
-        self.bytes[ranges(self.start, self.length)] = _LOWER[raw[ranges(start, self.length)]]
+        size = int(room.sum())
+        step = np.zeros(size + 1, np.int8)
+        step[self.start] = 1
+        step[self.end] -= 1
+        self.bytes = np.full(size, 32, np.uint8)
+        self.bytes[np.cumsum(step[:-1], dtype=np.int8).view(bool)] = joined
         self.bytes[self.end[last] + 1] = 10
-
-        #: Each word's number among the distinct ones, and these ones' names.
-        self.word, distinct = distinct_words(self.bytes, self.start, self.length)
-        self.names = word_names(distinct)[:, 0]
+        #: Each word's number among the distinct ones, their bytes, and hashes that tell most of them apart, which is enough for a sketch.
+        self.word, self.distinct = distinct_words(joined, self.length)
+        self.word = self.word.astype(np.int64)
+        at = np.frombuffer(self.distinct.buffers()[1], np.int64)[: len(self.distinct) + 1]
+        data = self.distinct.buffers()[2]
+        self.names = polynomials(np.frombuffer(data, np.uint8) if data is not None else joined, at[:-1], at[1:], False)
 
 
 def seed_of(lang: str) -> np.uint64:
@@ -121,12 +130,27 @@ class Filter:
 
 
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
-    """language, texts: slices of the batches (text, lang), one language each."""
-    for part in slices(batches, text=0, step=SLICE_BYTES):
+    """language, texts: the rows (text, lang) again, those of one language together, in slices of about SLICE_BYTES; of many languages HELD times as much waits at most."""
+    held: dict[str, list[pa.Array]] = {}
+    size: dict[str, int] = {}
+
+    def taken(lang: str) -> tuple[str, pa.Array]:
+        del size[lang]
+        return lang, pa.concat_arrays(held.pop(lang))
+
+    for part in slices(batches, text=0, step=SLICE_BYTES // 4):
         langs = pc.fill_null(part.column(1).cast(pa.string()), "und").dictionary_encode()
-        codes = langs.indices.to_numpy()
+        codes, texts = langs.indices.to_numpy(), part.column(0).cast(pa.large_string())
         for k, lang in enumerate(langs.dictionary.to_pylist()):
-            yield lang, part.column(0).filter(pa.array(codes == k))
+            own = texts.filter(pa.array(codes == k))
+            held.setdefault(lang, []).append(own)
+            size[lang] = size.get(lang, 0) + int(pc.sum(pc.binary_length(own)).as_py() or 0)
+            if size[lang] >= SLICE_BYTES:
+                yield taken(lang)
+        while sum(size.values()) >= HELD * SLICE_BYTES:
+            yield taken(max(size, key=size.__getitem__))
+    for lang in list(held):
+        yield taken(lang)
 
 
 def counters(texts: DataFrame, known: Broadcast | None, least: int, folder: str) -> DataFrame:
@@ -212,12 +236,17 @@ def phrase_counts(texts: DataFrame, pairs: Broadcast, triples: Broadcast, least:
             pair = np.zeros(len(one), np.int64)
             pair[pair_at] = np.unique(one[pair_at] * len(pieces.names) + one[pair_at + 1], return_inverse=True)[1]
             triple_at = np.flatnonzero(fine_three)
-            for n, at, number in ((1, np.flatnonzero(pairs.value.holds(words)), one), (2, pair_at, pair), (3, triple_at, pair * len(pieces.names) + np.concatenate((one[2:], np.zeros(2, np.int64)))[: len(one)])):
-                first = at[np.unique(number[at], return_index=True)[1]]
+            for n, at, number in ((2, pair_at, pair[pair_at]), (3, triple_at, pair[triple_at] * len(pieces.names) + one[triple_at + 2] if len(triple_at) else triple_at)):
+                first = at[np.unique(number, return_index=True)[1]]
                 found += [pieces.bytes[a:b].tobytes().decode() for a, b in zip(pieces.start[first].tolist(), pieces.end[first + n - 1].tolist(), strict=True)]
                 size += [n] * len(first)
+            # Single words need no automaton: each is itself.
+            words_of = mix64(pieces.names ^ seed_of(lang))
+            held = np.flatnonzero(pairs.value.holds(words_of))
+            singles = pieces.distinct.take(pa.array(held)).cast(pa.large_string()).to_pylist()
             count = matches(found, pieces.bytes.tobytes().decode())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(found) + 1)), pa.array(["", *found]), pa.array([0, *size], pa.int32()), pa.array(np.concatenate(([len(words)], count)))], ["lang", "phrase", "size", "count"])
+            single = np.bincount(one, minlength=len(pieces.names))[held]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (1 + len(singles) + len(found))), pa.array(["", *singles, *found], pa.string()), pa.array([0, *[1] * len(singles), *size], pa.int32()), pa.array(np.concatenate(([len(words)], single, count)))], ["lang", "phrase", "size", "count"])
 
     found = texts.mapInArrow(scanned, "lang string, phrase string, size int, count long")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("count")).where((F.col("count") >= least) | (F.col("size") == 0))

@@ -19,6 +19,9 @@ import pyarrow.compute as pc
 STEP_BYTES = 1 << 20
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_CODE = _RNG.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
 _LOWER_CODE = _BYTE_CODE.copy()
@@ -54,12 +57,13 @@ def word_names(words: pa.Array, key: bytes = b"") -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16, key=key).digest() for w in words.to_pylist()), np.uint64).reshape(-1, 2)
 
 
-def distinct_words(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The number of each word data[start : start + length] in a table of the distinct ones, and that table."""
-    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int64)
-    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[ranges(start, length)].tobytes())])
+def distinct_words(joined: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word in a table of the distinct ones, and that table; joined: the bytes of all words, one right after the other."""
+    offsets = np.zeros(len(length) + 1, np.int64)
+    np.cumsum(length, out=offsets[1:])
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
     coded = every.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    return coded.indices.to_numpy(), coded.dictionary
 
 
 class Words:
@@ -86,26 +90,31 @@ class Words:
 
     def names(self, lower: bool, key: bytes) -> np.ndarray:
         """Two names (columns) of every word, as word_names(); lower: with A-Z as a-z."""
-        data = np.where((self.bytes >= 65) & (self.bytes <= 90), self.bytes + np.uint8(32), self.bytes) if lower else self.bytes
-        word, distinct = distinct_words(data, self.start, self.end - self.start)
+        joined = self.bytes[~_SEPARATOR[self.bytes]]
+        word, distinct = distinct_words(LOWER[joined] if lower else joined, self.end - self.start)
         return word_names(distinct, key)[word]
 
     def hashes(self, lower: bool) -> np.ndarray:
         """A 64-bit hash of every word, the same in every job; lower: with A-Z as a-z.  Words can be made up that share one, so it serves for features, not to tell words apart."""
-        code = _LOWER_CODE if lower else _BYTE_CODE
-        out = np.empty(len(self.start), np.uint64)
-        at = 0
-        while at < len(out):
-            base = self.start[at]
-            to = max(at + 1, int(np.searchsorted(self.end, base + STEP_BYTES, "right")))
-            size = int(self.end[to - 1] - base)
-            up, down = _power_tables(size)
-            total = np.zeros(size + 1, np.uint64)
-            np.cumsum(code[self.bytes[base : base + size]] * up, dtype=np.uint64, out=total[1:])
-            start, end = self.start[at:to] - base, self.end[at:to] - base
-            out[at:to] = (total[end] - total[start]) * down[start]
-            at = to
-        return mix64(out)
+        return polynomials(self.bytes, self.start, self.end, lower)
+
+
+def polynomials(data: np.ndarray, begin: np.ndarray, stop: np.ndarray, lower: bool) -> np.ndarray:
+    """A 64-bit hash of each of the ascending byte ranges."""
+    code = _LOWER_CODE if lower else _BYTE_CODE
+    out = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(out):
+        base = begin[at]
+        to = max(at + 1, int(np.searchsorted(stop, base + STEP_BYTES, "right")))
+        size = int(stop[to - 1] - base)
+        up, down = _power_tables(size)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(code[data[base : base + size]] * up, dtype=np.uint64, out=total[1:])
+        start, end = begin[at:to] - base, stop[at:to] - base
+        out[at:to] = (total[end] - total[start]) * down[start]
+        at = to
+    return mix64(out)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
