@@ -66,19 +66,39 @@ def average_quality(quality: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v) / F.nullif(F.size(values), F.lit(0))
 
 
+#: The types of tags, and texts that are read as whole numbers or numbers where no type is given.
+TAG_TYPED, TAG_INTEGER, TAG_FLOAT = "(?s)^[AifZHB]:.*", "^(0|-?[1-9][0-9]{0,8})$", "^[-+]?[0-9]+[.][0-9]+([eE][-+]?[0-9]+)?$"
+
+
+def _first_of_each(entries: Column) -> Column:
+    """Entries (key, value) without those whose key came before: one odd line must not end a job."""
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.filter(entries, lambda e, k: F.array_position(keys, e["key"]) == k + 1)
+
+
 def tags_map(fields: Column) -> Column:
-    """map<tag, value> of an array of TAG:TYPE:VALUE texts."""
-    fine = F.filter(fields, lambda f: F.regexp_like(f, F.lit("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:")))
-    return F.map_from_entries(F.transform(fine, lambda f: F.struct(F.substring(f, 1, 2).alias("key"), F.substr(f, F.lit(6)).alias("value"))))
+    """map<tag, "T:value"> of an array of TAG:T:VALUE texts: the type stays with its value; a repeated tag counts where it comes first."""
+    fine = F.filter(fields, lambda f: F.regexp_like(f, F.lit("(?s)^[A-Za-z][A-Za-z0-9]:[A-Za-z]:.*")))
+    return F.map_from_entries(_first_of_each(F.transform(fine, lambda f: F.struct(F.substring(f, 1, 2).alias("key"), F.substr(f, F.lit(4)).alias("value")))))
+
+
+def typed_tag(value: Column) -> Column:
+    """A tag's "T:value"; a value without a type gets one: i for whole numbers, f for numbers with a fraction, else Z."""
+    kind = F.when(F.regexp_like(value, F.lit(TAG_INTEGER)), "i").when(F.regexp_like(value, F.lit(TAG_FLOAT)), "f").otherwise("Z")
+    return F.when(F.regexp_like(value, F.lit(TAG_TYPED)), value).otherwise(F.concat_ws(":", kind, value))
+
+
+def tag_value(value: Column) -> Column:
+    """A tag's value without its type."""
+    return F.when(F.regexp_like(value, F.lit(TAG_TYPED)), F.substr(value, F.lit(3))).otherwise(value)
 
 
 def tag_text(tag: Column, value: Column) -> Column:
-    """TAG:TYPE:VALUE with the type inferred: i for whole numbers, f for other numbers, else Z."""
-    kind = F.when(F.regexp_like(value, F.lit("^[-+]?[0-9]+$")), "i").when(value.try_cast("double").isNotNull(), "f").otherwise("Z")
-    return F.concat_ws(":", tag, kind, value)
+    """TAG:T:VALUE."""
+    return F.concat_ws(":", tag, typed_tag(value))
 
 
 def header_fields(line: Column) -> Column:
-    """map<key, value> of a header line's tab-separated KEY:VALUE fields."""
+    """map<key, value> of a header line's tab-separated KEY:VALUE fields; a repeated key counts where it comes first."""
     parts = F.filter(F.split(line, "\t"), lambda p: ~p.startswith("@") & p.contains(":"))
-    return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.substring_index(p, ":", 1).alias("key"), F.substr(p, F.length(F.substring_index(p, ":", 1)) + 2).alias("value"))))
+    return F.map_from_entries(_first_of_each(F.transform(parts, lambda p: F.struct(F.substring_index(p, ":", 1).alias("key"), F.substr(p, F.length(F.substring_index(p, ":", 1)) + 2).alias("value")))))

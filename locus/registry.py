@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +15,14 @@ from locus.functions import codecs, scalars
 from locus.operators import annotations, coverage, maintenance, ordering, regions, summaries, tiles, variants
 from locus.operators.regions import Region
 from locus.plans import manifest
-from locus.sources import bam, chunk_files, dataset, sidecars, text_formats
+from locus.sources import bam, chunk_files, dataset, shared, sidecars, text_formats
 from locus.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+#: Folders that the query under way has written.
+_OWN: ContextVar[list[str]] = ContextVar("own")
 
 SIZE = P.SIZE
 REGION = Region("A", 300, 700)
@@ -38,11 +40,25 @@ EVENTS = "WITH e AS (SELECT event_id AS id, user_id AS participant, event_type A
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query.  What it writes to folders of _folder() is removed once its result is written down."""
+
     def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def tidy(spark: SparkSession, d: str) -> DataFrame:
+            own: list[str] = []
+            before = _OWN.set(own)
+            try:
+                out = f(spark, d)
+                return shared.materialised(out) if own else out
+            finally:
+                _OWN.reset(before)
+                for folder in own:
+                    shared.remove(spark, folder)
+
+        _QUERIES[f.__name__] = tidy
         if sql is not None:
             _SQL[f.__name__] = sql
-        return f
+        return tidy
 
     return register
 
@@ -56,11 +72,10 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset and all runs on this machine (tests), one of our own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or f'file://{tempfile.mkdtemp()}').rstrip('/')}/locus-{uuid.uuid4().hex}"
+    """A new folder under the shared one, which the query that asks for it does not leave behind."""
+    folder = shared.new_folder(spark)
+    _OWN.get().append(folder)
+    return folder
 
 
 def _few(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
@@ -587,7 +602,7 @@ def sam_export(spark, d):
 @query(READS + """ SELECT l_orderkey || ':' || l_linenumber || ':' || l_suppkey AS name, flag, coalesce(CASE WHEN reference_id >= 0 THEN reference END, '') AS reference, position, span, CAST(l_linenumber AS VARCHAR) AS nm FROM reads""")
 def sam_roundtrip(spark, d):
     back = text_formats.parse_sam(text_formats.format_sam(_alignments(spark, d)))
-    return back.select("name", "flag", F.coalesce("reference", F.lit("")).alias("reference"), F.col("position").cast("long").alias("position"), "span", F.col("tags")["NM"].alias("nm"))
+    return back.select("name", "flag", F.coalesce("reference", F.lit("")).alias("reference"), F.col("position").cast("long").alias("position"), "span", codecs.tag_value(F.col("tags")["NM"]).alias("nm"))
 
 
 @query("SELECT count(*) AS malformed FROM documents WHERE doc_id % 5 = 0")
@@ -858,7 +873,7 @@ def bam_roundtrip(spark, d):
     path = _folder(spark)
     bam.write_bam(rows, "@HD\tVN:1.6\tSO:coordinate\n", [(r, 1 << 28) for r in "ANR"], path)
     back = bam.read_bam(spark, path)
-    return back.select("name", F.coalesce("reference", F.lit("*")).alias("reference"), F.col("position").cast("long").alias("position"), "mapq", "flag", "span", F.col("tags")["LN"].alias("tag"))
+    return back.select("name", F.coalesce("reference", F.lit("*")).alias("reference"), F.col("position").cast("long").alias("position"), "mapq", "flag", "span", codecs.tag_value(F.col("tags")["LN"]).alias("tag"))
 
 
 @query("SELECT '@HD' || chr(9) || 'VN:1.6' AS value UNION ALL SELECT '@SQ' || chr(9) || 'SN:c' || s_suppkey || chr(9) || 'LN:' || s_suppkey * 1000 FROM supplier UNION ALL SELECT '@RG' || chr(9) || 'ID:rg1' || chr(9) || 'SM:s1' UNION ALL SELECT '@CO' || chr(9) || 'made: by hand'")
@@ -1087,3 +1102,6 @@ def chunk_files_scan(spark, d):
     # Spark has no sink for plain bytes; in a text file a chunk is followed by a line end, which unpacking leaves alone.
     chunks.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/packed")
     return chunk_files.read_any(spark, folder, "part-*").select("name", "reference_id", F.col("position").cast("long").alias("position"), "mapq", "flag", "span")
+
+
+from locus import registry_layouts  # noqa: E402, F401  (registers more queries)

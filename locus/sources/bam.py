@@ -17,13 +17,15 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import groupby
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locus.functions.codecs import CIGAR_OPS, reference_span
+from locus.functions.codecs import CIGAR_OPS, TAG_FLOAT, TAG_INTEGER, TAG_TYPED, reference_span
 
 #: How a BGZF member begins, the empty one that ends a file, the header's magic, a record's fixed fields, the 4-bit bases, tag types.
 MEMBER = bytes.fromhex("1f8b08040000000000ff060042430200")
@@ -31,6 +33,9 @@ LAST = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 MAGIC = b"BAM\x01"
 _FIXED = struct.Struct("<iiiBBHHHiiii")
 BASES = "=ACMGRSVTWYHKDBN"
+_BASE_OF_DIGIT = bytes.maketrans(b"0123456789abcdef", BASES.encode())
+_DIGIT_OF_BASE = bytes(b"0123456789abcdef"[max(0, BASES.find(chr(c).upper()))] if chr(c).upper() in BASES else ord("0") for c in range(256))
+_TO_TEXT, _TO_SCORE = bytes(min(255, q + 33) for q in range(256)), bytes(max(0, c - 33) for c in range(256))
 _NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 
 SCHEMA = (
@@ -128,37 +133,64 @@ def _first_record(data: bytes | bytearray, whole: bool) -> int | None:
     return None
 
 
-def _tags(data: bytes) -> dict[str, str]:
-    out, at = {}, 0
+def typed_tag(value: str) -> str:
+    """As codecs.typed_tag, of one value."""
+    if re.match(TAG_TYPED, value):
+        return value
+    return ("i:" if re.match(TAG_INTEGER, value) else "f:" if re.match(TAG_FLOAT, value) else "Z:") + value
+
+
+def _number(kind: str, data: bytes, at: int) -> str:
+    value = struct.unpack_from(_NUMBERS[kind], data, at)[0]
+    return str(np.float32(value)) if kind == "f" else str(value)
+
+
+def _tags(data: bytes) -> list[tuple[str, str]]:
+    """(tag, "T:value") of a record's tags; whole numbers of every width are of type i."""
+    out, at, seen = [], 0, set()
     while at < len(data):
         tag, kind, at = data[at : at + 2].decode(), chr(data[at + 2]), at + 3
         if kind in _NUMBERS:
-            out[tag] = str(struct.unpack_from(_NUMBERS[kind], data, at)[0])
+            value = ("f:" if kind == "f" else "i:") + _number(kind, data, at)
             at += struct.calcsize(_NUMBERS[kind])
         elif kind == "A":
-            out[tag], at = chr(data[at]), at + 1
+            value, at = "A:" + chr(data[at]), at + 1
         elif kind in "ZH":
             end = data.index(0, at)
-            out[tag], at = data[at:end].decode(), end + 1
+            value, at = f"{kind}:{data[at:end].decode()}", end + 1
         elif kind == "B":
             of, count = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            values = struct.unpack_from("<" + str(count) + _NUMBERS[of][1], data, at + 5)
-            out[tag], at = ",".join([of, *map(str, values)]), at + 5 + count * struct.calcsize(_NUMBERS[of])
+            width = struct.calcsize(_NUMBERS[of])
+            value, at = ",".join(["B:" + of, *(_number(of, data, at + 5 + k * width) for k in range(count))]), at + 5 + count * width
         else:
             raise ValueError(f"unknown tag type {kind!r}")
+        if tag not in seen:  # a repeated tag counts where it comes first
+            seen.add(tag)
+            out.append((tag, value))
     return out
 
 
+@lru_cache(1 << 14)
+def _cigar_of(packed: bytes) -> str | None:
+    return "".join(f"{c >> 4}{CIGAR_OPS[c & 15]}" for (c,) in struct.iter_unpack("<I", packed)) or None
+
+
+@lru_cache(1 << 14)
+def _packed_cigar(cigar: str) -> bytes:
+    ops = [int(n) << 4 | CIGAR_OPS.index(o) for n, o in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
+    return struct.pack(f"<{len(ops)}I", *ops)
+
+
 def _record(data: bytes) -> tuple:
     """The fields of one record, in SCHEMA's order from the name on."""
     _, ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, length = _FIXED.unpack_from(data)
     at = 36 + n_name
-    cigar = "".join(f"{c >> 4}{CIGAR_OPS[c & 15]}" for c in struct.unpack_from(f"<{n_cigar}I", data, at)) or None
+    cigar = _cigar_of(data[at : at + 4 * n_cigar])
     at += 4 * n_cigar
     half = (n_seq + 1) // 2
-    sequence = "".join(BASES[b >> 4] + BASES[b & 15] for b in data[at : at + half])[:n_seq] or None
+    sequence = data[at : at + half].hex().encode().translate(_BASE_OF_DIGIT)[:n_seq].decode() or None
     quality = data[at + half : at + half + n_seq]
-    quality = None if not n_seq or quality[0] == 255 else bytes(q + 33 for q in quality).decode("latin-1")
+    quality = None if not n_seq or quality[0] == 255 else quality.translate(_TO_TEXT).decode("latin-1")
     return data[36 : 35 + n_name].decode(), flag, ref, pos, mapq, cigar, mate, mate_pos, length, sequence, quality, _tags(data[at + half + n_seq :])
 
 
@@ -205,55 +237,65 @@ def _ended(members: Iterator[bytes]) -> Iterator[bytes | None]:
     yield None
 
 
-def _frames(rows: Iterator[tuple], size: int = 5000) -> Iterator[pd.DataFrame]:
+_TYPES = [
+    pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()),
+]
+
+
+def _frames(rows: Iterator[tuple], size: int = 5000) -> Iterator[pa.RecordBatch]:
     held = []
     for row in rows:
         held.append(row)
         if len(held) == size:
-            yield pd.DataFrame(held, columns=_NAMES)
+            yield _frame(held)
             held = []
     if held:
-        yield pd.DataFrame(held, columns=_NAMES)
+        yield _frame(held)
 
 
-def _parsed(records: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+
+
+def _parsed(records: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The records of all splits of a task, whose members come in order, or the pieces of records at their ends."""
 
-    def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        members = ((r.file, r.split, r.member) for frame in frames for r in frame.itertuples(index=False))
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = (m for batch in batches for m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
         for (file, split), group in groupby(members, key=lambda m: m[:2]):
             yield from _frames(_split_rows(file, split, (m[2] for m in group), records))
 
     return parsed
 
 
-def _joined(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+def _joined(pieces: pa.Table) -> pa.Table:
     """The records that lie across splits of one file; a file's pieces are a record or so a split."""
     rows = []
     data = b""
-    for r in pieces.sort_values(["split", "kind"]).itertuples(index=False):
-        data += bytes(r.raw)
-        if r.kind == 1:
+    for kind, file, split, raw in sorted(zip(*(pieces[c].to_pylist() for c in ("kind", "file", "split", "raw")), strict=True), key=lambda r: (r[2], r[0])):
+        data += raw
+        if kind == 1:
             at = 0
             while at + 4 <= len(data) and (end := at + 4 + struct.unpack_from("<i", data, at)[0]) <= len(data):
-                rows.append((0, r.file, r.split, None, *_record(data[at:end])))
+                rows.append((0, file, split, None, *_record(data[at:end])))
                 at = end
             data = data[at:]
         # A split with a start of its own leaves nothing open before it.
-        elif len(data) != len(r.raw):
-            raise ValueError(f"the records of {r.file} do not meet at {r.split}")
+        elif len(data) != len(raw):
+            raise ValueError(f"the records of {file} do not meet at {split}")
     if data:
-        raise ValueError(f"{key[0]} ends inside a record")
-    return pd.DataFrame(rows, columns=_NAMES)
+        raise ValueError(f"{file} ends inside a record")
+    return pa.Table.from_batches([_frame(rows)])
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all files under path, which share the references of the first one's header."""
     _, references = read_header(spark, path)
     members = _members(spark, path)
-    pieces = members.mapInPandas(_parsed(records=False), SCHEMA).groupBy("file").applyInPandas(_joined, SCHEMA)
+    pieces = members.mapInArrow(_parsed(records=False), SCHEMA).groupBy("file").applyInArrow(_joined, SCHEMA)
     names = spark.createDataFrame([(k, name) for k, (name, _) in enumerate(references)], "reference_id int, reference string")
-    rows = members.mapInPandas(_parsed(records=True), SCHEMA).unionByName(pieces).drop("kind", "file", "split", "raw")
+    rows = members.mapInArrow(_parsed(records=True), SCHEMA).unionByName(pieces).drop("kind", "file", "split", "raw")
     mates = names.select(F.col("reference_id").alias("mate_reference_id"), F.col("reference").alias("mate_reference"))
     rows = rows.join(names, "reference_id", "left").join(mates, "mate_reference_id", "left")
     return rows.withColumn("span", reference_span(F.col("cigar")).cast("int"))
@@ -269,22 +311,31 @@ def _bin(begin: int, end: int) -> int:
 
 
 def _packed_tag(tag: str, value: str) -> bytes:
-    """A tag as whole number, number or text, whichever its value can be read as."""
-    try:
-        return tag.encode() + b"i" + struct.pack("<i", int(value))
-    except (ValueError, struct.error):
-        return tag.encode() + b"Z" + value.encode() + b"\0"
+    """A tag by the type that its value names (or, without one, looks like); whole numbers beyond 32 bits are texts."""
+    value = typed_tag(value)
+    kind, text = value[0], value[2:]
+    if kind == "i":
+        number = int(text)
+        if -(1 << 31) <= number < 1 << 32:
+            return tag.encode() + (b"i" + struct.pack("<i", number) if number < 1 << 31 else b"I" + struct.pack("<I", number))
+        kind = "Z"
+    if kind == "f":
+        return tag.encode() + b"f" + struct.pack("<f", float(text))
+    if kind == "A":
+        return tag.encode() + b"A" + text[:1].encode("latin-1", "replace")
+    if kind == "B":
+        of, *values = text.split(",")
+        return tag.encode() + b"B" + of.encode() + struct.pack("<i", len(values)) + b"".join(struct.pack(_NUMBERS[of], float(v) if of == "f" else int(v)) for v in values)
+    return tag.encode() + kind.encode() + text.encode() + b"\0"
 
 
 def packed_record(name, flag, reference_id, position, mapq, cigar, mate_reference_id, mate_position, template_length, sequence, quality, tags, span) -> bytes:
-    ops = [int(n) << 4 | CIGAR_OPS.index(o) for n, o in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar or "")]
-    sequence, name = sequence or "", (name or "*").encode() + b"\0"
-    codes = [max(0, BASES.find(c)) if c != "N" else 15 for c in sequence.upper()] + [0] * (len(sequence) % 2)
-    scores = bytes(ord(c) - 33 for c in quality) if quality and len(quality) == len(sequence) else b"\xff" * len(sequence)
-    body = name + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + scores
-    body += b"".join(_packed_tag(k, v) for k, v in sorted((tags or {}).items()))
+    ops, sequence, name = _packed_cigar(cigar or ""), sequence or "", (name or "*").encode() + b"\0"
+    digits = sequence.encode("latin-1", "replace").translate(_DIGIT_OF_BASE) + b"0" * (len(sequence) % 2)
+    scores = quality.encode("latin-1", "replace").translate(_TO_SCORE) if quality and len(quality) == len(sequence) else b"\xff" * len(sequence)
+    body = name + ops + bytes.fromhex(digits.decode()) + scores + b"".join([_packed_tag(k, v) for k, v in sorted(tags or ())])
     place = _bin(max(position, 0), max(position, 0) + max(span or 1, 1)) if position >= 0 else 4680
-    return _FIXED.pack(32 + len(body), reference_id, position, len(name), mapq, place & 0xFFFF, len(ops), flag, len(sequence), mate_reference_id, mate_position, template_length) + body
+    return _FIXED.pack(32 + len(body), reference_id, position, len(name), mapq, place & 0xFFFF, len(ops) // 4, flag, len(sequence), mate_reference_id, mate_position, template_length) + body
 
 
 def member(data: bytes) -> bytes:
@@ -319,22 +370,22 @@ def write_bam(rows: DataFrame, header: str, references: list[tuple[str, int]], p
     ranked = first.unionByName(given.withColumn("rank", F.when(F.col("reference_id") >= 0, 1).otherwise(2)))
     begin = packed_header(header, references)
 
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, done = bytearray(), []
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                data += begin if row.rank == 0 else packed_record(*row[:-1])
+        for batch in batches:
+            for *row, rank in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data += begin if rank == 0 else packed_record(*row)
                 while len(data) >= payload:
                     done.append(member(bytes(data[:payload])))
                     del data[:payload]
                     if len(done) == 16:
-                        yield pd.DataFrame({"value": [b"".join(done)]})
+                        yield pa.RecordBatch.from_pydict({"value": [b"".join(done)]})
                         done = []
         if data:
             done.append(member(bytes(data)))
         if done:
-            yield pd.DataFrame({"value": [b"".join(done)]})
+            yield pa.RecordBatch.from_pydict({"value": [b"".join(done)]})
 
     ordered = ranked.select(*fields, "rank").orderBy("rank", "reference_id", "position", "name", "flag")
-    lines = ordered.mapInPandas(packed, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = ordered.mapInArrow(packed, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", LAST.decode("latin-1")).text(path)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locus.functions.codecs import CIGAR_OPS, reference_span
+from locus.functions.codecs import typed_tag as typed_value
+from locus.sources.bam import typed_tag
 
 #: Fixed values of the packed layout, little-endian: magic, version, flags, count, reserved; then for
 #: each record its size, lengths of name, sequence, CIGAR and tags, and the fields after the name.
@@ -47,7 +49,7 @@ def unpack(data: bytes) -> Iterator[tuple]:
         packed, rest = struct.unpack_from(f"<{n_cigar}I", rest), rest[4 * n_cigar :]
         half = (n_seq + 1) // 2
         sequence, quality, rest = "".join(_PAIR[b] for b in rest[:half])[:n_seq], rest[half : half + n_seq].decode("latin-1"), rest[half + n_seq :]
-        tags = {t[:2].decode(): t[3:].decode() for t in rest.split(b"\0")[:n_tags]}
+        tags = {t[:2].decode(): typed_tag(t[3:].decode()) for t in rest.split(b"\0")[:n_tags]}  # these files hold every tag as text
         yield name, flag, reference_id, position, mapq, "".join(f"{p >> 4}{CIGAR_OPS[p & 15]}" for p in packed) or None, sequence, quality, tags
 
 
@@ -60,7 +62,7 @@ def pack(records: list[tuple]) -> bytes:
         ops = [(int(n) << 4) | CIGAR_OPS.index(o) for n, o in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar or "")]
         codes = [_CODE.get(c, 0) for c in sequence] + [0] * (len(sequence) % 2)
         body = name.encode() + _PLACE.pack(reference_id, position, mapq, flag) + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + quality.encode("latin-1")
-        body += b"".join(k.encode() + b"Z" + v.encode() + b"\0" for k, v in tags.items())
+        body += b"".join(k.encode() + b"Z" + typed_tag(v)[2:].encode() + b"\0" for k, v in tags.items())
         out.append(_RECORD.pack(_RECORD.size + len(body), len(name.encode()), len(sequence), len(ops), len(tags)) + body)
     return b"".join(out)
 
@@ -75,7 +77,7 @@ def _from_json(data: bytes) -> Iterator[tuple]:
 
     for record in json.loads(_decompressed(data)):
         given = {n: record.get(n, record.get(_OLD_NAMES.get(n))) for n in _NAMES}
-        yield tuple({k: str(v) for k, v in (given["tags"] or {}).items()} if n == "tags" else given[n] for n in _NAMES)
+        yield tuple({k: typed_tag(str(v)) for k, v in (given["tags"] or {}).items()} if n == "tags" else given[n] for n in _NAMES)
 
 
 def read_any(spark: SparkSession, path: str, pattern: str = "*.chunk") -> DataFrame:
@@ -110,4 +112,4 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.chunk").json(path)
     either = [F.coalesce(F.col(new), F.col(old)).alias(out) for new, old, out in (("reference_id", "ref", "reference_id"), ("position", "pos", "position"), ("mapping_quality", "mapq", "mapq"))]
     texts = [F.coalesce(F.col(new), F.col(old)).alias(new) for new, old in (("sequence", "seq"), ("quality", "qual"))]
-    return rows.select("name", "flag", *either, "cigar", *texts, "tags").withColumn("span", reference_span(F.col("cigar")).cast("int"))
+    return rows.select("name", "flag", *either, "cigar", *texts, F.transform_values("tags", lambda _, v: typed_value(v)).alias("tags")).withColumn("span", reference_span(F.col("cigar")).cast("int"))

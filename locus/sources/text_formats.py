@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locus.functions.codecs import header_fields, reference_span, tags_map
+from locus.functions.codecs import header_fields, reference_span, tag_text, tags_map
 
 #: The eleven mandatory fields of an alignment line, in order.
 FIELDS = ("name", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "sequence", "quality")
@@ -73,7 +73,7 @@ def format_sam(rows: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name), F.lit("*"))
 
     mate = F.when(F.col("mate_reference").isNull(), "*").when(F.col("mate_reference").eqNullSafe(F.col("reference")), "=").otherwise(F.col("mate_reference"))
-    tags = F.transform(F.array_sort(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>")))), lambda t: F.concat(t["key"], F.when(F.regexp_like(t["value"], F.lit("^[-+]?[0-9]+$")), ":i:").otherwise(":Z:"), t["value"]))
+    tags = F.transform(F.array_sort(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>")))), lambda t: tag_text(t["key"], t["value"]))
     columns = [F.col("name"), F.col("flag"), text("reference"), F.col("position") + 1, F.col("mapq"), text("cigar"), mate, F.col("mate_position") + 1, F.col("template_length"), text("sequence"), text("quality")]
     return rows.select(F.concat_ws("\t", *(c.cast("string") for c in columns), tags).alias("value"))
 

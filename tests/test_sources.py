@@ -78,7 +78,7 @@ def test_sam_round_trip(spark, tmp_path):
     rows = text_formats.parse_sam(lines)
     got = {r.name: r for r in rows.collect()}
     assert set(got) == {"r1", "r2", "r3"} and text_formats.malformed(lines).count() == 2
-    assert got["r1"].position == 100 and got["r1"].mate_reference == "chr1" and got["r1"].tags == {"NM": "0", "RG": "rg1"}
+    assert got["r1"].position == 100 and got["r1"].mate_reference == "chr1" and got["r1"].tags == {"NM": "i:0", "RG": "Z:rg1"}
     assert got["r2"].reference is None and got["r2"].cigar is None and got["r3"].span == 6
     assert sorted(r.value for r in text_formats.format_sam(rows).collect()) == sorted(SAM[4:7])
     assert [tuple(r) for r in text_formats.sam_references(spark, str(tmp_path / "x.sam")).collect()] == [(0, "chr2", 8000000), (1, "chr1", 10000000)]
@@ -105,7 +105,7 @@ def test_stream_windows(spark):
 
 
 def test_older_chunk_files(spark, tmp_path):
-    records = [("r1", 99, 0, 100, 60, "5M", "ACGTN", "IIIII", {"NM": "0", "RG": "a b"}), ("r2", 4, -1, -1, 0, None, "ACG", "III", {}), ("", 0, 1, 7, 1, "2S3M", "ACGTA", "!!!!!", {})]
+    records = [("r1", 99, 0, 100, 60, "5M", "ACGTN", "IIIII", {"NM": "i:0", "RG": "Z:a b"}), ("r2", 4, -1, -1, 0, None, "ACG", "III", {}), ("", 0, 1, 7, 1, "2S3M", "ACGTA", "!!!!!", {})]
     import zstandard
 
     (tmp_path / "b").mkdir()
@@ -117,7 +117,7 @@ def test_older_chunk_files(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "x.chunk").write_text(json.dumps([{"name": "a", "flag": 0, "ref": 1, "pos": 5, "mapq": 3, "cigar": "4M", "seq": "ACGT", "qual": "IIII"}, {"name": "b", "flag": 4, "reference_id": -1, "position": -1, "mapping_quality": 0, "cigar": None, "sequence": "A", "quality": "I", "tags": {"X1": "q"}}]))
     got = {r.name: r for r in chunk_files.read_json(spark, str(tmp_path / "j")).collect()}
-    assert got["a"].position == 5 and got["a"].span == 4 and got["b"].tags == {"X1": "q"} and got["b"].reference_id == -1
+    assert got["a"].position == 5 and got["a"].span == 4 and got["b"].tags == {"X1": "Z:q"} and got["b"].reference_id == -1
 
 
 def test_vcf_fastq_bed(spark, tmp_path):
@@ -165,7 +165,7 @@ def aligned(spark, n=1500, seed=3):
         rows.append((
             f"r{k}", 4 if unmapped else rng.choice([0, 16, 99, 1024]), None if unmapped else rng.choice(["chr1", "chr2"]), -1 if unmapped else rng.randint(0, 10**6), 0 if unmapped else 60,
             None if unmapped else rng.choice([f"{size}M", f"{size}M2D", f"1S{size}="]), rng.choice([None, "chr1"]), rng.randint(-1, 1000), rng.randint(-500, 500), "".join(rng.choice("ACGTN") for _ in range(size)),
-            None if rng.random() < 0.1 else "".join(chr(33 + rng.randint(0, 60)) for _ in range(size)), {"NM": str(k % 7), "RG": "rg1"} if rng.random() < 0.8 else {}, 0 if unmapped else size,
+            None if rng.random() < 0.1 else "".join(chr(33 + rng.randint(0, 60)) for _ in range(size)), {"NM": f"i:{k % 7}", "RG": "Z:rg1", "BC": "Z:0012", "XA": "A:q", "XF": "f:1.5", "XB": "B:s,-3,4", "XI": f"i:{2**31 + k}"} if rng.random() < 0.8 else {}, 0 if unmapped else size,
         ))
     schema = "name string, flag int, reference string, position int, mapq int, cigar string, mate_reference string, mate_position int, template_length int, sequence string, quality string, tags map<string,string>, span int"
     return rows, spark.createDataFrame(rows, schema).repartition(5)
@@ -222,7 +222,11 @@ def test_bam_tags_of_every_type():
     import struct
 
     data = b"XAAq" + b"Xcc\xff" + b"XsS" + struct.pack("<H", 65535) + b"XfF"[:2] + b"f" + struct.pack("<f", 1.5) + b"XZZab\0" + b"XBBs" + struct.pack("<ihh", 2, -3, 4)
-    assert bam._tags(data) == {"XA": "q", "Xc": "-1", "Xs": "65535", "Xf": "1.5", "XZ": "ab", "XB": "s,-3,4"}
+    typed = {"XA": "A:q", "Xc": "i:-1", "Xs": "i:65535", "Xf": "f:1.5", "XZ": "Z:ab", "XB": "B:s,-3,4"}
+    assert dict(bam._tags(data)) == typed and dict(bam._tags(data + b"XAAz")) == typed
+    assert dict(bam._tags(b"".join(bam._packed_tag(*t) for t in typed.items()))) == typed
+    for plain, full in (("0012", "Z:0012"), ("5", "i:5"), ("1.5", "f:1.5"), ("x", "Z:x"), ("Z:7", "Z:7"), ("H:1AE3", "H:1AE3"), ("99999999999", "Z:99999999999"), ("B:f,0.5,1.0", "B:f,0.5,1.0")):
+        assert dict(bam._tags(bam._packed_tag("Xx", plain))) == {"Xx": full}
 
 
 def test_references_of_several_files_count_once(spark, tmp_path):
@@ -298,7 +302,7 @@ def test_a_lost_file_is_a_violation(spark, tmp_path):
 def test_older_datasets_become_new_ones(spark, tmp_path):
     import zstandard
 
-    records = [(f"r{k}", 0, k % 2, 10 * k, 60, "5M", "ACGTN", "IIIII", {"NM": "0"}) for k in range(20)]
+    records = [(f"r{k}", 0, k % 2, 10 * k, 60, "5M", "ACGTN", "IIIII", {"NM": "i:0"}) for k in range(20)]
     old = tmp_path / "old"
     old.mkdir()
     (old / "a.chunk").write_bytes(chunk_files.pack(records[:8]))
