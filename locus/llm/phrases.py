@@ -13,8 +13,9 @@ phrase of two or three words is a candidate if it occurs at least ``least`` time
 2. The same for three words, of which only those enter whose two pairs have passed.
 3. Every slice of texts compiles its own phrases that have passed into an Aho-Corasick
    automaton of at most SHARD phrases (of more phrases, into several, one after the
-   other), guarded by the delimiters on either side, and scans its texts for all
-   overlapping matches; words are counted as they are.  Spark sums the slices' counts, and what reaches ``least`` is
+   other) and scans its texts for all overlapping matches.  Texts are written in symbols
+   that show where a word begins, with delimiters between pieces, so a match holds whole
+   words of one piece; words are counted as they are.  Spark sums the slices' counts, and what reaches ``least`` is
    exact: it was in the automaton of every slice that holds it.
 
 The parts of a candidate occur as often as it does, so their counts are at hand.  A cut
@@ -44,7 +45,7 @@ from locus.llm.storage import materialised, scratch
 from locus.llm.textops import LOWER, distinct_words, mix64, polynomials, slices, word_names
 
 #: Bytes of text that are counted together, phrases of one automaton.
-SLICE_BYTES, HELD, SHARD = 4 << 20, 4, 100_000
+SLICE_BYTES, HELD, SHARD = 3 << 20, 4, 100_000
 #: Bits of a filter for each counter in it, and bits of the largest filter (64 MB).
 BITS_EACH, LEAST_BITS, MAX_BITS = 32, 1 << 16, 1 << 29
 BROADCAST_ROWS = 100_000
@@ -207,13 +208,29 @@ def filter_of(found: DataFrame) -> Filter:
     return out
 
 
+def symbols(word: np.ndarray, distinct: int, last: np.ndarray) -> tuple[str, np.ndarray, int]:
+    """The texts in symbols, each word's place in them, and how many symbols a word is.
+
+    A word is its number's digits to the base 64, and each digit's place has an alphabet
+    of its own, so nothing matches from within a word; a piece ends in a delimiter that
+    no phrase has.  Few letters at every node are what makes the automaton fast.
+    """
+    digits = max(1, -(-max(distinct - 1, 1).bit_length() // 6))
+    breaks = np.cumsum(last) - last
+    place = np.arange(len(word)) * digits + breaks
+    out = np.full(len(word) * digits + int(last.sum()), 10, np.uint32)
+    for k in range(digits):
+        out[place + k] = 0x4E00 + 64 * k + (word >> 6 * (digits - 1 - k) & 63)
+    return out.tobytes().decode("utf-32-le"), place, digits
+
+
 def matches(phrases: list[str], text: str) -> np.ndarray:
-    """How often each phrase occurs in the text between delimiters, overlaps included."""
+    """How often each phrase occurs in the text, overlaps included."""
     out = np.zeros(len(phrases), np.int64)
     for at in range(0, len(phrases), SHARD):
         automaton = ahocorasick.Automaton()
         for k, phrase in enumerate(phrases[at : at + SHARD]):
-            automaton.add_word(f" {phrase} ", at + k)
+            automaton.add_word(phrase, at + k)
         automaton.make_automaton()
         out += np.bincount(np.fromiter((k for _, k in automaton.iter(text)), np.int64), minlength=len(phrases))
     return out
@@ -230,8 +247,9 @@ def phrase_counts(texts: DataFrame, pairs: Broadcast, triples: Broadcast, least:
             fine_two = pieces.two & pairs.value.holds(two)
             fine_three = fine_two & pieces.three & triples.value.holds(triples_of(two, words))
             fine_three[:-1] &= fine_two[1:]
-            found, size = [], []
+            found, size, coded = [], [], []
             one = pieces.word
+            text, place, digits = symbols(one, len(pieces.names), ~pieces.two)
             pair_at = np.flatnonzero(fine_two)
             pair = np.zeros(len(one), np.int64)
             pair[pair_at] = np.unique(one[pair_at] * len(pieces.names) + one[pair_at + 1], return_inverse=True)[1]
@@ -239,12 +257,13 @@ def phrase_counts(texts: DataFrame, pairs: Broadcast, triples: Broadcast, least:
             for n, at, number in ((2, pair_at, pair[pair_at]), (3, triple_at, pair[triple_at] * len(pieces.names) + one[triple_at + 2] if len(triple_at) else triple_at)):
                 first = at[np.unique(number, return_index=True)[1]]
                 found += [pieces.bytes[a:b].tobytes().decode() for a, b in zip(pieces.start[first].tolist(), pieces.end[first + n - 1].tolist(), strict=True)]
+                coded += [text[a : a + n * digits] for a in place[first].tolist()]
                 size += [n] * len(first)
             # Single words need no automaton: each is itself.
             words_of = mix64(pieces.names ^ seed_of(lang))
             held = np.flatnonzero(pairs.value.holds(words_of))
             singles = pieces.distinct.take(pa.array(held)).cast(pa.large_string()).to_pylist()
-            count = matches(found, pieces.bytes.tobytes().decode())
+            count = matches(coded, text)
             single = np.bincount(one, minlength=len(pieces.names))[held]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (1 + len(singles) + len(found))), pa.array(["", *singles, *found], pa.string()), pa.array([0, *[1] * len(singles), *size], pa.int32()), pa.array(np.concatenate(([len(words)], single, count)))], ["lang", "phrase", "size", "count"])
 
