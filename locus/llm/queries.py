@@ -19,7 +19,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simjoin.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simjoin.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), links=True)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,12 @@ than BLOCK points are cut: in the first search into blocks, whose middle points
 the next tree above them, in the second into the tree's largest class, whose blocks
 never meet each other, and blocks of the rest, which meet all others.  A third of all rows in one tree is therefore many tasks.
 
+How many documents each one links to is counted afterwards, on request: links lie
+inside classes, so the sets of a class meet all the others of it, by blocks of a bounded
+number of shingles, and their overlaps are products of incidence matrices.  That is the
+square of a class's distinct sets, in tasks of bounded size; copies count by their
+number and are not compared.
+
 Repeated rows belong to one class.  A null text has an empty set.  Rows with a
 null doc_id take part; they never name a class that has a document with an id.
 An empty table gives an empty result.  Extra columns are ignored.
@@ -65,6 +71,8 @@ SHINGLE_BITS = 48
 LEAF, FAN, BLOCK = 16, 8, 1024
 #: Rows of small trees that are searched together, and counts that a step holds as a matrix.
 FOREST, CELLS = 4096, 1 << 22
+#: Shingles of a block of a class whose links are counted.
+GROUP = 1 << 19
 
 
 def digest(shingles: np.ndarray, key: bytes) -> tuple[int, int]:
@@ -475,19 +483,78 @@ def mixed_trees(members: DataFrame, folder: str) -> DataFrame:
     return members.join(counted(stats), "key").select("key", "node", "class", (F.col("class") == F.col("cut.class")).alias("main"), F.col("cut.mains").alias("mains"), F.col("cut.others").alias("others"))
 
 
-def jaccard_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs; with keep, these columns too, and class: a number of its own for each class, with ids or without (null: an empty set, in no class)."""
+def link_counts(members: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """node, links: how many documents with other sets each point of a class links to; members: node, class, n, copies, name of all points.
+
+    Links lie inside classes.  The points of a class are dealt over blocks of about
+    GROUP shingles, and each two blocks meet in one group, whose texts are compared all
+    with all: the overlaps of a group are a product of incidence matrices.  A class
+    that is one block is one group.
+    """
+    sized = members.groupBy("class").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")).where("points > 1")
+    blocks = F.ceil(F.col("shingles") / GROUP).cast("int")
+    placed = materialised(members.join(sized.select("class", blocks.alias("blocks")), "class").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), folder)
+    named = counted(materialised(placed.select("node", F.col("name.a").alias("name_a"), F.col("name.b").alias("name_b")), folder))
+    rows = docs.select("text", row_name().alias("name")).select("text", F.col("name.a").alias("name_a"), F.col("name.b").alias("name_b"))
+    texts = materialised(rows.join(named, ["name_a", "name_b"]).dropDuplicates(["node"]).select("node", "text"), folder)
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("class", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "copies")
+    groups = met.join(texts, "node").select("class", "low", "high", "own", "node", "copies", "text").repartition("class", "low", "high").sortWithinPartitions("class", "low", "high")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, 3):
+            group = numbered(*(batch.column(k).to_numpy() for k in range(3)))
+            own, node, copies = (batch.column(k).to_numpy() for k in (3, 4, 5))
+            inner = batch.column(1).to_numpy() == batch.column(2).to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+            found = np.zeros(len(node), np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                sets = exact_shingle_sets(Words(batch.column(6).slice(a, b - a).cast(pa.large_string())))
+                n = np.array([len(x) for x in sets])
+                both = overlaps(sets)
+                linked = 100 * both >= 75 * (n[:, None] + n[None] - both)
+                np.fill_diagonal(linked, False)
+                if not inner[a]:
+                    linked &= own[a:b, None] != own[None, a:b]
+                found[a:b] = linked @ copies[a:b]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(found)], ["node", "links"])
+
+    return groups.mapInArrow(searched, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of some sets of numbers."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, times = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True, return_counts=True)
+    # What only one set has is in no intersection.
+    common = times > 1
+    name = np.cumsum(common) - 1
+    keep = common[number]
+    owner, number = owner[keep], name[number[keep]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = max(64, (1 << 22) // max(1, len(sets)))
+    for at in range(0, int(common.sum()), width):
+        low, high = np.searchsorted(number, (at, at + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[low:high], number[low:high] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def jaccard_classes(docs: DataFrame, keep: tuple[str, ...] = (), links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; with links, n_links: how many other rows of docs it links to, copies included; with keep, these columns too, and class: a number of its own for each class, with ids or without (null: an empty set, in no class)."""
     with scratch(docs.sparkSession) as folder:
-        return materialised(_classes(docs, keep, folder))
+        return materialised(_classes(docs, keep, links, folder))
 
 
-def _classes(docs: DataFrame, keep: tuple[str, ...], folder: str) -> DataFrame:
+def _classes(docs: DataFrame, keep: tuple[str, ...], links_too: bool, folder: str) -> DataFrame:
     while True:
         key = secrets.token_bytes(32)
         rows = materialised(sketches(docs, key, keep), folder)
         named = rows.where("kind = 0 and n > 0")
         points = materialised(
-            named.groupBy("node").agg(F.min("doc_id").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.min("row_name").alias("name"), (F.max("check") != F.min("check")).alias("clash")), folder
+            named.groupBy("node").agg(F.min("doc_id").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.min("row_name").alias("name"), (F.max("check") != F.min("check")).alias("clash"), F.count("*").alias("copies")), folder
         )
         if not points.where("clash").limit(1).count():
             break
@@ -501,10 +568,14 @@ def _classes(docs: DataFrame, keep: tuple[str, ...], folder: str) -> DataFrame:
     links = links.unionByName(materialised(verified(pairs, texts_of(pairs, points, docs, folder)), folder))
     whole = points.select("node", "row").join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = whole.groupBy("class").agg(F.min("row").alias("component_id"))
-    named_by = whole.join(least, "class").select("node", "component_id", *(["class"] if keep else []))
+    named_by = whole.join(least, "class").select("node", "component_id", "class")
+    if links_too:
+        members = materialised(whole.join(points.select("node", "n", "copies", "name"), "node").select("node", "class", "n", "copies", "name"), folder)
+        every = members.select("node", "copies").join(link_counts(members, docs, folder), "node", "left")
+        named_by = named_by.join(every.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "node")
     return (
         rows.where("kind = 0")
         .withColumn("node", F.when(F.col("n") > 0, F.col("node")))
         .join(named_by, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *((*keep, "class") if keep else ()))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if links_too else []), *((*keep, "class") if keep else ()))
     )
