@@ -33,37 +33,52 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def _sums_before(lengths: str) -> Column:
+    """The sums of all numbers before each of an array: sums of runs, and within a run, so that long arrays cost no square."""
+    n = F.size(lengths)
+    run = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s + x)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / run).cast("int")), lambda k: total(F.slice(lengths, k * run + 1, run)))
+    before = F.transform(runs, lambda _, k: total(F.slice(runs, F.lit(1), k)))
+    return F.transform(lengths, lambda _, k: F.get(before, F.floor(k / run).cast("int")) + total(F.slice(lengths, F.floor(k / run).cast("int") * run + 1, k % run)))
+
+
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, segments: the formatted text in pieces, each with its place under the loss mask."""
+    """conv_id, formatted, mask: the formatted text, and the code points of it that count for the loss: (block, start, end), ends exclusive, of each text of the loss role, as it stands there, in order."""
     rows = turns.select(
         "conv_id",
         F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
     talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    def pieces(t: Column, i: Column) -> Column:
-        before = F.get("turns", i - 1)["role"]
-        opening = F.concat(F.lit(HEAD), escape(t["role"]), F.lit(COLON))
-        lead = (
-            F.when(i == 0, opening)
-            .when(before == t["role"], F.lit(JOIN))
-            .otherwise(F.concat(F.lit(CLOSE + "\n"), opening))
-        )
-        return F.array(
-            F.struct(lead.alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(t["text"]).alias("text"), (t["role"] == loss_role).alias("loss")),
-        )
-
-    end = F.array(F.struct(F.lit(CLOSE + "\n").alias("text"), F.lit(False).alias("loss")))
-    return talks.select("conv_id", F.concat(F.flatten(F.transform("turns", pieces)), end).alias("segments")).select(
-        "conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments"
-    )
+    # Adjacent turns of one role become one block: an array of their texts.
+    role_of = lambda i: F.get("turns", i)["role"]
+    begins = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role_of(i - 1) != role_of(i)))
+    merged = F.transform(
+        "begins",
+        lambda first, k: F.struct(
+            escape(role_of(first)).alias("role"), (role_of(first) == loss_role).alias("loss"),
+            F.transform(F.slice("turns", first + 1, F.coalesce(F.get("begins", k + 1), F.size("turns")) - first), lambda t: escape(t["text"])).alias("texts"),
+        ),
+    )
+    blocks = talks.withColumn("begins", begins).select("conv_id", merged.alias("blocks"))
+    written = blocks.select("conv_id", "blocks", F.transform("blocks", lambda b: F.concat(F.lit(HEAD), b["role"], F.lit(COLON), F.array_join(b["texts"], JOIN), F.lit(CLOSE + "\n"))).alias("parts"))
+    placed = written.withColumn("sizes", F.transform("parts", lambda p: F.length(p).cast("long"))).withColumn("at", _sums_before("sizes"))
+
+    def spans(block: Column, k: Column) -> Column:
+        # Where the texts of a block stand in it, one after the other.
+        start = F.get("at", k) + len(HEAD) + F.length(block["role"]) + len(COLON)
+        lengths = F.transform(block["texts"], lambda t: F.length(t).cast("long") + len(JOIN))
+        each = F.transform(lengths, lambda n, i: F.struct(k.cast("int").alias("block"), (start + F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x)).alias("start"), n.alias("n")))
+        return F.when(block["loss"], F.transform(each, lambda e: F.struct(e["block"].alias("block"), e["start"].alias("start"), (e["start"] + e["n"] - len(JOIN)).alias("end")))).otherwise(F.array().cast("array<struct<block:int,start:bigint,end:bigint>>"))
+
+    return placed.select("conv_id", F.array_join("parts", "").alias("formatted"), F.flatten(F.transform("blocks", spans)).alias("mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (array of role and text, as they were), loss_text (all text under the mask, unescaped), formatted_chars."""
+    """conv_id, turns (array of role and text, as they were), loss_text (what stands under the mask in formatted, unescaped), formatted_chars; all of it cut out of the formatted text."""
     blocks = F.split("formatted", CLOSE + "\n")
-    blocks = F.slice(blocks, 1, F.size(blocks) - 1)
+    given = formatted.select("conv_id", "formatted", "mask", F.slice(blocks, 1, F.size(blocks) - 1).alias("blocks"))
+    given = given.withColumn("sizes", F.transform("blocks", lambda b: F.length(b).cast("long") + len(CLOSE) + 1)).withColumn("at", _sums_before("sizes"))
 
     def parsed(block: Column) -> Column:
         head = F.substring_index(block, COLON, 1)
@@ -71,10 +86,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
         body = F.substr(block, F.length(head) + len(COLON) + 1)
         return F.transform(F.split(body, "<[+]>"), lambda text: F.struct(role.alias("role"), unescape(text).alias("text")))
 
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
-    return formatted.select(
+    # A span is cut from its own block, which is short; its place there is its place in the text less the block's.
+    loss = F.transform("mask", lambda m: unescape(F.substr(F.get("blocks", m["block"]), (m["start"] - F.get("at", m["block"]) + 1).cast("int"), (m["end"] - m["start"]).cast("int"))))
+    return given.select(
         "conv_id",
-        F.flatten(F.transform(blocks, parsed)).alias("turns"),
+        F.flatten(F.transform("blocks", parsed)).alias("turns"),
         F.array_join(loss, "").alias("loss_text"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
