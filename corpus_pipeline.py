@@ -9,19 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locus.llm import decontaminate, pieces, pii, quality, simjoin, vocabulary
-from locus.llm.storage import shared_dir
+from locus.sources.shared import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs without columns of those names (in any letter case), which a stage's operator uses for itself: they go under other names, and what is returned puts them back."""
+    taken, other = {n.lower() for n in names}, {}
+    for c in docs.columns:
+        if c.lower() in taken:
+            other[c] = f"{c}_{uuid.uuid4().hex}"
+    columns = docs.columns
+    return docs.withColumnsRenamed(other), lambda out: out.withColumnsRenamed({v: k for k, v in other.items()}).select(*columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; columns named like its results keep their own values."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    docs, back = aside(docs, "score", "predicted")
+    return back(quality.score(docs, model).where("predicted = 1").drop("score", "predicted"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays, that with the smallest id (without ids, or of several with that id: with the smallest text hash); texts without words are in no group and go only as repeated rows."""
+    docs, back = aside(docs, "text_key", "first_id", "first_key")
     text_key = F.xxhash64("text")
     classes = simjoin.jaccard_classes(docs.select("doc_id", "text", text_key.alias("text_key")), keep=("text_key",))
     # A row is known by its id and its text's hash: an id may name rows of several classes, or be missing.
@@ -30,7 +42,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = firsts.select(F.col("doc_id").alias("first_id"), "first_key")
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key == F.col("first_key")), "left_semi")
     # Ids that name several rows are rare; only then are whole rows compared.
-    return kept.dropDuplicates(["doc_id", "text"]) if firsts.where("count > 1").limit(1).count() else kept
+    return back(kept.dropDuplicates(["doc_id", "text"]) if firsts.where("count > 1").limit(1).count() else kept)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +57,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, and whether they decode to its text; a column of the corpus named like one of these results is returned as source_<name>."""
+    results = ("ids", "n_tokens", "round_trip", "text_sha256")
+    docs = docs.withColumnsRenamed({c: f"source_{c}" for c in docs.columns if c.lower() in results})
     decoded = pieces.there_and_back(docs.withColumn("text_sha256", F.sha2("text", 256)), vocabulary.load())
     exact = F.sha2("text", 256).eqNullSafe(F.col("text_sha256"))
     return decoded.select(*(c for c in docs.columns if c != "text"), "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), exact.alias("round_trip"))
