@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locus.llm.storage import checkpointed
+from locus.sources.shared import checkpointed
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locus.llm.storage import materialised
+from locus.sources.shared import materialised
 
 LARGE, CRATES, BUCKET_ROWS = 512, 1024, 50_000
 
