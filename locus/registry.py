@@ -825,12 +825,13 @@ def multi_sample(spark, d):
     return whole.groupBy("sample_id", "reference").agg(F.count("*").alias("reads"))
 
 
-@query(READS + " SELECT source, target, CAST(n AS BIGINT) AS reads, true AS done FROM (SELECT count(*) AS n FROM reads), (VALUES ('a', 'x'), ('a', 'y'), ('a', 'x')) v(source, target)")
+@query(READS + " SELECT source, target, CAST(n AS BIGINT) AS reads, written, true AS done FROM (SELECT count(*) AS n FROM reads), (VALUES ('a', 'x', true), ('a', 'y', true), ('a', 'x', false), ('a', 'x', true), ('a', 'y', true)) v(source, target, written)")
 def batch_migration(spark, d):
+    """A list of jobs: two new targets, one that is there already, and both again at another width or codec."""
     path, x, y = _stored(spark, d), _folder(spark), _folder(spark)
     names = F.create_map(*(F.lit(v) for pair in ((path, "a"), (x, "x"), (y, "y")) for v in pair))
-    done = dataset.migrate(spark, [(path, x, 512, "zstd"), (path, y, 1024, "snappy"), (path, x, 512, "zstd")])
-    return done.select(names[F.col("source")].alias("source"), names[F.col("target")].alias("target"), F.col("after").alias("reads"), "done")
+    jobs = [(path, x, 512, "zstd"), (path, y, 1024, "snappy"), (path, x, 512, "zstd"), (path, x, 1024, "zstd"), (path, y, 1024, "zstd")]
+    return dataset.migrate(spark, jobs).select(names[F.col("source")].alias("source"), names[F.col("target")].alias("target"), F.col("after").alias("reads"), "written", "done")
 
 
 @query(READS + """, c AS (SELECT CASE WHEN reference_id >= 0 THEN reference ELSE 'unmapped' END AS reference, chunk_start, count(*) AS n FROM reads GROUP BY ALL)

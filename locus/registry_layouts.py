@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from locus import proxies as P
 from locus.functions import codecs
-from locus.operators import intervals
+from locus.operators import agreement, alleles, intervals, patterns
 from locus.operators.regions import Region
 from locus.registry import CALLS, EVENTS, READS, SIZE, TIES, _folder, query
 from locus.plans import sketches
-from locus.sources import adaptive, bam, bam_index, snapshots, text_formats, variant_store
+from locus.sources import adaptive, bam, bam_index, clusters, snapshots, text_formats, variant_store, zorder
 from locus.streaming import frontier
 
 # The frontier as a stream
@@ -237,3 +237,102 @@ def grouping_sets(spark, d):
     rows = P.reads(spark, d).withColumn("lane", F.col("l_suppkey") % 4)
     out = sketches.rolled_up(rows, [["reference"], ["lane"], ["reference", "lane"], []], ["position"])
     return out.select("reference", "lane", "grouped", "rows", "position_distinct")
+
+
+# Patterns of several steps, agreement of many raters
+
+
+@query(EVENTS + """, o AS (SELECT *, row_number() OVER (PARTITION BY participant ORDER BY t, id) AS n FROM e),
+    nx AS (SELECT participant, n, id, t, code, min(CASE WHEN code IN ('click', 'error') THEN n END) OVER w AS to_click, min(CASE WHEN code IN ('purchase', 'error') THEN n END) OVER w AS to_purchase FROM o WINDOW w AS (PARTITION BY participant ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+    SELECT a.participant, a.id AS start_id, c.id AS end_id, a.t AS start, c.t AS "end", CAST(3 AS BIGINT) AS events FROM nx a JOIN nx b ON b.participant = a.participant AND b.n = a.to_click JOIN nx c ON c.participant = a.participant AND c.n = b.to_purchase
+    WHERE a.code = 'view' AND b.code = 'click' AND c.code = 'purchase' AND b.t - a.t <= 86400 AND c.t - b.t <= 86400""")
+def three_step_pattern(spark, d):
+    """View, then click, then purchase, each within a day and without an error between."""
+    steps = [patterns.Step("view"), patterns.Step("click"), patterns.Step("purchase")]
+    return patterns.match(P.annotations(spark, d), steps, 86400, forbidden=("error",))
+
+
+@query(EVENTS + """, o AS (SELECT *, row_number() OVER (PARTITION BY participant ORDER BY t, id) AS n FROM e),
+    nx AS (SELECT participant, n, id, t, code, min(CASE WHEN code IN ('view', 'purchase') THEN n END) OVER w AS nxt FROM o WINDOW w AS (PARTITION BY participant ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+    , r AS (SELECT * FROM (WITH RECURSIVE walk(participant, start_id, start, n, id, t, code, events, nxt) AS (
+        SELECT participant, id, t, n, id, t, code, CAST(1 AS BIGINT), nxt FROM nx WHERE code = 'view'
+        UNION ALL SELECT w.participant, w.start_id, w.start, x.n, x.id, x.t, x.code, w.events + 1, x.nxt FROM walk w JOIN nx x ON x.participant = w.participant AND x.n = w.nxt WHERE w.code = 'view' AND x.t - w.t <= 43200) SELECT * FROM walk))
+    SELECT participant, start_id, id AS end_id, start, t AS "end", events FROM r WHERE code = 'purchase'""")
+def repeated_step_pattern(spark, d):
+    """Views, as many as follow one another within half a day, and then a purchase."""
+    return patterns.match(P.annotations(spark, d), [patterns.Step("view", repeat=True), patterns.Step("purchase")], 43200)
+
+
+@query("""WITH r AS (SELECT l_partkey AS unit, l_linenumber AS rater, l_quantity::INT % 4 AS value FROM lineitem WHERE l_suppkey % 7 <> 0),
+    c AS (SELECT unit, value, count(*) AS n FROM r GROUP BY ALL), u AS (SELECT unit, sum(n) AS m FROM c GROUP BY unit HAVING sum(n) > 1),
+    p AS (SELECT x.value AS a, y.value AS b, sum(CASE WHEN x.value = y.value THEN x.n * (x.n - 1) ELSE x.n * y.n END / (m - 1)::DOUBLE) AS w FROM c x JOIN c y USING (unit) JOIN u USING (unit) GROUP BY ALL),
+    t AS (SELECT a, sum(w) AS n FROM p GROUP BY a), s AS (SELECT sum(n) AS n FROM t)
+    SELECT round((SELECT n FROM s), 3) AS pairable, round(1 - (SELECT sum(w) FROM p WHERE a <> b) / (SELECT n FROM s) / ((SELECT sum(x.n * y.n) FROM t x, t y WHERE x.a <> y.a) / ((SELECT n FROM s) * ((SELECT n FROM s) - 1))), 9) AS alpha""")
+def raters_alpha(spark, d):
+    """Line numbers as raters of parts, some ratings missing."""
+    lines = P.table(spark, d, "lineitem").where("l_suppkey % 7 <> 0")
+    ratings = lines.select(F.col("l_partkey").alias("unit"), (F.col("l_quantity").cast("int") % 4).alias("value"))
+    return agreement.alpha(ratings).select(F.round("pairable", 3).alias("pairable"), F.round("alpha", 9).alias("alpha"))
+
+
+# Points along a Z-order curve
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice FROM lineitem WHERE l_partkey >= 40 AND l_partkey < 90 AND l_extendedprice >= 20000 AND l_extendedprice < 40000")
+def zorder_box(spark, d):
+    path = _folder(spark)
+    points = P.table(spark, d, "lineitem").select(*TIES, "l_partkey", "l_extendedprice", "l_quantity")
+    top = points.agg(F.max("l_partkey"), F.max("l_extendedprice"), F.max("l_quantity")).first()
+    zorder.write(points, path, {c: (0, float(t or 1) + 1) for c, t in zip(("l_partkey", "l_extendedprice", "l_quantity"), top)}, bits=10)
+    return zorder.in_box(spark, path, l_partkey=(40, 90), l_extendedprice=(20_000, 40_000)).drop("l_quantity")
+
+
+# Vectors by cluster
+
+
+@query("""WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE embedding IS NOT NULL),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS squared FROM q a JOIN q b ON a.vec_id % 50 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY squared, vec_id)::INT AS rank, vec_id, squared FROM s QUALIFY rank <= 5""")
+def cluster_search(spark, d):
+    """The nearest vectors of some, exactly, by way of the clusters that can hold them."""
+    path = _folder(spark)
+    vectors = P.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double")).alias("embedding"))
+    clusters.write(vectors, path, 16, rounds=4)
+    found = clusters.search(spark, path, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 5, 3, exact=True)
+    return found.select("query_id", "rank", "vec_id", F.round(F.col("distance") * F.col("distance")).cast("long").alias("squared"))
+
+
+# Alleles in one form
+
+
+_SITES = """WITH s AS (SELECT p_partkey AS id, 10 + p_partkey * 20 AS pl, p_size % 4 AS kind FROM part)"""
+#: The reference sequence of the next queries: "GATTTTTTCA" over and over, so an indel of T may be written in six places.
+
+
+@query(_SITES + """ SELECT id, CASE kind WHEN 0 THEN pl + 1 WHEN 1 THEN pl + 1 WHEN 2 THEN pl + 2 ELSE pl END AS position, CASE kind WHEN 0 THEN 'AT' WHEN 1 THEN 'A' WHEN 2 THEN 'T' ELSE 'G' END AS ref, CASE kind WHEN 0 THEN 'A' WHEN 1 THEN 'AT' WHEN 2 THEN 'C' ELSE 'A' END AS alt FROM s""")
+def normal_alleles(spark, d):
+    """Deleted and inserted bases of a run, written at its right end or in its middle, and padded substitutions, in normal form."""
+    parts = P.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 20 + 10).cast("long").alias("at"), (F.col("p_size") % 4).alias("kind"))
+    offset = F.when(F.col("kind") == 0, 4 + F.col("id") % 3).when(F.col("kind") == 1, 3 + F.col("id") % 4).when(F.col("kind") == 2, 1).otherwise(0)
+    ref = F.when(F.col("kind") == 0, "TT").when(F.col("kind") == 1, "T").when(F.col("kind") == 2, "ATT").otherwise("GAT")
+    alt = F.when(F.col("kind") == 0, "T").when(F.col("kind") == 1, "TT").when(F.col("kind") == 2, "ACT").otherwise("AAT")
+    sites = parts.select("id", F.lit("c").alias("reference"), (F.col("at") + offset).alias("position"), ref.alias("ref"), alt.alias("alt"))
+    top = parts.agg(F.max("at")).first()[0] or 0
+    sequence = spark.range(-(-(top + 30) // 40)).select(F.lit("c").alias("reference"), F.col("id").cast("int").alias("chunk"), F.lit("GATTTTTTCA" * 4).alias("bases"))
+    return alleles.normalised(sites, sequence, 40).select("id", "position", "ref", "alt")
+
+
+_MERGED = CALLS + """, b AS (SELECT position, sample, max(dosage) FILTER (sample % 2 = 0) AS g, max(dosage) FILTER (sample % 2 = 1) AS t FROM calls WHERE dosage <> 0 AND sample BETWEEN 1 AND 4 GROUP BY ALL),
+    a AS (SELECT position, max(g) AS g, max(t) AS t FROM b GROUP BY position), l AS (SELECT position, CASE WHEN t IS NOT NULL THEN 'CAA' ELSE 'C' END AS ref, CASE WHEN t IS NULL THEN 'G' WHEN g IS NULL THEN 'C' ELSE 'C,GAA' END AS alts, g IS NOT NULL AND t IS NOT NULL AS two FROM a),
+    w AS (SELECT position, s, coalesce(max(CASE WHEN sample = s THEN CASE WHEN g IS NOT NULL THEN ['0/1', '1/1'][g] ELSE ['0/1', '1/1'][t] END END), '0/0') AS gt, bool_or(sample = s AND g IS NOT NULL) AS is_g FROM b, range(1, 5) r(s) GROUP BY ALL)
+    SELECT 'ref' || position % 3 || chr(9) || concat_ws(chr(9), position + 1, '.', ref, alts, '.', 'PASS', '.', 'GT', (SELECT string_agg(CASE WHEN two AND is_g THEN replace(gt, '1', '2') ELSE gt END, chr(9) ORDER BY s) FROM w WHERE w.position = l.position)) AS value FROM l"""
+
+
+@query(_MERGED)
+def vcf_alleles(spark, d):
+    """Calls of two sets of samples, of a substitution and of a deletion at the same places, merged into sites of several alternatives and written with their own references and alleles."""
+    calls = P.calls(spark, d).where("dosage <> 0 and sample between 1 and 4").groupBy("position", "sample").agg(F.max("dosage").alias("dosage"))
+    even = F.col("sample") % 2 == 0
+    genotype = F.when(F.col("dosage") == 1, "0/1").otherwise("1/1")
+    rows = calls.select(F.concat(F.lit("ref"), (F.col("position") % 3).cast("string")).alias("reference"), "position", F.when(even, "C").otherwise("CAA").alias("ref"), F.when(even, "G").otherwise("C").alias("alt"), F.col("sample").cast("string").alias("sample"), genotype.alias("genotype"))
+    return alleles.vcf_lines(alleles.merge(rows), ["1", "2", "3", "4"]).select("value")

@@ -20,8 +20,8 @@ from locus.operators import intervals
 from locus.operators.regions import Region
 from locus.sources.shared import materialised, scratch
 
-#: Ranges that one pass makes of one, the sketches' size, and chunks of a region that become a literal list.
-FAN, SKETCH, LISTED = 64, 4000, 10_000
+#: Ranges that one pass makes of one at most, ranks that a sketch is asked for, the sketches' size, and chunks of a region that become a literal list.
+FAN, GRID, SKETCH, LISTED = 32, 320, 4000, 10_000
 
 
 def chunk_map(rows: DataFrame, target: int) -> DataFrame:
@@ -34,22 +34,24 @@ def _chunk_map(rows: DataFrame, target: int, folder: str) -> DataFrame:
     places = materialised(rows.where("reference is not null and position is not null").select("reference", F.col("position").cast("long").alias("position")), folder)
     least, most = -(1 << 62), 1 << 62
     ranges = materialised(places.groupBy("reference").agg(F.count("*").alias("rows")).select("reference", F.lit(least).alias("start"), F.lit(most).alias("end"), "rows"), folder)
-    done = ranges.where(F.col("rows") <= target)
-    full = ranges.where(F.col("rows") > target)
+    done = ranges.where(F.col("rows") < 1.5 * target)
+    full = ranges.where(F.col("rows") >= 1.5 * target)
     while full.limit(1).count():
         inside = of_ranges(places, full)
         sketched = inside.groupBy("reference", "start", "end").agg(F.kll_sketch_agg_bigint("position", SKETCH).alias("sketch"), F.count("*").alias("rows"), F.min("position").alias("lowest"), F.max("position").alias("highest"))
-        n = F.least(F.ceil(F.col("rows") / target), F.lit(FAN)).cast("int")
-        ranks = F.transform(F.sequence(F.lit(1), n - 1), lambda k: k / n)
-        # Each rank's place begins a range; places that are one, or the range's first, begin none.
-        cuts = F.transform(ranks, lambda r: F.kll_sketch_get_quantile_bigint("sketch", r) + 1)
+        # Parts such that each is then a whole number of targets, as nearly as can be.
+        whole = F.round(F.col("rows") / target)
+        n = F.ceil(whole / F.ceil(whole / FAN)).cast("int")
+        # The sketch is asked for places at fixed even ranks (Spark wants them constant); those nearest to a range's own ranks are its cuts.
+        places_at = F.kll_sketch_get_quantile_bigint("sketch", F.array(*(F.lit(k / GRID) for k in range(1, GRID))))
+        cuts = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.element_at(places_at, F.round(k * GRID / n).cast("int")) + 1)
         starts = F.array_sort(F.array_distinct(F.concat(F.array("start"), F.filter(cuts, lambda c: (c > F.col("lowest")) & (c <= F.col("highest"))))))
         ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array("end"))
         split = sketched.select("reference", F.size(starts).alias("parts"), F.explode(F.arrays_zip(starts.alias("start"), ends.alias("end"))).alias("r"))
         split = materialised(split.select("reference", F.col("r.start").alias("start"), F.col("r.end").alias("end"), "parts"), folder)
         counted = materialised(of_ranges(places, split).groupBy("reference", "start", "end", "parts").agg(F.count("*").alias("rows")), folder)
         # What one place fills by itself cannot be split again.
-        more = (F.col("rows") > 2 * target) & (F.col("parts") > 1)
+        more = (F.col("rows") >= 1.5 * target) & (F.col("parts") > 1)
         done = done.unionByName(counted.where(~more).drop("parts"))
         full = counted.where(more).drop("parts")
     return done

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from locus.operators import regions
 from locus.operators.regions import Region
 from locus.plans import manifest as plan
+from locus.sources import shared
 from locus.sources.chunk_files import read_any
 
 UNMAPPED = "unmapped"
@@ -34,7 +36,7 @@ def write(rows: DataFrame, path: str, size: int, codec: str = "zstd", mode: str
     columns = sorted(c for c in rows.columns if c not in ("chunk_start", "reference", "batch") and not isinstance(rows.schema[c].dataType, (MapType, ArrayType, StructType)))
     # Read back from the batch's own folder: no other file is listed.
     stored = _typed(rows.sparkSession.read.parquet(f"{path}/data/batch={batch}"))
-    entries = plan.build_part(with_ids(stored), size, columns).withColumns({"chunk_size": F.lit(size), "version": F.lit(FORMAT_VERSION), "columns": F.lit(",".join(columns))})
+    entries = plan.build_part(with_ids(stored), size, columns).withColumns({"chunk_size": F.lit(size), "version": F.lit(FORMAT_VERSION), "columns": F.lit(",".join(columns)), "codec": F.lit(codec)})
     _put(entries.coalesce(1), f"{path}/manifest", mode, batch, [])
 
 
@@ -114,25 +116,47 @@ def upgrade(spark: SparkSession, chunk_files_path: str, references: DataFrame, t
     write(rows, target, size)
 
 
-def migrate(spark: SparkSession, jobs: list[tuple[str, str, int, str]]) -> DataFrame:
-    """Each (source, target, chunk size, codec) rechunked in turn; source, target, reads before and after, done (a target that already holds as many reads is left alone, so a broken run can be run again)."""
+def migrate(spark: SparkSession, jobs: list[tuple[str, str, int, str]], dry_run: bool = False) -> DataFrame:
+    """Each (source, target, chunk size, codec) rechunked in turn: source, target, reads before and after, written (whether this run wrote it), done.
+
+    A target that already holds the same rows (by number and sums of digests) at that
+    width and under that codec is left alone, so a broken run can be run again; any
+    other is written beside itself and takes the old one's place when it is whole.
+    With dry_run nothing is written: written tells what would be, reads after what is there.
+    """
     report = []
     for source, target, size, codec in jobs:
-        before = read_manifest(spark, source).agg(F.sum("reads")).first()[0] or 0
-        after = _reads_if_any(spark, target)
-        if after != before:
-            rechunk(spark, source, target, size, codec)
-            after = _reads_if_any(spark, target)
-        report.append((source, target, before, after, before == after))
-    return spark.createDataFrame(report, "source string, target string, before long, after long, done boolean")
-
-
-def _reads_if_any(spark: SparkSession, path: str) -> int | None:
-    """The reads of the dataset at path, None if there is none yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        before, after = _identity(spark, source), _identity(spark, target)
+        written = after is None or (after.rows, after.size, after.codec) != (before.rows, size, codec)
+        if written and not dry_run:
+            draft = f"{target.rstrip('/')}-{uuid.uuid4().hex}"
+            rechunk(spark, source, draft, size, codec)
+            if _identity(spark, draft).rows != before.rows:
+                raise ValueError(f"the rows of {source} and of what was made of them differ")
+            shared.replace(spark, draft, target)
+            after = _identity(spark, target)
+        done = after is not None and (after.rows, after.size, after.codec) == (before.rows, size, codec)
+        report.append((source, target, before.reads, None if after is None else after.reads, written, done))
+    return spark.createDataFrame(report, "source string, target string, before long, after long, written boolean, done boolean")
+
+
+class _Identity(NamedTuple):
+    """What a dataset holds: number and digests of its rows, whatever chunks they are in; its chunk width and codec."""
+
+    reads: int
+    rows: tuple
+    size: int | None
+    codec: str | None
+
+
+def _identity(spark: SparkSession, path: str) -> _Identity | None:
+    """Read from the manifest; None if there is no dataset yet."""
+    if not shared.exists(spark, f"{path}/manifest"):
         return None
-    return read_manifest(spark, path).agg(F.sum("reads")).first()[0] or 0
+    parts = spark.read.parquet(f"{path}/manifest")
+    codec = F.col("codec") if "codec" in parts.columns else F.lit(None).cast("string")
+    one = parts.agg(F.sum("reads"), F.bit_xor("hash_xor"), F.sum("hash_sum"), F.min("chunk_size"), F.max("chunk_size"), F.min(codec), F.max(codec)).first()
+    return _Identity(one[0] or 0, tuple(one[:3]), one[3] if one[3] == one[4] else None, one[5] if one[5] == one[6] else None)
 
 
 def violations(spark: SparkSession, path: str) -> DataFrame:

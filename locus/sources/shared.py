@@ -67,3 +67,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     system, name = _file_system(spark, path)
     system.delete(name, True)
+
+
+def replace(spark: SparkSession, draft: str, target: str) -> None:
+    """draft under the name target; what was there goes once the draft is whole."""
+    system, name = _file_system(spark, target)
+    if system.exists(name):
+        system.delete(name, True)
+    system.mkdirs(name.getParent())
+    if not system.rename(_file_system(spark, draft)[1], name):
+        raise OSError(f"{draft} cannot be renamed to {target}")
