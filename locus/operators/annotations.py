@@ -12,9 +12,8 @@ def segments(events: DataFrame, width: int) -> DataFrame:
 
 
 def code_index(events: DataFrame, width: int) -> DataFrame:
-    """code, events, segments (distinct ones, ascending, comma-joined)."""
-    found = F.array_sort(F.collect_set(F.expr(f"t div {width}")))
-    return events.groupBy("code").agg(F.count("*").alias("events"), F.array_join(found, ",").alias("segments"))
+    """code, segment, events, first_t, last_t: a row for each segment that a code occurs in."""
+    return events.groupBy("code", F.expr(f"t div {width}").alias("segment")).agg(F.count("*").alias("events"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
 def speaker_index(turns: DataFrame) -> DataFrame:
@@ -23,11 +22,18 @@ def speaker_index(turns: DataFrame) -> DataFrame:
 
 
 def speaker_times(utterances: DataFrame, width: int) -> DataFrame:
-    """speaker, utterances, seconds (their total duration), segments (distinct ones that they touch, ascending, comma-joined); utterances: speaker, start, end, in seconds, ends exclusive."""
+    """speaker, segment, utterances, seconds: a row for each segment that a speaker speaks in, and the seconds of it that are theirs; utterances: speaker, start, end, in seconds, ends exclusive."""
     touched = F.sequence(F.expr(f"start div {width}"), F.greatest(F.expr(f"(end - 1) div {width}"), F.expr(f"start div {width}")))
-    spoken = utterances.groupBy("speaker").agg(F.count("*").alias("utterances"), F.sum(F.col("end") - F.col("start")).alias("seconds"))
-    segments = utterances.select("speaker", F.explode(touched).alias("segment")).distinct().groupBy("speaker").agg(F.array_join(F.array_sort(F.collect_list("segment")), ",").alias("segments"))
-    return spoken.join(segments, "speaker")
+    parts = utterances.select("speaker", "start", "end", F.explode(touched).alias("segment"))
+    inside = F.least("end", F.col("segment") * width + width) - F.greatest("start", F.col("segment") * width)
+    return parts.groupBy("speaker", "segment").agg(F.count("*").alias("utterances"), F.sum(inside).alias("seconds"))
+
+
+def clip(events: DataFrame, at: str, start: int, seconds: int) -> DataFrame:
+    """Events whose timestamp column lies within seconds of start (seconds since the epoch): literal bounds in the column's own type, which reach the scan."""
+    kind = events.schema[at].dataType
+    bound = [F.timestamp_seconds(F.lit(s)).cast(kind) for s in (start, start + seconds)]
+    return events.where((F.col(at) >= bound[0]) & (F.col(at) < bound[1]))
 
 
 def of_tier(events: DataFrame, tier: str, code: str) -> DataFrame:

@@ -47,3 +47,11 @@ def equal_count_chunks(rows: DataFrame, chunks: int, *ties: str) -> DataFrame:
     total = rows.groupBy("reference").agg(F.count("*").alias("_total"))
     chunk = F.expr(f"(_place - 1) * {chunks} div _total")
     return place.join(total, "reference").groupBy("reference", chunk.alias("chunk")).agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("reads"))
+
+
+def export_places(chunks: DataFrame) -> DataFrame:
+    """chunks (reference, chunk_start, ...) with place: from 1, references by name, then by start.  Places are counted inside a reference and shifted by the chunks of the references before, a row each."""
+    counts = chunks.groupBy("reference").agg(F.count("*").alias("_n")).withColumn("_all", F.lit(1))
+    before = counts.select("reference", (F.sum("_n").over(Window.partitionBy("_all").orderBy("reference")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("reference").orderBy("chunk_start"))
+    return chunks.withColumn("_row", inside).join(before, "reference").withColumn("place", (F.col("_row") + F.col("_before")).cast("long")).drop("_row", "_before")

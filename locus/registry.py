@@ -273,16 +273,18 @@ def coordinate_sort(spark, d):
 
 @query(READS + " SELECT reference_id, reference, position, l_orderkey, l_linenumber, l_suppkey FROM reads")
 def kway_merge(spark, d):
+    """Runs that come as they are, and are sorted once, together."""
     rows = P.reads(spark, d).select("reference_id", "reference", "position", "l_orderkey", "l_linenumber", "l_suppkey")
-    runs = [ordering.coordinate_sort(rows.where(F.col("l_orderkey") % 3 == k), *TIES) for k in range(3)]
+    runs = [rows.where(F.col("l_orderkey") % 3 == k) for k in range(3)]
     return ordering.merge_sorted(*runs, by=["reference_id", "position", *TIES])
 
 
-@query(READS + " SELECT reference_id, reference, position, l_orderkey, l_linenumber FROM reads")
+@query(READS + " SELECT reference, position, count(*) AS reads, CAST(sum(row_number) AS BIGINT) AS places FROM (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY position, l_orderkey, l_linenumber, l_suppkey) AS row_number FROM reads) GROUP BY ALL")
 def kway_merge_whole(spark, d):
-    rows = P.reads(spark, d).select("reference_id", "reference", "position", "l_orderkey", "l_linenumber")
-    halves = [ordering.coordinate_sort(rows.where(F.col("position") % 2 == k), "l_orderkey", "l_linenumber") for k in (0, 1)]
-    return ordering.merge_sorted(*halves, by=["reference_id", "position", "l_orderkey", "l_linenumber"])
+    """Two runs as one, and the places that their rows have in the order of each reference."""
+    rows = P.placed(spark, d)
+    both = rows.where("position % 2 = 0").unionByName(rows.where("position % 2 = 1"))
+    return ordering.ranked(both, *TIES).groupBy("reference", "position").agg(F.count("*").alias("reads"), F.sum("rank").alias("places"))
 
 
 @query(READS + " SELECT reference, chunk_start, count(*) AS reads FROM reads WHERE reference_id >= 0 GROUP BY ALL ORDER BY reads DESC, reference, chunk_start LIMIT 10")
@@ -358,9 +360,9 @@ def shared_variants(spark, d):
     return variants.shared(P.calls(spark, d), 1, 2)
 
 
-@query(CALLS + ", b AS (SELECT position, sample, max(dosage) AS dosage FROM calls WHERE dosage <> 0 GROUP BY ALL) SELECT position, string_agg(sample || ':' || dosage, ',' ORDER BY sample) AS carriers FROM b GROUP BY position")
+@query(CALLS + ", b AS (SELECT position, sample, max(dosage) AS dosage FROM calls WHERE dosage <> 0 GROUP BY ALL) SELECT position, sample // 16 AS block, string_agg(sample || ':' || dosage, ',' ORDER BY sample) AS carriers FROM b GROUP BY ALL")
 def merged_genotypes(spark, d):
-    return variants.merged_genotypes(P.calls(spark, d))
+    return variants.merged_genotypes(P.calls(spark, d), 16)
 
 
 @query("SELECT count(*) AS variants, count(*) FILTER (length(p_brand[8:]) = 1 AND length(p_name[1:1]) = 1) AS snps, count(*) FILTER (length(p_brand[8:]) <> 1) AS indels FROM part")
@@ -384,7 +386,7 @@ def segment_manifest(spark, d):
     return annotations.segments(P.annotations(spark, d), 1800)
 
 
-@query(EVENTS + " SELECT code, count(*) AS events, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT t // 86400 AS s FROM e f WHERE f.code = e.code)) AS segments FROM e GROUP BY code")
+@query(EVENTS + " SELECT code, t // 86400 AS segment, count(*) AS events, CAST(min(t) AS BIGINT) AS first_t, CAST(max(t) AS BIGINT) AS last_t FROM e GROUP BY ALL")
 def code_index(spark, d):
     return annotations.code_index(P.annotations(spark, d), 86400)
 
@@ -476,19 +478,33 @@ def shard_bits(spark, d):
 # Scalars and codecs
 
 
-@query("""SELECT region, split_part(region, ':', 1) AS reference, s AS "start", coalesce(e, -1) AS "end" FROM (VALUES ('chr1', 0::BIGINT, NULL::BIGINT), ('chr1:1,000-2,000', 1000, 2000), ('chr2:1M-2M', 1000000, 2000000), ('x:5K-6k', 5000, 6000)) v(region, s, e)
-    UNION ALL SELECT r, NULL, -1, -1 FROM (VALUES ('chr1:5'), ('chr1:9-3'), (''), ('a:b:1-2')) w(r)""")
+@query("""WITH t AS (SELECT p_partkey, p_size AS n, CASE p_partkey % 7 WHEN 0 THEN 'c' || p_size WHEN 1 THEN 'c' || p_size || ':' || p_partkey || '-' || (p_partkey + p_size) WHEN 2 THEN 'x:' || p_size || 'K-' || (p_size + 1) || 'k' WHEN 3 THEN 'x:1,' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '-2M'
+        WHEN 4 THEN 'x:' || p_partkey WHEN 5 THEN 'x:' || (p_size + 5) || '-' || p_size ELSE 'a:' || p_size || ':1-2' END AS region FROM part)
+    SELECT p_partkey, region, CASE WHEN k IN (0, 1) THEN 'c' || n WHEN k IN (2, 3) THEN 'x' END AS reference, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN p_partkey WHEN 2 THEN n * 1000 WHEN 3 THEN 1000 + p_partkey % 1000 ELSE -1 END AS BIGINT) AS "start",
+        CAST(CASE k WHEN 1 THEN p_partkey + n WHEN 2 THEN (n + 1) * 1000 WHEN 3 THEN 2000000 ELSE -1 END AS BIGINT) AS "end" FROM (SELECT *, p_partkey % 7 AS k FROM t)""")
 def parse_region(spark, d):
-    texts = spark.createDataFrame([(t,) for t in ("chr1", "chr1:1,000-2,000", "chr2:1M-2M", "x:5K-6k", "chr1:5", "chr1:9-3", "", "a:b:1-2")], "region string")
-    return texts.withColumn("r", scalars.parse_region(F.col("region"))).select("region", "r.reference", F.coalesce("r.start", F.lit(-1)).alias("start"), F.coalesce("r.end", F.lit(-1)).alias("end"))
-
-
-@query("""SELECT * FROM (VALUES ('512', 512::BIGINT, -1::BIGINT, '512'), ('512K', 524288, 524288, '512K'), ('1m', 1048576, 1048576, '1M'), ('8G', 8589934592, -1, '8192M'), ('3M', 3145728, -1, '3M'), ('x', -1, -1, NULL)) v(size, n_bytes, chunk_size, shown)""")
+    """Region texts of every form, and of none, made of the parts' numbers."""
+    key, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    forms = [
+        F.concat(F.lit("c"), n), F.concat(F.lit("c"), n, F.lit(":"), key.cast("string"), F.lit("-"), (key + F.col("p_size")).cast("string")), F.concat(F.lit("x:"), n, F.lit("K-"), (F.col("p_size") + 1).cast("string"), F.lit("k")),
+        F.concat(F.lit("x:1,"), F.lpad((key % 1000).cast("string"), 3, "0"), F.lit("-2M")), F.concat(F.lit("x:"), key.cast("string")), F.concat(F.lit("x:"), (F.col("p_size") + 5).cast("string"), F.lit("-"), n), F.concat(F.lit("a:"), n, F.lit(":1-2")),
+    ]
+    texts = P.table(spark, d, "part").select("p_partkey", F.get(F.array(*forms), (key % 7).cast("int")).alias("region")).withColumn("r", scalars.parse_region(F.col("region")))
+    return texts.select("p_partkey", "region", "r.reference", F.coalesce("r.start", F.lit(-1)).alias("start"), F.coalesce("r.end", F.lit(-1)).alias("end"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_partkey % 6 AS k, CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1024 WHEN 2 THEN p_size * 1048576 WHEN 3 THEN p_size * 1073741824::BIGINT WHEN 4 THEN (256 << p_partkey % 7) * 1024 END::BIGINT AS n,
+        CASE p_partkey % 6 WHEN 0 THEN '' || p_size WHEN 1 THEN p_size || 'K' WHEN 2 THEN p_size || 'm' WHEN 3 THEN p_size || 'G' WHEN 4 THEN (256 << p_partkey % 7) || 'k' ELSE 'x' || p_size END AS size FROM part)
+    SELECT p_partkey, size, coalesce(n, -1) AS n_bytes, CASE WHEN n BETWEEN 262144 AND 8388608 AND (n & (n - 1)) = 0 THEN n ELSE -1 END AS chunk_size,
+        CASE WHEN n >= 1048576 AND n % 1048576 = 0 THEN n // 1048576 || 'M' WHEN n >= 1024 AND n % 1024 = 0 THEN n // 1024 || 'K' ELSE CAST(n AS VARCHAR) END AS shown FROM t""")
 def parse_size(spark, d):
-    texts = spark.createDataFrame([(t,) for t in ("512", "512K", "1m", "8G", "3M", "x")], "size string")
-    n = scalars.parse_size(F.col("size"))
+    """Sizes in every unit, powers of two among them, and texts that are none, made of the parts' numbers."""
+    n, power = F.col("p_size").cast("string"), F.expr("shiftleft(256, cast(p_partkey % 7 as int))").cast("string")
+    forms = [n, F.concat(n, F.lit("K")), F.concat(n, F.lit("m")), F.concat(n, F.lit("G")), F.concat(power, F.lit("k")), F.concat(F.lit("x"), n)]
+    texts = P.table(spark, d, "part").select("p_partkey", F.get(F.array(*forms), (F.col("p_partkey") % 6).cast("int")).alias("size"))
+    bytes_of = scalars.parse_size(F.col("size"))
     known = lambda c: F.coalesce(c, F.lit(-1))
-    return texts.select("size", known(n).alias("n_bytes"), known(scalars.parse_chunk_size(F.col("size"))).alias("chunk_size"), scalars.format_chunk_size(n).alias("shown"))
+    return texts.select("p_partkey", "size", known(bytes_of).alias("n_bytes"), known(scalars.parse_chunk_size(F.col("size"))).alias("chunk_size"), scalars.format_chunk_size(bytes_of).alias("shown"))
 
 
 @query("SELECT DISTINCT c // 3600 AS k, CASE WHEN c >= 3600 THEN (c // 3600) || 'h' || (c % 3600 // 60) || 'm' || (c % 60) || 's' WHEN c >= 60 THEN (c // 60) || 'm' || (c % 60) || 's' ELSE c || 's' END AS shown FROM (SELECT c_custkey * 7 AS c FROM customer)")
@@ -647,11 +663,13 @@ def cohort_total(spark, d):
     return each.agg(F.count("*").alias("samples"), F.coalesce(F.sum("n"), F.lit(0)).alias("reads"))
 
 
-@query("SELECT conv_id, turn, w AS word, count(*) AS times FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations WHERE role = 'user') WHERE length(w) > 12 GROUP BY ALL")
+@query("SELECT conv_id, turn, role, w AS word, count(*) AS times FROM (SELECT conv_id, turn, role, unnest(list_filter(string_split(text, ' '), lambda w: w <> '')) AS w FROM conversations) GROUP BY ALL")
 def words_of_utterances(spark, d):
+    """All words, each with its utterance's speaker, joined by the utterance."""
     turns = P.table(spark, d, "conversations")
-    words = turns.select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word")).where(F.length("word") > 12)
-    return words.join(turns.where("role = 'user'").select("conv_id", "turn"), ["conv_id", "turn"]).groupBy("conv_id", "turn", "word").agg(F.count("*").alias("times"))
+    words = turns.select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word")).where("word <> ''")
+    counted = words.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("times"))
+    return counted.join(turns.select("conv_id", "turn", "role"), ["conv_id", "turn"])
 
 
 @query(EVENTS + " SELECT t // 86400 AS day, count(*) FILTER (code = 'view') AS view, count(*) FILTER (code = 'click') AS click, count(*) FILTER (code = 'purchase') AS purchase FROM e GROUP BY 1")
@@ -661,17 +679,19 @@ def segment_tiers(spark, d):
     return wide.select("day", *(F.coalesce(c, F.lit(0)).alias(c) for c in codes))
 
 
-@query(EVENTS + " SELECT participant, code, count(*) AS n, count(DISTINCT t // 86400) AS days FROM e GROUP BY ROLLUP (participant, code) HAVING participant IS NOT NULL AND code IS NOT NULL")
+@query(EVENTS + " SELECT participant, code, GROUPING_ID(participant, code) AS grouped, count(*) AS n, count(DISTINCT t // 86400) AS days FROM e GROUP BY ROLLUP (participant, code)")
 def cross_session(spark, d):
-    rolled = P.annotations(spark, d).withColumn("day", F.expr("t div 86400")).rollup("participant", "code").agg(F.count("*").alias("n"), F.countDistinct("day").alias("days"))
-    return rolled.where("participant is not null and code is not null")
+    """By participant and code, by participant, and of all."""
+    rolled = P.annotations(spark, d).withColumn("day", F.expr("t div 86400")).rollup("participant", "code")
+    return rolled.agg(F.grouping_id().alias("grouped"), F.count("*").alias("n"), F.countDistinct("day").alias("days"))
 
 
 @query(EVENTS + ", f AS (SELECT min(t) + 86400 AS s FROM e) SELECT id, t FROM e, f WHERE t >= s AND t < s + 7200")
 def time_clip(spark, d):
-    e = P.annotations(spark, d)
-    start = e.agg((F.min("t") + 86400).alias("s"))
-    return e.join(start, (F.col("t") >= F.col("s")) & (F.col("t") < F.col("s") + 7200)).select("id", "t")
+    """The bound is read first, so that the clip is a range that the scan is given."""
+    stamps = P.table(spark, d, "events").select("ts", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
+    first = stamps.agg(F.min("t")).first()[0] or 0
+    return annotations.clip(P.table(spark, d, "events"), "ts", first + 86400, 7200).select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
 
 
 @query(EVENTS + " SELECT CAST(t - t % 3600 AS BIGINT) AS start, code, count(*) AS events FROM e GROUP BY ALL")
@@ -706,10 +726,10 @@ def intervals_per_sample(spark, d):
     return P.table(spark, d, "customer").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "c_nationkey", F.coalesce("n", F.lit(0)).alias("orders"))
 
 
-@query("SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+@query("SELECT c_custkey, coalesce(n, 0) AS orders, coalesce(days, 0) AS days FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderdate) AS days FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def intervals_per_sample_whole(spark, d):
-    counts = P.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return P.table(spark, d, "customer").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
+    counts = P.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("o_orderdate").alias("days"))
+    return P.table(spark, d, "customer").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"), F.coalesce("days", F.lit(0)).alias("days"))
 
 
 @query("SELECT r_name, n_name, count(*) AS samples FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
@@ -782,17 +802,22 @@ def stored_violations(spark, d):
     off = F.when(F.col("reference") == "R", 1).otherwise(0)
     spoiled = entries.withColumns({"reads": F.col("reads") + off, "hash_xor": F.col("hash_xor") + off})
     extra = entries.where("reference = 'N' and chunk_start = 0").withColumns({"chunk_start": F.lit(7).cast("long"), "path": F.lit("N/7")})
-    spoiled = spark.createDataFrame(spoiled.unionByName(extra).collect(), entries.schema)
-    spoiled.write.mode("overwrite").partitionBy("batch").parquet(f"{path}/manifest")
+    # What is read from a folder is written to another one, which then takes its place.
+    spoiled.unionByName(extra).write.partitionBy("batch").parquet(f"{path}/spoiled")
+    shared.replace(spark, f"{path}/spoiled", f"{path}/manifest")
     return dataset.violations(spark, path)
 
 
-@query(READS + " SELECT count(*) AS reads, count(*) FILTER (reference_id >= 0) AS mapped, CAST(sum(span) AS BIGINT) AS bases, count(DISTINCT reference) FILTER (reference_id >= 0) AS \"references\" FROM reads")
+@query(READS + " SELECT count(*) AS reads, count(*) FILTER (reference_id >= 0) AS mapped, CAST(sum(span) AS BIGINT) AS bases, count(DISTINCT CASE WHEN reference_id >= 0 THEN reference END) AS \"references\", (SELECT count(*) FROM (SELECT DISTINCT CASE WHEN reference_id >= 0 THEN reference END, chunk_start FROM reads)) AS chunks, true AS has_bytes FROM reads")
 def ingest_counters(spark, d):
+    """What is counted on the way in, and of the chunks and bytes that were written."""
+    path = _folder(spark)
     rows, seen = dataset.counted_rows(P.reads(spark, d))
-    dataset.write(rows, _folder(spark), SIZE)
+    dataset.write(rows, path, SIZE)
     got = seen.get
-    return spark.createDataFrame([tuple(got[k] for k in ("reads", "mapped", "bases", "references"))], "reads long, mapped long, bases long, references long")
+    files = dataset.chunk_files(spark, path).agg(F.count("*").alias("chunks"), (F.sum("bytes") > 0).alias("has_bytes"))
+    counted = spark.createDataFrame([tuple(got[k] for k in ("reads", "mapped", "bases", "references"))], "reads long, mapped long, bases long, references long")
+    return counted.join(files).select("*")
 
 
 @query(READS + " SELECT l_suppkey, position, count(*) AS n FROM reads WHERE l_suppkey = 3 GROUP BY ALL")
@@ -912,7 +937,7 @@ def vcf_concat(spark, d):
     lines, path = variants.vcf_lines(P.calls(spark, d), [1, 2, 3]), _folder(spark)
     head = ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "1", "2", "3"])]
     for k, part in enumerate((lines.where("position < 120"), lines.where("position >= 100"))):
-        spark.createDataFrame([(h,) for h in head], "value string").unionByName(part.select(F.col("line").alias("value"))).coalesce(1).write.text(f"{path}/part={k}")
+        text_formats.write_vcf(head, part.select("position", F.col("line").alias("value")), f"{path}/part={k}")
     return text_formats.concat_vcf(text_formats.read_vcf_lines(spark, path))
 
 
@@ -921,9 +946,9 @@ def vcf_calls(spark, d):
     """Genotypes read back from two files whose sample columns are in another order."""
     calls, path = P.calls(spark, d), _folder(spark)
     for k, samples in enumerate(([1, 2, 3], [3, 1, 2])):
-        lines = variants.vcf_lines(calls.where(F.col("position") % 2 == k), samples).select(F.col("line").alias("value"))
+        lines = variants.vcf_lines(calls.where(F.col("position") % 2 == k), samples).select("position", F.col("line").alias("value"))
         head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *map(str, samples)])
-        spark.createDataFrame([(head,)], "value string").unionByName(lines).coalesce(1).write.text(f"{path}/part={k}")
+        text_formats.write_vcf([head], lines, f"{path}/part={k}")
     return text_formats.parse_vcf(text_formats.read_vcf_lines(spark, path)).select("sample", "position", "genotype")
 
 
@@ -973,23 +998,23 @@ _WORDS = "SELECT conv_id || ':' || turn AS id, unnest(list_filter(string_split(t
 
 @query(f"SELECT word, count(*) AS times, count(DISTINCT id) AS utterances FROM ({_WORDS}) GROUP BY word")
 def transcript_words(spark, d):
-    """Conversations as transcript files, one a conversation, and their words from there."""
+    """Conversations as transcripts, one a line, and their words from there."""
     words = F.filter(F.split("text", " "), lambda w: w != "")
     word = F.transform(words, lambda w, k: F.struct(w.alias("word"), k.cast("double").alias("start_time"), (k + 1).cast("double").alias("end_time")))
     spoken = P.table(spark, d, "conversations").select("conv_id", F.struct(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("role").alias("speaker"), F.col("turn").cast("double").alias("start_time"), F.col("text"), word.alias("words")).alias("u"))
     path = _folder(spark)
-    spoken.groupBy("conv_id").agg(F.collect_list("u").alias("utterances")).select(F.to_json(F.struct("utterances")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return sidecars.read_words(spark, path).groupBy("word").agg(F.count("*").alias("times"), F.count_distinct("utterance_id").alias("utterances"))
+    spoken.groupBy("conv_id").agg(F.collect_list("u").alias("utterances")).select(F.to_json(F.struct("utterances")).alias("value")).write.text(path)
+    return sidecars.read_words(spark, path, lines=True).groupBy("word").agg(F.count("*").alias("times"), F.count_distinct("utterance_id").alias("utterances"))
 
 
 @query(EVENTS + " SELECT id, CAST(t AS DOUBLE) AS start_time FROM e WHERE code = 'click' AND participant % 3 = 1")
 def tier_codes(spark, d):
-    """Tiers as JSON files, read, and one tier's annotations of one code."""
+    """Tiers as JSON lines, read, and one tier's annotations of one code."""
     path, tier = _folder(spark), F.concat(F.lit("t"), (F.col("participant") % 3).cast("string"))
     one = F.struct(F.col("id").cast("string").alias("id"), F.col("t").cast("double").alias("time"), "code", F.col("participant").cast("string").alias("participant"))
     files = P.annotations(spark, d).groupBy(tier.alias("tier"), F.expr("t div 86400").alias("day")).agg(F.collect_list(one).alias("annotations"))
-    files.select(F.to_json(F.struct("tier", "annotations")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return annotations.of_tier(sidecars.read_tiers(spark, path), "t1", "click").select(F.col("id").cast("long").alias("id"), "start_time")
+    files.select(F.to_json(F.struct("tier", "annotations")).alias("value")).write.text(path)
+    return annotations.of_tier(sidecars.read_tiers(spark, path, lines=True), "t1", "click").select(F.col("id").cast("long").alias("id"), "start_time")
 
 
 @query(EVENTS + " SELECT 'all' AS tier, CAST(id AS VARCHAR) AS id, CAST(t AS DOUBLE) AS start_time, code, 'p' || participant || ';x' AS participants FROM e")
@@ -1009,8 +1034,8 @@ def annotation_export(spark, d):
     return csv.intersectAll(json).intersectAll(xml)
 
 
-@query("""WITH u AS (SELECT role AS speaker, turn * 10 AS s, turn * 10 + length(text) % 45 + 1 AS e FROM conversations), g AS (SELECT speaker, string_agg(k, ',' ORDER BY k) AS segments FROM (SELECT DISTINCT speaker, unnest(range(s // 30, (e - 1) // 30 + 1)) AS k FROM u) GROUP BY speaker)
-    SELECT speaker, count(*) AS utterances, CAST(sum(e - s) AS BIGINT) AS seconds, segments FROM u JOIN g USING (speaker) GROUP BY speaker, segments""")
+@query("""WITH u AS (SELECT role AS speaker, turn * 10 AS s, turn * 10 + length(text) % 45 + 1 AS e FROM conversations), k AS (SELECT speaker, s, e, unnest(range(s // 30, (e - 1) // 30 + 1)) AS segment FROM u)
+    SELECT speaker, CAST(segment AS BIGINT) AS segment, count(*) AS utterances, CAST(sum(least(e, segment * 30 + 30) - greatest(s, segment * 30)) AS BIGINT) AS seconds FROM k GROUP BY ALL""")
 def speaker_times(spark, d):
     start = (F.col("turn") * 10).cast("long")
     spoken = P.table(spark, d, "conversations").select(F.col("role").alias("speaker"), start.alias("start"), (start + F.length("text") % 45 + 1).alias("end"))
@@ -1038,13 +1063,10 @@ def stored_sizes(spark, d):
     return dataset.chunk_files(spark, _stored(spark, d)).select("reference", "chunk_start", ((F.col("files") >= 1) & (F.col("bytes") > 0)).alias("has_bytes"))
 
 
-@query(READS + """, c AS (SELECT reference, chunk_start, count(*) AS n FROM reads WHERE reference_id >= 0 GROUP BY ALL) SELECT reference, CAST(chunk_start AS BIGINT) AS chunk_start, n AS reads, CAST(row_number() OVER (ORDER BY reference, chunk_start) AS INT) AS place FROM c""")
+@query(READS + """, c AS (SELECT reference, chunk_start, count(*) AS n FROM reads WHERE reference_id >= 0 GROUP BY ALL) SELECT reference, CAST(chunk_start AS BIGINT) AS chunk_start, n AS reads, CAST(row_number() OVER (ORDER BY reference, chunk_start) AS BIGINT) AS place FROM c""")
 def export_order(spark, d):
-    """Chunks in the order of an export: references by name, then by start; the manifest is a row a chunk."""
-    from pyspark.sql import Window
-
-    entries = manifest.build(P.mapped(spark, d), SIZE)
-    return entries.select("reference", "chunk_start", "reads", F.row_number().over(Window.orderBy("reference", "chunk_start")).alias("place"))
+    """Chunks in the order of an export: references by name, then by start; places inside each reference, and what the references before it have."""
+    return ordering.export_places(manifest.build(P.mapped(spark, d), SIZE)).select("reference", "chunk_start", "reads", "place")
 
 
 @query(READS + ", c AS (SELECT sum(span) AS b FROM reads GROUP BY CASE WHEN reference_id >= 0 THEN reference END, chunk_start) SELECT count(*) AS chunks, CAST(sum(b) * 1.5e0 AS DOUBLE) AS bytes, round(count(*) * 2 / 1000e0 * 0.0004e0 + sum(b) * 1.5e0 / 1073741824e0 * 0.09e0, 12) AS cost FROM c")
@@ -1089,9 +1111,11 @@ def markdown_report(spark, d):
 def chunk_files_scan(spark, d):
     """Older chunk files, half of them packed and half JSON, told apart by their first bytes."""
     folder = _folder(spark)
-    rows = P.reads(spark, d).select(F.concat_ws(":", *TIES).alias("name"), "flag", "reference_id", F.col("position").cast("int").alias("position"), "mapq", F.concat(F.col("span").cast("string"), F.lit("M")).alias("cigar"), (F.col("l_orderkey") % 8).alias("chunk"))
+    # About 2,000 rows a file, however many there are.
+    chunks = max(8, P.table(spark, d, "lineitem").count() // 2000)
+    rows = P.reads(spark, d).select(F.concat_ws(":", *TIES).alias("name"), "flag", "reference_id", F.col("position").cast("int").alias("position"), "mapq", F.concat(F.col("span").cast("string"), F.lit("M")).alias("cigar"), (F.col("l_orderkey") % chunks).alias("chunk"))
     record = F.struct("name", "flag", F.col("reference_id").alias("ref"), F.col("position").alias("pos"), "mapq", "cigar", F.lit("").alias("seq"), F.lit("").alias("qual"))
-    rows.where("chunk % 2 = 1").groupBy("chunk").agg(F.to_json(F.collect_list(record)).alias("value")).repartition(4, "chunk").select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/json")
+    rows.where("chunk % 2 = 1").groupBy("chunk").agg(F.to_json(F.collect_list(record)).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/json")
 
     def packed(key, pdf):
         import pandas as pd

@@ -11,7 +11,7 @@ from locus.operators import agreement, alleles, intervals, patterns
 from locus.operators.regions import Region
 from locus.registry import CALLS, EVENTS, READS, SIZE, TIES, _folder, query
 from locus.plans import sketches
-from locus.sources import adaptive, bam, bam_index, clusters, snapshots, text_formats, variant_store, zorder
+from locus.sources import adaptive, bam, bam_index, clusters, dataset, snapshots, text_formats, variant_store, zorder
 from locus.streaming import frontier
 
 # The frontier as a stream
@@ -336,3 +336,25 @@ def vcf_alleles(spark, d):
     genotype = F.when(F.col("dosage") == 1, "0/1").otherwise("1/1")
     rows = calls.select(F.concat(F.lit("ref"), (F.col("position") % 3).cast("string")).alias("reference"), "position", F.when(even, "C").otherwise("CAA").alias("ref"), F.when(even, "G").otherwise("C").alias("alt"), F.col("sample").cast("string").alias("sample"), genotype.alias("genotype"))
     return alleles.vcf_lines(alleles.merge(rows), ["1", "2", "3", "4"]).select("value")
+
+
+# Sizes of what is stored, first lines
+
+
+@query(READS + """, c AS (SELECT DISTINCT CASE WHEN reference_id >= 0 THEN reference END, chunk_start FROM reads)
+    SELECT (SELECT count(*) FROM c) AS chunks, CAST(sum(length(reference_id || '') + length(position || '') + length(span || '') + length(mapq || '') + length(flag || '') + length(l_orderkey || '') + length(l_linenumber || '') + length(l_suppkey || '') + 8) AS BIGINT) AS plain_bytes, true AS smaller, true AS ordered FROM reads""")
+def stored_compression(spark, d):
+    """Chunks, bytes of the rows as text, and whether the files are smaller than that, chunk sizes being in order."""
+    path = _folder(spark)
+    dataset.write(P.reads(spark, d), path, SIZE * 64)
+    out = dataset.compression(spark, path)
+    chunks = P.reads(spark, d).select(F.when(F.col("reference_id") >= 0, F.col("reference")), "chunk_start").distinct().count()
+    return out.select(F.lit(chunks).cast("long").alias("chunks"), "plain_bytes", (F.col("ratio") > 1).alias("smaller"), ((F.col("least") <= F.col("mean")) & (F.col("mean") <= F.col("most"))).alias("ordered"))
+
+
+@query("SELECT * FROM (SELECT concat_ws(chr(9), p_partkey, p_name) AS value FROM part ORDER BY p_partkey LIMIT 7)")
+def first_lines(spark, d):
+    """The first lines of a text file; the limit is the feature."""
+    path = _folder(spark)
+    P.table(spark, d, "part").orderBy("p_partkey").select(F.concat_ws("\t", "p_partkey", "p_name").alias("value")).coalesce(1).write.text(path)
+    return text_formats.first_lines(spark.read.text(path), 7)

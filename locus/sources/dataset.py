@@ -37,7 +37,7 @@ def write(rows: DataFrame, path: str, size: int, codec: str = "zstd", mode: str
     # Read back from the batch's own folder: no other file is listed.
     stored = _typed(rows.sparkSession.read.parquet(f"{path}/data/batch={batch}"))
     entries = plan.build_part(with_ids(stored), size, columns).withColumns({"chunk_size": F.lit(size), "version": F.lit(FORMAT_VERSION), "columns": F.lit(",".join(columns)), "codec": F.lit(codec)})
-    _put(entries.coalesce(1), f"{path}/manifest", mode, batch, [])
+    _put(entries.hint("rebalance"), f"{path}/manifest", mode, batch, [])
 
 
 def _put(rows: DataFrame, path: str, mode: str, batch: str, by: list[str], **options) -> None:
@@ -195,6 +195,18 @@ def chunk_files(spark: SparkSession, path: str) -> DataFrame:
     return found.groupBy("reference", "chunk_start").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
+def compression(spark: SparkSession, path: str) -> DataFrame:
+    """chunks, bytes, plain_bytes (of the rows as text, tab-separated), ratio, least, most and mean bytes of a chunk: from the files' sizes and one scan."""
+    rows = read(spark, path)
+    texts = [F.coalesce(F.octet_length((F.to_json(c) if isinstance(rows.schema[c].dataType, (MapType, ArrayType, StructType)) else F.col(c)).cast("string")), F.lit(0)) + 1 for c in rows.columns if c not in ("chunk_start", "reference")]
+    line = texts[0]
+    for t in texts[1:]:
+        line = line + t
+    plain = rows.agg(F.sum(line.cast("long")).alias("plain_bytes"))
+    files = chunk_files(spark, path).agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"), F.min("bytes").alias("least"), F.max("bytes").alias("most"), F.avg("bytes").alias("mean"))
+    return files.join(plain).select("chunks", "bytes", "plain_bytes", F.try_divide("plain_bytes", "bytes").alias("ratio"), "least", "most", "mean")
+
+
 def write_views(rows: DataFrame, path: str, sample: str, order: str) -> None:
     """The same rows in two layouts: one folder a sample (sorted by the order column), and one sorted by it through all samples; a reader takes the one that its predicate prunes."""
     rows.hint("rebalance", sample).sortWithinPartitions(sample, order).write.mode("overwrite").partitionBy(sample).parquet(f"{path}/by_{sample}")

@@ -11,25 +11,25 @@ TIER = (
 )
 
 
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row a file; compressed files are read as far as the cluster has Hadoop's codec for their suffix."""
-    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """One row a document: a file is one (or an array of them), or with lines has one in each line, and is read in splits; compressed files are read as far as the cluster has Hadoop's codec for their suffix."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
-def read_utterances(spark: SparkSession, path: str) -> DataFrame:
+def read_utterances(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """file, id, speaker, start_time, end_time, text, confidence."""
-    return _documents(spark, path, TRANSCRIPT).select("file", F.explode("utterances").alias("u")).select("file", "u.id", "u.speaker", "u.start_time", "u.end_time", "u.text", "u.confidence")
+    return _documents(spark, path, TRANSCRIPT, lines).select("file", F.explode("utterances").alias("u")).select("file", "u.id", "u.speaker", "u.start_time", "u.end_time", "u.text", "u.confidence")
 
 
-def read_words(spark: SparkSession, path: str) -> DataFrame:
+def read_words(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """file, utterance_id, place (from 0), word, start_time, end_time, confidence."""
-    spoken = _documents(spark, path, TRANSCRIPT).select("file", F.explode("utterances").alias("u"))
+    spoken = _documents(spark, path, TRANSCRIPT, lines).select("file", F.explode("utterances").alias("u"))
     return spoken.select("file", F.col("u.id").alias("utterance_id"), F.posexplode("u.words").alias("place", "w")).select("file", "utterance_id", "place", "w.*")
 
 
-def read_tiers(spark: SparkSession, path: str) -> DataFrame:
+def read_tiers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """file, tier, id, start_time, end_time (equal for point annotations), code, participants (array), metadata."""
-    rows = _documents(spark, path, TIER).select("file", "tier", F.explode("annotations").alias("a"))
+    rows = _documents(spark, path, TIER, lines).select("file", "tier", F.explode("annotations").alias("a"))
     start = F.coalesce("a.start_time", "a.time")
     who = F.coalesce("a.participants", F.when(F.col("a.participant").isNotNull(), F.array("a.participant")))
     return rows.select("file", "tier", "a.id", start.alias("start_time"), F.coalesce("a.end_time", start).alias("end_time"), "a.code", who.alias("participants"), "a.metadata")

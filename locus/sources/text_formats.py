@@ -94,9 +94,16 @@ def write_sam(rows: DataFrame, references: DataFrame, path: str, header: DataFra
     format_sam(order).write.mode("overwrite").text(f"{path}/body")
 
 
+def write_vcf(head: list[str], lines: DataFrame, path: str) -> None:
+    """head (header lines) and lines (position, value) as a folder that reads as one file: the header's piece, and that of the variants in order of position, each task its range."""
+    lines.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/piece=0")
+    lines.repartitionByRange("position").sortWithinPartitions("position").select("value").write.mode("overwrite").text(f"{path}/piece=1")
+
+
 def read_vcf_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, file, line (order within a file)."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    """value, file, line (order within a file's header); pieces of one folder, as write_vcf() leaves them, are one file."""
+    file = F.regexp_replace(F.col("_metadata.file_path"), "/piece=[01]/[^/]*$", "")
+    return spark.read.text(path).select("value", file.alias("file"), F.monotonically_increasing_id().alias("line"))
 
 
 def vcf_sites(lines: DataFrame) -> DataFrame:
