@@ -106,8 +106,12 @@ def append(rows: DataFrame, path: str, size: int, batch: str | None = None) -> N
 
 
 def rechunk(spark: SparkSession, path: str, target: str, size: int, codec: str = "zstd") -> None:
-    """The same rows under another chunk width or codec, their batches made one."""
-    write(with_ids(read(spark, path).drop("chunk_start")), target, size, codec)
+    """The same rows under another chunk width or codec, their batches made one; onto its own path, the dataset is replaced once the new one is whole."""
+    own = path.rstrip("/") == target.rstrip("/")
+    draft = f"{target.rstrip('/')}-{uuid.uuid4().hex}" if own else target
+    write(with_ids(read(spark, path).drop("chunk_start")), draft, size, codec)
+    if own:
+        shared.replace(spark, draft, target)
 
 
 def upgrade(spark: SparkSession, chunk_files_path: str, references: DataFrame, target: str, size: int) -> None:

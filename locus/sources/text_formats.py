@@ -149,8 +149,8 @@ def concat_vcf(lines: DataFrame) -> DataFrame:
     return rows.orderBy("rank", F.col("first").asc_nulls_last(), "reference", "position", "value").select("value")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, sequence, quality.  Records are split at line ends before "@"; a quality line that begins with "@" is the piece after its record's, and joined to it by the pieces' numbers in their file.  Pieces of another shape are left out."""
+def _fastq_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """file, number, f: the lines of each piece, numbered within its file."""
     raw = spark.read.option("lineSep", "\n@").text(path)
     pieces = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     # One row a block: the number of a file's pieces before it.
@@ -160,13 +160,31 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     numbered = pieces.join(starts, ["file", "block"]).withColumn("number", F.col("id") + F.col("shift"))
     # Only a file's first piece still has its "@".
     f = F.split(F.when(F.col("number") == 0, F.regexp_replace("value", "^@", "")).otherwise(F.col("value")), "\n")
-    shaped = numbered.select("file", "number", f.alias("f"))
-    record = (F.size("f") >= 3) & F.col("f")[2].startswith("+")
-    whole = shaped.where(record & (F.size("f") >= 4)).select("f", F.col("f")[3].alias("quality"))
-    heads = shaped.where(record & (F.size("f") == 3))
-    tails = shaped.where((F.size("f") == 1) | ((F.size("f") == 2) & (F.col("f")[1] == ""))).select("file", (F.col("number") - 1).alias("number"), F.concat(F.lit("@"), F.col("f")[0]).alias("quality"))
-    rejoined = heads.join(tails, ["file", "number"]).select("f", "quality")
-    return whole.unionByName(rejoined).select(F.split(F.col("f")[0], " ")[0].alias("read_id"), F.col("f")[1].alias("sequence"), "quality").where(F.length("sequence") == F.length("quality"))
+    return numbered.select("file", "number", f.alias("f"))
+
+
+def _fastq_records(pieces: DataFrame) -> DataFrame:
+    """file, number, f, quality, tail: every piece with its quality line, if it has one, and whether that is the piece after it."""
+    record = (F.size("f") >= 3) & F.get("f", F.lit(2)).startswith("+")
+    tails = pieces.where((F.size("f") == 1) | ((F.size("f") == 2) & (F.get("f", F.lit(1)) == ""))).select("file", (F.col("number") - 1).alias("number"), F.concat(F.lit("@"), F.get("f", F.lit(0))).alias("next"))
+    both = pieces.join(tails, ["file", "number"], "left")
+    quality = F.when(record & (F.size("f") >= 4), F.get("f", F.lit(3))).when(record & (F.size("f") == 3), F.col("next"))
+    fine = F.coalesce(F.length(F.get("f", F.lit(1))) == F.length(quality), F.lit(False))
+    return both.select("file", "number", "f", F.when(fine, quality).alias("quality"), (fine & (F.size("f") == 3)).alias("tail"))
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, sequence, quality.  Records are split at line ends before "@"; a quality line that begins with "@" is the piece after its record's, and joined to it by the pieces' numbers in their file.  Other pieces are malformed_fastq()'s."""
+    whole = _fastq_records(_fastq_pieces(spark, path)).where("quality is not null")
+    return whole.select(F.split(F.col("f")[0], " ")[0].alias("read_id"), F.col("f")[1].alias("sequence"), "quality")
+
+
+def malformed_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """file, number (the piece's place in the file), value: what read_fastq() leaves out: pieces that are no record, nor the quality line of the record before."""
+    records = _fastq_records(_fastq_pieces(spark, path))
+    used = records.where("tail").select("file", (F.col("number") + 1).alias("number"))
+    rest = records.where("quality is null").join(used, ["file", "number"], "left_anti")
+    return rest.select("file", "number", F.array_join("f", "\n").alias("value")).where("trim(value) <> ''")
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:

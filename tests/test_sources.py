@@ -156,6 +156,23 @@ def test_fastq_keeps_qualities_that_begin_with_at(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(map(tuple, got)) == sorted(want)
+    bad = text_formats.malformed_fastq(spark, str(tmp_path)).collect()
+    assert bad and all(r.value.startswith("cut") for r in bad)
+
+
+def test_rechunk_onto_itself_and_shipping(spark, tmp_path):
+    import zipfile
+
+    import locus
+
+    path = f"file://{tmp_path}/d"
+    dataset.write(proxies.reads(spark, SF), path, 64)
+    before = dataset.read(spark, path).count()
+    dataset.rechunk(spark, path, path, 128)
+    assert dataset.read(spark, path).count() == before and {r.chunk_size for r in dataset.read_manifest(spark, path).select("chunk_size").collect()} == {128}
+    locus.ship(spark)
+    files = [f for f in spark.sparkContext._python_includes if f == "locus.zip"]
+    assert files and "locus/sources/dataset.py" in zipfile.ZipFile(f"{spark.sparkContext._temp_dir and __import__('pyspark').SparkFiles.get('locus.zip')}").namelist()
 
 
 def aligned(spark, n=1500, seed=3):
