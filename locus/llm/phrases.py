@@ -103,7 +103,7 @@ class Pieces:
 
 
 def seed_of(lang: str) -> np.uint64:
-    return word_names(pa.array([lang.encode()], pa.binary()))[0, 1]
+    return word_names(pa.array([lang.encode()], pa.large_binary()), b"language")[0, 1]
 
 
 def pairs_of(words: np.ndarray) -> np.ndarray:

@@ -18,8 +18,8 @@ Two sets that link have such a shingle, and so a tree, in common.  How frequent
 shingle is, a table of counts tells that all texts add to; it is of fixed size, so
 it mixes shingles up, but any order will do.  Equal sets are
 one point: by 128 bits of BLAKE2b over the names of their shingles, which come from
-their words' BLAKE2b names, all under a key that every job draws anew, so no texts can
-be made up that only seem equal.  Trees with the same least point are one.
+their words' names, all under a key that every job draws anew (textops.word_names), so
+no texts can be made up that only seem equal.  Trees with the same least point are one.
 
 Every tree is searched twice.  First each of its points meets the point nearest to
 the tree's mean, so that a crowd of near copies costs a pass and not a square.  The

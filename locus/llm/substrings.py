@@ -17,10 +17,10 @@ there they are compared by the names of all their words.  Of equal windows of on
 slice of texts only the earliest travels, and of a slice's equal anchors one, so a
 line that a third of all texts hold is a row a slice there; and windows of the most
 frequent anchors are dealt by their own names.  Windows count as equal
-when the anchor's name and the window's are, 59 and 64 bits that are made of the two
-halves of their words' BLAKE2b names.  Every job draws the key of these names anew, so
-no windows can be made up that only seem equal, and chance needs 2**64 pairs of one
-anchor; the words themselves do not travel.
+when the anchor's name and the window's are, 59 and 62 bits that are made of the two
+names of their words.  Every job draws the key of these names anew (textops.word_names),
+so no windows can be made up that only seem equal, and chance needs some 2**60 pairs of
+one anchor; the words themselves do not travel.
 
 A null text has no words, texts of fewer than size words lose none.  Rows of one
 doc_id are one document's: equal places of them are not earlier than each other,

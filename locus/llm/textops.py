@@ -52,9 +52,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_names(words: pa.Array, key: bytes = b"") -> np.ndarray:
-    """Two 64-bit numbers for every word of a binary array: its BLAKE2b digest under the key.  Who does not know the key can make up no words, nor sums of words, with one name."""
-    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16, key=key).digest() for w in words.to_pylist()), np.uint64).reshape(-1, 2)
+_PRIME = (1 << 31) - 1
+#: Longer words are named one by one.
+LONG_WORD = 3072
+
+
+def word_names(words: pa.Array, key: bytes) -> np.ndarray:
+    """Two 64-bit numbers for every word of a large binary array.
+
+    A word is a polynomial, three bytes a coefficient, and a name two of its values
+    modulo a prime of 31 bits, at places that only the key knows; very long words have
+    keyed BLAKE2b digests instead.  Whatever two words are, as long as they were chosen
+    without the key, they share a name with a chance of about (bytes / 2**32) squared.
+    """
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+    data = np.concatenate((data, np.zeros(3, np.uint8)))
+    secret = np.frombuffer(hashlib.blake2b(b"places", key=key, digest_size=32).digest(), np.uint64)
+    places = [int(x) % (_PRIME - 2) + 2 for x in secret]
+    order = np.argsort(at[:-1] - at[1:], kind="stable")
+    start, length = at[:-1][order], (at[1:] - at[:-1])[order]
+    short = int(np.searchsorted(-length, -LONG_WORD, "left"))
+    start, length = start[short:], length[short:]
+    values = [(length + 1) % _PRIME for _ in places]
+    for k in range(0, int(length.max(initial=0)), 3):
+        n = int(np.searchsorted(-length, -k, "left"))
+        byte = data[start[:n, None] + (k + np.arange(3))].astype(np.int64)
+        byte[length[:n, None] <= k + np.arange(3)] = 0
+        chunk = byte[:, 0] | byte[:, 1] << 8 | byte[:, 2] << 16
+        for place, value in zip(places, values, strict=True):
+            value[:n] = (value[:n] * place + chunk) % _PRIME
+    out = np.empty((len(words), 2), np.uint64)
+    for c in range(2):
+        out[order[short:], c] = mix64(values[2 * c].astype(np.uint64) << np.uint64(31) | values[2 * c + 1].astype(np.uint64))
+    for k in order[:short].tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(data[at[k] : at[k + 1]].tobytes(), key=key, digest_size=16).digest(), np.uint64)
+    return out
 
 
 def distinct_words(joined: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, pa.Array]:
