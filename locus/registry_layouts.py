@@ -11,7 +11,7 @@ from locus.operators import agreement, alleles, intervals, patterns
 from locus.operators.regions import Region
 from locus.registry import CALLS, EVENTS, READS, SIZE, TIES, _folder, query
 from locus.plans import sketches
-from locus.sources import adaptive, bam, bam_index, clusters, dataset, snapshots, text_formats, variant_store, zorder
+from locus.sources import adaptive, bam, bam_index, clusters, dataset, sidecars, snapshots, text_formats, variant_store, zorder
 from locus.streaming import frontier
 
 # The frontier as a stream
@@ -358,3 +358,28 @@ def first_lines(spark, d):
     path = _folder(spark)
     P.table(spark, d, "part").orderBy("p_partkey").select(F.concat_ws("\t", "p_partkey", "p_name").alias("value")).coalesce(1).write.text(path)
     return text_formats.first_lines(spark.read.text(path), 7)
+
+
+# Annotations as other tools' documents
+
+_DOCS = EVENTS + ", n AS (SELECT participant AS recording, code AS tier, id, t, row_number() OVER (PARTITION BY participant ORDER BY code, t, id) AS n FROM e)"
+
+
+@query(_DOCS + """, t AS (SELECT recording, tier, min(n) AS first, string_agg('<TIME_SLOT TIME_SLOT_ID="ts' || (2 * n - 1) || '" TIME_VALUE="' || t * 1000 || '"/><TIME_SLOT TIME_SLOT_ID="ts' || 2 * n || '" TIME_VALUE="' || (t + 2) * 1000 || '"/>', '' ORDER BY n) AS slots,
+        string_agg('<ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a' || n || '" TIME_SLOT_REF1="ts' || (2 * n - 1) || '" TIME_SLOT_REF2="ts' || 2 * n || '"><ANNOTATION_VALUE>&lt;' || id || '&gt;</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>', '' ORDER BY n) AS els FROM n GROUP BY ALL)
+    SELECT recording, '<?xml version="1.0" encoding="UTF-8"?><ANNOTATION_DOCUMENT AUTHOR="" DATE="1970-01-01T00:00:00+00:00" FORMAT="3.0" VERSION="3.0"><HEADER MEDIA_FILE="" TIME_UNITS="milliseconds"/><TIME_ORDER>' || string_agg(slots, '' ORDER BY first) || '</TIME_ORDER>' ||
+        string_agg('<TIER LINGUISTIC_TYPE_REF="default-lt" TIER_ID="' || tier || '">' || els || '</TIER>', '' ORDER BY first) || '<LINGUISTIC_TYPE GRAPHIC_REFERENCES="false" LINGUISTIC_TYPE_ID="default-lt" TIME_ALIGNABLE="true"/></ANNOTATION_DOCUMENT>' AS xml FROM t GROUP BY recording""")
+def annotations_as_eaf(spark, d):
+    return sidecars.eaf_documents(_recorded(spark, d))
+
+
+@query(_DOCS + """, t AS (SELECT recording, tier, min(n) AS first, string_agg('<el index="' || k || '" start="' || t || '.000" end="' || (t + 2) || '.000"><attribute name="code">&lt;' || id || '&gt;</attribute></el>', '' ORDER BY n) AS els FROM (SELECT *, n - min(n) OVER (PARTITION BY recording, tier) AS k FROM n) GROUP BY ALL)
+    SELECT recording, '<?xml version="1.0" encoding="UTF-8"?><annotation><head/><body>' || string_agg('<track name="' || tier || '" type="primary">' || els || '</track>', '' ORDER BY first) || '</body></annotation>' AS xml FROM t GROUP BY recording""")
+def annotations_as_anvil(spark, d):
+    return sidecars.anvil_documents(_recorded(spark, d))
+
+
+def _recorded(spark, d):
+    """Events as annotations of two seconds: participants as recordings, codes as tiers."""
+    start = F.col("t").cast("double")
+    return P.annotations(spark, d).select(F.col("participant").alias("recording"), F.col("code").alias("tier"), "id", start.alias("start_time"), (start + 2).alias("end_time"), F.concat(F.lit("<"), F.col("id").cast("string"), F.lit(">")).alias("code"))
