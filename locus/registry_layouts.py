@@ -12,7 +12,7 @@ from locus.operators.regions import Region
 from locus.registry import CALLS, EVENTS, READS, SIZE, TIES, _folder, query
 from locus.plans import sketches
 from locus.sources import adaptive, bam, bam_index, clusters, dataset, sidecars, snapshots, text_formats, variant_store, zorder
-from locus.streaming import frontier
+from locus.streaming import frontier, ingest
 
 # The frontier as a stream
 
@@ -383,3 +383,61 @@ def _recorded(spark, d):
     """Events as annotations of two seconds: participants as recordings, codes as tiers."""
     start = F.col("t").cast("double")
     return P.annotations(spark, d).select(F.col("participant").alias("recording"), F.col("code").alias("tier"), "id", start.alias("start_time"), (start + 2).alias("end_time"), F.concat(F.lit("<"), F.col("id").cast("string"), F.lit(">")).alias("code"))
+
+
+# Streams over files that arrive, and older datasets
+
+
+def _sam(spark, d):
+    rows = P.reads(spark, d).withColumns({"name": F.concat_ws(":", *TIES), "reference": F.when(F.col("reference_id") >= 0, F.col("reference")), "cigar": F.concat(F.col("span").cast("string"), F.lit("M")), "tags": F.create_map(F.lit("LN"), F.col("l_linenumber").cast("string"))})
+    return rows.withColumns({c: F.lit(None).cast("string") for c in ("mate_reference", "sequence", "quality")} | {c: F.lit(0) for c in ("mate_position", "template_length")})
+
+
+@query(READS + " SELECT l_orderkey || ':' || l_linenumber || ':' || l_suppkey AS name, CASE WHEN reference_id < 0 THEN 'unmapped' ELSE reference END AS reference, CAST(position AS INT) AS position, span FROM reads")
+def ingest_stream(spark, d):
+    """Lines of alignments that arrive in three lots, the last one with rows of every place, taken in by a stream that is stopped and started again between them."""
+    rows, source, target, checkpoint = _sam(spark, d), *(_folder(spark) for _ in range(3))
+    references = spark.createDataFrame([(k, r) for k, r in enumerate("ANR")], "reference_id int, reference string")
+    for k in range(3):
+        lot = F.when(F.col("l_linenumber") % 5 == 0, 2).otherwise(F.col("position") % 2)
+        text_formats.format_sam(rows.where(lot == k)).write.text(f"{source}/{k}")
+        ingest.ingest_sam(spark, f"{source}/*", target, references, SIZE, checkpoint).awaitTermination()
+    return dataset.read(spark, target).select("name", "reference", "position", "span")
+
+
+@query(READS + " SELECT l_orderkey || ':' || l_linenumber || ':' || l_suppkey AS name, CASE WHEN reference_id < 0 THEN 'unmapped' ELSE reference END AS reference, CASE WHEN reference_id < 0 THEN 0 ELSE position // 512 * 512 END AS chunk_start, position FROM reads")
+def upgraded_dataset(spark, d):
+    """Older JSON chunk files as a dataset of the present format."""
+    path, target = _folder(spark), _folder(spark)
+    rows = P.reads(spark, d)
+    chunks = max(8, P.table(spark, d, "lineitem").count() // 2000)
+    record = F.struct(F.concat_ws(":", *TIES).alias("name"), "flag", F.col("reference_id").alias("ref"), F.col("position").alias("pos"), "mapq", F.concat(F.col("span").cast("string"), F.lit("M")).alias("cigar"), F.lit("").alias("seq"), F.lit("").alias("qual"))
+    rows.groupBy(F.col("l_orderkey") % chunks).agg(F.to_json(F.collect_list(record)).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    references = spark.createDataFrame([(k, r) for k, r in enumerate("ANR")], "reference_id int, reference string")
+    dataset.upgrade(spark, path, references, target, 512, "part-*")
+    return dataset.read(spark, target).select("name", "reference", "chunk_start", F.col("position").cast("long").alias("position"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_dedup(spark, d):
+    """Events that arrive twice, the second time in another file, each told once."""
+    events, source, target, checkpoint = P.table(spark, d, "events"), *(_folder(spark) for _ in range(3))
+    for k in range(2):
+        events.coalesce(1).write.parquet(f"{source}/{k}")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{source}/[0-{k}]")
+        once = ingest.deduplicated(arriving, ["event_id"]).select("event_id", "user_id", "event_type")
+        once.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target)
+
+
+@query(EVENTS + " SELECT a.id AS left_id, b.id AS right_id FROM e a JOIN e b ON a.participant = b.participant AND a.code = 'view' AND b.code = 'purchase' AND b.t >= a.t AND b.t <= a.t + 7200")
+def stream_pairs(spark, d):
+    """Two streams of the same events joined: purchases within two hours after a view."""
+    events, source, target, checkpoint = P.table(spark, d, "events"), *(_folder(spark) for _ in range(3))
+    # Bounds are in whole seconds, as the annotations' are.
+    events.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp")))).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    views, purchases = (spark.readStream.schema(schema).parquet(source).where(F.col("event_type") == c) for c in ("view", "purchase"))
+    met = ingest.paired(views, purchases, "user_id", "2 hours").select("left_id", "right_id")
+    met.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target)
