@@ -563,10 +563,10 @@ def _classes(docs: DataFrame, keep: tuple[str, ...], links_too: bool, folder: st
     vectors_of = points.select("node", "n", "counts")
     tried = materialised(first_pairs(members, vectors_of, folder), folder)
     links = materialised(verified(tried, texts_of(tried, points, docs, folder)), folder)
-    spread = materialised(members.join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node")), folder)
+    spread = materialised(members.join(connected(links, folder), "node", "left").withColumn("class", F.coalesce("class", "node")), folder)
     pairs = materialised(tree_pairs(mixed_trees(spread, folder).join(vectors_of, "node")).join(tried, ["a", "b"], "left_anti"), folder)
     links = links.unionByName(materialised(verified(pairs, texts_of(pairs, points, docs, folder)), folder))
-    whole = points.select("node", "row").join(connected(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    whole = points.select("node", "row").join(connected(links, folder), "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = whole.groupBy("class").agg(F.min("row").alias("component_id"))
     named_by = whole.join(least, "class").select("node", "component_id", "class")
     if links_too:

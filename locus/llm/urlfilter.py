@@ -128,7 +128,7 @@ def _judged(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None, car
     def name(url: str | Column) -> Column:
         return F.unhex(F.md5(url))
 
-    classes = connected(links.select(name("a").alias("a"), name("b").alias("b")))
+    classes = connected(links.select(name("a").alias("a"), name("b").alias("b")), folder)
     aliases = ends.select(name("url").alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).join(decided, ["host", "path"])
     blocked = aliases.where("rule_verdict = 'block'").select("node").join(classes, "node").select("class").distinct()
     tainted = materialised(classes.join(blocked, "class", "left_semi").select("node", F.lit(True).alias("tainted")), folder)
