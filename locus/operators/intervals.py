@@ -21,7 +21,7 @@ start or end is null meet nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The narrowest bins' width, how many times wider each next level's are (both powers of two), and the number of levels.
@@ -75,3 +75,43 @@ def overlap_join(left: DataFrame, right: DataFrame, by: str, left_range: tuple[s
     met = x.join(y, ["reference", "who", "level", "bin", *(["salt"] if salts > 1 else [])])
     start = F.greatest("left_s", "right_s")
     return met.where((start < F.least("left_e", "right_e")) & (F.col("bin") == _bin(start, F.col("level")))).select("left", "right")
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, by: str, left_range: tuple[str, str | None], right_range: tuple[str, str | None]) -> DataFrame:
+    """right: a struct of that side's columns, rows: how many of left overlap it, shared: the places they have in common; for every row of right that something overlaps.
+
+    No pair is made.  What overlaps [s, e) has started before e and not ended at s, so
+    it is the starts before e less the ends up to s; the places of left that lie before
+    x are a running total as well, and the shared ones its difference between e and s.
+    Totals are taken over the distinct places of both sides, inside chunks of WIDTH *
+    FACTOR places, which begin with the total of the chunks before: work grows with
+    the rows, however many of them an interval meets.
+
+    An empty range of left overlaps what it lies strictly inside of; the rest is as in
+    overlap_join.
+    """
+    place, chunk, long = F.col("place"), WIDTH * FACTOR, lambda c: F.col(c).cast("long")
+    s, e = long(left_range[0]), (long(left_range[0]) + 1 if left_range[1] is None else long(left_range[1]))
+    ends = F.explode(F.array(F.struct(s.alias("place"), F.lit(1).alias("starts"), F.lit(0).alias("stops")), F.struct(e.alias("place"), F.lit(0).alias("starts"), F.lit(1).alias("stops"))))
+    steps = left.where(F.col(by).isNotNull() & (s <= e)).select(F.col(by).alias("reference"), ends.alias("at")).select("reference", "at.*")
+    steps = steps.groupBy("reference", "place").agg(F.sum("starts").alias("starts"), F.sum("stops").alias("stops"))
+    asked = _side(right, by, *right_range, "right").withColumns({"first": F.col("right_s"), "last": F.col("right_e") - 1}).drop("right_own")
+    # Totals up to a place, itself included: up to the last place for starts, up to the start for ends.
+    edges = asked.select("reference", F.explode(F.array("first", "last")).alias("place")).distinct().withColumns({"starts": F.lit(0).cast("long"), "stops": F.lit(0).cast("long"), "edge": F.lit(1)})
+    both = steps.withColumn("edge", F.lit(0)).unionByName(edges).groupBy("reference", "place").agg(F.sum("starts").alias("starts"), F.sum("stops").alias("stops"), F.max("edge").alias("edge"))
+    both = both.withColumns({"chunk": F.shiftright(place, chunk.bit_length() - 1), "weight": (F.col("starts") - F.col("stops")) * place})
+    summed = ("starts", "stops", "weight")
+    totals = both.groupBy("reference", "chunk").agg(*(F.sum(c).alias(c) for c in summed))
+    earlier = Window.partitionBy("reference").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("reference", "chunk", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in summed))
+    inside = Window.partitionBy("reference", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    running = both.withColumns({c: F.sum(c).over(inside) for c in summed}).where("edge = 1").join(before, ["reference", "chunk"])
+    running = running.select("reference", "place", *((F.col(c) + F.col(f"{c}_before")).alias(c) for c in summed))
+    one, two = (running.toDF("reference", edge, *(f"{edge}_{c}" for c in summed)) for edge in ("first", "last"))
+    met = asked.join(one, ["reference", "first"]).join(two, ["reference", "last"])
+
+    def covered(edge: str, x: Column) -> Column:  # places of left before x; no row of left starts or ends after the edge and before x
+        return x * (F.col(f"{edge}_starts") - F.col(f"{edge}_stops")) - F.col(f"{edge}_weight")
+
+    shared = covered("last", F.col("right_e")) - covered("first", F.col("right_s"))
+    return met.select("right", (F.col("last_starts") - F.col("first_stops")).alias("rows"), shared.alias("shared")).where("rows > 0")

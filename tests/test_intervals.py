@@ -68,3 +68,25 @@ def test_hot_place_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_totals_without_pairs(spark):
+    a, b = rows_of(7, 250), rows_of(8, 250)
+    each = {}
+    for x, y in ((x, y) for x in a for y in b if None not in x and None not in y):
+        if x[1] == y[1] and y[2] < y[3] and x[2] < y[3] and x[3] > y[2]:
+            n, shared = each.get(y[0], (0, 0))
+            each[y[0]] = (n + 1, shared + min(x[3], y[3]) - max(x[2], y[2]))
+    got = intervals.overlap_totals(frame(spark, a), frame(spark, b), "reference", ("start", "end"), ("start", "end"))
+    assert {r.id: (r.rows, r.shared) for r in got.select("right.id", "rows", "shared").collect()} == each and len(each) > 150
+    starts = {y[0]: n for y in b if None not in y and (n := sum(None not in x[1:3] and x[1] == y[1] and y[2] <= x[2] < y[3] for x in a))}
+    got = intervals.overlap_totals(frame(spark, a), frame(spark, b), "reference", ("start", None), ("start", "end"))
+    assert {r.id: r.rows for r in got.select("right.id", "rows").collect()} == starts
+
+
+def test_a_long_interval_is_not_paired_with_every_row(spark):
+    rows = spark.range(50_000).selectExpr("id", "'x' AS reference", "id % 5000 AS start", "id % 5000 + 7 AS end")
+    wide = spark.range(2000).selectExpr("id", "'x' AS reference", "id AS start", "id + 1000000000 AS end")
+    out = intervals.overlap_totals(rows, wide, "reference", ("start", "end"), ("start", "end"))
+    got = {r.id: (r.rows, r.shared) for r in out.select("right.id", "rows", "shared").collect()}
+    assert len(got) == 2000 and got[0] == (50_000, 350_000) and got[1999] == (50_000 - 10 * 1993, 10 * sum(min(7, p + 7 - 1999) for p in range(1993, 5000)))
