@@ -91,10 +91,12 @@ def adjacent(events: DataFrame, first: str, second: str, width: int = 86400) ->
 
 
 def sessions(events: DataFrame, gap: int) -> DataFrame:
-    """participant, session_start, events: sessions end where a participant pauses for gap seconds or more."""
+    """participant, session_start, events: sessions end where a participant pauses for gap seconds or more; an event without a time is a session by itself."""
     stamped = events.withColumn("at", F.timestamp_seconds("t"))
-    grouped = stamped.groupBy("participant", F.session_window("at", f"{gap} seconds").alias("w")).agg(F.count("*").alias("events"))
-    return grouped.select("participant", F.unix_timestamp("w.start").alias("session_start"), "events")
+    # Spark's window still takes in an event at its very end: half a second less, as times are whole seconds.
+    grouped = stamped.groupBy("participant", F.session_window("at", f"{gap * 1000 - 500} milliseconds").alias("w")).agg(F.count("*").alias("events"))
+    timed = grouped.select("participant", F.unix_timestamp("w.start").alias("session_start"), "events")
+    return timed.unionByName(events.where("t is null").select("participant", F.lit(None).cast("long").alias("session_start"), F.lit(1).cast("long").alias("events")))
 
 
 def agreement(ratings: DataFrame, one: str, other: str) -> DataFrame:
