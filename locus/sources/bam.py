@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locus.functions.codecs import CIGAR_OPS, TAG_FLOAT, TAG_INTEGER, TAG_TYPED, reference_span
+from locus.sources import shared
 
 #: How a BGZF member begins, the empty one that ends a file, the header's magic, a record's fixed fields, the 4-bit bases, tag types.
 MEMBER = bytes.fromhex("1f8b08040000000000ff060042430200")
@@ -297,7 +298,7 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     names = spark.createDataFrame([(k, name) for k, (name, _) in enumerate(references)], "reference_id int, reference string")
     rows = members.mapInArrow(_parsed(records=True), SCHEMA).unionByName(pieces).drop("kind", "file", "split", "raw")
     mates = names.select(F.col("reference_id").alias("mate_reference_id"), F.col("reference").alias("mate_reference"))
-    rows = rows.join(names, "reference_id", "left").join(mates, "mate_reference_id", "left")
+    rows = rows.join(shared.small(names), "reference_id", "left").join(shared.small(mates), "mate_reference_id", "left")
     return rows.withColumn("span", reference_span(F.col("cigar")).cast("int"))
 
 
@@ -360,7 +361,7 @@ def write_bam(rows: DataFrame, header: str, references: list[tuple[str, int]], p
     names = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(references)], "id int, ref string")
 
     def known(column: str, out: str) -> DataFrame:
-        return names.select(F.col("ref").alias(column), F.col("id").alias(out))
+        return shared.small(names.select(F.col("ref").alias(column), F.col("id").alias(out)))
 
     numbers = {"flag": 0, "reference_id": -1, "position": -1, "mapq": 0, "mate_reference_id": -1, "mate_position": -1, "template_length": 0, "span": 0}
     fields = ["name", "flag", "reference_id", "position", "mapq", "cigar", "mate_reference_id", "mate_position", "template_length", "sequence", "quality", "tags", "span"]

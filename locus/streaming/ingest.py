@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from locus.sources import dataset, text_formats
+from locus.sources import dataset, shared, text_formats
 
 
 def ingest_sam(spark: SparkSession, source: str, target: str, references: DataFrame, size: int, checkpoint: str, name: str = "stream") -> StreamingQuery:
@@ -17,10 +17,10 @@ def ingest_sam(spark: SparkSession, source: str, target: str, references: DataFr
     checkpoint makes it resumable, and a micro-batch that is played again replaces
     its own files and entries.
     """
-    lines = spark.readStream.text(source)
+    lines, known = spark.readStream.text(source), shared.small(references.select("reference", "reference_id"))
 
     def store(batch: DataFrame, number: int) -> None:
-        rows = text_formats.parse_sam(batch).join(references.select("reference", "reference_id"), "reference", "left")
+        rows = text_formats.parse_sam(batch).join(known, "reference", "left")
         rows = rows.withColumn("reference_id", F.coalesce("reference_id", F.lit(-1)))
         dataset.append(rows, target, size, batch=f"{name}-{number}")
 
