@@ -20,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locus.sources.shared import materialised, scratch
 
-#: Vectors that meet the centroids at once.
-STEP = 4096
+#: Vectors that meet the centroids at once; vectors and queries of a block in a search.
+STEP, BLOCK, ASKING = 4096, 1024, 256
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -103,10 +103,6 @@ def write(vectors: DataFrame, path: str, k: int, rounds: int = 8) -> None:
     named.join(sizes, "cluster").write.mode("overwrite").parquet(f"{path}/clusters")
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-
-
 def _asked(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     """query_id, query, cluster, radius, centre_away, place (1: the nearest) for each query and cluster; clusters are as many as k."""
     clusters = [r.asDict() for r in spark.read.parquet(f"{path}/clusters").select("cluster", "centre", "radius").orderBy("cluster").collect()]
@@ -148,11 +144,49 @@ def _best(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= n)
 
 
+def _blocks(rows: DataFrame, size: int, parts: DataFrame) -> DataFrame:
+    """cluster, part, ids, flat: rows (id, v, cluster) packed into blocks of about size vectors of one cluster; parts: cluster, parts, the number of blocks of each."""
+    dealt = rows.join(F.broadcast(parts), "cluster").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    packed = dealt.groupBy("cluster", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    return packed.select("cluster", "part", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"))
+
+
+def _parts(rows: DataFrame, size: int) -> DataFrame:
+    return rows.groupBy("cluster").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+
+
 def _nearest(spark: SparkSession, path: str, asked: DataFrame, n: int) -> DataFrame:
-    """query_id, vec_id, distance, rank of the n nearest in the clusters asked; a vector that cannot be within a cluster's reach is not excluded here, its distance decides."""
-    vectors = spark.read.schema("vec_id long, embedding array<double>, away double, cluster int").parquet(f"{path}/vectors")
-    met = asked.select("query_id", "query", "cluster").join(vectors.select("vec_id", "embedding", "cluster"), "cluster")
-    return _best(met.select("query_id", "vec_id", _distance("query", "embedding").alias("distance")), n)
+    """query_id, vec_id, distance, rank of the n nearest in the clusters asked; a vector that cannot be within a cluster's reach is not excluded here, its distance decides.
+
+    Blocks of a cluster's vectors meet blocks of the queries that ask for it, and of
+    each two blocks only a query's n nearest go on.
+    """
+    vectors = spark.read.schema("vec_id long, embedding array<double>, away double, cluster int").parquet(f"{path}/vectors").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "cluster")
+    queries = asked.select(F.col("query_id").alias("id"), F.col("query").alias("v"), "cluster")
+    parts = _parts(vectors, BLOCK)
+    held = _blocks(vectors, BLOCK, parts)
+    asking = _blocks(queries, ASKING, _parts(queries, ASKING)).select("cluster", F.col("ids").alias("query_ids"), F.col("flat").alias("query_flat"))
+    asking = asking.join(F.broadcast(parts), "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                query_ids, query_flat, ids, flat = (batch.column(k)[at].values.to_numpy(zero_copy_only=False) for k in range(4))
+                x, q = flat.reshape(len(ids), -1), query_flat.reshape(len(query_ids), -1)
+                about = _squared(q, x)
+                # The expanded square only rules out what is farther by more than its rounding; the distances themselves are plain.
+                kth = np.partition(about, min(n, len(ids)) - 1, axis=1)[:, min(n, len(ids)) - 1]
+                slack = 1e-9 * ((q * q).sum(1) + (x * x).sum(1).max())
+                row, column = np.nonzero(about <= (kth + slack)[:, None])
+                away = np.concatenate([np.sqrt(((q[row[k : k + STEP]] - x[column[k : k + STEP]]) ** 2).sum(1)) for k in range(0, len(row), STEP)])
+                order = np.lexsort((ids[column], away, row))
+                row, column, away = row[order], column[order], away[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                keep = place < n
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[row[keep]]), pa.array(ids[column[keep]]), pa.array(away[keep])], ["query_id", "vec_id", "distance"])
+
+    met = asking.join(held, ["cluster", "part"]).select("query_ids", "query_flat", "ids", "flat")
+    return _best(met.mapInArrow(nearest, "query_id long, vec_id long, distance double"), n)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -54,3 +54,24 @@ def test_nothing_stored(spark, tmp_path):
     clusters.write(frame, str(tmp_path), 4)
     asked = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
     assert clusters.search(spark, str(tmp_path), asked, 3, 2, exact=True).count() == 0
+
+
+def test_blocks_of_a_cluster_agree_with_brute_force(spark, tmp_path, monkeypatch):
+    """Many small blocks, ties at every place, far from the origin: every pair counts, none is told twice."""
+    monkeypatch.setattr(clusters, "BLOCK", 7)
+    monkeypatch.setattr(clusters, "ASKING", 3)
+    rows = [(k, [float(1_000_000 + k % 5), float(k % 7), float(k % 3)]) for k in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clusters.write(vectors, str(tmp_path), 3, rounds=2)
+    got = clusters.search(spark, str(tmp_path), vectors.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), 9, 1, exact=True)
+    want = {(q, r + 1): v for q, e in rows if q % 10 == 0 for r, (_, v) in enumerate(sorted((sum((a - b) ** 2 for a, b in zip(e, f)), v) for v, f in rows)[:9])}
+    assert {(r.query_id, r.rank): r.vec_id for r in got.collect()} == want
+
+
+def test_queries_meet_a_cluster_by_blocks(spark, tmp_path):
+    assert clusters.BLOCK * clusters.ASKING < 1 << 20  # distances that a task holds at once
+    rows = [(k, [float(k % 11), float(k % 13)]) for k in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clusters.write(vectors, str(tmp_path), 2, rounds=1)
+    asked = clusters._asked(spark, str(tmp_path), vectors.withColumnRenamed("vec_id", "query_id"))
+    assert "MapInArrow" in clusters._nearest(spark, str(tmp_path), asked, 3)._jdf.queryExecution().toString()
