@@ -1,7 +1,9 @@
 """A store of variant calls with secondary indexes: by variant id, and by sample.
 
 Calls (variant_id, position, sample, dosage) lie in chunks of position, one folder a
-chunk.  Two indexes lie beside them.
+chunk; where a batch has more than FOLDERS chunks, a folder holds as many that follow one
+another as keep folders to that number, and a column tells them apart.  Two indexes lie
+beside them.
 
 ``ids`` tells for each variant id its chunk and position.  It is dealt over folders by
 the id's hash, so a lookup of some ids reads the folders of those ids only, and then
@@ -21,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of the id index; bits set for a sample; ids of a lookup that become a literal list of chunks, more are joined.
-BUCKETS, HASHES, LISTED = 64, 4, 10_000
+#: Folders of the id index; bits set for a sample; ids of a lookup that become a literal list of chunks, more are joined; folders of a batch's calls; the column of a call's chunk in its files.
+BUCKETS, HASHES, LISTED, FOLDERS, CHUNK = 64, 4, 10_000, 256, "_chunk"
 
 
 def _bucket(variant_id: Column) -> Column:
@@ -48,15 +50,34 @@ def write(calls: DataFrame, path: str, size: int, bits: int = 4096, mode: str =
     if bits % 64 or bits <= 0:
         raise ValueError("bits is no multiple of 64")
     chunked = calls.withColumn("chunk_start", F.expr(f"floor(position / {size}) * {size}").cast("long"))
-    chunked.hint("rebalance", "chunk_start").sortWithinPartitions("chunk_start", "position", "variant_id").write.mode(mode).partitionBy("chunk_start").parquet(f"{path}/calls")
+    width = _folder_width(calls, size)
+    in_folders = chunked.withColumns({CHUNK: F.col("chunk_start"), "chunk_start": _folder(F.col("chunk_start"), F.lit(width))})
+    in_folders.hint("rebalance", "chunk_start").sortWithinPartitions("chunk_start", CHUNK, "position", "variant_id").write.mode(mode).partitionBy("chunk_start").parquet(f"{path}/calls")
     ids = chunked.select("variant_id", "chunk_start", "position").distinct().withColumn("bucket", _bucket(F.col("variant_id")))
     ids.repartition("bucket").sortWithinPartitions("bucket", "variant_id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/ids")
     carriers = chunked.where("dosage <> 0").select("chunk_start", "sample").distinct()
     counts = chunked.groupBy("chunk_start").agg(F.count("*").alias("calls"), F.count_if(F.col("dosage") != 0).alias("stored"))
-    entries = counts.join(_filters(carriers, bits), "chunk_start", "left").withColumn("bits", F.lit(bits).cast("long"))
+    entries = counts.join(_filters(carriers, bits), "chunk_start", "left").withColumns({"bits": F.lit(bits).cast("long"), "width": F.lit(width).cast("long")})
     entries.write.mode(mode).parquet(f"{path}/chunks")
 
 
+def _folder_width(calls: DataFrame, size: int) -> int:
+    """Places of a folder: of one chunk, or of the least power of two of chunks with which folders are FOLDERS at most."""
+    least, most = calls.agg(F.min("position"), F.max("position")).first()
+    chunks = 1 if least is None else int(most // size - least // size) + 1
+    return size << (-(-chunks // FOLDERS) - 1).bit_length()
+
+
+def _folder(chunk: Column, width: Column) -> Column:
+    """The first place of the chunk's folder."""
+    return chunk - F.pmod(chunk, width)
+
+
+def _calls(files: DataFrame) -> DataFrame:
+    """Calls with their own chunk instead of their folder's first place."""
+    return files.withColumn("chunk_start", F.col(CHUNK)).drop(CHUNK)
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """chunk_start, calls, stored, bits, words (null: no carrier): the manifest, its batches merged."""
     parts = spark.read.parquet(f"{path}/chunks")
@@ -68,9 +89,13 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def _of_chunks(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
     """Calls of the chunks listed (chunk_start, distinct): folders named by a literal list if they are few, else by a join."""
-    calls = spark.read.parquet(f"{path}/calls").withColumn("chunk_start", F.col("chunk_start").cast("long"))
+    files = spark.read.parquet(f"{path}/calls")
     few = [r.chunk_start for r in chunks.limit(LISTED + 1).collect()]
-    return calls.where(F.col("chunk_start").isin(few)) if len(few) <= LISTED else calls.join(chunks, "chunk_start", "left_semi")
+    if len(few) > LISTED:
+        return _calls(files).join(chunks, "chunk_start", "left_semi")
+    widths = [r.width for r in spark.read.parquet(f"{path}/chunks").select("width").distinct().collect()]  # one a batch at most, and powers of two
+    folders = {c // w * w for c in few for w in widths}
+    return _calls(files.where(F.col("chunk_start").isin(list(folders)))).where(F.col("chunk_start").isin(few))
 
 
 def find_ids(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -106,7 +131,7 @@ def of_sample(spark: SparkSession, path: str, sample: int | str) -> DataFrame:
 
 def false_positive_rate(spark: SparkSession, path: str, samples: DataFrame) -> DataFrame:
     """pairs (of samples and chunks they carry nothing in), passed (those that the filter lets pass nonetheless), rate."""
-    calls = spark.read.parquet(f"{path}/calls").where("dosage <> 0").select(F.col("chunk_start").cast("long").alias("chunk_start"), "sample").distinct()
+    calls = _calls(spark.read.parquet(f"{path}/calls")).where("dosage <> 0").select("chunk_start", "sample").distinct()
     chunks = read_chunks(spark, path).where("words is not null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
     asked = samples.select("sample").distinct().withColumn("block", F.pmod(F.xxhash64("sample"), F.lit(16)).cast("int"))
     free = asked.join(chunks, "block").join(calls, ["chunk_start", "sample"], "left_anti")

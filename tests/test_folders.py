@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from locus.operators.regions import Region
-from locus.sources import dataset, snapshots
+from locus.sources import dataset, snapshots, variant_store
 
 
 def narrow(spark, n=4000, step=25):
@@ -51,3 +51,24 @@ def test_versions_leave_out_chunks_inside_a_folder(spark, tmp_path):
     assert gone > 1 and snapshots.read(spark, path, 1).count() == rows.count() and snapshots.read(spark, path, 2).count() == rows.count() - gone + 1
     assert snapshots.read(spark, path, 2, Region("a", 300, 400)).count() == 1
     assert folders(tmp_path / "data") <= 20 * 2 + 2
+
+
+def test_folders_of_variants_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(variant_store, "FOLDERS", 8)
+    calls = spark.range(3000).selectExpr("concat('v', id) as variant_id", "id - 500 as position", "id % 7 as sample", "cast(id % 3 as int) as dosage")
+    path = str(tmp_path)
+    # Batches of other extents have folders of other widths.
+    variant_store.write(calls.where("position < 50"), path, 10, 128)
+    variant_store.write(calls.where("position >= 40"), path, 10, 128, mode="append")
+    assert folders(tmp_path / "calls") <= 2 * 9 and variant_store.read_chunks(spark, path).count() == 300
+    wanted = calls.where("position in (-500, -1, 45, 55, 2499)").select("variant_id")
+    want = calls.where("position in (-500, -1, 55, 2499)").collect() + 2 * calls.where("position = 45").collect()
+    got = variant_store.lookup(spark, path, wanted)
+    assert sorted(map(tuple, got.select(*calls.columns).collect())) == sorted(map(tuple, want))
+    named = variant_store.find_ids(spark, path, wanted).select("chunk_start").distinct()
+    assert variant_store._of_chunks(spark, path, named).select(F.input_file_name()).distinct().count() <= 6
+    for listed in (10_000, 3):
+        monkeypatch.setattr(variant_store, "LISTED", listed)
+        mine = [r.position for r in variant_store.of_sample(spark, path, 5).collect()]
+        both = calls.where("sample = 5 and dosage <> 0")
+        assert sorted(mine) == sorted(r.position for r in both.union(both.where("position between 40 and 49")).collect())
