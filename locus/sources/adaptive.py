@@ -8,20 +8,22 @@ that has more rows than the target by itself stays one chunk.
 
 The chunk map (reference, start, end, rows, longest span) takes the place of
 ``position div size``: rows find their chunk by an interval join with it, and a reader
-turns a region into the map's chunks, which prune folders.
+turns a region into the map's chunks, which prune folders.  A folder holds one chunk,
+or, where there are more than FOLDERS, as many that follow one another as keep folders
+near that number; a column of the files then tells a folder's chunks apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locus.operators import intervals
 from locus.operators.regions import Region
 from locus.sources.shared import materialised, scratch
 
-#: Ranges that one pass makes of one at most, ranks that a sketch is asked for, the sketches' size, and chunks of a region that become a literal list.
-FAN, GRID, SKETCH, LISTED = 32, 320, 4000, 10_000
+#: Ranges that one pass makes of one at most, ranks that a sketch is asked for, the sketches' size, chunks of a region that become a literal list, folders (besides one a reference), and the files' column of a row's chunk.
+FAN, GRID, SKETCH, LISTED, FOLDERS, CHUNK = 32, 320, 4000, 10_000, 512, "_chunk"
 
 
 def chunk_map(rows: DataFrame, target: int) -> DataFrame:
@@ -66,29 +68,40 @@ def of_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 def write(rows: DataFrame, path: str, target: int, codec: str = "zstd") -> None:
     """rows (reference, position, span, ...) as a dataset of chunks of about target rows, with its map; rows without a place form a chunk of their own."""
     spark = rows.sparkSession
-    own = chunk_map(rows, target)
-    placed = of_ranges(rows.where("reference is not null and position is not null"), own.select("reference", "start", "end")).withColumnRenamed("start", "chunk_start").drop("end")
-    unplaced = rows.where("reference is null or position is null").withColumns({"reference": F.lit(None).cast("string"), "chunk_start": F.lit(None).cast("long")})
+    own = _in_folders(chunk_map(rows, target))
+    placed = of_ranges(rows.where("reference is not null and position is not null"), own.select("reference", "start", "end", "folder")).withColumnsRenamed({"start": CHUNK, "folder": "chunk_start"}).drop("end")
+    unplaced = rows.where("reference is null or position is null").withColumns({"reference": F.lit(None).cast("string"), "chunk_start": F.lit(None).cast("long"), CHUNK: F.lit(None).cast("long")})
     whole = placed.unionByName(unplaced.select(placed.columns))
-    whole.hint("rebalance", "reference", "chunk_start").sortWithinPartitions("reference", "chunk_start", "position").write.mode("overwrite").option("compression", codec).partitionBy("reference", "chunk_start").parquet(f"{path}/data")
+    whole.hint("rebalance", "reference", "chunk_start").sortWithinPartitions("reference", "chunk_start", CHUNK, "position").write.mode("overwrite").option("compression", codec).partitionBy("reference", "chunk_start").parquet(f"{path}/data")
     spans = read(spark, path).where("reference is not null").groupBy("reference", F.col("chunk_start").alias("start")).agg(F.max("span").alias("max_span"))
     own.join(spans, ["reference", "start"]).write.mode("overwrite").parquet(f"{path}/map")
 
 
+def _in_folders(chunks: DataFrame) -> DataFrame:
+    """chunks with folder: the start of the first chunk of theirs; a row a chunk is all that is ordered here."""
+    per = -(-chunks.count() // FOLDERS) or 1
+    numbered = chunks.withColumn("_group", F.expr(f"(row_number() over (partition by reference order by start) - 1) div {per}"))
+    return numbered.withColumn("folder", F.min("start").over(Window.partitionBy("reference", "_group"))).drop("_group")
+
+
+def _of_files(files: DataFrame) -> DataFrame:
+    """Files' rows with their own chunk instead of their folder's first."""
+    return files.withColumns({"reference": F.col("reference").cast("string"), "chunk_start": F.col(CHUNK)}).drop(CHUNK)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(f"{path}/data")
-    return rows.withColumns({"reference": F.col("reference").cast("string"), "chunk_start": F.col("chunk_start").cast("long")})
+    return _of_files(spark.read.parquet(f"{path}/data"))
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """reference, start, end, rows, max_span of every chunk."""
+    """reference, start, end, rows, folder, max_span of every chunk."""
     return spark.read.parquet(f"{path}/map")
 
 
 def chunks_of(spark: SparkSession, path: str, region: Region, reach: bool = False) -> DataFrame:
-    """start of the chunks that may hold rows of the region; reach: also rows that begin before it and extend into it."""
+    """start and folder of the chunks that may hold rows of the region; reach: also rows that begin before it and extend into it."""
     near = (F.col("reference") == region.reference) & (F.col("end") + (F.coalesce("max_span", F.lit(0)) if reach else F.lit(0)) > region.start)
-    return read_map(spark, path).where(near if region.end is None else near & (F.col("start") < region.end)).select("start")
+    return read_map(spark, path).where(near if region.end is None else near & (F.col("start") < region.end)).select("start", "folder")
 
 
 def query(spark: SparkSession, path: str, region: Region | str, mode: str = "start") -> DataFrame:
@@ -96,8 +109,11 @@ def query(spark: SparkSession, path: str, region: Region | str, mode: str = "sta
     region = Region.parse(region) if isinstance(region, str) else region
     overlap = mode == "overlap"
     chunks = chunks_of(spark, path, region, overlap)
-    few = [r.start for r in chunks.limit(LISTED + 1).collect()]
-    rows = read(spark, path).where(F.col("reference") == region.reference)
-    rows = rows.where(F.col("chunk_start").isin(few)) if len(few) <= LISTED else rows.join(chunks.withColumnRenamed("start", "chunk_start"), "chunk_start", "left_semi")
+    few = chunks.limit(LISTED + 1).collect()
+    files = spark.read.parquet(f"{path}/data").where(F.col("reference") == region.reference)
+    if len(few) <= LISTED:
+        rows = _of_files(files.where(F.col("chunk_start").isin(list({r.folder for r in few})))).where(F.col("chunk_start").isin([r.start for r in few]))
+    else:
+        rows = _of_files(files).join(chunks.select(F.col("start").alias("chunk_start")), "chunk_start", "left_semi")
     inside = (F.col("position") + F.col("span") > region.start) if overlap else (F.col("position") >= region.start)
     return rows.where(inside if region.end is None else inside & (F.col("position") < region.end))

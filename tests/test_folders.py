@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from locus.operators.regions import Region
-from locus.sources import dataset, snapshots, variant_store
+from locus.sources import adaptive, dataset, snapshots, variant_store
 
 
 def narrow(spark, n=4000, step=25):
@@ -72,3 +72,21 @@ def test_folders_of_variants_are_bounded(spark, tmp_path, monkeypatch):
         mine = [r.position for r in variant_store.of_sample(spark, path, 5).collect()]
         both = calls.where("sample = 5 and dosage <> 0")
         assert sorted(mine) == sorted(r.position for r in both.union(both.where("position between 40 and 49")).collect())
+
+
+def test_folders_of_adaptive_chunks_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(adaptive, "FOLDERS", 12)
+    rows, path = narrow(spark).drop("reference_id"), str(tmp_path)
+    adaptive.write(rows, path, 20)
+    assert adaptive.read_map(spark, path).count() > 150 and folders(tmp_path / "data") <= 12 + 2
+    stored = adaptive.read(spark, path)
+    assert stored.count() == rows.count() and sorted(stored.columns) == sorted([*rows.columns, "chunk_start"])
+    met = stored.join(adaptive.read_map(spark, path).withColumnRenamed("start", "chunk_start"), ["reference", "chunk_start"])
+    assert met.where("position >= chunk_start and position < end").count() == rows.count()
+    for mode, low in (("start", "position >= 30010"), ("overlap", "position + span > 30010")):
+        for listed in (10_000, 1):
+            monkeypatch.setattr(adaptive, "LISTED", listed)
+            near = adaptive.query(spark, path, Region("a", 30_010, 33_000), mode)
+            assert sorted(r.id for r in near.collect()) == sorted(r.id for r in rows.where(f"reference = 'a' and {low} and position < 33000").collect()) != []
+        monkeypatch.setattr(adaptive, "LISTED", 10_000)
+        assert adaptive.query(spark, path, Region("a", 30_010, 33_000), mode).select(F.input_file_name()).distinct().count() <= 4
