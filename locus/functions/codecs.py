@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,10 +72,14 @@ def average_quality(quality: Column) -> Column:
 TAG_TYPED, TAG_INTEGER, TAG_FLOAT = "(?s)^[AifZHB]:.*", "^(0|-?[1-9][0-9]{0,8})$", "^[-+]?[0-9]+[.][0-9]+([eE][-+]?[0-9]+)?$"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row: inside of another function over an array it would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _first_of_each(entries: Column) -> Column:
     """Entries (key, value) without those whose key came before: one odd line must not end a job."""
-    keys = F.transform(entries, lambda e: e["key"])
-    return F.filter(entries, lambda e, k: F.array_position(keys, e["key"]) == k + 1)
+    return _once(entries, lambda all: _once(F.transform(all, lambda e: e["key"]), lambda keys: F.filter(all, lambda e, k: F.array_position(keys, e["key"]) == k + 1)))
 
 
 def tags_map(fields: Column) -> Column:
